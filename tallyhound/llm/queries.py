@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallyhound.llm import encoding, language, mixing, packing, repetition, secrets
+from tallyhound.llm import encoding, language, mixing, neardup, packing, repetition, secrets, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_quality_rules": repetition.op5_quality_rules,
+        "op7_embedding_near_dedup": vectors.op7_embedding_near_dedup,
         "op8_token_counts": encoding.op8_token_counts,
         "op9_language_id": language.op9_language_id,
         "op10_secret_scan": secrets.op10_secret_scan,
