@@ -28,12 +28,17 @@ class FlatGraph:
         return self
 
     def prune(self, rows: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        """Robust pruning: the nearest candidate stays and removes those that are ``alpha`` times nearer to it than to the row."""
+        """Robust pruning: the nearest candidate stays and removes those that are ``alpha`` times nearer to it than to the row.
+
+        Slots that stay empty take the nearest of the removed; else the members of a tight group would hang on its centre alone, whose
+        own slots are soon full.
+        """
         pool = np.where(pool == rows[:, None], -1, pool)
         c = self.x[pool]
         own = self.x[rows]
         far = 1 - np.matmul(c, own[:, :, None])[:, :, 0]  # half the squared distance
         far[pool < 0] = np.inf
+        spare = far.copy()
         out = np.full((len(rows), self.degree), -1, np.int32)
         i = np.arange(len(rows))
         for k in range(self.degree):
@@ -46,7 +51,13 @@ class FlatGraph:
             between = 1 - np.matmul(c, s[:, :, None])[:, :, 0]
             far[(self.alpha**2) * between <= far] = np.inf
             far[i, best] = np.inf
-        return out
+            spare[i[good], best[good]] = np.inf
+        used = (out >= 0).sum(1)
+        order = np.argsort(spare, axis=1, kind="stable")[:, : self.degree]
+        rest = np.where(np.isfinite(np.take_along_axis(spare, order, 1)), np.take_along_axis(pool, order, 1), -1)
+        fill = np.arange(self.degree) - used[:, None]
+        take = (fill >= 0) & (fill < rest.shape[1])
+        return np.where(take, np.take_along_axis(rest, np.clip(fill, 0, rest.shape[1] - 1), 1), out).astype(np.int32)
 
     def _link_back(self, rows: np.ndarray, chosen: np.ndarray) -> None:
         have = chosen >= 0
@@ -68,15 +79,12 @@ class FlatGraph:
         if full.any():
             self.near[nodes[full]] = self.prune(nodes[full], pool[full])
 
-    def search(self, queries: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy beam search of all queries from the medoid: the rows found (-1: none) and their cosines, unsorted.
-
-        ``seen`` (queries x rows) marks the rows that were compared.
-        """
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy beam search of all queries from the medoid: the rows found (-1: none) and their cosines, unsorted."""
         b, width = len(queries), self.beam
         ids, sims = np.full((b, width), -1, np.int32), np.full((b, width), -np.inf, np.float32)
         done = np.zeros((b, width), bool)
-        seen = np.zeros((b, len(self.x)), bool) if seen is None else seen
+        seen = np.zeros((b, len(self.x)), bool)
         ids[:, 0], sims[:, 0] = self.medoid, queries @ self.x[self.medoid]
         seen[:, self.medoid] = True
         live = np.arange(b)
@@ -108,10 +116,11 @@ class FlatGraph:
         n, found = len(self.x), []
         for at in range(0, n, batch):
             q = np.arange(at, min(n, at + batch))
-            seen = np.zeros((len(q), n), bool)
-            ids, sims = self.search(self.x[q], seen)
+            ids, sims = self.search(self.x[q])
             r, k = np.nonzero((sims >= cosine - slack) & (ids >= 0))
             front_q, front_n = r, ids[r, k].astype(np.int64)
+            seen = np.zeros((len(q), n), bool)  # anew: the beam has dropped rows in range that it compared
+            seen[front_q, front_n] = True
             while len(front_q):
                 found.append(np.stack((q[front_q], front_n)))
                 next_q, next_n = [], []
