@@ -190,7 +190,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
 
 
 def identify(docs: DataFrame, samples: tuple | None = None, carry: bool = False) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, excess``; with ``carry`` the columns of ``docs``, then ``lang_pred, score, excess``.
+    """``doc_id, held_out, lang_pred, score, excess``; with ``carry`` the columns of ``docs``, then ``lang_pred, score, excess`` in place of
+    others of these names.
 
     ``score`` is 1 - best / second best normalised phrases (1 with a single language). ``excess`` is the best language's phrases over
     its usual number. Texts that are null or have no letter, and all texts if nothing could be learned, are ``und`` with score 0 and no
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, samples: tuple | None = None, carry: bool = False)
             columns = [*(part.columns if carry else [part.column("doc_id")]), pa.array(pred), pa.array(score, pa.float64()), pa.array(excess, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(part.schema.names if carry else ["doc_id"]), *(x for x, _ in tail)])
 
-    out = docs.select(docs.columns if carry else [F.col("doc_id"), F.col("text")])
+    out = docs.drop("lang_pred", "score", "excess") if carry else docs.select("doc_id", "text")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (out.schema if carry else out.schema[:1]))
     found = out.mapInArrow(run, f"{kept}, lang_pred string, score double, excess double")
     return found if carry else found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "excess")

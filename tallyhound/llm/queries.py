@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyhound.llm import encoding, language, mixing, neardup, packing, repetition, secrets, vectors
+from tallyhound.llm import chat, encoding, language, mixing, neardup, packing, repetition, secrets, urlfilter, vectors
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_chat_format": chat.op3_chat_format,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_quality_rules": repetition.op5_quality_rules,
+        "op6_url_filter": urlfilter.op6_url_filter,
         "op7_embedding_near_dedup": vectors.op7_embedding_near_dedup,
         "op8_token_counts": encoding.op8_token_counts,
         "op9_language_id": language.op9_language_id,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op6_url_filter": urlfilter.OP6_SQL}
