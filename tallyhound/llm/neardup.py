@@ -179,26 +179,54 @@ def star_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataF
     return best.select("p.a", "p.b")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float, percent: int) -> DataFrame:
-    """All pairs ``a, b`` of different components that share a key, with sizes and signatures near enough for a link.
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` of keys that hold several components, with ``component`` and the key's size in blocks."""
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return named.join(mixed, "key")
+
+
+def common_sizes(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, common``: how many of a set's shingles any other set of ``ids`` has too. No intersection can be larger.
+
+    One aggregation by shingle; ids with several sets (repeated doc_ids) aren't listed.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in zip(b.column("id").to_pylist(), b.column("set").to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
+
+    own = sets.join(ids, "id", "left_semi")
+    once = own.groupBy("id").agg(F.count("*").alias("k"), F.max(F.length("set") / 8).cast("long").alias("n")).filter("k = 1")
+    alone = own.mapInArrow(run, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi").groupBy("id").agg(F.count("*").alias("alone"))
+    return once.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
 
-    Keys within one component are left. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
+def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
+    """All pairs ``a, b`` of different components that share a key and that sizes, common sizes and signatures allow to be linked.
+
+    Keys within one component are left. In a group of edited copies the edits are mostly nobody else's: an intersection is at most what both
+    have in common with any other, which rules out most pairs below the threshold, and whole documents. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
     small keys or a part of a large one. A pair comes out under the first key that it shares, so once.
     """
     spark = members.sparkSession
-    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    at = named.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    first = mixed_members(members, labels)
+    common = write_shared(common_sizes(sets, first.select("id").distinct()), "common")
+    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(common, "id", "left").withColumn("common", F.least("n", F.coalesce("common", "n"))).filter(F.col("common") * 100 >= F.col("n") * percent)
+    left = members.join(size.select("id"), "id", "left_semi")
+    at = mixed_members(left, labels).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = at.select("key", "nth", "id", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     meets = meets.select("key", "nth", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    meets = meets.join(reps.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    meets = meets.join(size, "id")
     meets = write_shared(meets, "rest")
     tasks = max(2 * cores(spark), meets.count() * (2 * SLOTS + 64) // TILE_BYTES + 1)
     limit = largest_distance(similarity)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "lo", "hi", "id"], kind="stable")
-        sig, n, comp, ids = matrix(g["sig"]), g["n"].to_numpy(), g["component"].to_numpy(), g["id"].to_numpy()
+        sig, n, most, comp, ids = matrix(g["sig"]), g["n"].to_numpy(), g["common"].to_numpy(), g["component"].to_numpy(), g["id"].to_numpy()
         nth, own = g["nth"].to_numpy(), g["i"].to_numpy()
         cross = (g["lo"] != g["hi"]).to_numpy()
         new = np.ones(len(g), bool)
@@ -210,7 +238,8 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, similarit
             if not len(x):
                 break
             y = x + d
-            keep = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            shared = np.minimum(most[x], most[y])
+            keep = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (100 * shared >= percent * (n[x] + n[y] - shared))
             x, y = x[keep], y[keep]
             for k in range(0, len(x), 20_000):
                 p, q = x[k : k + 20_000], y[k : k + 20_000]
@@ -252,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: i
         found = write_shared(confirm(star_pairs(members, labels, turn), sets, percent, tiles), "links")
         links = found if links is None else write_shared(links.unionByName(found), "links")
         labels = write_shared(components(links), "labels")
-    found = confirm(rest_pairs(members, labels, reps, similarity, percent), sets, percent, tiles)
+    found = confirm(rest_pairs(members, labels, reps, sets, similarity, percent), sets, percent, tiles)
     labels = write_shared(components(links.unionByName(found)), "labels")
     drop_shared(sets, members, involved)
     named = reps.select("fp", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"))
