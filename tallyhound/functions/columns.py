@@ -94,7 +94,7 @@ def base_url(url: Column) -> Column:
 
 def first_url(urls: Column, pages: Column | None = None) -> Column:
     """The first absolute URL of a list separated by ``;`` or ``,``; else the first page's."""
-    parts = F.filter(F.transform(F.split(urls, "[;,]"), F.trim), lambda u: u.rlike(r"^https?://"))
+    parts = F.filter(F.transform(F.split(urls, "[;,]"), lambda u: F.trim(u)), lambda u: u.rlike(r"^https?://"))
     found = F.get(parts, 0)
     return found if pages is None else F.coalesce(found, F.get(pages, 0))
 
@@ -107,7 +107,7 @@ def country_name(value: Column) -> Column:
 def split_location(value: Column) -> Column:
     """``struct<raw, city, country>``: of the part before ``;`` the first and, if there are several, the last comma part."""
     raw = display_name(value)
-    parts = F.filter(F.transform(F.split(F.substring_index(raw, ";", 1), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.substring_index(raw, ";", 1), ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.struct(raw.alias("raw"), F.get(parts, 0).alias("city"), F.when(F.size(parts) > 1, country_name(F.element_at(parts, -1))).alias("country"))
 
 
