@@ -25,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, AUTOMATON_CHARS = 256, 6000, 48_000
 SYMBOLS = 48
 UNKNOWN = "und"
 #: A text that needs this many times the phrases usual for the best language is in none of the learned ones.
-REJECT_ABOVE = 2.0
+REJECT_ABOVE = 2.5
 MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 

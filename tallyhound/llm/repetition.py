@@ -14,8 +14,8 @@ from tallyhound.llm.words import ngram_hashes, words_of
 
 #: Largest share of word characters inside duplicated n-grams, by n (published thresholds for web text).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of lines, and of word characters, in lines equal to an earlier one.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: Largest share of word characters in lines equal to an earlier one. Their number isn't judged: one of three short lines says little.
+LINE_CHAR_LIMIT = 0.20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -87,7 +87,7 @@ def measure(texts: list[str], ngrams: tuple[int, ...]) -> dict[str, list]:
     return out
 
 
-def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, line_char_limit: float = LINE_CHAR_LIMIT) -> DataFrame:
+def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_char_limit: float = LINE_CHAR_LIMIT) -> DataFrame:
     """Repetition measures and verdicts of every whole text.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word that equal an earlier line),
@@ -106,7 +106,7 @@ def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, li
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fine = (F.col("n_dup_lines") <= line_limit * F.col("n_lines")) & (F.col("dup_line_chars") <= line_char_limit * F.col("word_chars"))
+    fine = F.col("dup_line_chars") <= line_char_limit * F.col("word_chars")
     for n, limit in limits.items():
         fine &= F.col(f"dup_{n}") <= limit * F.col("word_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
