@@ -34,3 +34,18 @@ def test_latest_score(spark, tmp_path):
     jobs.stream_latest_score(jobs.read_landed(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/table", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/table/batch=0").collect()
     assert sorted((r.company_id, r.total_score) for r in got) == [("c", 7), ("d", 1)]
+
+
+def test_missing_jobs(spark, tmp_path):
+    days = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    seen = {0: ["a", "b"], 1: ["a"], 2: ["a"]}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i, at in enumerate(days):
+            spark.createDataFrame([("board", j, at) for j in seen[i]], "board string, external_job_id string, observed_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.read_landed(spark, f"{tmp_path}/in", "board string, external_job_id string, observed_at timestamp")
+        jobs.stream_missing_jobs(stream).writeStream.format("memory").queryName("missing").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.external_job_id, r.missing_count, r.is_active) for r in spark.table("missing").collect())
+    assert got == [("b", 1, True), ("b", 2, False)]
