@@ -104,7 +104,7 @@ def resolve_identities(records: DataFrame, companies: DataFrame, allow_name_only
     domain fills; else the first record by time and id creates the company and later ones of its domain fill.
     """
     name, domain = c.display_name(F.col("name")), c.blank_to_null(F.lower("domain"))
-    known = companies.filter("canonical_domain IS NOT NULL").select(F.lower("canonical_domain").alias("_domain"), F.col("id").alias("_by_domain"))
+    known = companies.filter("canonical_domain IS NOT NULL").groupBy(F.lower("canonical_domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
     named = companies.groupBy(F.lower("canonical_name").alias("_name")).agg(F.min("id").alias("_by_name"))
     rows = records.withColumns({"_n": F.lower(name), "_d": domain}).join(known, F.col("_d") == F.col("_domain"), "left").join(named, F.col("_n") == F.col("_name"), "left")
     open_ = F.col("company_id").isNull() & F.col("_n").isNotNull() & F.col("_d").isNotNull() & F.col("_by_domain").isNull()

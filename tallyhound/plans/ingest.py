@@ -21,7 +21,7 @@ def ingest_discovery(batch: DataFrame, records: DataFrame, companies: DataFrame,
     good, rejects = reject_without_domain_or_name(batch)
     good = good.withColumns({"domain": c.normalize_domain(F.coalesce(c.blank_to_null(F.col("domain")), F.col("website"))), "content_hash": F.sha2(F.to_json(F.struct(*[n for n in batch.columns if n != "index"])), 256)})
     changes = u.classify_changes(good, records, ["source", "source_record_id"], "content_hash")
-    known = companies.select(F.lower("canonical_domain").alias("domain"), F.col("id").cast("string").alias("_id"))
+    known = companies.filter("canonical_domain IS NOT NULL").groupBy(F.lower("canonical_domain").alias("domain")).agg(F.min(F.col("id").cast("string")).alias("_id"))
     linked = changes.join(known, "domain", "left").withColumn("company_id", F.coalesce("_id", c.surrogate_id(F.col("domain")))).drop("_id")
     created = linked.join(known, "domain", "left_anti").groupBy("domain", "company_id").agg(F.min_by("company_name", "index").alias("canonical_name"))
     fresh = g.insert_signal_once(g.discovery_signals(linked, as_of), signals)
