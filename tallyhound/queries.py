@@ -554,3 +554,88 @@ def page_facts(spark, sf):
 def review_sample(spark, sf):
     """A reproducible sample for review: 25 documents, the feature's size."""
     return w.sample_rows(load(spark, sf, "documents")[0].select("doc_id", "lang", "source"), "doc_id", 25)
+
+
+_DISCOVERY = """,
+b AS (
+  SELECT doc_id AS "index", source, doc_id % 300 AS source_record_id, 'https://feed.example/' || (doc_id % 40) AS source_url, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE 'Company ' || lang END AS company_name,
+    CASE WHEN doc_id % 29 = 0 THEN NULL ELSE 'site-' || (doc_id % 90) || '.com' END AS domain, ['funding', 'tender', 'hiring_post', 'past_tender', 'other'][doc_id % 5 + 1] AS event_type FROM documents)"""
+
+
+def _discovery_batch(spark, sf) -> DataFrame:
+    i = F.col("doc_id")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    kinds = c.lits(("funding", "tender", "hiring_post", "past_tender", "other"))
+    return load(spark, sf, "documents")[0].select(
+        i.alias("index"), "source", (i % 300).cast("string").alias("source_record_id"), text("https://feed.example/", i % 40).alias("source_url"),
+        F.when(i % 37 != 0, F.concat(F.lit("Company "), "lang")).alias("company_name"), F.when(i % 29 != 0, text("https://www.Site-", i % 90, ".com/jobs")).alias("website"),
+        F.lit(None).cast("string").alias("domain"), F.get(kinds, (i % 5).cast("int")).alias("event_type"), F.lit(None).cast("string").alias("event_summary"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("date").alias("event_date"),
+    )
+
+
+def _ingest(spark, sf) -> dict[str, DataFrame]:
+    from tallyhound.plans.ingest import ingest_discovery
+
+    batch = _discovery_batch(spark, sf)
+    records = batch.select("source", "source_record_id", F.lit("").alias("content_hash")).limit(0)
+    companies = load(spark, sf, "companies")[0]
+    signals = load(spark, sf, "signals")[0].select(F.col("company_id").cast("string").alias("company_id"), "signal_type", "source", "source_url")
+    return ingest_discovery(batch, records, companies, signals, as_of())
+
+
+@query("WITH x AS (SELECT 1)" + _DISCOVERY + """
+SELECT "index", signal_type, confidence, description FROM (
+  SELECT *, CASE event_type WHEN 'funding' THEN 'FUNDING_EVENT' WHEN 'tender' THEN 'PROCUREMENT_NOTICE' WHEN 'hiring_post' THEN 'HIRING_DISCOVERY' WHEN 'past_tender' THEN 'PROCUREMENT_HISTORY' END AS signal_type,
+    CASE event_type WHEN 'funding' THEN 0.8::DOUBLE WHEN 'tender' THEN 0.9::DOUBLE WHEN 'hiring_post' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END AS confidence, company_name || ' discovered from ' || source || '.' AS description
+  FROM b WHERE domain IS NOT NULL AND company_name IS NOT NULL) WHERE signal_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY domain, signal_type, source, source_url ORDER BY "index") = 1""")
+def discovery_signals(spark, sf):
+    return _ingest(spark, sf)["signals"].select("index", "signal_type", "confidence", "description")
+
+
+@query("WITH x AS (SELECT 1)" + _DISCOVERY + " SELECT CASE WHEN domain IS NULL THEN 'missing_domain' ELSE 'missing_company_name' END AS reason, count(*) AS rows FROM b WHERE domain IS NULL OR company_name IS NULL GROUP BY ALL")
+def discovery_rejects(spark, sf):
+    return reports.counts(_ingest(spark, sf)["rejects"], "reason")
+
+
+@query("WITH x AS (SELECT 1)" + _DISCOVERY + " SELECT domain, arg_min(company_name, \"index\") AS canonical_name FROM b WHERE domain IS NOT NULL AND company_name IS NOT NULL GROUP BY domain")
+def discovery_companies(spark, sf):
+    return _ingest(spark, sf)["companies"].select("domain", "canonical_name")
+
+
+@query(sql("contacts", """
+SELECT company_id, count(*) AS contact_count, string_agg(DISTINCT contact_kind, ', ' ORDER BY contact_kind) AS contact_kinds, bool_or(contact_kind = 'person') AS has_person_contact, bool_or(contact_kind = 'role_inbox') AS has_role_contact FROM contacts GROUP BY company_id"""))
+def contact_summary(spark, sf):
+    return reports.contact_summary(load(spark, sf, "contacts")[0])
+
+
+@query(sql("records sources", "SELECT company_id, string_agg(DISTINCT source_key, ', ' ORDER BY source_key) AS sources FROM records r JOIN sources s ON s.id = r.source_id WHERE company_id IS NOT NULL GROUP BY company_id"))
+def source_summary(spark, sf):
+    records, sources = load(spark, sf, "records", "sources")
+    return reports.source_summary(records.filter("company_id IS NOT NULL"), sources)
+
+
+@query(sql("scores", """
+SELECT id, company_id, total_score, row_number() OVER (ORDER BY total_score DESC, id) AS rank FROM scores"""))
+def score_ranks(spark, sf):
+    return w.global_rank(load(spark, sf, "scores")[0], F.col("total_score").desc(), F.col("id")).select("id", "company_id", "total_score", "rank")
+
+
+@query(sql("signals", """
+SELECT id, company_id, signal_type FROM signals QUALIFY row_number() OVER (PARTITION BY company_id, signal_type, source, coalesce(source_url, '') ORDER BY id) = 1"""))
+def signals_once(spark, sf):
+    signals = load(spark, sf, "signals")[0]
+    return g.insert_signal_once(signals, signals.limit(0), "id").select("id", "company_id", "signal_type")
+
+
+@query(sql("outcomes companies", """
+SELECT c.id AS company_id, canonical_name FROM companies c WHERE NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.company_id = c.id AND o.event = 'bounced')"""))
+def companies_without_bounces(spark, sf):
+    outcomes, companies = load(spark, sf, "outcomes", "companies")
+    return resolve.without(companies, outcomes.filter("event = 'bounced'")).select(F.col("id").alias("company_id"), "canonical_name")
+
+
+@query(sql("contacts", """
+SELECT company_id, id, email FROM contacts QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY confidence DESC, id) <= 2"""))
+def contacts_capped(spark, sf):
+    """Two contacts per company, the feature's cap."""
+    return w.top_per_key(load(spark, sf, "contacts")[0], ["company_id"], 2, F.col("confidence").desc(), F.col("id")).select("company_id", "id", "email")
