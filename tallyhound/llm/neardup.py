@@ -5,7 +5,8 @@
    ``CHUNKS * WIDTH`` slots agree, by pigeonhole, in all but one slot of some chunk. So every chunk is indexed once for each slot that may
    be wrong, under the values of the others: pairs within that distance meet under a key for certain.
 3. Groups of copies are not expanded into pairs. Members of a key are first confirmed against the key's largest component so far (a star),
-   twice over; then only pairs between different components remain, and all of those whose signatures are near enough are confirmed.
+   then with their nearest neighbours of other components; then only pairs between different components remain, and all of those that can
+   be links are confirmed.
 4. A link is confirmed on the full shingle sets, which travel only for documents that are in a candidate pair.
 """
 
@@ -204,17 +205,22 @@ def common_sizes(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return once.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
+def link_limits(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``id, n, common, sig`` of the classes under keys of several components that could be linked to any other."""
+    common = common_sizes(sets, mixed_members(members, labels).select("id").distinct())
+    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(common, "id", "left").withColumn("common", F.least("n", F.coalesce("common", "n")))
+    return write_shared(size.filter(F.col("common") * 100 >= F.col("n") * percent), "limits")
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarity: float, percent: int, nearest: bool = False) -> DataFrame:
     """All pairs ``a, b`` of different components that share a key and that sizes, common sizes and signatures allow to be linked.
 
     Keys within one component are left. In a group of edited copies the edits are mostly nobody else's: an intersection is at most what both
     have in common with any other, which rules out most pairs below the threshold, and whole documents. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
-    small keys or a part of a large one. A pair comes out under the first key that it shares, so once.
+    small keys or a part of a large one. A pair comes out under the first key that it shares, so once. With ``nearest``, a task gives for each
+    document only the pair with the nearest signature, which joins most components before all pairs between the others are looked at.
     """
     spark = members.sparkSession
-    first = mixed_members(members, labels)
-    common = write_shared(common_sizes(sets, first.select("id").distinct()), "common")
-    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(common, "id", "left").withColumn("common", F.least("n", F.coalesce("common", "n"))).filter(F.col("common") * 100 >= F.col("n") * percent)
     left = members.join(size.select("id"), "id", "left_semi")
     at = mixed_members(left, labels).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = at.select("key", "nth", "id", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -232,7 +238,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: Dat
         new = np.ones(len(g), bool)
         new[1:] = (g["key"].to_numpy()[1:] != g["key"].to_numpy()[:-1]) | (g["lo"].to_numpy()[1:] != g["lo"].to_numpy()[:-1]) | (g["hi"].to_numpy()[1:] != g["hi"].to_numpy()[:-1])
         group = np.cumsum(new)
-        left, right = [], []
+        left, right, apart = [], [], []
         for d in range(1, len(g)):
             x = np.flatnonzero(group[d:] == group[:-d])
             if not len(x):
@@ -244,16 +250,25 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: Dat
             for k in range(0, len(x), 20_000):
                 p, q = x[k : k + 20_000], y[k : k + 20_000]
                 wrong = sig[p] != sig[q]
-                fine = wrong.sum(1) <= limit
-                p, q, wrong = p[fine], q[fine], wrong[fine, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
+                distance = wrong.sum(1)
+                fine = distance <= limit
+                p, q, distance, wrong = p[fine], q[fine], distance[fine], wrong[fine, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
                 errors = wrong.sum(2)
                 first = np.argmax(errors <= 1, axis=1)
                 slot = np.argmax(wrong[np.arange(len(p)), first], axis=1)  # 0 where there is no error
                 once = first * WIDTH + slot == nth[p]
                 left.append(ids[p[once]])
                 right.append(ids[q[once]])
+                apart.append(distance[once])
         empty = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
+        a, b, far = (np.concatenate([empty, *v]) for v in (left, right, apart))
+        if nearest:
+            end = np.concatenate((a, b))
+            order = np.lexsort((np.concatenate((b, a)), np.concatenate((far, far)), end))
+            first = order[np.flatnonzero(np.diff(end[order], prepend=end[order][0] - 1))] if len(end) else order
+            keep = np.unique(first % max(1, len(a)))
+            a, b = a[keep], b[keep]
+        return pd.DataFrame({"a": a, "b": b})
 
     return meets.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))).applyInPandas(run, "a long, b long")
 
@@ -274,15 +289,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: i
     members = write_shared(keys.join(shared, "key").select("key", "nth", "id"), "members")
     involved = write_shared(members.select("id").distinct(), "involved")
     sets = write_shared(sets_of(docs, involved, words), "sets")
-    size = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0))).first()[0]
-    tiles = max(math.isqrt(2 * cores(docs.sparkSession)) + 1, size // TILE_BYTES + 1)
+    volume = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0))).first()[0]
+    tiles = max(math.isqrt(2 * cores(docs.sparkSession)) + 1, volume // TILE_BYTES + 1)
     links, labels = None, None
     for turn in range(turns):
         found = write_shared(confirm(star_pairs(members, labels, turn), sets, percent, tiles), "links")
         links = found if links is None else write_shared(links.unionByName(found), "links")
         labels = write_shared(components(links), "labels")
-    found = confirm(rest_pairs(members, labels, reps, sets, similarity, percent), sets, percent, tiles)
-    labels = write_shared(components(links.unionByName(found)), "labels")
+    size = link_limits(members, labels, reps, sets, percent)
+    for nearest in (True, False):
+        found = write_shared(confirm(rest_pairs(members, labels, size, similarity, percent, nearest), sets, percent, tiles), "links")
+        links = write_shared(links.unionByName(found), "links")
+        labels = write_shared(components(links), "labels")
     drop_shared(sets, members, involved)
     named = reps.select("fp", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"))
     linked = F.col("doc_id").isNotNull() & F.col("n_shingles").cast("boolean")
