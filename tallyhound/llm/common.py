@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a Python worker holds as one slice.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ LOOKAHEAD = r"|\s+(?!\S)"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TWO_SPACES = re.compile(r"\s\s")
 #: Pre-tokens whose counts a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 
 @functools.cache

@@ -26,7 +26,7 @@ SYMBOLS = 48
 UNKNOWN = "und"
 #: A text that needs this many times the phrases usual for the best language is in none of the learned ones.
 REJECT_ABOVE = 2.5
-MEMO = 300_000
+MEMO = 120_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -132,7 +132,7 @@ class Model:
         return out
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model({k: list(v) for k, v in samples})
 
