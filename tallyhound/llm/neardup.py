@@ -5,8 +5,8 @@
    ``CHUNKS * WIDTH`` slots agree, by pigeonhole, in all but one slot of some chunk. So every chunk is indexed once for each slot that may
    be wrong, under the values of the others: pairs within that distance meet under a key for certain.
 3. Groups of copies are not expanded into pairs. Members of a key are first confirmed against the key's largest component so far (a star),
-   then with their nearest neighbours of other components; then only pairs between different components remain, and all of those that can
-   be links are confirmed.
+   then with their nearest neighbours of other components; then only pairs between different components remain, and all of those that
+   signatures and prefixes of rare shingles allow are confirmed.
 4. A link is confirmed on the full shingle sets, which travel only for documents that are in a candidate pair.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import cores, drop_shared, read, text_slices, write_shared
@@ -187,36 +187,43 @@ def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def common_sizes(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, common``: how many of a set's shingles any other set of ``ids`` has too. No intersection can be larger.
+def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """``id, n, prefix`` (shingles) of the sets of ``ids``: the rarest shingles that a partner must have one of.
 
-    One aggregation by shingle; ids with several sets (repeated doc_ids) aren't listed.
+    In any fixed order of all shingles, two sets that are similar enough share one of their first n - ceil(n * percent / 100) + 1. The order is
+    by frequency within ``ids``, then by hash, so that in a group of edited copies the edits come first. Shingles that no other set has are
+    left out. ids with several sets (repeated doc_ids) have a null prefix, which rules out nothing.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, raw in zip(b.column("id").to_pylist(), b.column("set").to_pylist(), strict=True):
                 h = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
+                n = np.full(len(h), len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h), pa.array(n)], names=["id", "h", "n"])
 
     own = sets.join(ids, "id", "left_semi")
-    once = own.groupBy("id").agg(F.count("*").alias("k"), F.max(F.length("set") / 8).cast("long").alias("n")).filter("k = 1")
-    alone = own.mapInArrow(run, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi").groupBy("id").agg(F.count("*").alias("alone"))
-    return once.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    count = own.groupBy("id").agg(F.count("*").alias("k"), F.max(F.length("set") / 8).cast("long").alias("n"))
+    tokens = own.mapInArrow(run, "id long, h long, n long")
+    often = tokens.groupBy("h").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id").orderBy("often", "h")
+    first = tokens.join(often, "h").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    kept = first.filter("often > 1").groupBy("id").agg(F.collect_list("h").alias("prefix"))
+    none = F.array().cast("array<long>")
+    return count.join(kept, "id", "left").select("id", F.when(F.col("k") == 1, F.coalesce("prefix", none)).alias("prefix"))
 
 
 def link_limits(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, n, common, sig`` of the classes under keys of several components that could be linked to any other."""
-    common = common_sizes(sets, mixed_members(members, labels).select("id").distinct())
-    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(common, "id", "left").withColumn("common", F.least("n", F.coalesce("common", "n")))
-    return write_shared(size.filter(F.col("common") * 100 >= F.col("n") * percent), "limits")
+    """``id, n, sig, prefix`` of the classes under keys of several components that could be linked to any other."""
+    first = prefixes(sets, mixed_members(members, labels).select("id").distinct(), percent)
+    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(first, "id")
+    return write_shared(size.filter("prefix IS NULL OR size(prefix) > 0"), "limits")
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarity: float, percent: int, nearest: bool = False) -> DataFrame:
-    """All pairs ``a, b`` of different components that share a key and that sizes, common sizes and signatures allow to be linked.
+    """All pairs ``a, b`` of different components that share a key and that sizes, signatures and prefixes allow to be linked.
 
-    Keys within one component are left. In a group of edited copies the edits are mostly nobody else's: an intersection is at most what both
-    have in common with any other, which rules out most pairs below the threshold, and whole documents. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
+    Keys within one component are left out, and documents whose prefix nobody shares. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
     small keys or a part of a large one. A pair comes out under the first key that it shares, so once. With ``nearest``, a task gives for each
     document only the pair with the nearest signature, which joins most components before all pairs between the others are looked at.
     """
@@ -227,12 +234,14 @@ def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarit
     meets = meets.select("key", "nth", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     meets = meets.join(size, "id")
     meets = write_shared(meets, "rest")
-    tasks = max(2 * cores(spark), meets.count() * (2 * SLOTS + 64) // TILE_BYTES + 1)
+    volume = meets.agg(F.coalesce(F.sum(F.lit(2 * SLOTS + 64) + 8 * F.greatest(F.size("prefix"), F.lit(0))), F.lit(0))).first()[0]
+    tasks = max(2 * cores(spark), int(volume) // TILE_BYTES + 1)
     limit = largest_distance(similarity)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "lo", "hi", "id"], kind="stable")
-        sig, n, most, comp, ids = matrix(g["sig"]), g["n"].to_numpy(), g["common"].to_numpy(), g["component"].to_numpy(), g["id"].to_numpy()
+        sig, n, comp, ids = matrix(g["sig"]), g["n"].to_numpy(), g["component"].to_numpy(), g["id"].to_numpy()
+        prefix = {i: None if x is None else frozenset(np.asarray(x).tolist()) for i, x in zip(g["id"], g["prefix"], strict=True)}
         nth, own = g["nth"].to_numpy(), g["i"].to_numpy()
         cross = (g["lo"] != g["hi"]).to_numpy()
         new = np.ones(len(g), bool)
@@ -244,8 +253,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarit
             if not len(x):
                 break
             y = x + d
-            shared = np.minimum(most[x], most[y])
-            keep = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (100 * shared >= percent * (n[x] + n[y] - shared))
+            keep = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[keep], y[keep]
             for k in range(0, len(x), 20_000):
                 p, q = x[k : k + 20_000], y[k : k + 20_000]
@@ -256,7 +264,9 @@ def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarit
                 errors = wrong.sum(2)
                 first = np.argmax(errors <= 1, axis=1)
                 slot = np.argmax(wrong[np.arange(len(p)), first], axis=1)  # 0 where there is no error
-                once = first * WIDTH + slot == nth[p]
+                once = np.flatnonzero(first * WIDTH + slot == nth[p])
+                ends = ((prefix[i], prefix[j]) for i, j in zip(ids[p[once]].tolist(), ids[q[once]].tolist(), strict=True))
+                once = once[np.fromiter((u is None or v is None or not u.isdisjoint(v) for u, v in ends), bool, len(once))]
                 left.append(ids[p[once]])
                 right.append(ids[q[once]])
                 apart.append(distance[once])
@@ -273,7 +283,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarit
     return meets.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))).applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id`` for every row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` / 100. ``component_id``
