@@ -143,6 +143,20 @@ def test_vectors_against_all_pairs(spark):
     assert sorted(map(tuple, one.collect()), key=repr) == sorted([(None, 0, None, False), (4, 0, 4, True)], key=repr)
 
 
+def test_vectors_hot_group_over_many_blocks(spark):
+    """A third of the rows are distinct near copies of one vector, far more than a block holds; no link is lost, links at the threshold included."""
+    rng = np.random.default_rng(12)
+    hub = rng.normal(size=64)
+    x = np.concatenate((hub + rng.normal(size=(400, 64)) * 0.23, rng.normal(size=(800, 64))))
+    for i in range(500, 900, 2):  # even-spread pairs at a cosine just above 0.9
+        u = x[i] / np.linalg.norm(x[i])
+        v = x[i + 1] - (x[i + 1] @ u) * u
+        x[i + 1] = 0.9001 * u + np.sqrt(1 - 0.9001**2) * v / np.linalg.norm(v)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=60).collect()
+    assert sorted(map(tuple, got)) == brute_vectors(rows, 0.9)
+
+
 def test_vectors_on_given_table(spark):
     path = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
