@@ -201,3 +201,26 @@ def validate_profile(df: DataFrame) -> DataFrame:
     people = F.filter("people", lambda p: F.contains(page, F.lower(p)))
     notes = F.size("emails") - F.size(emails) + F.size("people") - F.size(people)
     return df.withColumns({"notes": notes, "emails": F.slice(emails, 1, 25), "people": F.slice(people, 1, 10), "services": F.slice("services", 1, 10)})
+
+
+def attested_quotes(quotes: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
+    """``item_id, doc_id`` of every document (``doc_id, text``) that holds the whole text of a quote (``item_id, text``), white space and
+    case aside.
+
+    A run of ``words`` words inside the quote, which stand whole in any text that holds it, is looked up among the hashed runs of all
+    documents; what meets is confirmed on whole texts. Quotes too short for a run are held against every document. Blank quotes and null
+    texts have no rows.
+    """
+    plain = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    told = quotes.select("item_id", plain.alias("_q")).filter("_q <> ''").withColumn("_w", F.split("_q", " "))
+    held = docs.select("doc_id", plain.alias("_t")).filter("_t IS NOT NULL")
+    long = F.size("_w") >= words + 2
+    probes = told.filter(long).select("item_id", "_q", F.xxhash64(F.slice("_w", 2, words)).alias("_run"))
+    split = held.select("doc_id", F.split("_t", " ").alias("_w")).filter(F.size("_w") >= words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.slice("_w", i, words)))
+    met = split.select("doc_id", F.explode(F.array_distinct(runs)).alias("_run")).join(probes.select("item_id", "_run"), "_run").select("doc_id", "item_id").distinct()
+    pairs = met.join(probes.select("item_id", "_q").distinct(), "item_id")
+    pairs = pairs.select(F.col("doc_id").alias("_d"), "item_id", "_q")
+    whole = held.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")))
+    short = held.crossJoin(told.filter(~long).select("item_id", "_q"))
+    return whole.select("item_id", "doc_id", "_t", "_q").unionByName(short.select("item_id", "doc_id", "_t", "_q")).filter(F.contains("_t", "_q")).select("item_id", "doc_id")

@@ -532,6 +532,14 @@ def attested_quotes(spark, sf):
     return rows.filter(F.size(kept) > 0).select("item_id", "doc_id")
 
 
+@query("""
+WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
+SELECT item_id, doc_id FROM q JOIN d ON contains(t, q) WHERE q <> ''""")
+def attested_quotes_whole(spark, sf):
+    """Every benchmark text in every document, whole; ``attested_quotes`` looks for one opening per document."""
+    return validate.attested_quotes(*load(spark, sf, "benchmark", "documents"))
+
+
 @query()
 def page_contacts(spark, sf):
     """Addresses and phones of saved pages, parsed once."""

@@ -176,3 +176,14 @@ def test_sources(spark, tmp_path):
     posts = spark.createDataFrame([(0, "p", "Acme Labs | Berlin | Remote<p>We hire engineers, see https://acme.io/jobs for more"), (1, "q", "short")], "index int, id string, text string")
     good, bad = normalize.normalize_hiring_posts(posts, ("io", "com"))
     assert rows(good.select("company_name", "domain")) == [("Acme Labs", "acme.io")] and rows(bad) == [(1, "too_short")]
+
+
+def test_attested_quotes_whole(spark):
+    from tallyhound.operators import validate
+
+    quote = "One  two three\nfour five six seven EIGHT"
+    quotes = spark.createDataFrame([(0, quote), (250, "alpha beta gamma delta epsilon zeta eta"), (3, "Short one"), (4, " "), (5, None)], "item_id long, text string")
+    docs = [(7, "x one two three four five six seven eight y"), (41, "alone two three four five six seven eighty"), (0, "one two three four five six seven"),
+            (12, "alpha beta gamma delta epsilon zeta eta, one two three"), (13, "a SHORT\tone"), (14, None), (15, "")]
+    got = validate.attested_quotes(quotes, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 7), (0, 41), (3, 13), (250, 12)]
