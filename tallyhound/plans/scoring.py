@@ -109,9 +109,9 @@ def probe_targets(companies: DataFrame, signals: DataFrame, jobs: DataFrame) ->
     return w.latest(rows.filter("probe_domain IS NOT NULL"), ["probe_domain"], F.col("id"))
 
 
-def message_facts(observations: DataFrame, companies: DataFrame, fields: list[str]) -> DataFrame:
-    """The latest observation of each field per company as columns, with the draft's opening sentence."""
-    wide = w.pivot_latest(observations, ["company_id"], "field", "value", fields, F.col("observed_at").desc(), F.col("id").desc())
+def message_facts(observations: DataFrame, companies: DataFrame, fields: list[str], keys: tuple[str, ...] = ("company_id",)) -> DataFrame:
+    """The latest observation of each field per company (or finer ``keys``) as columns, with the draft's opening sentence."""
+    wide = w.pivot_latest(observations, list(keys), "field", "value", fields, F.col("observed_at").desc(), F.col("id").desc())
     rows = wide.join(companies.select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company")), "company_id")
     opening = F.format_string("%s: %s", F.col("company"), c.trim_sentence(F.coalesce(*(F.col(f) for f in fields)), 120))
     return rows.withColumns({"opening": opening, "opening_words": c.word_count(opening)})

@@ -21,6 +21,13 @@ SQL: dict[str, str] = {}
 
 
 
+def _halves(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows up to the mean of ``order``, and those that came in later."""
+    middle = F.lit(rows.agg(F.avg(order)).first()[0])
+    early = F.coalesce(F.col(order) <= middle, F.lit(True))
+    return rows.filter(early), rows.filter(~early)
+
+
 def as_of() -> Column:
     """The moment that stands for now in queries on signals."""
     return F.lit("2024-02-15 00:00:00").cast("timestamp")
@@ -299,6 +306,15 @@ def probe_targets(spark, sf):
     return plans.probe_targets(companies, signals, jobs.filter("l_quantity > 49")).select("id", "probe_domain", "reason")
 
 
+@query(sql("companies signals jobs", """
+SELECT min(id) AS id, canonical_domain AS probe_domain, 'ok' AS reason FROM companies c
+WHERE canonical_domain IS NOT NULL AND EXISTS (SELECT 1 FROM signals s WHERE s.company_id = c.id AND signal_type IN ('HIRING_DISCOVERY', 'FUNDING_EVENT')) AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.company_id = c.id)
+GROUP BY canonical_domain"""))
+def probe_targets_whole(spark, sf):
+    """Without any job; ``probe_targets`` looks at large ones only."""
+    return plans.probe_targets(*load(spark, sf, "companies", "signals", "jobs")).select("id", "probe_domain", "reason")
+
+
 @query(sql("companies", """
 SELECT company_id, company, "0" AS turn_0, "1" AS turn_1, "2" AS turn_2 FROM (
   SELECT conv_id AS company_id, canonical_name AS company, max(text) FILTER (turn = 0) AS "0", max(text) FILTER (turn = 1) AS "1", max(text) FILTER (turn = 2) AS "2"
@@ -309,6 +325,17 @@ def message_facts(spark, sf):
     return plans.message_facts(facts, companies, ["turn_0", "turn_1", "turn_2"]).select("company_id", "company", "turn_0", "turn_1", "turn_2")
 
 
+@query(sql("companies", """
+SELECT company_id, company, part, "0" AS turn_0, "1" AS turn_1, "2" AS turn_2 FROM (
+  SELECT conv_id AS company_id, canonical_name AS company, turn // 3 AS part, max(text) FILTER (turn % 3 = 0) AS "0", max(text) FILTER (turn % 3 = 1) AS "1", max(text) FILTER (turn % 3 = 2) AS "2"
+  FROM (SELECT conv_id, turn, arg_max(text, role || text) AS text FROM conversations GROUP BY ALL) JOIN companies ON id = conv_id GROUP BY ALL)"""))
+def message_facts_whole(spark, sf):
+    """All turns, a row for every three; ``message_facts`` has the first three."""
+    companies, lines = load(spark, sf, "companies", "conversations")
+    facts = lines.select(F.col("conv_id").alias("company_id"), F.floor(F.col("turn") / 3).alias("part"), F.concat(F.lit("turn_"), (F.col("turn") % 3).cast("string")).alias("field"), F.col("text").alias("value"), F.lit(0).alias("observed_at"), F.concat("role", "text").alias("id"))
+    return plans.message_facts(facts, companies, ["turn_0", "turn_1", "turn_2"], ("company_id", "part")).select("company_id", "company", "part", "turn_0", "turn_1", "turn_2")
+
+
 _TITLE = "lower(concat_ws(' ', title, department))"
 _TEXT = "lower(concat_ws(' ', title, department, description_text))"
 _JOBAGE = "CAST(greatest(0, floor((epoch_us(TIMESTAMP '2001-12-01') - epoch_us(coalesce(posted_at, first_seen_at))) / 86400000000.0)) AS INTEGER)"
@@ -424,7 +451,10 @@ SELECT company_id, coalesce(max(lang) FILTER (id = l), NULL) AS lang, coalesce(m
   SELECT *, min(id) FILTER (lang IS NOT NULL) OVER (PARTITION BY company_id) AS l, min(id) FILTER (source_id <> 'src0') OVER (PARTITION BY company_id) AS s FROM records WHERE company_id IS NOT NULL) GROUP BY company_id"""))
 def merged_records(spark, sf):
     rows = load(spark, sf, "records")[0].filter("company_id IS NOT NULL").withColumn("source_id", F.nullif("source_id", F.lit("src0")))
-    return u.merge_fill_nulls(rows.select("id", "company_id", "lang", "source_id"), rows.select("company_id", "lang", "source_id").limit(0), ["company_id"], ["lang", "source_id"], "id")
+    keys, fields = ["company_id"], ["lang", "source_id"]
+    first, second = _halves(rows, "id")
+    stored = u.merge_fill_nulls(first, first.select(*keys, *fields).limit(0), keys, fields, "id")
+    return u.merge_fill_nulls(second, stored, keys, fields, "id")
 
 
 @query(sql("companies records", """,
@@ -439,6 +469,19 @@ def identity_resolution(spark, sf):
     return u.resolve_identities(rows, companies.filter("id % 3 = 0")).select("id", "action")
 
 
+@query(sql("companies records", """,
+c AS (SELECT * FROM companies WHERE country < 'J'),
+r AS (SELECT x.id, canonical_name AS name, canonical_domain AS domain FROM records x LEFT JOIN companies y ON y.id = x.company_id)
+SELECT id, CASE WHEN name IS NULL THEN 'review_missing_name' WHEN domain IS NULL THEN 'review_missing_domain' WHEN EXISTS (SELECT 1 FROM c WHERE canonical_domain = domain) THEN 'match_domain'
+  WHEN id = min(id) FILTER (name IS NOT NULL) OVER (PARTITION BY domain) THEN 'create' ELSE 'match_domain' END AS action FROM r"""))
+def identity_resolution_whole(spark, sf):
+    """Every record under its own company, or none; companies of countries before J are stored, the others come in by records alone."""
+    companies, records = load(spark, sf, "companies", "records")
+    named = companies.select(F.col("id").alias("k"), F.col("canonical_name").alias("name"), F.col("canonical_domain").alias("domain"))
+    rows = records.select("id", F.col("id").alias("created_at"), F.col("company_id").alias("k")).join(named, "k", "left").withColumn("company_id", F.lit(None).cast("long"))
+    return u.resolve_identities(rows, companies.filter("country < 'J'")).select("id", "action")
+
+
 @query(sql("sources records", """
 SELECT source_key, count(r.id) AS records, count(DISTINCT r.company_id) AS companies, max(r.id) AS latest_collected_at FROM sources s LEFT JOIN records r ON r.source_id = s.id GROUP BY source_key"""))
 def source_rows(spark, sf):
@@ -582,13 +625,19 @@ def _discovery_batch(spark, sf) -> DataFrame:
 
 
 def _ingest(spark, sf) -> dict[str, DataFrame]:
+    """What the earlier half of the batch and then, against all that it stored, the later half bring in."""
     from tallyhound.plans.ingest import ingest_discovery
 
-    batch = _discovery_batch(spark, sf)
-    records = batch.select("source", "source_record_id", F.lit("").alias("content_hash")).limit(0)
-    companies = load(spark, sf, "companies")[0]
+    first, second = _halves(_discovery_batch(spark, sf), "index")
+    keys = ["source", "source_record_id"]
+    companies = load(spark, sf, "companies")[0].select(F.col("id").cast("string").alias("id"), "canonical_domain")
     signals = load(spark, sf, "signals")[0].select(F.col("company_id").cast("string").alias("company_id"), "signal_type", "source", "source_url")
-    return ingest_discovery(batch, records, companies, signals, as_of())
+    a = ingest_discovery(first, first.select(*keys, F.lit("").alias("content_hash")).limit(0), companies, signals, as_of())
+    records = a["records"].groupBy(*keys).agg(F.max_by("content_hash", "index").alias("content_hash"))
+    companies = companies.unionByName(a["companies"].select(F.col("company_id").alias("id"), F.col("domain").alias("canonical_domain")))
+    signals = signals.unionByName(a["signals"].select(*signals.columns))
+    b = ingest_discovery(second, records, companies, signals, as_of())
+    return {name: a[name].unionByName(b[name]) for name in a}
 
 
 @query("WITH x AS (SELECT 1)" + _DISCOVERY + """
@@ -632,7 +681,9 @@ def score_ranks(spark, sf):
 SELECT id, company_id, signal_type FROM signals QUALIFY row_number() OVER (PARTITION BY company_id, signal_type, source, coalesce(source_url, '') ORDER BY id) = 1"""))
 def signals_once(spark, sf):
     signals = load(spark, sf, "signals")[0]
-    return g.insert_signal_once(signals, signals.limit(0), "id").select("id", "company_id", "signal_type")
+    first, second = _halves(signals, "id")
+    stored = g.insert_signal_once(first, first.limit(0), "id")
+    return stored.unionByName(g.insert_signal_once(second, stored, "id")).select("id", "company_id", "signal_type")
 
 
 @query(sql("outcomes companies", """

@@ -187,3 +187,24 @@ def test_attested_quotes_whole(spark):
             (12, "alpha beta gamma delta epsilon zeta eta, one two three"), (13, "a SHORT\tone"), (14, None), (15, "")]
     got = validate.attested_quotes(quotes, spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(0, 7), (0, 41), (3, 13), (250, 12)]
+
+
+def test_queries_over_whole_tables(spark, monkeypatch):
+    from tallyhound import queries
+    from tallyhound.adapters import load
+
+    sf = "/root/testdata/sf0.001"
+    companies, jobs, records, lines = load(spark, sf, "companies", "jobs", "records", "conversations")
+    busy = {r.company_id for r in jobs.select("company_id").distinct().collect()}
+    assert not busy & {r.id for r in queries.QUERIES["probe_targets_whole"](spark, sf).collect()}
+    assert queries.QUERIES["identity_resolution_whole"](spark, sf).count() == records.count()
+    known = {r.id for r in companies.select("id").collect()}
+    turns = {(r.conv_id, r.turn) for r in lines.collect() if r.conv_id in known and r.text is not None}
+    told = queries.QUERIES["message_facts_whole"](spark, sf).collect()
+    assert {(r.company_id, 3 * r.part + k) for r in told for k in range(3) if r[f"turn_{k}"] is not None} == turns
+    stored, merge, insert = [], queries.u.merge_fill_nulls, queries.g.insert_signal_once
+    monkeypatch.setattr(queries.u, "merge_fill_nulls", lambda new, old, *x: stored.append(old.count()) or merge(new, old, *x))
+    monkeypatch.setattr(queries.g, "insert_signal_once", lambda new, old, *x: stored.append(old.count()) or insert(new, old, *x))
+    for name in ("merged_records", "signals_once"):
+        queries.QUERIES[name](spark, sf)
+        assert stored.pop() > 0
