@@ -21,6 +21,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Strings that may hide a random key: long runs of the characters of base 64 and its URL form.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Runs within a candidate: of hex digits of one case, and of what no joint (= _ - /) parts.
+HEX_RUNS, RUN = (re.compile(r"[0-9a-f]+"), re.compile(r"[0-9A-F]+")), re.compile(r"[^=_/-]+")
 #: Window in characters and the least bits per character by class. A window of 20 random hex digits has about 3.4 bits, of 20 random
 #: base-64 characters about 4.1; digits alone are no key.
 WINDOW = 20
@@ -77,14 +79,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def run_spans(s: str, window: int, least_bits: dict[str, float]) -> list[tuple[int, int]]:
+    """Dense parts of a candidate, apart and sorted. Runs of hex digits are judged as hex wherever they stand, and the candidate as its own
+    class; what a dense window touches is covered to the end of its run."""
+    out = [m.span() for hexed in HEX_RUNS for m in hexed.finditer(s) if m.end() - m.start() >= window and character_class(m.group()) and dense_windows(m.group(), window, least_bits["hex"])]
+    if character_class(s) == "base64" and (dense := dense_windows(s, window, least_bits["base64"])):
+        runs = [m.span() for m in RUN.finditer(s)]
+        out += dense + [(a, b) for a, b in runs if any(a < y and x < b for x, y in dense)]
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if apart and a <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(apart[-1][1], b))
+        else:
+            apart.append((a, b))
+    return apart
+
+
 def entropy_spans(text: str, window: int = WINDOW, least_bits: dict[str, float] = LEAST_BITS, allowed: re.Pattern | None = None) -> list[tuple[int, int, int]]:
-    """``(start, kind, end)`` of dense windows in candidates that no allowed form matches whole."""
+    """``(start, kind, end)`` of dense runs in candidates that no allowed form matches whole."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        kind = character_class(s)
-        if kind and not (allowed and allowed.fullmatch(s)):
-            out += [(m.start() + a, 3, m.start() + b) for a, b in dense_windows(s, window, least_bits[kind])]
+        if character_class(s) and not (allowed and allowed.fullmatch(s)):
+            out += [(m.start() + a, 3, m.start() + b) for a, b in run_spans(s, window, least_bits)]
     return out
 
 

@@ -188,6 +188,16 @@ def test_dense_windows_against_recount():
         assert got == mark
 
 
+def test_keys_behind_names(spark):
+    rng = np.random.default_rng(11)
+    keys = ["".join(rng.choice(list(letters), n)) for letters in ("0123456789ABCDEF", "0123456789abcdef") for n in (32, 40, 64) for _ in range(20)]
+    rows = [(i, f"use {name}{k} now") for i, (name, k) in enumerate((name, k) for name in ("", "sig=", "KEY_", "auth/", "a-b-", "key+", "x/y=") for k in keys)]
+    out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r, (_, t) in zip(sorted(out), rows, strict=True):
+        assert "[SECRET]" in r.text and not re.search("[0-9A-Fa-f]{4}", r.text), (t, r.text)
+    assert secrets.entropy_spans("a/quite-long/path_of/words-and=names/for-the/docs") == []
+
+
 def test_redaction(docs):
     before = {r.text for r in docs.collect()}
     out = secrets.redact(docs).collect()
