@@ -14,7 +14,7 @@ from tallyhound.llm.common import read, write_shared
 
 #: Microseconds of a time range of the as-of join.
 RANGE_US = 6 * 3600 * 1_000_000
-#: Path segments of a prefix pattern at most.
+#: Path segments of a prefix pattern at most, where no list says how deep it goes.
 SEGMENTS = 2
 
 
@@ -29,13 +29,14 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
 
 
-def patterns(url: Column) -> Column:
+def patterns(url: Column, deepest: Column | None = None) -> Column:
     """All patterns that could match a URL: every domain suffix of its host (``example.org``), and the host with each of its first path
-    segments (``host/a/``, ``host/a/b/``). An array, empty without a host."""
+    segments (``host/a/``, ``host/a/b/``), ``deepest`` at most. An array, empty without a host."""
+    deepest = F.lit(SEGMENTS) if deepest is None else deepest
     labels = F.split(host(url), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.slice(F.split(path(url), "/"), 1, SEGMENTS + 1), lambda x: x != "")
-    depth = F.least(F.lit(SEGMENTS), F.size(parts))
+    parts = F.filter(F.split(path(url), "/"), lambda x: x != "")
+    depth = F.least(deepest, F.size(parts))
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host(url) != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
@@ -52,8 +53,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def clean(entries: DataFrame) -> DataFrame:
+    """The log without unusable entries, one action per pattern and moment; hosts in lower case, paths as they are."""
+    name = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(name), F.substring(F.col("pattern"), F.length(name) + 1, F.length("pattern")))
     fine = entries.filter("pattern IS NOT NULL AND action IS NOT NULL AND listed_at IS NOT NULL")
-    return fine.groupBy(F.lower("pattern").alias("pattern"), "listed_at").agg(F.max("action").alias("action"))
+    return fine.groupBy(pattern.alias("pattern"), "listed_at").agg(F.max("action").alias("action"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -65,8 +69,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.drop("rule", "action", "blocked")
     wanted = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    keys = wanted.select("url", F.col("fetched_at").alias("time"), F.explode(patterns(F.col("url"))).alias("key"))
     log = clean(entries).select(F.col("pattern").alias("key"), F.col("listed_at").alias("time"), F.col("action").alias("value"))
+    deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 2), F.lit(0)).alias("_deepest"))  # host/a/b/ has four parts
+    keys = wanted.crossJoin(F.broadcast(deepest)).select("url", F.col("fetched_at").alias("time"), F.explode(patterns(F.col("url"), F.col("_deepest"))).alias("key"))
     keys = keys.join(log.select("key").distinct(), "key", "left_semi")  # patterns that are never listed need no order
     active = as_of(keys, log, RANGE_US).filter("value IS NOT NULL AND value <> 'drop'")
     best = active.groupBy("url", "time").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("value").alias("action"))).alias("_best"))

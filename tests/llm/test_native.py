@@ -107,6 +107,13 @@ def test_filter_urls(spark):
         assert (r.rule, r.action) == (best[1:] if best else (None, None)) and r.blocked == bool(best and best[2] == "block")
 
 
+def test_deep_and_capital_paths(spark):
+    captures = [(0, "https://example.com/Casino/x"), (1, "https://example.com/casino/x"), (2, "https://x.net/a/b/c/d/page"), (3, "https://x.net/a/b/c/e"), (4, "https://X.net//a/b//c/d")]
+    entries = [("Example.com/Casino/", "block", 1), ("x.net/a/b/c/d/", "block", 1), ("x.net/a/", "allow", 1)]
+    got = urlfilter.filter_urls(spark.createDataFrame([(*c, 5) for c in captures], "id int, url string, fetched_at long"), spark.createDataFrame(entries, "pattern string, action string, listed_at long"))
+    assert sorted(got.select("id", "rule", "blocked").collect()) == [(0, "example.com/Casino/", True), (1, None, False), (2, "x.net/a/b/c/d/", True), (3, "x.net/a/", False), (4, "x.net/a/b/c/d/", True)]
+
+
 def test_intervals(spark):
     log = [("x", "block", 5), ("x", "drop", 9), ("x", "allow", 12), ("y", "block", 1)]
     got = urlfilter.intervals(spark.createDataFrame(log, "pattern string, action string, listed_at long"))
