@@ -29,4 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = write_shared(small.filter("a <> b").distinct(), "edges")
         drop_shared(now)
         now = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out.shared_path = now.shared_path  # for drop_shared
+    return out

@@ -1,13 +1,15 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 1. A document is its set of word shingles. Equal sets form one class; a class goes on with its smallest doc_id.
-2. A class has a signature of ``SLOTS`` MinHash values of 16 bits. Two signatures that differ in at most ``2 * CHUNKS - 1`` of the first
-   ``CHUNKS * WIDTH`` slots agree, by pigeonhole, in all but one slot of some chunk. So every chunk is indexed once for each slot that may
-   be wrong, under the values of the others: pairs within that distance meet under a key for certain.
-3. Groups of copies are not expanded into pairs. Members of a key are first confirmed against the key's largest component so far (a star),
-   then with their nearest neighbours of other components; then only pairs between different components remain, and all of those that
-   signatures and prefixes of rare shingles allow are confirmed.
-4. A link is confirmed on the full shingle sets, which travel only for documents that are in a candidate pair.
+2. A class has a signature of ``SLOTS`` MinHash values of 16 bits, split into ``CHUNKS`` chunks. Two signatures that differ in at most
+   ``DISTANCE = 2 * CHUNKS - 1`` slots agree, by pigeonhole, in all but one slot of some chunk. So every chunk is indexed once for each slot
+   that may be wrong, under the values of the others: all pairs within that distance meet under a key. The same distance is the limit for
+   pairs to be confirmed. Slots of a pair of similarity s differ with probability 1 - s each, so a pair exactly at 0.85 is beyond 31 of 80
+   with probability 5e-8, one exactly at 0.8 with 3e-5, and more similar ones with less.
+3. Groups of copies are not expanded into pairs. Members of a key are first confirmed against the key's largest component so far (a star).
+   Then only pairs between different components remain; tasks that hold blocks of a key's members confirm all of those that sizes and
+   signatures allow, skip pairs that earlier links have joined, and return the links that join components.
+4. A link is confirmed on the full shingle sets, which travel only for documents that have a possible partner.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from tallyhound.llm.common import cores, drop_shared, read, text_slices, write_s
 from tallyhound.llm.graph import components
 from tallyhound.llm.words import mix64, ngram_hashes, words_of
 
-#: Signature: slots in all, chunks of so many slots that are indexed.
-SLOTS, CHUNKS, WIDTH = 80, 8, 5
-#: Standard deviations that a pair at the threshold may lie below its expected agreement in all slots and still be confirmed.
-SIGMAS = 5.0
-#: Members of a key that meet in one block; blocks of a key meet pairwise.
-BLOCK = 1024
+#: Signature: slots in all, chunks, slots of a chunk.
+SLOTS, CHUNKS, WIDTH = 80, 16, 5
+#: Slots in which signatures may differ: all pairs within it meet under a key, and only those are confirmed.
+DISTANCE = 2 * CHUNKS - 1
+#: Members of a key, and bytes of their shingles, that one block holds, about.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Bytes of shingle sets that one confirming task holds, about.
 TILE_BYTES = 16 << 20
 #: Ids up to this count are broadcast to a scan; more are joined.
@@ -65,6 +67,12 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers: sums over its shingles."""
+    sums = np.concatenate((np.zeros((1, 2), np.uint64), np.cumsum(np.stack((mix64(sets ^ np.uint64(0xA5A5)), mix64(sets ^ np.uint64(0x5A5A5A))), 1), axis=0, dtype=np.uint64)))
+    return sums[at[1:]] - sums[at[:-1]]
+
+
 def features(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, fp`` (128 bits of the set) ``, sig`` for every row; ``fp`` and ``sig`` are null for empty sets."""
 
@@ -73,8 +81,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             sets, at = shingle_sets(texts, words)
             size = np.diff(at)
             sig = signatures(sets, at)
-            sums = np.concatenate((np.zeros((1, 2), np.uint64), np.cumsum(np.stack((mix64(sets ^ np.uint64(0xA5A5)), mix64(sets ^ np.uint64(0x5A5A5A))), 1), axis=0, dtype=np.uint64)))
-            fp = sums[at[1:]] - sums[at[:-1]]
+            fp = fingerprints(sets, at)
             rank = np.cumsum(size > 0) - 1
             rows = [(fp[i].tobytes(), sig[rank[i]].tobytes()) if size[i] else (None, None) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
@@ -96,14 +103,14 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def key_rows(reps: DataFrame) -> DataFrame:
-    """``id, key, nth`` for every key of every signature."""
+    """``id, n, key, nth`` (``n`` shingles) for every key of every signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = chunk_keys(matrix(b.column("sig")))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))], names=["id", "n", "keys"])
 
-    return reps.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("nth", "key"))
+    return reps.select("id", F.col("n_shingles").alias("n"), "sig").mapInArrow(run, "id long, n long, keys array<long>").select("id", "n", F.posexplode("keys").alias("nth", "key"))
 
 
 def matrix(column: Iterable) -> np.ndarray:
@@ -111,23 +118,19 @@ def matrix(column: Iterable) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, raw)), np.uint16).reshape(-1, SLOTS)
 
 
-def largest_distance(similarity: float) -> int:
-    """Slots that may differ in all: the expected number at the threshold plus ``SIGMAS`` standard deviations."""
-    return math.floor(SLOTS * (1 - similarity) + SIGMAS * math.sqrt(SLOTS * similarity * (1 - similarity)))
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, set`` of the documents in ``ids``; the scan is filtered by a broadcast where there are few ids."""
+    """``id, fp, set`` of the documents in ``ids``, once for equal rows; the scan is filtered by a broadcast where there are few ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             sets, at = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "set"])
+            raw = [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fingerprints(sets, at)], pa.binary()), pa.array(raw, pa.binary())], names=["id", "fp", "set"])
 
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return found.mapInArrow(run, "id long, set binary")
+    return found.mapInArrow(run, "id long, fp binary, set binary").dropDuplicates(["id", "fp"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tiles: int) -> DataFrame:
@@ -162,16 +165,20 @@ def near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def star_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+def joined(links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the components that they make."""
+    both = write_shared(links.unionByName(found), "links")
+    drop_shared(links, found)
+    return both, components(both)
+
+
+def star_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """For every component that shares a key with a larger one: one pair ``a, b`` of members of both.
 
     ``members`` are ``key, id``. The pair chosen is one that shares the most keys.
     """
-    if labels is None:
-        of = members.withColumns({"component": F.col("id"), "n": F.lit(1).cast("long"), "m": F.col("id")})
-    else:
-        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        of = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("m")).withColumn("m", F.col("m.id"))
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("m")).withColumn("m", F.col("m.id"))
     hubs = of.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"), "m")).alias("hub"))
     pairs = of.join(hubs, "key").filter("component <> -hub.minus").select("component", (-F.col("hub.minus")).alias("to"), F.col("m").alias("a"), F.col("hub.m").alias("b"))
     counted = pairs.groupBy("component", "to", "a", "b").agg(F.count("*").alias("n"))
@@ -180,107 +187,139 @@ def star_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataF
     return best.select("p.a", "p.b")
 
 
-def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` of keys that hold several components, with ``component`` and the key's size in blocks."""
+def cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, nth, id, n, component, own, lo, hi`` of the members of keys that hold several components, dealt to cells of bounded size.
+
+    The members of a key's largest component are linked already, so they need not meet each other: only the others (the fringe) meet among
+    themselves and with them. Both are dealt to blocks of about ``BLOCK`` members and ``BLOCK_BYTES`` of shingles, by hash. In a cell with
+    ``lo = hi`` all members meet; in others those of block ``lo`` meet those of block ``hi``. A key that fits one block is one cell.
+    """
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return named.join(mixed, "key")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n * 8 / BLOCK_BYTES)).cast("int")
+    keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", (-F.col("component")).alias("minus"), "n")).alias("hub")).filter("parts > 1")
+    alone = blocks(F.col("m"), F.col("n")) == 1
+    fringe = F.greatest(F.lit(1), blocks(F.col("m") - F.col("hub.m"), F.col("n") - F.col("hub.n")))
+    keys = keys.select("key", (-F.col("hub.minus")).alias("hub"), alone.alias("alone"), fringe.alias("fringe"), F.greatest(F.lit(1), blocks(F.col("hub.m"), F.col("hub.n"))).alias("rest"))
+    at = named.join(keys, "key").withColumn("h", F.xxhash64("id", "key"))
+    linked = F.col("component") == F.col("hub")
+    own = F.when(F.col("alone"), 0).when(linked, F.col("fringe") + F.pmod("h", F.col("rest"))).otherwise(F.pmod("h", F.col("fringe"))).cast("int")
+    most = F.when(F.col("alone"), 0).when(linked, F.col("fringe") - 1).otherwise(F.col("fringe") + F.col("rest") - 1).cast("int")
+    at = at.select("key", "nth", "id", "n", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), most)).alias("other"))
+    return at.select("key", "nth", "id", "n", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+CELL = "key long, nth int, id long, n long, component long, own int, lo int, hi int, fp binary, sig binary"
+
+
+def first_key(wrong: np.ndarray) -> np.ndarray:
+    """For pairs (rows of differing slots): the number of the first key that they share, so that a pair is looked at under that key only."""
+    wrong = wrong.reshape(-1, CHUNKS, WIDTH)
+    first = np.argmax(wrong.sum(2) <= 1, axis=1)
+    return first * WIDTH + np.argmax(wrong[np.arange(len(wrong)), first], axis=1)  # slot 0 where there is no error
+
+
+def runs_of(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Where the cells of a sorted task begin and end."""
+    edge = np.ones(len(g) + 1, bool)
+    if len(g):
+        edge[1:-1] = np.any([g[c].to_numpy()[1:] != g[c].to_numpy()[:-1] for c in ("key", "lo", "hi")], axis=0)
+    at = np.flatnonzero(edge)
+    return zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
+class Cell:
+    """The members of one cell, and which of them may be linked as far as sizes and signatures tell."""
+
+    def __init__(self, g: pd.DataFrame, percent: int) -> None:
+        self.id, self.n, self.component, self.own, self.nth = (g[c].to_numpy() for c in ("id", "n", "component", "own", "nth"))
+        self.sig, self.percent, self.within = matrix(g["sig"]), percent, g["lo"].iloc[0] == g["hi"].iloc[0]
+
+    def partners(self, i: int, component: np.ndarray) -> np.ndarray:
+        """Members after ``i`` of other components that it may be linked with."""
+        j = np.arange(i + 1, len(self.id))
+        fine = (component[j] != component[i]) & (100 * np.minimum(self.n[j], self.n[i]) >= self.percent * np.maximum(self.n[j], self.n[i]))
+        if not self.within:
+            fine &= self.own[j] != self.own[i]
+        j = j[fine]
+        if len(j):
+            wrong = self.sig[j] != self.sig[i]
+            near = np.count_nonzero(wrong, axis=1) <= DISTANCE
+            j = j[near][first_key(wrong[near]) == self.nth[i]]
+        return j
+
+
+def possible(percent: int):
+    """Task: the members of cells that have a partner they may be linked with. At most the rows that came."""
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["key", "lo", "hi", "id"], kind="stable")
+        keep = np.zeros(len(g), bool)
+        for a, b in runs_of(g):
+            cell = Cell(g.iloc[a:b], percent)
+            for i in range(b - a - 1):
+                if len(j := cell.partners(i, cell.component)):
+                    keep[a + i] = True
+                    keep[a + j] = True
+        return g[keep]
 
-def prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """``id, n, prefix`` (shingles) of the sets of ``ids``: the rarest shingles that a partner must have one of.
+    return run
 
-    In any fixed order of all shingles, two sets that are similar enough share one of their first n - ceil(n * percent / 100) + 1. The order is
-    by frequency within ``ids``, then by hash, so that in a group of edited copies the edits come first. Shingles that no other set has are
-    left out. ids with several sets (repeated doc_ids) have a null prefix, which rules out nothing.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, raw in zip(b.column("id").to_pylist(), b.column("set").to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.int64)
-                n = np.full(len(h), len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h), pa.array(n)], names=["id", "h", "n"])
-
-    own = sets.join(ids, "id", "left_semi")
-    count = own.groupBy("id").agg(F.count("*").alias("k"), F.max(F.length("set") / 8).cast("long").alias("n"))
-    tokens = own.mapInArrow(run, "id long, h long, n long")
-    often = tokens.groupBy("h").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("id").orderBy("often", "h")
-    first = tokens.join(often, "h").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    kept = first.filter("often > 1").groupBy("id").agg(F.collect_list("h").alias("prefix"))
-    none = F.array().cast("array<long>")
-    return count.join(kept, "id", "left").select("id", F.when(F.col("k") == 1, F.coalesce("prefix", none)).alias("prefix"))
-
-
-def link_limits(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, n, sig, prefix`` of the classes under keys of several components that could be linked to any other."""
-    first = prefixes(sets, mixed_members(members, labels).select("id").distinct(), percent)
-    size = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(first, "id")
-    return write_shared(size.filter("prefix IS NULL OR size(prefix) > 0"), "limits")
-
-
-def rest_pairs(members: DataFrame, labels: DataFrame, size: DataFrame, similarity: float, percent: int, nearest: bool = False) -> DataFrame:
-    """All pairs ``a, b`` of different components that share a key and that sizes, signatures and prefixes allow to be linked.
-
-    Keys within one component are left out, and documents whose prefix nobody shares. Members of a key are dealt to blocks, and blocks of a key meet pairwise in tasks that hold many
-    small keys or a part of a large one. A pair comes out under the first key that it shares, so once. With ``nearest``, a task gives for each
-    document only the pair with the nearest signature, which joins most components before all pairs between the others are looked at.
+def tree(percent: int):
+    """Task: links ``a, b`` confirmed on full sets that join the components of a cell, at most one less than its members.
+
+    Members of components that have been joined meanwhile don't meet any more: a further link between them changes nothing.
     """
-    spark = members.sparkSession
-    left = members.join(size.select("id"), "id", "left_semi")
-    at = mixed_members(left, labels).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = at.select("key", "nth", "id", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    meets = meets.select("key", "nth", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    meets = meets.join(size, "id")
-    meets = write_shared(meets, "rest")
-    volume = meets.agg(F.coalesce(F.sum(F.lit(2 * SLOTS + 64) + 8 * F.greatest(F.size("prefix"), F.lit(0))), F.lit(0))).first()[0]
-    tasks = max(2 * cores(spark), int(volume) // TILE_BYTES + 1)
-    limit = largest_distance(similarity)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "lo", "hi", "id"], kind="stable")
-        sig, n, comp, ids = matrix(g["sig"]), g["n"].to_numpy(), g["component"].to_numpy(), g["id"].to_numpy()
-        prefix = {i: None if x is None else frozenset(np.asarray(x).tolist()) for i, x in zip(g["id"], g["prefix"], strict=True)}
-        nth, own = g["nth"].to_numpy(), g["i"].to_numpy()
-        cross = (g["lo"] != g["hi"]).to_numpy()
-        new = np.ones(len(g), bool)
-        new[1:] = (g["key"].to_numpy()[1:] != g["key"].to_numpy()[:-1]) | (g["lo"].to_numpy()[1:] != g["lo"].to_numpy()[:-1]) | (g["hi"].to_numpy()[1:] != g["hi"].to_numpy()[:-1])
-        group = np.cumsum(new)
-        left, right, apart = [], [], []
-        for d in range(1, len(g)):
-            x = np.flatnonzero(group[d:] == group[:-d])
-            if not len(x):
-                break
-            y = x + d
-            keep = (comp[x] != comp[y]) & (~cross[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[keep], y[keep]
-            for k in range(0, len(x), 20_000):
-                p, q = x[k : k + 20_000], y[k : k + 20_000]
-                wrong = sig[p] != sig[q]
-                distance = wrong.sum(1)
-                fine = distance <= limit
-                p, q, distance, wrong = p[fine], q[fine], distance[fine], wrong[fine, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
-                errors = wrong.sum(2)
-                first = np.argmax(errors <= 1, axis=1)
-                slot = np.argmax(wrong[np.arange(len(p)), first], axis=1)  # 0 where there is no error
-                once = np.flatnonzero(first * WIDTH + slot == nth[p])
-                ends = ((prefix[i], prefix[j]) for i, j in zip(ids[p[once]].tolist(), ids[q[once]].tolist(), strict=True))
-                once = once[np.fromiter((u is None or v is None or not u.isdisjoint(v) for u, v in ends), bool, len(once))]
-                left.append(ids[p[once]])
-                right.append(ids[q[once]])
-                apart.append(distance[once])
-        empty = np.zeros(0, np.int64)
-        a, b, far = (np.concatenate([empty, *v]) for v in (left, right, apart))
-        if nearest:
-            end = np.concatenate((a, b))
-            order = np.lexsort((np.concatenate((b, a)), np.concatenate((far, far)), end))
-            first = order[np.flatnonzero(np.diff(end[order], prepend=end[order][0] - 1))] if len(end) else order
-            keep = np.unique(first % max(1, len(a)))
-            a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": a, "b": b})
-
-    return meets.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))).applyInPandas(run, "a long, b long")
+        left, right = [], []
+        for a, b in runs_of(g):
+            part = g.iloc[a:b]
+            cell, component = Cell(part, percent), part["component"].to_numpy().copy()
+            sizes = np.fromiter((len(x) // 8 for x in part["set"]), np.int64, b - a)
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            known, shingle = np.unique(np.frombuffer(b"".join(map(bytes, part["set"])), np.uint64), return_inverse=True)
+            mark = np.zeros(len(known), bool)
+            for i in range(b - a - 1):
+                j = cell.partners(i, component)
+                if not len(j):
+                    continue
+                own = shingle[at[i] : at[i + 1]]
+                mark[own] = True
+                while len(j):
+                    now, j = j[:64], j[64:]
+                    common = np.fromiter((np.count_nonzero(mark[shingle[at[x] : at[x + 1]]]) for x in now), np.int64, len(now))
+                    for x in now[100 * common >= percent * (sizes[i] + sizes[now] - common)]:
+                        if component[x] != component[i]:
+                            left.append(cell.id[i])
+                            right.append(cell.id[x])
+                            component[component == component[x]] = component[i]
+                    j = j[component[j] != component[i]]
+                mark[own] = False
+        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+
+    return run
+
+
+def rest_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components: enough of them to join all that any link between documents under one key joins.
+
+    Signatures tell which members have a possible partner; only those meet again with their full sets, in cells, and a cell returns the
+    links of a spanning forest. Rows grow with the members of keys, never with their pairs.
+    """
+    spark = members.sparkSession
+    task = lambda rows, size: F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(2 * cores(spark), int(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // TILE_BYTES + 1)))
+    dealt = write_shared(cells(members, labels), "cells")
+    met = dealt.join(reps.select("id", F.col("n_shingles").alias("n"), "fp", "sig"), ["id", "n"])
+    met = met.select("key", "nth", "id", "n", "component", "own", "lo", "hi", "fp", "sig")
+    able = write_shared(met.groupBy(task(dealt, F.lit(2 * SLOTS + 80))).applyInPandas(possible(percent), CELL), "able")
+    full = able.join(sets, ["id", "fp"])
+    found = full.groupBy(task(able, 2 * SLOTS + 80 + 8 * F.col("n"))).applyInPandas(tree(percent), "a long, b long")
+    found = write_shared(found, "links")
+    drop_shared(dealt, able)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: int = 1) -> DataFrame:
@@ -291,27 +330,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: i
     set. Null, empty and blank texts have no shingles and no links. Rows without doc_id come back without component and aren't kept.
     Repeated rows are in the same component; other columns don't matter; an empty table gives no rows.
     """
-    similarity = percent / 100
     seen = write_shared(features(docs, words), "features")
     reps = write_shared(seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp", "n_shingles", "sig").agg(F.min("doc_id").alias("id")), "classes")
     keys = key_rows(reps)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = write_shared(keys.join(shared, "key").select("key", "nth", "id"), "members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    members = write_shared(keys.join(shared, "key").select("key", "nth", "id", "n"), "members")
     involved = write_shared(members.select("id").distinct(), "involved")
     sets = write_shared(sets_of(docs, involved, words), "sets")
     volume = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0))).first()[0]
     tiles = max(math.isqrt(2 * cores(docs.sparkSession)) + 1, volume // TILE_BYTES + 1)
-    links, labels = None, None
+    links = write_shared(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+    labels = components(links)
     for turn in range(turns):
         found = write_shared(confirm(star_pairs(members, labels, turn), sets, percent, tiles), "links")
-        links = found if links is None else write_shared(links.unionByName(found), "links")
-        labels = write_shared(components(links), "labels")
-    size = link_limits(members, labels, reps, sets, percent)
-    for nearest in (True, False):
-        found = write_shared(confirm(rest_pairs(members, labels, size, similarity, percent, nearest), sets, percent, tiles), "links")
-        links = write_shared(links.unionByName(found), "links")
-        labels = write_shared(components(links), "labels")
-    drop_shared(sets, members, involved)
+        drop_shared(labels)
+        links, labels = joined(links, found)
+    before = labels
+    links, labels = joined(links, rest_links(members, labels, reps, sets, percent))
+    drop_shared(before, links, sets, members, involved)
     named = reps.select("fp", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"))
     linked = F.col("doc_id").isNotNull() & F.col("n_shingles").cast("boolean")
     out = seen.select("doc_id", "n_shingles", F.when(linked, F.col("fp")).alias("fp")).join(named, "fp", "left")

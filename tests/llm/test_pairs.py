@@ -67,15 +67,38 @@ def test_near_duplicates_against_all_pairs(spark, docs, words, percent):
     assert sorted(map(tuple, got)) == brute(docs, words, percent)
 
 
-def test_rest_alone_finds_all(spark, docs, monkeypatch):
-    """Without the stars' help, and with blocks of a few rows, the same links are found."""
+@pytest.mark.parametrize("turns", [0, 1])
+def test_rest_finds_all_over_many_blocks(spark, docs, monkeypatch, turns):
+    """Without the star's help or after it, in blocks of a few rows, the same links are found."""
     monkeypatch.setattr(neardup, "BLOCK", 20)
     some = docs[::2]
     df = spark.createDataFrame(some, "doc_id long, text string")
-    got = neardup.near_duplicates(df, 3, 85, turns=1).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    got = neardup.near_duplicates(df, 3, 85, turns=turns).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == brute(some, 3, 85)
 
 
+def test_rows_of_a_large_group_stay_linear(spark, monkeypatch):
+    """2,000 edited copies of one text with similarities on both sides of the threshold: all links are kept, no task gives out pairs."""
+    rng = np.random.default_rng(21)
+    base = [f"w{rng.integers(5000)}" for _ in range(120)]
+    some = [(i, edited(base, rng, int(rng.integers(1, 9)))) for i in range(2000)]
+    made, write = {}, neardup.write_shared
+
+    def counted(df, what):
+        out = write(df, what)
+        made.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "write_shared", counted)
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 3, 85).collect()}
+    keys = neardup.CHUNKS * neardup.WIDTH
+    assert max(max(made[x]) for x in ("links", "pairs", "able", "cells")) <= 2000 * keys and max(made["links"]) <= 4 * 2000
+    sets = {i: shingles(t, 3) for i, t in some}
+    near = [(a, b) for a in sets for b in range(a) if 100 * (n := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    assert got == smallest_reachable(sorted(sets), near) and len(set(got.values())) > 1
+
+
 def test_on_given_documents(spark, tmp_path):
     path = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
@@ -97,11 +120,14 @@ def test_signature_pairs_meet(spark):
     """Any two signatures within the guaranteed distance share a key."""
     rng = np.random.default_rng(4)
     n, indexed = 400, neardup.CHUNKS * neardup.WIDTH
+    assert indexed == neardup.SLOTS and neardup.DISTANCE == 2 * neardup.CHUNKS - 1  # the distance in use is the one guaranteed
     a = rng.integers(0, 1 << 16, (n, neardup.SLOTS)).astype(np.uint16)
     b = a.copy()
     for i in range(n):
-        b[i, rng.choice(indexed, 2 * neardup.CHUNKS - 1, replace=False)] ^= 1
-    assert (neardup.chunk_keys(a) == neardup.chunk_keys(b)).any(1).all()
+        b[i, rng.choice(indexed, neardup.DISTANCE, replace=False)] ^= 1
+    same = neardup.chunk_keys(a) == neardup.chunk_keys(b)
+    assert same.any(1).all() and (np.argmax(same, 1) // neardup.WIDTH == neardup.first_key(a != b) // neardup.WIDTH).all()
+    assert same[np.arange(n), neardup.first_key(a != b)].all()
 
 
 def test_components(spark):
