@@ -251,6 +251,7 @@ class Cell:
 
 def possible(percent: int):
     """Task: the members of cells that have a partner they may be linked with. At most the rows that came."""
+    columns = [x.split()[0] for x in CELL.split(", ")]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "lo", "hi", "id"], kind="stable")
@@ -261,7 +262,7 @@ def possible(percent: int):
                 if len(j := cell.partners(i, cell.component)):
                     keep[a + i] = True
                     keep[a + j] = True
-        return g[keep]
+        return g.loc[keep, columns]
 
     return run
 
@@ -310,13 +311,18 @@ def rest_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: Dat
     links of a spanning forest. Rows grow with the members of keys, never with their pairs.
     """
     spark = members.sparkSession
-    task = lambda rows, size: F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(2 * cores(spark), int(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // TILE_BYTES + 1)))
+
+    def by_task(rows: DataFrame, stored: DataFrame, size) -> DataFrame:
+        """Cells dealt to tasks of about ``TILE_BYTES``, a fixed number: adaptive execution would merge tasks that are small but busy."""
+        volume = stored.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        tasks = max(4 * cores(spark), int(volume) // TILE_BYTES + 1)
+        return rows.withColumn("task", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))).repartition(tasks, "task").groupBy("task")
+
     dealt = write_shared(cells(members, labels), "cells")
     met = dealt.join(reps.select("id", F.col("n_shingles").alias("n"), "fp", "sig"), ["id", "n"])
     met = met.select("key", "nth", "id", "n", "component", "own", "lo", "hi", "fp", "sig")
-    able = write_shared(met.groupBy(task(dealt, F.lit(2 * SLOTS + 80))).applyInPandas(possible(percent), CELL), "able")
-    full = able.join(sets, ["id", "fp"])
-    found = full.groupBy(task(able, 2 * SLOTS + 80 + 8 * F.col("n"))).applyInPandas(tree(percent), "a long, b long")
+    able = write_shared(by_task(met, dealt, F.lit(2 * SLOTS + 80)).applyInPandas(possible(percent), CELL), "able")
+    found = by_task(able.join(sets, ["id", "fp"]), able, 2 * SLOTS + 80 + 8 * F.col("n")).applyInPandas(tree(percent), "a long, b long")
     found = write_shared(found, "links")
     drop_shared(dealt, able)
     return found
