@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that a Python worker holds as one slice.
-SLICE_CHARS = 400_000
+#: Characters of text that a Python worker holds as one slice, and bytes of an Arrow batch, about.
+SLICE_CHARS, BATCH_BYTES = 400_000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +49,24 @@ def drop_shared(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches that are bounded by bytes too, so that long texts don't add up in a worker.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session, unless the user has."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def free(name: str, columns: Iterable[str]) -> str:
+    """``name``, with as many signs before it as make it unlike all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the Arrow batches of about ``chars`` characters, each with its texts (null as empty)."""
     for batch in batches:
@@ -65,6 +83,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: in
             yield part, [x or "" for x in part.column(text).to_pylist()]
 
 
+_HELD: dict = {}
+
+
+def held(what: str, key, make: Callable):
+    """``make()``, remembered by the worker until it is asked for another thing: a worker that serves one stage after another holds the large
+    tables of one of them only."""
+    if _HELD.get("key") != (what, key):
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD.update(value=make(), key=(what, key))
+    return _HELD["value"]
+
+
 def token_file(name: str, path: str | None = None) -> str:
     """Where a public vocabulary file lies: ``path`` if given, else as the installed ``public_tokenizers`` says."""
     if path:

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import read, text_slices, token_file
+from tallyhound.llm.common import held, map_texts, read, text_slices, token_file
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
@@ -29,16 +29,20 @@ _TWO_SPACES = re.compile(r"\s\s")
 MEMO = 200_000
 
 
-@functools.cache
 def _ranks(vocabulary: str | None) -> dict[bytes, int]:
     with open(token_file("byte_bpe_50k.tiktoken", vocabulary), "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-@functools.cache
 def _encodings(vocabulary: str | None) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
-    make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=_ranks(vocabulary), special_tokens={SPECIAL: SPECIAL_ID})
-    return make("whole", PATTERN), make("single-spaced", PATTERN.replace(LOOKAHEAD, ""))
+    """Encodings with the whole pattern and with that for single-spaced texts, held by the worker."""
+
+    def make() -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
+        ranks = _ranks(vocabulary)
+        one = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+        return one("whole", PATTERN), one("single-spaced", PATTERN.replace(LOOKAHEAD, ""))
+
+    return held("encoding", vocabulary, make)
 
 
 def encoder(vocabulary: str | None = None) -> Callable[[str], np.ndarray]:
@@ -107,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    out = map_texts(docs.select(F.col("doc_id").cast("long"), "text"), count, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

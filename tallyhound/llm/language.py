@@ -1,15 +1,15 @@
 """Language ID by cross-parsing entropy.
 
-Each language has a suffix automaton of labelled text. A text is parsed against it into the longest phrases that occur there; the language
-that needs the fewest phrases, normalised by its own usual rate, wins. Phrases end with the word, so the number of phrases is a property of
-a word: workers parse each distinct word once (all languages and all new words of a slice in lockstep) and add up.
+Each language has a suffix automaton of labelled running text. A text is parsed against each of them into the longest phrases that occur
+there; the language that needs the fewest phrases, normalised by its own usual rate on text that its automaton doesn't hold, wins. Phrases
+run over words. The automata of all languages are one table of transitions in numpy, and all texts of a slice are parsed against all
+languages in lockstep, a character at a time.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,35 +17,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import read, text_slices
+from tallyhound.llm.common import held, map_texts, read, text_slices
 
 #: Bounds of the labelled sample: documents per language (those with the least hashes), characters of each, characters in an automaton.
 SAMPLE_DOCS, SAMPLE_CHARS, AUTOMATON_CHARS = 256, 6000, 48_000
-#: Symbols of an automaton: the most frequent letters; all others can't be matched and are phrases of their own.
-SYMBOLS = 48
+#: Characters of a text that are parsed in one go; no phrase crosses such a border, in any language.
+SEGMENT = 256
 UNKNOWN = "und"
+#: Phrases at the usual rate that every text is credited with when its excess is told, so that a few letters alone don't reject it.
+PRIOR = 8
 #: A text that needs this many times the phrases usual for the best language is in none of the learned ones.
 REJECT_ABOVE = 2.5
-MEMO = 120_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+BREAK = "\n"
 
 
-def letters(raw: str) -> list[str]:
-    """Lower-case letter runs of a word."""
-    return _LETTERS.findall(raw.lower())
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For every code point: 2 for letters (Unicode categories L), 1 for the marks on them (M), else 0."""
+    known = {"L": 2, "M": 1}
+    return np.fromiter((known.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case letters and marks of all texts in a row, one space before each word; where each text begins (one more entry than texts);
+    the number of letters of each."""
+    lower = [t.lower() for t in texts]
+    flat = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[flat]
+    keep = kind > 0
+    out = np.where(keep, flat, np.uint32(32))
+    keep[:-1] |= keep[1:]
+    first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1)))
+    kept, letters = np.concatenate(([0], np.cumsum(keep))), np.concatenate(([0], np.cumsum(kind == 2)))
+    return out[keep], kept[first], np.diff(letters[first])
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as a dense transition table ``next[state, symbol]`` (0: no such substring; 1 is the root)."""
+    """All substrings of a text that hold no ``BREAK``, as transitions ``source, symbol, target``; 1 is the root."""
 
-    def __init__(self, text: str, symbol: dict[str, int]) -> None:
+    def __init__(self, text: str) -> None:
         moves: list[dict[int, int]] = [{}, {}]
         link, length, last = [0, 0], [0, 0], 1
         for c in text:
-            s = symbol.get(c, 0)
-            if not s:  # nothing matches across an unknown character
+            if c == BREAK:
                 last = 1
                 continue
+            s = ord(c)
             q = moves[last].get(s, 0)
             if q and length[q] == length[last] + 1:
                 last = q
@@ -75,96 +92,127 @@ class SuffixAutomaton:
             if q:
                 link[new] = q
             last = new
-        self.next = np.zeros((len(moves), SYMBOLS + 1), np.int32)
-        for i, m in enumerate(moves):
-            if m:
-                self.next[i, list(m)] = list(m.values())
-
-
-class Model:
-    """Automata of all languages over one alphabet, and each language's usual phrases per character."""
-
-    def __init__(self, samples: dict[str, list[str]]) -> None:
-        words = {k: [x for t in v for raw in t.split() for x in letters(raw)] for k, v in samples.items()}
-        words = {k: v for k, v in sorted(words.items()) if v}
-        self.languages = list(words)
-        frequent = Counter(c for v in words.values() for x in v for c in x)
-        self.symbol = {c: i + 2 for i, (c, _) in enumerate(sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 1])} | {" ": 1}
-        self.tables, self.usual = [], np.ones(len(words))
-        for i, (_, own) in enumerate(words.items()):
-            # every third word is kept for the usual rate; distinct words suffice, since phrases end with the word
-            distinct = [x for k, x in enumerate(dict.fromkeys(own)) if k % 3]
-            text, size = [], 0
-            for x in distinct:
-                if size + len(x) > AUTOMATON_CHARS:
-                    break
-                text.append(x)
-                size += len(x) + 2
-            self.tables.append(SuffixAutomaton(" " + " ".join(text) + " ", self.symbol).next)
-            held = own[::3]
-            self.usual[i] = max(1e-6, self.phrases(held)[:, i].sum() / sum(map(len, held)))
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """Phrases of each word (a row) in each language so far (a column); words are parsed together, a character at a time."""
-        if not words:
-            return np.zeros((0, len(self.tables)), np.int32)
-        marked = [f" {x} " for x in words]
-        size = np.fromiter(map(len, marked), np.int64, len(marked))
-        symbol = self.symbol
-        flat = np.fromiter((symbol.get(c, 0) for x in marked for c in x), np.int16, int(size.sum()))
-        order = np.argsort(-size, kind="stable")
-        at = (np.cumsum(size) - size)[order]
-        size = size[order]
-        out = np.zeros((len(words), len(self.tables)), np.int32)
-        for k, table in enumerate(self.tables):
-            state, n = np.ones(len(words), np.int32), np.zeros(len(words), np.int32)
-            for j in range(int(size[0])):
-                live = int(np.searchsorted(-size, -j, "left"))  # words with more than j characters
-                c = flat[at[:live] + j]
-                to = table[state[:live], c]
-                lost = to == 0
-                n[:live] += lost & (state[:live] != 1)  # a phrase ends before this character
-                again = np.where(lost, table[1, c], to)
-                n[:live] += again == 0  # a character that is no phrase's start is one by itself
-                state[:live] = np.where(again == 0, 1, again)
-            n += state != 1
-            out[order, k] = n
+        self.states = len(moves)
+        sizes = np.fromiter(map(len, moves), np.int64, len(moves))
+        self.source = np.repeat(np.arange(len(moves)), sizes)
+        self.symbol = np.fromiter((s for m in moves for s in m), np.int64, int(sizes.sum()))
+        self.target = np.fromiter((q for m in moves for q in m.values()), np.int64, int(sizes.sum()))
+
+
+class Automata:
+    """The automata of several texts as one hash table of transitions; ``roots`` holds the root of each."""
+
+    def __init__(self, texts: list[str]) -> None:
+        source, symbol, target, shift, self.roots = [], [], [], 0, []
+        for text in texts:
+            one = SuffixAutomaton(text)
+            source.append(one.source + shift)
+            symbol.append(one.symbol)
+            target.append(one.target + shift)
+            self.roots.append(1 + shift)
+            shift += one.states
+        empty = [np.zeros(0, np.int64)]
+        key = (np.concatenate(empty + source) << 21) | np.concatenate(empty + symbol)
+        value = np.concatenate(empty + target).astype(np.int32)
+        bits = max(4, (4 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(len(key)), self.slot(key)
+        while len(left):
+            free = np.flatnonzero(self.key[at] < 0)
+            _, one = np.unique(at[free], return_index=True)  # one of those that want the same slot
+            done = free[one]
+            self.key[at[done]], self.value[at[done]] = key[left[done]], value[left[done]]
+            open_ = np.ones(len(left), bool)
+            open_[done] = False
+            left, at = left[open_], (at[open_] + 1) & self.mask
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states reached, 0 where there is no such transition."""
+        key = (state << 21) | symbol
+        at = self.slot(key)
+        found = self.key[at]
+        out = np.where(found == key, self.value[at], 0)
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            found = self.key[at[rest]]
+            hit = found == key[rest]
+            out[rest[hit]] = self.value[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
         return out
 
-
-@functools.lru_cache(1)
-def _model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    return Model({k: list(v) for k, v in samples})
+    def phrases(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases of each text (a row; ``flat`` and ``first`` as of :func:`symbols`) in each automaton (a column).
+
+        A phrase is the longest match from where the one before ended; a character that begins no match is a phrase by itself.
+        """
+        size = np.diff(first)
+        parts = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = first[text] + nth * SEGMENT
+        length = np.minimum(first[text + 1] - begin, SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        langs = len(self.roots)
+        text, begin, length = text[order], begin[order], length[order]
+        flat = flat.astype(np.int64)
+        root = np.tile(np.array(self.roots, np.int64), len(text))  # lanes: the languages of a segment side by side
+        state, n = root.copy(), np.zeros(len(root), np.int64)
+        for j in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -j, "left"))  # segments with more than j characters
+            c = np.repeat(flat[begin[:live] + j], langs)
+            live *= langs
+            to = self.move(state[:live], c).astype(np.int64)
+            lost = np.flatnonzero(to == 0)
+            if len(lost):
+                n[lost] += state[lost] != root[lost]  # a phrase ends before this character
+                again = self.move(root[lost], c[lost])
+                n[lost] += again == 0
+                to[lost] = np.where(again == 0, root[lost], again)
+            state[:live] = to
+        n += state != root
+        out = np.zeros((len(size), langs), np.int64)
+        np.add.at(out, text, n.reshape(-1, langs))
+        return out
 
 
-class _Memo:
-    """Distinct raw words of a worker with their phrases by language and their letters."""
+def excerpt(text: str, most: int) -> str:
+    """The first words of a text, of about ``most`` characters."""
+    end = text.find(" ", most)
+    return text if end < 0 else text[:end]
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.clear()
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.values = np.zeros((1024, len(self.model.languages) + 1), np.int32)
+def train(samples: tuple) -> tuple[tuple[str, ...], tuple[str, ...], tuple[float, ...]]:
+    """Languages, the text of each one's automaton, and its usual phrases per letter, from ``((lang, texts), …)``.
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Row numbers of the words in ``values``."""
-        if len(self.index) > MEMO:
-            self.clear()
-        if new := [x for x in dict.fromkeys(words) if x not in self.index]:
-            parts = [letters(x) for x in new]
-            flat = [p for x in parts for p in x]
-            found = self.model.phrases(flat)
-            found = np.hstack((found, np.fromiter(map(len, flat), np.int32, len(flat))[:, None]))
-            sums = np.vstack((np.zeros((1, found.shape[1]), np.int64), np.cumsum(found, axis=0, dtype=np.int64)))
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-            first = len(self.index)
-            while first + len(new) > len(self.values):
-                self.values = np.vstack((self.values, np.zeros_like(self.values)))
-            self.values[first : first + len(new)] = sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
-            self.index.update((x, first + i) for i, x in enumerate(new))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    Every third text of a language (of a single one, its last third) is kept out of its automaton and gives the usual rate. Languages whose
+    texts hold no letter aren't learned.
+    """
+    names, bodies, usual = [], [], []
+    for lang, texts in samples:
+        plain = []
+        for t in texts:
+            flat, first, letters = symbols([t])
+            if letters[0]:
+                plain.append("".join(map(chr, flat[: first[1]])))
+        if len(plain) == 1:
+            cut = 2 * len(plain[0]) // 3
+            plain = [plain[0][:cut] or plain[0], plain[0][cut:]]
+        own, apart = [t for k, t in enumerate(plain) if k % 3 != 1], [t for k, t in enumerate(plain) if k % 3 == 1]
+        if not own:
+            continue
+        most = AUTOMATON_CHARS // len(own)
+        body = BREAK.join(excerpt(t, most) for t in own)[:AUTOMATON_CHARS]
+        flat, first, letters = symbols(apart)
+        rate = Automata([body]).phrases(flat, first).sum() / max(1, letters.sum())
+        names.append(lang)
+        bodies.append(body)
+        usual.append(max(1e-6, float(rate)))
+    return tuple(names), tuple(bodies), tuple(usual)
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
@@ -189,51 +237,42 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return tuple((k, tuple(t for _, t in sorted(v)[:sample_docs])) for k, v in sorted(by.items()))
 
 
-def identify(docs: DataFrame, samples: tuple | None = None, carry: bool = False) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, excess``; with ``carry`` the columns of ``docs``, then ``lang_pred, score, excess`` in place of
-    others of these names.
+def identify(docs: DataFrame, samples: tuple | None = None, carry: str | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, excess``; with ``carry`` the columns of ``docs`` and, last, a struct of
+    ``lang_pred, score, excess`` of that name, in place of another of this name.
 
     ``score`` is 1 - best / second best normalised phrases (1 with a single language). ``excess`` is the best language's phrases over
-    its usual number. Texts that are null or have no letter, and all texts if nothing could be learned, are ``und`` with score 0 and no
-    excess. Ties go to the first language by name. Every row is judged by its text alone.
+    its usual number, both plus ``PRIOR``. Texts that are null or have no letter, and all texts if nothing could be learned, are ``und`` with score 0 and no
+    excess. Ties go to the first language by name. Every row is judged by its whole text alone; repeated rows are judged again.
     """
     samples = learn(docs) if samples is None else samples
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's bounds for each language
-    tail = [("lang_pred", pa.string()), ("score", pa.float64()), ("excess", pa.float64())]
+    shared = docs.sparkSession.sparkContext.broadcast(train(samples))  # AUTOMATON_CHARS for each language at most
+    name = carry or "_verdict"
+    verdict = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("excess", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
-        memo, names = _Memo(model), model.languages
+        names, bodies, usual = shared.value
+        automata = held("language", bodies, lambda: Automata(list(bodies)))
         for part, texts in text_slices(batches):
-            words, size = [], []
-            for t in texts:
-                own = t.split()
-                words += own
-                size.append(len(own))
-            at = memo.of(words)
-            ends = np.cumsum(size)
-            pred, score, excess = [], [], []
-            for a, b in zip(ends - size, ends, strict=True):
-                total = memo.values[at[a:b]].sum(axis=0, dtype=np.int64)
-                n = int(total[-1])
+            flat, first, letters = symbols(texts)
+            total = automata.phrases(flat, first) if names else None
+            rows = []
+            for i, n in enumerate(letters.tolist()):
                 if not n or not names:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    excess.append(None)
+                    rows.append({"lang_pred": UNKNOWN, "score": 0.0, "excess": None})
                     continue
-                need = total[:-1] / n / model.usual
+                need = total[i] / n / np.array(usual)
                 best = int(np.argmin(need))
                 rest = np.delete(need, best)
-                pred.append(names[best])
-                score.append(float(1 - need[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0 if not len(rest) else 0.0)
-                excess.append(float(need[best]))
-            columns = [*(part.columns if carry else [part.column("doc_id")]), pa.array(pred), pa.array(score, pa.float64()), pa.array(excess, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(part.schema.names if carry else ["doc_id"]), *(x for x, _ in tail)])
+                score = float(1 - need[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0 if not len(rest) else 0.0
+                rows.append({"lang_pred": names[best], "score": score, "excess": float((total[i][best] + PRIOR) / (n * usual[best] + PRIOR))})
+            columns = [*(part.columns if carry else [part.column("doc_id")]), pa.array(rows, verdict)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(part.schema.names if carry else ["doc_id"]), name])
 
-    out = docs.drop("lang_pred", "score", "excess") if carry else docs.select("doc_id", "text")
+    out = docs.drop(carry) if carry else docs.select("doc_id", "text")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (out.schema if carry else out.schema[:1]))
-    found = out.mapInArrow(run, f"{kept}, lang_pred string, score double, excess double")
-    return found if carry else found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "excess")
+    found = map_texts(out, run, f"{kept}, `{name}` struct<lang_pred: string, score: double, excess: double>")
+    return found if carry else found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "_verdict.lang_pred", "_verdict.score", "_verdict.excess")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

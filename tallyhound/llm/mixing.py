@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     )
 
 
-def queue(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = SEED) -> DataFrame:
-    """The queue with one row per document: ``doc_id, source, size, source_size, target, before, taken``.
+def queue(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+    """The queue with one row per document: ``doc_id, source, size, source_size, target, before, taken``, and ``_hash`` of its text if kept.
 
     ``before`` are the words of its source ahead of it in the first round; ``taken`` counts repeats. The prefix sums have two levels:
     sums of (source, hash range) cells, then a window within a cell, so that a hot source is spread over all tasks. Only small integers
@@ -56,19 +56,19 @@ def queue(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...]
     """
     size = word_count(F.col("text")) if size is None else size
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    rows = write_shared(docs.select("doc_id", "source", size.alias("size"), order.alias("_order")), "mix-sizes")
+    rows = write_shared(docs.select("doc_id", "source", size.alias("size"), order.alias("_order"), (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("_hash")), "mix-sizes")
     cells = min(4096, max(64, rows.count() // 4000))  # affects the spread only, not the order
     rows = rows.withColumn("_cell", F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * cells / 65536))
     in_source = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "_cell").agg(F.sum("size").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)))
     known = sums.join(source_targets(rows, weights, share, epochs).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), "_ahead", "source_size", "target")
-    in_cell = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_cell = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     ahead = rows.withColumn("_upto", F.sum("size").over(in_cell)).join(known, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     before = F.col("_ahead") + F.col("_upto") - F.col("size")
     limit = F.floor("target")
     part = lambda epoch: F.least(F.col("size"), F.greatest(F.lit(0), limit - F.col("before") - F.col("source_size") * epoch))
     taken = sum((part(e) for e in range(1, epochs)), part(0))
-    return ahead.withColumn("before", before).withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "before", "taken")
+    return ahead.withColumn("before", before).withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "before", "taken", *(keep or []))
 
 
 def virtual_finish(epoch: int | Column = 0) -> Column:
@@ -79,28 +79,45 @@ def virtual_finish(epoch: int | Column = 0) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = SEED) -> DataFrame:
     """The mixed documents: the columns of ``docs``, a row for each copy taken, globally sorted by virtual finish time.
 
-    The copy at the cut holds its first words only. Documents without words, and those whose turn doesn't come, are left out.
+    The copy at the cut holds its first words only. Documents without words, and those whose turn doesn't come, are left out. Rows that share
+    doc_id, source and text take their turns in any order; null doc_ids and sources are values like others. Other columns are kept whatever
+    their names; ``n_chars``, where there is one, is set anew. An empty table gives no rows.
+
+    Texts are shuffled twice: to meet their turn in the queue, which is planned on sizes and hashes alone, and into the queue's order.
     """
-    names = docs.columns
-    key = ("doc_id", "source", "_size")
-    plan = queue(docs.select("doc_id", "source", "text"), weights=weights, share=share, epochs=epochs, seed=seed).withColumnRenamed("size", "_size")
-    # rows that share doc_id, source and size take their turns in order of their texts
-    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("before")))
-    plan = plan.filter("taken > 0").select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate((*key, "_nth"))), F.struct("before", "taken", "source_size", "target").alias("_turn"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_p0")) & F.col("source").eqNullSafe(F.col("_p1")) & (F.col("_size") == F.col("_p2")) & (F.col("_nth") == F.col("_p3")))
-    epoch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.struct(
-        F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_turn.taken") - F.col("_size") * e)).alias("words"),
-        ((F.col("_turn.before") + F.col("_size") + F.col("_turn.source_size") * e) / F.col("_turn.target")).alias("finish"),
-    )))
-    copies = joined.withColumn("_copy", epoch).filter("_copy.words > 0")
-    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(spaced, F.lit(1), F.col("_copy.words").cast("int")), "")
-    text = F.when(F.col("_copy.words") == F.col("_size"), F.col("text")).otherwise(cut)
-    out = {c: F.col(c) for c in names} | {"text": text}
-    out |= {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {}
-    ordered = copies.select(*(v.alias(k) for k, v in out.items()), F.col("_copy.finish").alias("_finish"))
-    return ordered.orderBy("_finish", "doc_id").drop("_finish")
+    names, key = docs.columns, [f"_k{i}" for i in range(3)]
+    own = [F.col("doc_id"), F.col("source"), F.xxhash64("text")]
+    plan = queue(docs.select("doc_id", "source", "text"), weights=weights, share=share, epochs=epochs, seed=seed, keep=["_hash"])
+    plan = plan.select(F.col("doc_id").alias("_k0"), F.col("source").alias("_k1"), F.col("_hash").alias("_k2"), F.struct("before", "taken", "size", "source_size", "target").alias("turn"))
+    plan = plan.withColumns({"nth": F.row_number().over(Window.partitionBy(*key).orderBy("turn.before")), "rows": F.count("*").over(Window.partitionBy(*key))})
+    plan = write_shared(plan, "mix-plan")
+    rows = docs.select(*(c.alias(k) for c, k in zip(own, key, strict=True)), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    same = lambda a, b: (a["_k0"].eqNullSafe(b["_k0"])) & (a["_k1"].eqNullSafe(b["_k1"])) & (a["_k2"] == b["_k2"])
+    a, b = rows.alias("a"), plan.filter("rows = 1 AND turn.taken > 0").alias("b")
+    once = a.join(b, same({k: F.col(f"a.{k}") for k in key}, {k: F.col(f"b.{k}") for k in key})).select("a.row", "b.turn")
+    # rows that are repeated meet one turn each
+    again = plan.filter("rows > 1")
+    if not again.isEmpty():
+        b = again.select(*key).distinct().alias("b")
+        numbered = a.join(b, same({k: F.col(f"a.{k}") for k in key}, {k: F.col(f"b.{k}") for k in key}), "left_semi")
+        numbered = numbered.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json("row")))).alias("a")
+        b = again.filter("turn.taken > 0").alias("b")
+        met = numbered.join(b, same({k: F.col(f"a.{k}") for k in key}, {k: F.col(f"b.{k}") for k in key}) & (F.col("a.nth") == F.col("b.nth")))
+        once = once.unionByName(met.select("a.row", "b.turn"))
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.struct(
+        F.least(F.col("turn.size"), F.greatest(F.lit(0), F.col("turn.taken") - F.col("turn.size") * e)).alias("words"),
+        ((F.col("turn.before") + F.col("turn.size") + F.col("turn.source_size") * e) / F.col("turn.target")).alias("finish"),
+    ))
+    copies = once.select("row", F.col("turn.size").alias("size"), F.explode(rounds).alias("copy")).filter("copy.words > 0")
+    text = F.col("row.text")
+    spaced = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(spaced, F.lit(1), F.col("copy.words").cast("int")), "")
+    text = F.when(F.col("copy.words") == F.col("size"), text).otherwise(cut)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in names:
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    ordered = copies.select(row.alias("row"), F.col("copy.finish").alias("finish")).orderBy("finish", "row.doc_id")
+    return ordered.select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

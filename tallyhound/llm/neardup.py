@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import cores, drop_shared, read, text_slices, write_shared
+from tallyhound.llm.common import cores, drop_shared, free, map_texts, read, text_slices, write_shared
 from tallyhound.llm.graph import components
 from tallyhound.llm.words import mix64, ngram_hashes, words_of
 
@@ -86,7 +86,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             rows = [(fp[i].tobytes(), sig[rank[i]].tobytes()) if size[i] else (None, None) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, fp binary, sig binary")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return found.mapInArrow(run, "id long, fp binary, set binary").dropDuplicates(["id", "fp"])
+    return map_texts(found, run, "id long, fp binary, set binary").dropDuplicates(["id", "fp"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tiles: int) -> DataFrame:
@@ -362,16 +362,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, turns: i
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates; rows without shingles or doc_id stay."""
+    """``docs`` with one row of each group of near duplicates; rows without shingles or doc_id stay.
+
+    Of a group the smallest doc_id stays, and one row of it where it is repeated. All columns are kept, whatever their names."""
     found = write_shared(near_duplicates(docs, words, percent), "near-duplicates")
-    gone = found.filter("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    name = free("id", docs.columns)
+    gone = found.filter("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias(name)).distinct()
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.filter("kept AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")
+    again = found.filter("kept AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return left
-    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    once = left.join(again, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, F.col("doc_id") == F.col(name), "left_anti").unionByName(once)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhound.llm import encoding
-from tallyhound.llm.common import read, text_slices, write_shared
+from tallyhound.llm.common import map_texts, read, text_slices, write_shared
 
 CAPACITY = 1024
 END_ID = 2
@@ -26,7 +26,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """The token pieces of every text: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (little-endian 32-bit).
 
-    Null and empty texts hold ``end_id`` alone. Longer documents than ``capacity`` are cut so that only the first piece is shorter.
+    The ids are the library's, read from the rank file of the same vocabulary (:mod:`tallyhound.llm.encoding`; tests hold both against each
+    other at every string of the vocabulary). Null and empty texts hold ``end_id`` alone. Longer documents than ``capacity`` are cut so that only the first piece is shorter.
     Repeated rows give their pieces again.
     """
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if with_ids else []), names=names + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES + (", ids binary" if with_ids else ""))
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import read, text_slices
+from tallyhound.llm.common import map_texts, read, text_slices
 from tallyhound.llm.words import ngram_hashes, words_of
 
 #: Largest share of word characters inside duplicated n-grams, by n (published thresholds for web text).
@@ -104,7 +104,7 @@ def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, li
             found = measure(texts, ngrams)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.asarray(found[k], np.int64)) for k in names)], names=["doc_id", *names])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
+    out = map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = F.col("dup_line_chars") <= line_char_limit * F.col("word_chars")
     for n, limit in limits.items():

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import read, text_slices
+from tallyhound.llm.common import map_texts, read, text_slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, window: int = WINDOW, least_bits: dict[str, float] | N
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in spans]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
                     part = part.set_column(at, part.schema.field(at), pa.array(sizes, part.schema.field(at).type))
             yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -110,6 +111,18 @@ def test_token_counts_against_the_library(docs):
     assert rows(encoding.count_tokens(docs)) == sorted(want, key=repr)
 
 
+def test_ids_of_the_whole_vocabulary():
+    """Every string of the vocabulary, alone, behind a space and glued to a letter, has the library's ids; proved whole tokens are one."""
+    tok, encode = Tokenizer.from_file(token_file("byte_bpe_50k.json")), encoding.encoder()
+    strings = [s for raw in encoding._ranks(None) if (s := raw.decode(errors="ignore")) and s.encode() == raw]
+    for form in ("{}", " {}", "x{}"):
+        texts = [form.format(s) for s in strings]
+        assert all(encode(t).tolist() == e.ids for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True))
+    whole = sorted(encoding.whole_tokens())
+    alone = [e.ids for e in tok.encode_batch([s for s in whole if not s.isspace()], add_special_tokens=False)]
+    assert len(whole) > 40_000 and all(len(x) == 1 for x in alone)
+
+
 def test_ids_on_random_unicode():
     tok = Tokenizer.from_file(token_file("byte_bpe_50k.json"))
     encode, rng = encoding.encoder(), np.random.default_rng(5)
@@ -217,17 +230,66 @@ def test_language(spark, docs):
     assert {odd[10_000 + i].lang_pred for i in range(3)} == {"und"} and odd[None].held_out is False
 
 
-def test_cross_parsing_against_substrings():
-    rng = np.random.default_rng(1)
-    words = ["".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(60)]
-    model = language.Model({"x": [" ".join(words[:30])]})
-    text = " " + " ".join(x for k, x in enumerate(dict.fromkeys(words[:30])) if k % 3) + " "
-    for w in [*words, "zzz", "azb"]:
-        s, n = f" {w} ", 0
+def plain_phrases(symbols, parts, size):
+    """Longest matches one after the other, in pieces of ``size`` characters."""
+    n = 0
+    for at in range(0, len(symbols), size):
+        s = symbols[at : at + size]
         while s:
-            k = max((i for i in range(len(s) + 1) if s[:i] in text), default=0)
+            k = max((i for i in range(len(s) + 1) if any(s[:i] in p for p in parts)), default=0)
             s, n = s[max(1, k) :], n + 1
-        assert model.phrases([w])[0, 0] == n
+    return n
+
+
+def plain_symbols(text):
+    kind = lambda c: unicodedata.category(c)[0]
+    words = "".join(c if kind(c) in "LM" else " " for c in text.lower()).split(" ")
+    return "".join(f" {w}" for w in words if w)
+
+
+def test_cross_parsing_against_substrings(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(language, "SEGMENT", 40)
+    bodies = ["".join(rng.choice(list("abc "), 300)), "".join(rng.choice(list("bcd\n"), 200)), " ж日 x", ""]
+    automata = language.Automata(bodies)
+    texts = ["", "zzz", "aB. c", "½² 7", "x日ж ж日", *("".join(rng.choice(list("abcd. "), rng.integers(0, 130))) for _ in range(40))]
+    flat, first, letters = language.symbols(texts)
+    got = automata.phrases(flat, first)
+    for i, t in enumerate(texts):
+        plain = plain_symbols(t)
+        assert "".join(map(chr, flat[first[i] : first[i + 1]])) == plain and letters[i] == sum(map(str.isalpha, t.lower()))
+        assert got[i].tolist() == [plain_phrases(plain, b.split("\n"), 40) for b in bodies]
+
+
+def test_language_against_plain_parse(spark):
+    """Predictions and scores of short texts in four scripts, by a plain version of parse and normalisation."""
+    words = {"el": "και να το του δεν την που είναι", "en": "the and of to in that was his", "ru": "что это как его для она так все", "zh": "我们的是在不了有人这"}
+    rng = np.random.default_rng(4)
+    make = lambda k, n: "".join(rng.choice(list(words[k]), n)) if k == "zh" else " ".join(rng.choice(words[k].split(), n))
+    samples = tuple((k, tuple(make(k, 60) for _ in range(6))) for k in sorted(words))
+    names, bodies, usual = language.train(samples)
+    assert names == tuple(sorted(words)) and all(not any(plain_symbols(t[1]) in b for t in [s[1]]) for s, b in zip(samples, bodies, strict=True))
+    rows = [(i, make(k, 12), k) for i, k in enumerate(sorted(words) * 5)] + [(90, "½ ² 12 --", None), (91, None, None), (92, "", None), (93, "٣ ٤", None), (94, "qq", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples).collect()}
+    for i, t, k in rows:
+        if not any(map(str.isalpha, t or "")):
+            assert (got[i].lang_pred, got[i].score, got[i].excess) == ("und", 0.0, None)
+            continue
+        letters = sum(map(str.isalpha, t))
+        need = [plain_phrases(plain_symbols(t), b.split("\n"), language.SEGMENT) / letters / u for b, u in zip(bodies, usual, strict=True)]
+        order = sorted(range(4), key=lambda j: (need[j], j))
+        assert got[i].lang_pred == names[order[0]] and (k is None or got[i].lang_pred == k)
+        assert got[i].score == pytest.approx(1 - need[order[0]] / need[order[1]])
+
+
+def test_language_keeps_clashing_columns(spark):
+    rows = [(1, "the cat and the dog", 0.5, "x", "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, excess string, lang_pred string, _verdict int")
+    samples = (("en", ("the cat and the dog and the bird", "the dog and the cat", "and the fish")),)
+    got = language.identify(df, samples, carry="_verdict")
+    assert got.columns == ["doc_id", "text", "score", "excess", "lang_pred", "_verdict"]
+    row = got.first()
+    assert (row.score, row.excess, row.lang_pred, row._verdict.lang_pred, row._verdict.score) == (0.5, "x", "y", "en", 1.0)
 
 
 def test_mixing(docs):
@@ -249,6 +311,15 @@ def test_mixing(docs):
     assert copies.columns == docs.columns
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in copies.collect())
     assert words == sum(x[0] for x in per.values())
+    assert rows(copies) == rows(mixing.mix(docs.repartition(3)))
+
+
+def test_mixing_repeated_rows(spark):
+    """Rows that repeat, wholly or but for other columns, take one turn each; clashing names stay what they are."""
+    data = [(1, "a b c", "s", 1), (1, "a b c", "s", 1), (1, "a b c", "s", 2), (1, "x y z", "s", 3), (None, "p q", None, 4), (None, "p q", None, 4), (2, None, "s", 5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, turn int").withColumns({"row": F.lit("r"), "_k0": F.lit(7), "nth": F.lit("n"), "finish": F.lit(0)})
+    got = mixing.mix(df, weights=(1,), share=2.0)  # every word twice
+    assert got.columns == df.columns and Counter(map(tuple, got.collect())) == Counter({tuple(r): 2 * n for r, n in Counter(map(tuple, df.filter("text IS NOT NULL").collect())).items()})
 
 
 def test_empty_tables(empty):
