@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.llm import language, mixing, neardup, packing, secrets
-from tallyhound.llm.common import read, write_shared
+from tallyhound.llm.common import free, read, write_shared
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language, with that as ``lang``. Those without letters, and those that need more than
     ``language.REJECT_ABOVE`` times the phrases usual for the best language, go."""
-    found = language.identify(docs, carry=True)
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("excess") <= language.REJECT_ABOVE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    verdict = free("verdict", docs.columns)
+    found = language.identify(docs, carry=verdict)
+    kept = found.filter((F.col(f"{verdict}.lang_pred") != language.UNKNOWN) & (F.col(f"{verdict}.excess") <= language.REJECT_ABOVE))
+    return kept.withColumn("lang", F.col(f"{verdict}.lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
