@@ -83,6 +83,13 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its tables have fewer files than there are: before costly expressions on small inputs. Tables of more files
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def view(name: str) -> str:
     """The frame as a common table expression for the oracle."""
     source, columns = FRAMES[name]

@@ -31,7 +31,8 @@ def has_any(text: Column, words: Iterable[str]) -> Column:
 
 def matched_terms(text: Column, words: Iterable[str]) -> Column:
     """The words that occur in the text, in list order."""
-    return F.filter(lits(words), lambda w: F.coalesce(F.contains(text, w), F.lit(False)))
+    found = F.concat_ws("\n", *(F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words))  # all in generated code
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(found, "\n"))
 
 
 def reasons(*pairs: tuple[Column, Column | str]) -> Column:
@@ -359,7 +360,7 @@ def attested(quotes: Column, page_text: Column, most: int = 8, longest: int = 20
     """Of the first quotes those, cut to ``longest``, that are long enough and stand in the page, white space and case aside."""
     plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     cut = F.transform(F.slice(quotes, 1, most), lambda q: F.substring(F.trim(q), 1, longest))
-    return F.filter(cut, lambda q: (F.length(q) >= least) & F.contains(plain(page_text), plain(q)))
+    return let(plain(page_text), lambda page: F.filter(cut, lambda q: (F.length(q) >= least) & F.contains(page, plain(q))))
 
 
 def ordered_urls(evidence: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhound.store import write_shared
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in ``order``, which should end in a unique column."""
@@ -33,14 +35,18 @@ def by_rank_list(column: str, ranked: tuple[str, ...]) -> Column:
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Row numbers over a total order without one task holding all rows: rows are range-partitioned and sorted, each partition counts, and
-    the partitions' offsets (one row each) are added. ``order`` must be total."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    """Row numbers over a total order without one task holding all rows. ``order`` must be total.
+
+    Rows are range-partitioned, sorted and stored once with their range and their place in it; ranges (one row each) are counted from the
+    stored table, and their offsets added. Counting from the plan instead would compute the ranges anew, and not the same ones.
+    """
+    at = F.monotonically_increasing_id()  # the range in the upper 31 bits, the place in it in the lower 33
+    parts = write_shared(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranked")
+    parts = parts.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_at", "_before")
 
 
 def pivot_latest(df: DataFrame, keys: list[str], field: str, value: str, fields: list[str], *order: Column) -> DataFrame:

@@ -36,12 +36,13 @@ def intent(signals: DataFrame, as_of: Column) -> DataFrame:
     return counted.join(parts, "company_id", "left").withColumn("intent_score", score).drop("_first", "_next")
 
 
-def trigger_evidence(signals: DataFrame, as_of: Column, most: int = 50) -> DataFrame:
-    """Per company the evidence of weighted signals, newest first, at most ``most`` (the feature's limit; counts don't depend on it)."""
+def trigger_evidence(signals: DataFrame, as_of: Column, most: int | None = None) -> DataFrame:
+    """Per company the evidence of weighted signals, newest first: all of it, or on request the newest ``most``."""
     rows = contributions(signals, as_of).filter("contribution > 0")
     urls = F.coalesce(F.from_json(F.get_json_object("raw_evidence", "$.job_urls"), "array<string>"), F.when(F.col("source_url").isNotNull(), F.array("source_url")), F.array().cast("array<string>"))
     order = Window.partitionBy("company_id").orderBy(F.col("detected_at").desc_nulls_last(), "id")
-    rows = rows.withColumns({"job_urls": urls, "_n": F.row_number().over(order)}).filter(F.col("_n") <= most)
+    rows = rows.withColumns({"job_urls": urls, "_n": F.row_number().over(order)})
+    rows = rows if most is None else rows.filter(F.col("_n") <= most)
     item = F.struct("_n", "signal_type", "description", "source_url", "detected_at", "confidence", "job_urls")
     sorted_ = F.array_sort(F.collect_list(item))
     return rows.groupBy("company_id").agg(F.transform(sorted_, lambda e: F.struct(*(e[f].alias(f) for f in ("signal_type", "description", "source_url", "detected_at", "confidence", "job_urls")))).alias("trigger_evidence"))

@@ -28,12 +28,22 @@ def discovery_signals(records: DataFrame, as_of: Column) -> DataFrame:
 def job_signals(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Stale-role, tech-stack and operations signals of ``jobs`` (``title, department, description_text, stack_terms, posted_at,
     first_seen_at`` and others) in one pass: each job carries an array of up to three, which is exploded."""
-    title, department = F.col("title"), F.col("department")
-    able = ~F.coalesce(c.is_non_technical_title(title), F.lit(False))
-    relevant = able & c.is_relevant_role(title, department)
-    text = c.joined_lower(title, department, F.col("description_text"), F.array_join("stack_terms", " "))
-    age = c.age_days(F.coalesce("posted_at", "first_seen_at"), as_of)
-    stack, needs = c.matched_terms(text, t.TECH_STACK_TERMS), c.matched_terms(text, t.OPERATIONS_TERMS)
+    names, title, department = jobs.columns, F.col("title"), F.col("department")
+    # texts, then what they hold, as columns of their own: each is computed once, in generated code
+    jobs = jobs.withColumns({
+        "_text": c.joined_lower(title, department, F.col("description_text"), F.array_join("stack_terms", " ")),
+        "_head": c.joined_lower(title, department),
+        "_title": F.lower("title"),
+    }).withColumns({
+        "_stack": c.matched_terms(F.col("_text"), t.TECH_STACK_TERMS),
+        "_needs": c.matched_terms(F.col("_text"), t.OPERATIONS_TERMS),
+        "_able": ~c.has_any(F.col("_title"), t.NON_TECHNICAL_TITLES),
+        "_role": c.has_any(F.col("_head"), t.ROLE_KEYWORDS),
+        "_ops": c.has_any(F.col("_head"), t.OPERATIONS_TITLES),
+        "_age": c.age_days(F.coalesce("posted_at", "first_seen_at"), as_of),
+    })
+    able, age, stack, needs = F.col("_able"), F.col("_age"), F.col("_stack"), F.col("_needs")
+    relevant = able & F.col("_role")
     none = F.array().cast("array<string>")
     name = F.trim(title)
 
@@ -50,9 +60,9 @@ def job_signals(jobs: DataFrame, as_of: Column) -> DataFrame:
     found = F.array_compact(F.array(
         F.when(relevant & (age >= 60), stale),
         F.when(relevant & (F.size(stack) > 0), tech),
-        F.when(able & (F.size(needs) > 0) & c.has_any(c.joined_lower(title, department), t.OPERATIONS_TITLES), ops),
+        F.when(able & (F.size(needs) > 0) & F.col("_ops"), ops),
     ))
-    return jobs.withColumn("_s", F.explode(found)).select(*jobs.columns, "_s.*")
+    return jobs.withColumn("_s", F.explode(found)).select(*names, "_s.*")
 
 
 def hiring_spikes(jobs: DataFrame, observed: DataFrame, as_of: Column, days: int = SPIKE_DAYS, least: int = SPIKE_JOBS) -> DataFrame:

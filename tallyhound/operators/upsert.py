@@ -15,10 +15,12 @@ from tallyhound.operators.latest import first_per_key, latest
 
 def classify_changes(new: DataFrame, old: DataFrame, keys: list[str], hash_column: str, index: str = "index") -> DataFrame:
     """``new`` with ``status``: ``inserted`` for an unseen key, ``duplicate`` where the hash equals the one before it (in the batch, else
-    stored), ``updated`` otherwise."""
+    stored), ``updated`` otherwise. Null keys equal each other; of several stored rows of a key the greatest hash counts."""
     order = Window.partitionBy(*keys).orderBy(index)
-    stored = old.select(*keys, F.col(hash_column).alias("_stored"))
-    seen = new.withColumn("_earlier", F.lag(hash_column).over(order)).withColumn("_nth", F.row_number().over(order)).join(stored, keys, "left")
+    names = [f"_stored_{i}" for i in range(len(keys))]
+    stored = old.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.max(hash_column).alias("_stored"))
+    seen = new.withColumn("_earlier", F.lag(hash_column).over(order)).withColumn("_nth", F.row_number().over(order))
+    seen = seen.join(stored, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left").drop(*names)
     before = F.when(F.col("_nth") > 1, F.col("_earlier")).otherwise(F.col("_stored"))
     status = F.when(before.isNull(), "inserted").when(before == F.col(hash_column), "duplicate").otherwise("updated")
     return seen.withColumn("status", status).drop("_earlier", "_nth", "_stored")
@@ -149,8 +151,10 @@ def activate_parsers(versions: DataFrame, threshold: float = 0.7, least: int = 3
 
 
 def apply_verdicts(rows: DataFrame, verdicts: DataFrame, as_of: Column, allowed: tuple[str, ...] = ("accurate", "inaccurate", "unclear")) -> DataFrame:
-    """Reviewed rows get their verdict and time; verdicts of other values are ignored."""
-    fine = verdicts.filter(F.col("verdict").isin(*allowed)).select("id", F.col("verdict").alias("_v"))
+    """Reviewed rows get their verdict and time; verdicts of other values are ignored. Of several of a row the last by ``index`` counts,
+    where verdicts have one, else the greatest."""
+    fine = verdicts.filter(F.col("verdict").isin(*allowed))
+    fine = fine.groupBy("id").agg((F.max_by("verdict", "index") if "index" in verdicts.columns else F.max("verdict")).alias("_v"))
     out = rows.join(fine, "id", "left")
     return out.withColumns({"review_verdict": F.coalesce("_v", "review_verdict"), "reviewed_at": F.when(F.col("_v").isNotNull(), as_of).otherwise(F.col("reviewed_at"))}).drop("_v")
 

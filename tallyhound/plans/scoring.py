@@ -25,10 +25,14 @@ def score_companies(companies: DataFrame, signals: DataFrame, jobs: DataFrame, c
 
 def send_ready_export(companies: DataFrame, scores: DataFrame, contacts: DataFrame, suppression: DataFrame, evidence: DataFrame, min_score: int, statuses: tuple[str, ...], limit: int) -> DataFrame:
     """Verified contacts of companies above a score, best first; suppressed addresses and domains never. Rows without evidence or reason are
-    dropped before the limit, so the limit always fills."""
+    dropped before the limit, so the limit always fills. Beside the inputs' columns the result has those of
+    :data:`tallyhound.sources.files.SEND_READY`; what no input has is null."""
     score = w.latest(scores, ["company_id"], F.col("calculated_at").desc(), F.col("id").desc()).filter(F.col("total_score") >= min_score)
+    has = lambda df, name, kind: F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    score = score.withColumn("intent_score", has(scores, "intent_score", "int"))
+    contacts = contacts.withColumns({"contact_name": has(contacts, "full_name", "string"), "role": has(contacts, "role", "string"), "verified_at": has(contacts, "verified_at", "timestamp"), "source": has(contacts, "contact_source", "string"), "confidence": has(contacts, "confidence", "double")})
     rows = contacts.filter((F.coalesce("email", F.lit("")) != "") & F.col("verification_status").isin(*statuses)).withColumnRenamed("id", "contact_id")
-    rows = rows.join(score.select("company_id", "total_score", "fit_score", F.col("id").alias("score_id")), "company_id").join(companies.select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company"), F.col("canonical_domain").alias("domain")), "company_id")
+    rows = rows.join(score.select("company_id", "total_score", F.col("total_score").alias("score"), "fit_score", "intent_score", F.col("id").alias("score_id")), "company_id").join(companies.select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company"), F.col("canonical_domain").alias("domain")), "company_id")
     rows = resolve.drop_suppressed(rows, suppression, "email", "domain").join(evidence, "company_id")
     rows = rows.withColumns({"evidence_urls": c.ordered_urls(F.col("trigger_evidence")), "reason_to_write": c.reason_to_write(F.col("trigger_evidence"), F.array().cast("array<string>"))})
     rows = rows.filter((F.size("evidence_urls") > 0) & (F.col("reason_to_write") != ""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.adapters import load, sql
+from tallyhound.adapters import load, spread, sql
 from tallyhound.functions import columns as c
 from tallyhound.functions import terms as t
 from tallyhound.operators import capture, reports, resolve, scoring, validate
@@ -146,8 +146,8 @@ def score_companies(spark, sf):
 
 @query(sql("companies signals scores contacts suppression", f""", {_LATEST},
 e AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY detected_at DESC, id) AS nth FROM (SELECT *, {_CONTRIBUTION} AS contribution FROM signals) WHERE contribution > 0),
-d AS (SELECT company_id, arg_min(description, nth) AS reason_to_write FROM e WHERE nth <= 50 GROUP BY company_id),
-h AS (SELECT company_id, string_agg(source_url, ';' ORDER BY first_at) AS evidence_urls FROM (SELECT company_id, source_url, min(nth) AS first_at FROM e WHERE source_url IS NOT NULL AND nth <= 50 GROUP BY ALL) x GROUP BY company_id)
+d AS (SELECT company_id, arg_min(description, nth) AS reason_to_write FROM e GROUP BY company_id),
+h AS (SELECT company_id, string_agg(source_url, ';' ORDER BY first_at) AS evidence_urls FROM (SELECT company_id, source_url, min(nth) AS first_at FROM e WHERE source_url IS NOT NULL GROUP BY ALL) x GROUP BY company_id)
 SELECT k.id AS contact_id, k.company_id, k.email, l.total_score, d.reason_to_write, h.evidence_urls
 FROM contacts k JOIN latest l USING (company_id) JOIN companies c ON c.id = k.company_id JOIN d USING (company_id) JOIN h USING (company_id)
 WHERE l.total_score >= 20 AND verification_status IN ('manual_verified', 'provider_verified')
@@ -297,40 +297,21 @@ def company_workbook(spark, sf):
     return plans.company_workbook(*load(spark, sf, "companies", "scores", "signals", "contacts", "jobs", "outcomes"))
 
 
-@query(sql("companies signals jobs", """
-SELECT min(id) AS id, canonical_domain AS probe_domain, 'ok' AS reason FROM companies c
-WHERE canonical_domain IS NOT NULL AND EXISTS (SELECT 1 FROM signals s WHERE s.company_id = c.id AND signal_type IN ('HIRING_DISCOVERY', 'FUNDING_EVENT')) AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.company_id = c.id AND j.l_quantity > 49)
-GROUP BY canonical_domain"""))
-def probe_targets(spark, sf):
-    companies, signals, jobs = load(spark, sf, "companies", "signals", "jobs")
-    return plans.probe_targets(companies, signals, jobs.filter("l_quantity > 49")).select("id", "probe_domain", "reason")
-
-
 @query(sql("companies signals jobs", """
 SELECT min(id) AS id, canonical_domain AS probe_domain, 'ok' AS reason FROM companies c
 WHERE canonical_domain IS NOT NULL AND EXISTS (SELECT 1 FROM signals s WHERE s.company_id = c.id AND signal_type IN ('HIRING_DISCOVERY', 'FUNDING_EVENT')) AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.company_id = c.id)
 GROUP BY canonical_domain"""))
-def probe_targets_whole(spark, sf):
-    """Without any job; ``probe_targets`` looks at large ones only."""
+def probe_targets(spark, sf):
+    """Companies without any job."""
     return plans.probe_targets(*load(spark, sf, "companies", "signals", "jobs")).select("id", "probe_domain", "reason")
 
 
-@query(sql("companies", """
-SELECT company_id, company, "0" AS turn_0, "1" AS turn_1, "2" AS turn_2 FROM (
-  SELECT conv_id AS company_id, canonical_name AS company, max(text) FILTER (turn = 0) AS "0", max(text) FILTER (turn = 1) AS "1", max(text) FILTER (turn = 2) AS "2"
-  FROM (SELECT conv_id, turn, arg_max(text, role || text) AS text FROM conversations GROUP BY ALL) JOIN companies ON id = conv_id WHERE turn <= 2 GROUP BY ALL)"""))
-def message_facts(spark, sf):
-    companies, lines = load(spark, sf, "companies", "conversations")
-    facts = lines.filter("turn <= 2").select(F.col("conv_id").alias("company_id"), F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("field"), F.col("text").alias("value"), F.lit(0).alias("observed_at"), F.concat("role", "text").alias("id"))
-    return plans.message_facts(facts, companies, ["turn_0", "turn_1", "turn_2"]).select("company_id", "company", "turn_0", "turn_1", "turn_2")
-
-
 @query(sql("companies", """
 SELECT company_id, company, part, "0" AS turn_0, "1" AS turn_1, "2" AS turn_2 FROM (
   SELECT conv_id AS company_id, canonical_name AS company, turn // 3 AS part, max(text) FILTER (turn % 3 = 0) AS "0", max(text) FILTER (turn % 3 = 1) AS "1", max(text) FILTER (turn % 3 = 2) AS "2"
   FROM (SELECT conv_id, turn, arg_max(text, role || text) AS text FROM conversations GROUP BY ALL) JOIN companies ON id = conv_id GROUP BY ALL)"""))
-def message_facts_whole(spark, sf):
-    """All turns, a row for every three; ``message_facts`` has the first three."""
+def message_facts(spark, sf):
+    """All turns, a row for every three."""
     companies, lines = load(spark, sf, "companies", "conversations")
     facts = lines.select(F.col("conv_id").alias("company_id"), F.floor(F.col("turn") / 3).alias("part"), F.concat(F.lit("turn_"), (F.col("turn") % 3).cast("string")).alias("field"), F.col("text").alias("value"), F.lit(0).alias("observed_at"), F.concat("role", "text").alias("id"))
     return plans.message_facts(facts, companies, ["turn_0", "turn_1", "turn_2"], ("company_id", "part")).select("company_id", "company", "part", "turn_0", "turn_1", "turn_2")
@@ -350,7 +331,7 @@ s AS (
   UNION ALL SELECT external_job_id, company_id, 'OPERATIONS_SOFTWARE_NEED', 0.75::DOUBLE, title || ' suggests internal tooling or operations software need: ' || array_to_string(needs[:5], ', ') || '.' FROM j WHERE able AND ops AND len(needs) > 0)
 SELECT * FROM s"""))
 def job_signals(spark, sf):
-    jobs = load(spark, sf, "jobs")[0].withColumn("stack_terms", F.array().cast("array<string>"))
+    jobs = spread(load(spark, sf, "jobs")[0]).withColumn("stack_terms", F.array().cast("array<string>"))
     return g.job_signals(jobs, jobs_as_of()).select("external_job_id", "company_id", "signal_type", "confidence", "description")
 
 
@@ -403,7 +384,7 @@ SELECT external_job_id, title,
   array_to_string(list_sort({_terms(_TEXT, t.TECH_STACK_TERMS)}), ',') AS stack, length(title) BETWEEN 4 AND 120 AND regexp_matches(title, '(?i)\\b(engineer|developer|designer|product|data|platform|backend|frontend|full[- ]?stack|devops|qa|manager|analyst|architect|operations|automation)\\b') AS is_title
 FROM jobs"""))
 def job_inference(spark, sf):
-    jobs = load(spark, sf, "jobs")[0]
+    jobs = spread(load(spark, sf, "jobs")[0])
     text = F.concat_ws(" ", "title", "department", "description_text")
     return jobs.select("external_job_id", "title", c.infer_department(text).alias("inferred_department"), c.infer_location(text).alias("inferred_location"), c.infer_remote_policy(text).alias("remote_policy"), c.infer_employment_type(text).alias("employment_type"), c.infer_seniority(F.col("title")).alias("seniority"), F.array_join(c.stack_terms(text), ",").alias("stack"), c.looks_like_job_title(F.col("title")).alias("is_title"))
 
@@ -457,24 +438,12 @@ def merged_records(spark, sf):
     return u.merge_fill_nulls(second, stored, keys, fields, "id")
 
 
-@query(sql("companies records", """,
-c AS (SELECT * FROM companies WHERE id % 3 = 0),
-r AS (SELECT x.id, x.company_id % 200 AS k, CASE WHEN x.id % 50 = 0 THEN NULL ELSE canonical_name END AS name, CASE WHEN x.id % 31 = 0 THEN NULL ELSE canonical_domain END AS domain FROM records x JOIN companies y ON y.id = x.company_id % 200)
-SELECT id, CASE WHEN name IS NULL THEN 'review_missing_name' WHEN domain IS NULL THEN 'review_missing_domain' WHEN EXISTS (SELECT 1 FROM c WHERE canonical_domain = domain) THEN 'match_domain'
-  WHEN id = min(id) FILTER (name IS NOT NULL) OVER (PARTITION BY domain) THEN 'create' ELSE 'match_domain' END AS action FROM r"""))
-def identity_resolution(spark, sf):
-    companies, records = load(spark, sf, "companies", "records")
-    named = companies.select((F.col("id")).alias("k"), "canonical_name", "canonical_domain")
-    rows = records.withColumn("k", F.col("company_id") % 200).join(named, "k").select("id", F.col("id").alias("created_at"), F.lit(None).cast("long").alias("company_id"), F.when(F.col("id") % 50 != 0, F.col("canonical_name")).alias("name"), F.when(F.col("id") % 31 != 0, F.col("canonical_domain")).alias("domain"))
-    return u.resolve_identities(rows, companies.filter("id % 3 = 0")).select("id", "action")
-
-
 @query(sql("companies records", """,
 c AS (SELECT * FROM companies WHERE country < 'J'),
 r AS (SELECT x.id, canonical_name AS name, canonical_domain AS domain FROM records x LEFT JOIN companies y ON y.id = x.company_id)
 SELECT id, CASE WHEN name IS NULL THEN 'review_missing_name' WHEN domain IS NULL THEN 'review_missing_domain' WHEN EXISTS (SELECT 1 FROM c WHERE canonical_domain = domain) THEN 'match_domain'
   WHEN id = min(id) FILTER (name IS NOT NULL) OVER (PARTITION BY domain) THEN 'create' ELSE 'match_domain' END AS action FROM r"""))
-def identity_resolution_whole(spark, sf):
+def identity_resolution(spark, sf):
     """Every record under its own company, or none; companies of countries before J are stored, the others come in by records alone."""
     companies, records = load(spark, sf, "companies", "records")
     named = companies.select(F.col("id").alias("k"), F.col("canonical_name").alias("name"), F.col("canonical_domain").alias("domain"))
@@ -566,20 +535,11 @@ def observations(spark, sf):
     return u.explode_observations(docs, "company_id", ["n_chars", "lang", "source"])
 
 
-@query("""
-SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), left(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 60)) WHERE item_id = doc_id % 40""")
-def attested_quotes(spark, sf):
-    quotes, docs = load(spark, sf, "benchmark", "documents")
-    rows = docs.withColumn("_k", F.col("doc_id") % 40).join(quotes.select("item_id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("q")), F.col("_k") == F.col("item_id"))
-    kept = c.attested(F.array(F.substring("q", 1, 60)), F.col("text"), longest=60)
-    return rows.filter(F.size(kept) > 0).select("item_id", "doc_id")
-
-
 @query("""
 WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
 SELECT item_id, doc_id FROM q JOIN d ON contains(t, q) WHERE q <> ''""")
-def attested_quotes_whole(spark, sf):
-    """Every benchmark text in every document, whole; ``attested_quotes`` looks for one opening per document."""
+def attested_quotes(spark, sf):
+    """Every benchmark text in every document, both whole."""
     return validate.attested_quotes(*load(spark, sf, "benchmark", "documents"))
 
 
@@ -698,3 +658,8 @@ SELECT company_id, id, email FROM contacts QUALIFY row_number() OVER (PARTITION
 def contacts_capped(spark, sf):
     """Two contacts per company, the feature's cap."""
     return w.top_per_key(load(spark, sf, "contacts")[0], ["company_id"], 2, F.col("confidence").desc(), F.col("id")).select("company_id", "id", "email")
+
+
+# earlier names of the same queries
+for _name in ("attested_quotes", "identity_resolution", "message_facts", "probe_targets"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]

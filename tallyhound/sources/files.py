@@ -59,11 +59,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-SEND_READY = ["company", "domain", "contact_name", "role", "email", "verified_at", "source", "score", "fit_score", "intent_score", "reason_to_write", "evidence_urls", "positive_reasons", "penalties", "contact_id"]
+#: The columns of a send-ready export, in this order.
+SEND_READY = ["company", "domain", "contact_name", "role", "email", "verified_at", "source", "score", "fit_score", "intent_score", "reason_to_write", "evidence_urls", "score_id", "company_id", "contact_id"]
 
 
 def write_send_ready_csv(df: DataFrame, path: str) -> None:
-    """The fixed columns of an export, lists joined by semicolons."""
+    """The fixed columns of :func:`~tallyhound.plans.scoring.send_ready_export`, lists joined by semicolons."""
     arrays = {n for n, kind in df.dtypes if kind.startswith("array")}
     df.select(*(F.array_join(n, ";").alias(n) if n in arrays else F.col(n) for n in SEND_READY)).write.mode("overwrite").csv(path, header=True)
 

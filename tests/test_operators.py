@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyhound.functions import terms as t
 from tallyhound.operators import capture, latest, resolve, scoring, signals, upsert, validate
 from tallyhound.plans import ingest
+from tallyhound.plans import scoring as plans
 from tallyhound.sources import files, normalize
 
 
@@ -108,6 +109,47 @@ def test_global_rank(spark):
     assert [r.rank for r in got] == list(range(1, 1001)) and [(-r.v, r.id) for r in got] == sorted((-r.v, r.id) for r in got)
 
 
+def test_global_rank_over_coalesced_ranges(spark):
+    """Wide rows in many ranges that adaptive execution merges: no row is lost, and all ranks are right."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+        n = 40_000
+        df = spark.range(n).select("id", F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = latest.global_rank(df, F.col("v").desc(), F.col("id"))
+        rows = got.select("id", "v", "rank").collect()
+        assert [r.id for r in sorted(rows, key=lambda r: r.rank)] == [r.id for r in sorted(rows, key=lambda r: (-r.v, r.id))] and sorted(r.rank for r in rows) == list(range(1, n + 1))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_changes_of_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([(None, "h1"), ("a", "h1"), ("a", "h2")], "k string, h string")
+    new = spark.createDataFrame([(1, None, "h1"), (2, None, "h2"), (3, "a", "h2"), (4, "b", "h1")], "index int, k string, h string")
+    got = upsert.classify_changes(new, old, ["k"], "h").orderBy("index").collect()
+    assert [r.status for r in got] == ["duplicate", "updated", "duplicate", "inserted"] and got[0].asDict().keys() == {"index", "k", "h", "status"}
+    rows = spark.createDataFrame([(1, None, None)], "id int, review_verdict string, reviewed_at timestamp")
+    verdicts = spark.createDataFrame([(1, "accurate", 1), (1, "unclear", 2), (1, "nonsense", 3)], "id int, verdict string, index int")
+    assert [r.review_verdict for r in upsert.apply_verdicts(rows, verdicts, now()).collect()] == ["unclear"]
+
+
+def test_send_ready_csv(spark, tmp_path):
+    """The export has every column that the writer fixes, in its order."""
+    companies = spark.createDataFrame([(1, "A", "a.com")], "id int, canonical_name string, canonical_domain string")
+    scores = spark.createDataFrame([(9, 1, 70, 80, 90, 5)], "id int, company_id int, total_score int, fit_score int, intent_score int, calculated_at int")
+    contacts = spark.createDataFrame([(4, 1, "x@a.com", "manual_verified", "Jo Doe", "CTO", 0.5, "page")], "id int, company_id int, email string, verification_status string, full_name string, role string, confidence double, contact_source string")
+    barred = spark.createDataFrame([], "email string, domain string")
+    seen = spark.createDataFrame([(i, 1, "FUNDING_EVENT", f"raised {i}", f"https://x.y/{i}", 0.8, None) for i in range(60)], "id int, company_id int, signal_type string, description string, source_url string, confidence double, raw_evidence string").withColumn("detected_at", now())
+    out = plans.send_ready_export(companies, scores, contacts, barred, scoring.trigger_evidence(seen, now()), 20, ("manual_verified",), 5)
+    files.write_send_ready_csv(out, str(tmp_path / "out"))
+    text = spark.read.text(str(tmp_path / "out")).collect()
+    assert text[0].value == "company,domain,contact_name,role,email,verified_at,source,score,fit_score,intent_score,reason_to_write,evidence_urls,score_id,company_id,contact_id"
+    row = text[1].value.split(",")
+    assert row[:5] == ["A", "a.com", "Jo Doe", "CTO", "x@a.com"] and row[6:11] == ["page", "70", "80", "90", "raised 0"] and row[11].count(";") == 59 and row[12:] == ["9", "1", "4"]
+
+
 def test_resolution(spark):
     contacts = spark.createDataFrame([(1, "c1", "a@x.com", 1), (2, "c1", "A@x.com", 5), (3, "c2", "b@y.com", 2)], "id long, company_id string, email string, created_at int")
     companies = spark.createDataFrame([("c1",), ("c2",)], "id string")
