@@ -3,50 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that a Python worker holds as one slice, and bytes of an Arrow batch, about.
-SLICE_CHARS, BATCH_BYTES = 400_000, 4 << 20
+from tallyhound.store import drop_shared, shared_dir, write_shared
 
+__all__ = ["cores", "drop_shared", "free", "held", "map_texts", "read", "shared_dir", "text_slices", "token_file", "write_shared"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is absent (tests in one process) a folder of this process is made and recorded in the session, but only for a local master.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def write_shared(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.shared_path = path
-    return back
-
-
-def drop_shared(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`write_shared` that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "shared_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+#: Characters of text that a Python worker holds as one slice, and bytes of an Arrow batch, about.
+SLICE_CHARS, BATCH_BYTES = 400_000, 4 << 20
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:

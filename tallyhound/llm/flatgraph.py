@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -110,22 +112,22 @@ class FlatGraph:
             done[live] = np.take_along_axis(all_done, top, 1)
         return ids, sims
 
-    def within(self, cosine: float, slack: float = 0.02, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of different rows found with at least about ``cosine``: every row is searched for, then the search spreads over all
-        neighbours of rows in range (``slack`` wider) until none is new. Each pair once, smaller row first."""
-        n, found = len(self.x), []
+    def within(self, cosine: float, slack: float = 0.02, batch: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For batch after batch of rows: pairs of a row and another found with at least about ``cosine``. Every row is searched for from the
+        medoid, then the search spreads over all neighbours of rows in range (``slack`` wider) until none is new."""
+        n = len(self.x)
         for at in range(0, n, batch):
             q = np.arange(at, min(n, at + batch))
             ids, sims = self.search(self.x[q])
             r, k = np.nonzero((sims >= cosine - slack) & (ids >= 0))
             front_q, front_n = r, ids[r, k].astype(np.int64)
             seen = np.zeros((len(q), n), bool)  # anew: the beam has dropped rows in range that it compared
-            seen[front_q, front_n] = True
+            hit = np.zeros((len(q), n), bool)
+            seen[front_q, front_n] = hit[front_q, front_n] = True
             while len(front_q):
-                found.append(np.stack((q[front_q], front_n)))
                 next_q, next_n = [], []
                 for part in range(0, len(front_q), 20_000):
-                    fq = np.repeat(front_q[part : part + 20_000], self.degree)
+                    fq = np.repeat(front_q[part : part + 20_000], self.near.shape[1])
                     fn = self.near[front_n[part : part + 20_000]].ravel()
                     new = np.flatnonzero(fn >= 0)
                     new = new[~seen[fq[new], fn[new]]]
@@ -133,12 +135,11 @@ class FlatGraph:
                     fq, fn = pair // n, pair % n
                     seen[fq, fn] = True
                     near = np.einsum("ij,ij->i", self.x[q[fq]], self.x[fn]) >= cosine - slack
+                    hit[fq[near], fn[near]] = True
                     next_q.append(fq[near])
                     next_n.append(fn[near])
                 front_q, front_n = np.concatenate(next_q), np.concatenate(next_n)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(found, axis=1)
-        pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-        a, b = pair // n, pair % n
-        return a[a != b], b[a != b]
+            hit[np.arange(len(q)), q] = False
+            r, other = np.nonzero(hit)
+            if len(r):
+                yield q[r], other

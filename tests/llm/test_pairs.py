@@ -152,25 +152,31 @@ def brute_vectors(rows, cosine):
     return sorted((i, n[i], root[i], root[i] == i) for i, _ in rows)
 
 
-def test_vectors_against_all_pairs(spark):
+COLUMNS = ("vec_id", "n_links", "component_id", "kept")
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_vectors_against_all_pairs(spark, exact):
     rng = np.random.default_rng(6)
     hub = rng.normal(size=32)
     rows = [(hub + rng.normal(size=32) * 0.25).tolist() for _ in range(120)] + [rng.normal(size=32).tolist() for _ in range(300)]
     rows += [[2 * x for x in rows[0]], rows[1], rows[1], rows[1], None, [0.0] * 32, [float("nan")] + [1.0] * 31, [None] + [1.0] * 31, [1.0, 2.0], [1.0, 2.1], []]
     rows = [(i * 3, v) for i, v in enumerate(rows)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("label", F.lit(None).cast("int"))
-    got = sorted(map(tuple, vectors.near_vectors(df).collect()))
-    assert got == brute_vectors(rows, 0.9)
-    got = sorted(map(tuple, vectors.near_vectors(df, shard=60).collect()))  # several overlapping shards in blocks
     want = brute_vectors(rows, 0.9)
-    assert sum(a[1] for a in got) >= 0.95 * sum(b[1] for b in want) and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
-    assert vectors.near_vectors(df.limit(0)).count() == 0
-    one = vectors.near_vectors(spark.createDataFrame([(None, [1.0]), (4, [1.0])], "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, vectors.near_vectors(df, exact=exact).select(*COLUMNS).collect()))
+    assert got == want
+    got = vectors.near_vectors(df, shard=60, group=60, exact=exact).collect()  # several overlapping shards in blocks
+    assert all(r.recall >= 0.98 for r in got)
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in got)
+    assert sum(a[1] for a in got) >= (1 if exact else 0.95) * sum(b[1] for b in want) and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+    assert vectors.near_vectors(df.limit(0), exact=exact).count() == 0
+    one = vectors.near_vectors(spark.createDataFrame([(None, [1.0]), (4, [1.0])], "vec_id long, embedding array<double>"), exact=exact).select(*COLUMNS)
     assert sorted(map(tuple, one.collect()), key=repr) == sorted([(None, 0, None, False), (4, 0, 4, True)], key=repr)
 
 
-def test_vectors_hot_group_over_many_blocks(spark):
-    """A third of the rows are distinct near copies of one vector, far more than a block holds; no link is lost, links at the threshold included."""
+def hot_group():
+    """A third of the rows are distinct near copies of one vector, far more than a block holds; other pairs lie just above the threshold."""
     rng = np.random.default_rng(12)
     hub = rng.normal(size=64)
     x = np.concatenate((hub + rng.normal(size=(400, 64)) * 0.23, rng.normal(size=(800, 64))))
@@ -178,11 +184,40 @@ def test_vectors_hot_group_over_many_blocks(spark):
         u = x[i] / np.linalg.norm(x[i])
         v = x[i + 1] - (x[i + 1] @ u) * u
         x[i + 1] = 0.9001 * u + np.sqrt(1 - 0.9001**2) * v / np.linalg.norm(v)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=60).collect()
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+def test_vectors_hot_group_over_many_blocks(spark):
+    """All pairs in blocks: no link is lost, links at the threshold included."""
+    rows = hot_group()
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=60, exact=True).select(*COLUMNS).collect()
     assert sorted(map(tuple, got)) == brute_vectors(rows, 0.9)
 
 
+def test_graph_on_a_hot_group(spark):
+    """The graph keeps a dense group together, and what it misses is what the audit says."""
+    rows = hot_group()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_vectors(rows, 0.9)
+    got = vectors.near_vectors(df, group=150, recall=0.9).collect()
+    found = sorted(tuple(r[c] for c in COLUMNS) for r in got)
+    assert all(a[1] <= b[1] for a, b in zip(found, want, strict=True))
+    share = sum(a[1] for a in found) / sum(b[1] for b in want)
+    own = np.mean([a[1] / b[1] for a, b in zip(found, want, strict=True) if b[1]])
+    assert got[0].recall >= 0.9 and share >= 0.9 and own >= 0.88 and min(share, own) >= got[0].recall - 0.1
+
+
+def test_audit_and_fallback(spark, monkeypatch):
+    """A search that loses links is noticed, and all pairs are compared instead."""
+    rows = hot_group()[:300]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lossy = vectors.graph_links
+    monkeypatch.setattr(vectors, "TURNS", 1)
+    monkeypatch.setattr(vectors, "graph_links", lambda *a: lossy(*a).filter("id % 3 = 0"))
+    got = vectors.near_vectors(df).collect()
+    assert got[0].recall == 1.0 and sorted(tuple(r[c] for c in COLUMNS) for r in got) == brute_vectors(rows, 0.9)
+
+
 def test_vectors_on_given_table(spark):
     path = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
@@ -198,7 +233,8 @@ def test_flat_graph_recall():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = FlatGraph(x.astype(np.float32)).build()
     assert (graph.near >= 0).sum(1).max() <= graph.degree
-    a, b = graph.within(0.9)
+    a, b = (np.concatenate(v) for v in zip(*graph.within(0.9), strict=True))
+    a, b = np.unique(np.sort(np.stack((a, b)), axis=0), axis=1)
     s = np.einsum("ij,ij->i", x[a], x[b])
     true = int((np.triu(x @ x.T, 1) >= 0.9).sum())
     assert (s >= 0.9).sum() >= 0.98 * true
