@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
-Lines that begin with ``>`` quote; the number of signs is the level. Quoted passages are normalised (lower case, white space collapsed) and
-hashed, and each is joined to the latest earlier message of the conversation that says it in its own words. Messages without their quotes
+Lines that begin with ``>`` quote; the number of signs is the level. Quoted lines and passages are normalised (lower case, white space and
+line breaks collapsed) and hashed, passages in windows of words, and each is joined to the latest earlier message of the conversation that says
+it in its own words. Messages without their quotes
 are then put in reply order: a message that answers another than the one before it opens a thread.
 """
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyhound.llm.asof import as_of
 from tallyhound.llm.common import read, write_shared
 
-#: Turns of a conversation that one window holds.
-TURNS = 1024
+#: Turns of a conversation that one window holds, and words of a passage that are hashed together.
+TURNS, ANCHOR = 1024, 5
 QUOTE = r"^[\x20\t]*(?:>[\x20\t]?)+"
 #: Line above a quote that names its author.
 ATTRIBUTION = r"(?i)\b(?:wrote|said|schrieb|a écrit|escribió)[\x20\t]*:[\x20\t]*$"
@@ -38,19 +39,42 @@ def without_quotes(text: Column) -> Column:
     return F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
 
 
+def windows(said: Column) -> Column:
+    """``array<struct<said, chars>>``: all windows of ``ANCHOR`` words of a normalised text. ``chars`` is the length of the first word, in the
+    last window that of all words, so that the windows of a passage weigh what it is long; none for shorter texts."""
+    words = F.split(said, " ")
+    last = F.size(words) - ANCHOR
+    size = lambda i: F.length(F.get(words, i))
+    own = lambda i: F.length(F.array_join(F.slice(words, i + 1, ANCHOR), ""))
+    one = lambda i: F.struct(F.concat(F.lit("\t"), F.array_join(F.slice(words, i + 1, ANCHOR), " ")).alias("said"), F.when(i == last, own(i)).otherwise(size(i)).cast("long").alias("chars"))
+    none = F.array().cast("array<struct<said:string,chars:bigint>>")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(none)
+
+
 def links(messages: DataFrame) -> DataFrame:
     """``conv, turn, level, quoted_turn, chars``: per message and level, the earlier message that most quoted characters come from (the
-    latest of several)."""
-    lines = messages.filter("_quoting").select("conv", "turn", F.explode(F.split("text", "\n")).alias("line")).select("conv", "turn", level(F.col("line")).alias("level"), normal(F.col("line")).alias("said"))
-    quoted = lines.filter("level > 0 AND said <> ''").groupBy("conv", "turn", "level", "said").agg(F.count("*").alias("n"))
-    own = messages.join(messages.filter("_quoting").select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.explode(F.split("own", "\n")).alias("line"))
-    own = own.select("conv", "turn", normal(F.col("line")).alias("said")).filter("said <> '' AND turn IS NOT NULL")
+    latest of several).
+
+    What is quoted is found in two ways: as lines, whole, and as passages (lines of a level in a row, joined over the line breaks) by their
+    windows of words, however either side is wrapped or cut. The way that finds more characters counts.
+    """
+    quoting = messages.filter("_quoting").select("conv", "turn", F.split("text", "\n").alias("lines"))
+    lines = quoting.select("conv", "turn", F.explode("lines").alias("line")).select("conv", "turn", level(F.col("line")).alias("level"), normal(F.col("line")).alias("said"))
+    lines = lines.filter("level > 0 AND said <> ''").select("conv", "turn", "level", "said", F.length("said").cast("long").alias("chars"))
+    levels = quoting.select("conv", "turn", "lines", F.explode(F.array_distinct(F.filter(F.transform("lines", level), lambda n: n > 0))).alias("level"))
+    of_level = F.array_join(F.transform("lines", lambda x: F.when(level(x) == F.col("level"), normal(x)).otherwise(F.lit("\n"))), " ")
+    passages = levels.select("conv", "turn", "level", F.explode(F.split(of_level, "\n")).alias("said")).withColumn("said", F.trim(F.regexp_replace("said", r"\s+", " ")))
+    parts = passages.select("conv", "turn", "level", F.explode(windows(F.col("said"))).alias("w")).select("conv", "turn", "level", "w.said", "w.chars")
+    quoted = lines.unionByName(parts).groupBy("conv", "turn", "level", "said").agg(F.sum("chars").alias("chars"))
+    own = messages.join(quoting.select("conv").distinct(), "conv", "left_semi").filter("turn IS NOT NULL").select("conv", "turn", "own")
+    said = own.select("conv", "turn", F.explode(F.split("own", "\n")).alias("line")).select("conv", "turn", normal(F.col("line")).alias("said")).filter("said <> ''")
+    said = said.unionByName(own.select("conv", "turn", F.explode(windows(F.lower(F.trim(F.regexp_replace("own", r"\s+", " "))))).alias("w")).select("conv", "turn", "w.said"))
     key = F.md5(F.concat_ws("\n", "conv", "said"))
     # a message is there from the next turn on
-    right = own.select(key.alias("key"), (F.col("turn") + 1).alias("time"), F.col("turn").alias("value")).distinct()
-    left = quoted.select(key.alias("key"), F.col("turn").alias("time"), "conv", "turn", "level", (F.col("n") * F.length("said")).alias("chars"))
+    right = said.select(key.alias("key"), (F.col("turn") + 1).alias("time"), F.col("turn").alias("value")).distinct()
+    left = quoted.select(key.alias("key"), F.col("turn").alias("time"), "conv", "turn", "level", F.startswith("said", F.lit("\t")).alias("passage"), "chars")
     found = as_of(left, right, TURNS).filter("value IS NOT NULL")
-    votes = found.groupBy("conv", "turn", "level", F.col("value").alias("quoted_turn")).agg(F.sum("chars").alias("chars"))
+    votes = found.groupBy("conv", "turn", "level", F.col("value").alias("quoted_turn")).agg(F.greatest(*(F.coalesce(F.sum(F.when(F.col("passage") == way, F.col("chars"))), F.lit(0)) for way in (False, True))).alias("chars"))
     return votes.groupBy("conv", "turn", "level").agg(F.max(F.struct("chars", "quoted_turn")).alias("v")).select("conv", "turn", "level", "v.quoted_turn", "v.chars")
 
 
@@ -109,17 +133,29 @@ o AS (
   SELECT *, regexp_replace(coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: levels[i] = 0 AND NOT
               (regexp_matches(lines[i], '(?i)\b(?:wrote|said|schrieb|a écrit|escribió)[\x20\t]*:[\x20\t]*$') AND coalesce(levels[i + 1], 0) > 0)), lambda i: lines[i]), chr(10)), ''), '^\s+|\s+$', '', 'g') AS own
   FROM n),
+g AS (
+  SELECT conv_id, turn, lines, levels, unnest(list_distinct(list_filter(levels, lambda x: x > 0))) AS level FROM o WHERE list_max(levels) > 0),
+p AS (
+  SELECT conv_id, turn, level, string_split(lower(trim(regexp_replace(said, '\s+', ' ', 'g'))), ' ') AS w
+  FROM (SELECT conv_id, turn, level, unnest(string_split(array_to_string(list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN levels[i] = level THEN regexp_replace(lines[i], '^[\x20\t]*(?:>[\x20\t]?)+', '') ELSE chr(10) END), ' '), chr(10))) AS said FROM g)),
 q AS (
-  SELECT conv_id, turn, level, lower(trim(regexp_replace(regexp_replace(line, '^[\x20\t]*(?:>[\x20\t]?)+', ''), '\s+', ' ', 'g'))) AS said, count(*) AS c
-  FROM (SELECT conv_id, turn, unnest(lines) AS line, unnest(levels) AS level FROM o) WHERE level > 0 GROUP BY ALL),
+  SELECT conv_id, turn, level, false AS passage, said, sum(length(said)) AS chars
+  FROM (SELECT conv_id, turn, level, lower(trim(regexp_replace(regexp_replace(line, '^[\x20\t]*(?:>[\x20\t]?)+', ''), '\s+', ' ', 'g'))) AS said
+        FROM (SELECT conv_id, turn, unnest(lines) AS line, unnest(levels) AS level FROM o) WHERE level > 0) WHERE said <> '' GROUP BY ALL
+  UNION ALL
+  SELECT conv_id, turn, level, true, array_to_string(w[i + 1:i + 5], ' ') AS said, sum(CASE WHEN i = len(w) - 5 THEN length(array_to_string(w[i + 1:i + 5], '')) ELSE length(w[i + 1]) END)
+  FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM p) GROUP BY ALL),
 w AS (
-  SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS said
-  FROM (SELECT conv_id, turn, unnest(string_split(own, chr(10))) AS line FROM o)),
+  SELECT DISTINCT conv_id, turn, false AS passage, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS said
+  FROM (SELECT conv_id, turn, unnest(string_split(own, chr(10))) AS line FROM o)
+  UNION
+  SELECT conv_id, turn, true, array_to_string(w[i + 1:i + 5], ' ')
+  FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM (SELECT conv_id, turn, string_split(lower(trim(regexp_replace(own, '\s+', ' ', 'g'))), ' ') AS w FROM o))),
 f AS (
-  SELECT q.conv_id, q.turn, q.level, q.c * length(q.said) AS chars, max(w.turn) AS quoted_turn
-  FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.said = w.said AND w.turn < q.turn WHERE q.said <> '' GROUP BY q.conv_id, q.turn, q.level, q.said, q.c),
+  SELECT q.conv_id, q.turn, q.level, q.passage, q.chars, max(w.turn) AS quoted_turn
+  FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.passage = w.passage AND q.said = w.said AND w.turn < q.turn GROUP BY q.conv_id, q.turn, q.level, q.passage, q.said, q.chars),
 v AS (
-  SELECT conv_id, turn, level, quoted_turn FROM (SELECT conv_id, turn, level, quoted_turn, sum(chars) AS chars FROM f GROUP BY ALL)
+  SELECT conv_id, turn, level, quoted_turn FROM (SELECT conv_id, turn, level, quoted_turn, greatest(coalesce(sum(chars) FILTER (NOT passage), 0), coalesce(sum(chars) FILTER (passage), 0)) AS chars FROM f GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY chars DESC, quoted_turn DESC) = 1),
 u AS (SELECT conv_id, turn, quoted_turn FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level) = 1),
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS prior FROM (SELECT DISTINCT conv_id, turn FROM m)),

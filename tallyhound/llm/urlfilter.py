@@ -14,8 +14,6 @@ from tallyhound.llm.common import read, write_shared
 
 #: Microseconds of a time range of the as-of join.
 RANGE_US = 6 * 3600 * 1_000_000
-#: Path segments of a prefix pattern at most, where no list says how deep it goes.
-SEGMENTS = 2
 
 
 def host(url: Column) -> Column:
@@ -31,12 +29,11 @@ def path(url: Column) -> Column:
 
 def patterns(url: Column, deepest: Column | None = None) -> Column:
     """All patterns that could match a URL: every domain suffix of its host (``example.org``), and the host with each of its first path
-    segments (``host/a/``, ``host/a/b/``), ``deepest`` at most. An array, empty without a host."""
-    deepest = F.lit(SEGMENTS) if deepest is None else deepest
+    segments (``host/a/``, ``host/a/b/`` and so on, as deep as the list goes if ``deepest`` tells). An array, empty without a host."""
     labels = F.split(host(url), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path(url), "/"), lambda x: x != "")
-    depth = F.least(deepest, F.size(parts))
+    depth = F.size(parts) if deepest is None else F.least(deepest, F.size(parts))
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host(url) != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
@@ -44,12 +41,16 @@ def patterns(url: Column, deepest: Column | None = None) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """``pattern, action, valid_from, valid_to`` from the log ``pattern, action, listed_at`` (microseconds).
 
-    ``valid_to`` is exclusive and null for entries still in force. Of entries at the same moment the last action by name holds. Entries
-    without pattern, action or date are left out; ``drop`` entries end an interval and begin none. For inspection; the join itself reads the
-    log through :func:`tallyhound.llm.asof.as_of`.
+    ``valid_to`` is exclusive and null for entries still in force; the intervals of a pattern don't overlap. Of entries at the same moment the
+    last action by name holds. Entries without pattern, action or date are left out; ``drop`` entries end an interval and begin none. The
+    next entry is looked up within time ranges, then among the ranges, so that a hot pattern is spread.
     """
-    log = clean(entries)
-    return log.withColumn("valid_to", F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))).filter("action <> 'drop'").select("pattern", "action", F.col("listed_at").alias("valid_from"), "valid_to")
+    log = clean(entries).withColumn("_cell", F.floor(F.col("listed_at") / RANGE_US))
+    own = F.lead("listed_at").over(Window.partitionBy("pattern", "_cell").orderBy("listed_at"))
+    after = F.lead("_first").over(Window.partitionBy("pattern").orderBy("_cell"))
+    later = log.groupBy("pattern", "_cell").agg(F.min("listed_at").alias("_first")).withColumn("_after", after).drop("_first")
+    out = log.withColumn("_own", own).join(later, ["pattern", "_cell"]).withColumn("valid_to", F.coalesce("_own", "_after"))
+    return out.filter("action <> 'drop'").select("pattern", "action", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
 def clean(entries: DataFrame) -> DataFrame:
@@ -69,12 +70,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.drop("rule", "action", "blocked")
     wanted = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    log = clean(entries).select(F.col("pattern").alias("key"), F.col("listed_at").alias("time"), F.col("action").alias("value"))
+    log = intervals(entries).select(F.col("pattern").alias("key"), F.col("valid_from").alias("time"), F.struct("action", "valid_to").alias("value"))
     deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 2), F.lit(0)).alias("_deepest"))  # host/a/b/ has four parts
     keys = wanted.crossJoin(F.broadcast(deepest)).select("url", F.col("fetched_at").alias("time"), F.explode(patterns(F.col("url"), F.col("_deepest"))).alias("key"))
     keys = keys.join(log.select("key").distinct(), "key", "left_semi")  # patterns that are never listed need no order
-    active = as_of(keys, log, RANGE_US).filter("value IS NOT NULL AND value <> 'drop'")
-    best = active.groupBy("url", "time").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("value").alias("action"))).alias("_best"))
+    # the latest interval that had begun, if it hadn't ended
+    active = as_of(keys, log, RANGE_US).filter("value IS NOT NULL AND (value.valid_to IS NULL OR time < value.valid_to)")
+    best = active.groupBy("url", "time").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("value.action").alias("action"))).alias("_best"))
     best = best.select(F.col("url").alias("_u"), F.col("time").alias("_t"), "_best.rule", "_best.action")
     out = captures.join(best, (F.col("url") == F.col("_u")) & (F.col("fetched_at") == F.col("_t")), "left").drop("_u", "_t")
     return out.withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
@@ -120,15 +122,14 @@ e AS (
               ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS pattern,
          CASE event_type WHEN 'signup' THEN 'allow' WHEN 'view' THEN 'drop' ELSE 'block' END AS action, epoch_us(ts) AS listed_at
   FROM events JOIN p ON event_id % (SELECT count(*) FROM pages) = page_id),
-log AS (SELECT lower(pattern) AS pattern, listed_at, max(action) AS action FROM e WHERE pattern <> '' GROUP BY ALL),
+log AS (SELECT pattern, listed_at, max(action) AS action FROM e WHERE pattern <> '' GROUP BY ALL),
 valid AS (SELECT *, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS valid_to FROM log),
 k AS (
   SELECT DISTINCT url, host, fetched_at, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS pattern
   FROM p WHERE host <> ''
   UNION
   SELECT url, host, fetched_at, host || '/' || array_to_string(parts[1:i], '/') || '/' AS pattern
-  FROM (SELECT *, list_filter(string_split(path, '/')[1:3], lambda x: x <> '') AS parts FROM p WHERE host <> ''), (VALUES (1), (2)) t(i)
-  WHERE i <= len(parts)),
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p WHERE host <> ''))),
 hit AS (
   SELECT k.url, k.fetched_at, v.pattern, v.action
   FROM k JOIN valid v ON k.pattern = v.pattern AND k.fetched_at >= v.listed_at AND (v.valid_to IS NULL OR k.fetched_at < v.valid_to)

@@ -37,6 +37,12 @@ CHAT = [
     (3, 7, "user", "> future line"),
     (3, 9, "user", "future line"),
     (4, 0, "user", ""),
+    (6, 0, "user", "The quick brown fox jumps over the lazy dog in the morning\nthen it sleeps until noon comes around again"),
+    (6, 1, "assistant", "something else altogether is said in this one here"),
+    (6, 2, "user", "> The quick brown fox jumps\n> over the lazy dog in the morning\nre-wrapped"),
+    (6, 3, "user", "> lazy dog in the morning then it sleeps\n>> something else altogether is\n> until noon\ncut and over the line break"),
+    (6, 4, "user", ">>something else altogether\n>> is said in this\n> re-wrapped\ntwo levels"),
+    (6, 5, "user", "> the  QUICK brown fox jumps over\n\n> quite another thing\nparagraphs"),
 ] + [(5, i, "user", f"line {i % 7}\nagain" if i % 5 else f"> line {i % 7}\n> again\nyes {i}") for i in range(3000)]
 
 
@@ -52,6 +58,7 @@ def test_chat(spark, tmp_path):
     late = by[1, 3, "user"]
     assert (late.reply_to, late.thread, late.position) == (0, 1, 1)
     assert by[1, 5, "user"].reply_to == 0 and by[1, 6, "user"].reply_to == 2
+    assert by[6, 2, "user"].reply_to == 0 and by[6, 3, "user"].reply_to == 0 and by[6, 4, "user"].reply_to == 2 and by[6, 5, "user"].reply_to == 0
     assert by[2, None, "user"].position == 1 and by[2, 0, "user"].text == ""
     assert by[None, 3, "user"].text == "x wrote:\nnot above a quote"
     assert by[3, 7, "user"].reply_to is None
@@ -83,7 +90,7 @@ def plain_patterns(url):
         return set()
     labels = host.split(".")
     m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", url)
-    parts = [x for x in (m[1] if m else "").split("/")[: urlfilter.SEGMENTS + 1] if x][: urlfilter.SEGMENTS]
+    parts = [x for x in (m[1] if m else "").split("/") if x]
     return {".".join(labels[i:]) for i in range(len(labels))} | {host + "/" + "/".join(parts[:i]) + "/" for i in range(1, len(parts) + 1)}
 
 
