@@ -216,9 +216,12 @@ def generic_local_part(local: Column, names: Iterable[str], substrings: Iterable
 
 
 def keep_email(email: Column, company_domain: Column, generic: Iterable[str] = t.ROLE_LOCAL_PARTS, include_generic: bool = False, include_external: bool = False) -> Column:
+    """Whether an address is of the company and personal: no generic inbox, alone or glued to other words, and not named like the domain."""
     own = F.lit(True) if include_external else email_domain(email) == F.lower(company_domain)
-    named = F.lit(True) if include_generic else ~F.substring_index(F.lower(email), "@", 1).isin(list(generic))
-    return F.coalesce(own & named & ~email.contains("%"), F.lit(False))
+    local, names = F.substring_index(F.lower(email), "@", 1), list(generic)
+    glued = (F.length(local) >= 14) & has_any(local, names)  # a generic word within a long one
+    named = F.lit(True) if include_generic else ~local.isin(names) & (local != F.substring_index(F.lower(company_domain), ".", 1)) & ~glued
+    return F.coalesce(own & named & (local != "") & ~email.contains("%"), F.lit(False))
 
 
 def normalize_phone(value: Column) -> Column:
@@ -380,6 +383,16 @@ def as_list(value: Column) -> Column:
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(value, "array<string>"), F.array(value)))
 
 
+def load_json(raw: Column, default: str = "{}") -> Column:
+    """Text as a variant; ``default`` where it is null or no JSON."""
+    return F.coalesce(F.try_parse_json(raw), F.parse_json(F.lit(default)))
+
+
+def build_object(**fields: Column) -> Column:
+    """A JSON object of named values; nulls stay."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
+
+
 def content_hash(raw: Column) -> Column:
     """SHA-256 of compact JSON with sorted keys; null for text that isn't JSON."""
     return F.sha2(F.to_json(F.try_parse_json(raw)), 256)

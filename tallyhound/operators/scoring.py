@@ -188,6 +188,29 @@ def coverage_quality(df: DataFrame, weights: dict[str, int]) -> DataFrame:
     return df.agg(c.half_even(F.coalesce(sum(present[1:], present[0]), F.lit(0.0))).alias("quality_score"))
 
 
+#: What to do with a contact candidate, and why.
+REVIEW_HINTS = {
+    "external_email": ("reject", "External-domain email. Approve only if the source proves this person represents the target company."),
+    "low_value_generic_inbox": ("reject", "Generic inbox with low outreach value."),
+    "generic_inbox": ("needs_review", "Generic company inbox. Use only as fallback when no named decision maker exists."),
+    "named": ("approve_candidate", "Named person with role evidence and direct company email."),
+    "role": ("needs_review", "Role evidence found, but person name is missing."),
+    "mailto": ("needs_review", "Direct company email from mailto link. Confirm it belongs to a useful person or team."),
+    "other": ("needs_review", "Direct company email found. Confirm source evidence before approving."),
+}
+
+
+def review_hint(candidate_type: Column, has_name: Column, has_role: Column, extraction: Column) -> Column:
+    """``struct<recommended_status, hint>`` of a contact candidate."""
+    case = F.when(candidate_type.isin("external_email", "low_value_generic_inbox", "generic_inbox"), candidate_type).when(has_name & has_role, "named").when(has_role, "role").when(extraction == "mailto_link", "mailto").otherwise("other")
+    return c.let(case, lambda k: F.struct(c.lookup(k, {n: v[0] for n, v in REVIEW_HINTS.items()}).alias("recommended_status"), c.lookup(k, {n: v[1] for n, v in REVIEW_HINTS.items()}).alias("hint")))
+
+
+def candidate_confidence(full_name: Column, role: Column, email: Column) -> Column:
+    named, placed, reached = (F.coalesce(x, F.lit("")) != "" for x in (full_name, role, email))
+    return F.when(named & placed & reached, 0.9).when(placed & reached, 0.82).otherwise(0.72)
+
+
 def validated_confidence(populated: Column, routes: Column, notes: Column) -> Column:
     base = F.least(F.lit(0.95), 0.4 + 0.1 * populated + 0.05 * routes)
     return F.round(F.when(notes > 0, F.greatest(F.lit(0.2), base - 0.1 * notes)).otherwise(base), 4)

@@ -49,6 +49,19 @@ def merge_jobs(new: DataFrame, old: DataFrame, keys: list[str], index: str = "in
     return old.join(seen.select(*keys), keys, "left_anti").select(*old.columns).unionByName(seen.select(*old.columns))
 
 
+def upsert_boards(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str], index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """Boards after a batch, and the batch with ``status``: the same ``fields`` are a duplicate, others overwrite. Signals come from
+    :func:`tallyhound.operators.signals.board_signals` on the second."""
+    mark = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    changes = classify_changes(new.withColumn("fingerprint", mark), old.withColumn("fingerprint", mark), keys, "fingerprint", index)
+    return overwrite(new.select(*old.columns, index), old, keys, index), changes
+
+
+def ensure_source(new: DataFrame, old: DataFrame, index: str = "index") -> DataFrame:
+    """Sources whose key isn't stored yet, each once."""
+    return insert_once(new, old, [F.col("source_key")], index)
+
+
 def merge_contacts(new: DataFrame, old: DataFrame, index: str = "index") -> DataFrame:
     """Contacts by company and lower-case address: the first known name and role stay, confidence is the greatest, source and verification
     status are the latest."""
@@ -79,12 +92,15 @@ def touch(new: DataFrame, old: DataFrame, keys: list[str], refresh: list[str], i
 def aliases(companies: DataFrame) -> DataFrame:
     """``company_id, alias, alias_type, confidence`` from ``id, canonical_name, former_names``."""
     own = companies.select(F.col("id").alias("company_id"), c.display_name(F.col("canonical_name")).alias("alias"), F.lit("name").alias("alias_type"), F.lit(1.0).alias("confidence"))
-    former = companies.select(F.col("id").alias("company_id"), c.display_name(F.explode("former_names")).alias("alias"), F.lit("former_name").alias("alias_type"), F.lit(0.95).alias("confidence"))
+    former = companies.select(F.col("id").alias("company_id"), F.explode("former_names").alias("alias")).select("company_id", c.display_name(F.col("alias")).alias("alias"), F.lit("former_name").alias("alias_type"), F.lit(0.95).alias("confidence"))
     return own.unionByName(former).filter("alias IS NOT NULL").dropDuplicates(["company_id", "alias", "alias_type"])
 
 
-def source_identities(records: DataFrame) -> DataFrame:
-    """First and last sight of each external id, with the company of the last."""
+def source_identities(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """First and last sight of each external id, with the company of the last; merged with the stored ones."""
+    if stored is not None:
+        seen = stored.select("source_id", "external_id", "company_id", F.explode(F.array("first_seen_at", "last_seen_at")).alias("collected_at"), F.lit(None).cast(records.schema["id"].dataType).alias("id"))
+        records = records.select(*seen.columns).unionByName(seen)
     return records.groupBy("source_id", "external_id").agg(F.min("collected_at").alias("first_seen_at"), F.max("collected_at").alias("last_seen_at"), F.max_by("company_id", F.struct("collected_at", "id")).alias("company_id"))
 
 
@@ -150,6 +166,16 @@ def activate_parsers(versions: DataFrame, threshold: float = 0.7, least: int = 3
     return versions.withColumn("_nth", later).withColumn("status", F.when(~F.coalesce(fine, F.lit(False)), "failed").when(F.col("_nth") == 1, "active").otherwise("retired")).drop("_nth")
 
 
+def retire_degraded(versions: DataFrame, health: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``versions`` with active parsers of degraded sources (``source_key, degraded`` of :func:`~tallyhound.operators.reports.parser_health`)
+    failed, and a note of why."""
+    bad = health.filter("degraded").select(F.col("source_key").alias("_bad")).distinct()
+    gone = (F.col("status") == "active") & F.col("_bad").isNotNull()
+    note = F.concat(F.coalesce("notes", F.lit("")), F.lit(f" retired below {threshold:.0%} threshold;"))
+    rows = versions.join(bad, F.col("source_key") == F.col("_bad"), "left")
+    return rows.withColumns({"notes": F.when(gone, note).otherwise(F.col("notes")), "status": F.when(gone, "failed").otherwise(F.col("status"))}).drop("_bad")
+
+
 def apply_verdicts(rows: DataFrame, verdicts: DataFrame, as_of: Column, allowed: tuple[str, ...] = ("accurate", "inaccurate", "unclear")) -> DataFrame:
     """Reviewed rows get their verdict and time; verdicts of other values are ignored. Of several of a row the last by ``index`` counts,
     where verdicts have one, else the greatest."""

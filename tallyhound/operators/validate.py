@@ -45,6 +45,11 @@ def validate_boards(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_by_reason(df, *_common(df), (~F.col("ats_provider").isin(*PROVIDERS) | blank("ats_provider"), "unknown_provider"), (blank("board_token") & blank("board_url") & blank("careers_url"), "missing_board_reference"))
 
 
+def validate_misses(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Searches for a board that found none: they need a company and a confidence within range only."""
+    return split_by_reason(df, *_common(df))
+
+
 def validate_jobs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_by_reason(df, (blank("company_id") & blank("domain"), "missing_company_reference"), (~F.col("ats_provider").isin(*PROVIDERS) | blank("ats_provider"), "unknown_provider"), (blank("external_job_id"), "missing_external_job_id"), (blank("title"), "missing_title"))
 

@@ -94,6 +94,18 @@ def send_ready_sheet(queue: DataFrame, mx_records: DataFrame) -> DataFrame:
     return w.global_rank(rows, F.col("tier_sort"), F.col("score").desc(), F.col("email"))
 
 
+def all_contacts(captured: DataFrame, contacts: DataFrame, companies: DataFrame) -> DataFrame:
+    """Captured contacts and those of the contacts table in one shape (``company_id, company, domain, email, full_name, role, phone,
+    contact_kind, on_company_domain, deliverability, source_type, source_url, raw_evidence``)."""
+    email = F.lower("email")
+    kind = F.when(F.col("full_name").isNotNull() | F.col("role").isNotNull(), "person").when(F.substring_index(email, "@", 1).isin(*t.ROLE_LOCAL_PARTS), "role_inbox").otherwise("generic")
+    own = F.coalesce(c.email_domain(email) == F.lower("domain"), F.lit(False))
+    named = companies.select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company"), F.col("canonical_domain").alias("domain"))
+    evidence = c.build_object(collector=F.lit("legacy_contacts_table"), contact_source=F.col("contact_source"), verification_status=F.col("verification_status"), confidence=F.col("confidence"))
+    legacy = contacts.join(named, "company_id").select("company_id", "company", "domain", "email", "full_name", "role", F.lit(None).cast("string").alias("phone"), kind.alias("contact_kind"), own.alias("on_company_domain"), F.col("verification_status").alias("deliverability"), F.lit("legacy_contacts").alias("source_type"), F.concat(F.lit("legacy_contacts_table:"), F.coalesce("contact_source", F.lit("unknown"))).alias("source_url"), evidence.alias("raw_evidence"))
+    return captured.select(*legacy.columns).unionByName(legacy)
+
+
 def company_workbook(companies: DataFrame, scores: DataFrame, signals: DataFrame, contacts: DataFrame, jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every company with its latest score, best trigger and counts; companies without any stay."""
     score = w.latest(scores, ["company_id"], F.col("calculated_at").desc(), F.col("id").desc()).select("company_id", "total_score")

@@ -663,3 +663,5 @@ def contacts_capped(spark, sf):
 # earlier names of the same queries
 for _name in ("attested_quotes", "identity_resolution", "message_facts", "probe_targets"):
     QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+
+from tallyhound import queries_intake  # noqa: E402,F401  registers its queries
