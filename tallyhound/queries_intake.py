@@ -245,12 +245,12 @@ _SIX = "company_id, lower(full_name), lower(coalesce(role, '')), lower(coalesce(
 
 
 @query(sql("contacts", f""",
-e AS (SELECT id, company_id % 50 AS company_id, CASE WHEN id % 2 = 0 THEN 'JO DOE' ELSE 'Jo Doe' END AS full_name, role, CASE WHEN id % 3 = 0 THEN NULL ELSE contact_kind END AS email, verification_status AS source, 'page' AS kind, id % 7 = 0 AS stored FROM contacts)
+e AS (SELECT id, company_id % 500 AS company_id, CASE WHEN id % 2 = 0 THEN 'JO DOE' ELSE 'Jo Doe' END AS full_name, role, CASE WHEN id % 3 = 0 THEN NULL ELSE contact_kind END AS email, verification_status AS source, 'page' AS kind, id % 7 = 0 AS stored FROM contacts)
 SELECT id FROM e WHERE NOT stored AND ({_SIX}) NOT IN (SELECT ({_SIX}) FROM e WHERE stored) QUALIFY row_number() OVER (PARTITION BY {_SIX} ORDER BY id) = 1"""))
 def decision_makers_once(spark, sf):
     """Decision makers whose six-part key, case aside, isn't stored."""
     i = F.col("id")
-    rows = load(spark, sf, "contacts")[0].select("id", (F.col("company_id") % 50).alias("company_id"), F.when(i % 2 == 0, "JO DOE").otherwise("Jo Doe").alias("full_name"), "role", F.when(i % 3 != 0, F.col("contact_kind")).alias("email"), F.col("verification_status").alias("source"), F.lit("page").alias("kind"))
+    rows = load(spark, sf, "contacts")[0].select("id", (F.col("company_id") % 500).alias("company_id"), F.when(i % 2 == 0, "JO DOE").otherwise("Jo Doe").alias("full_name"), "role", F.when(i % 3 != 0, F.col("contact_kind")).alias("email"), F.col("verification_status").alias("source"), F.lit("page").alias("kind"))
     key = [F.col("company_id"), *(F.lower(k) for k in ("full_name", "role", "email", "source", "kind"))]
     return u.insert_once(rows.filter("id % 7 <> 0"), rows.filter("id % 7 = 0"), key, "id").select("id")
 

@@ -18,7 +18,9 @@ def read_landed(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 def stream_ingest(records: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """Appends records whose ``source_id, source_record_id, content_hash`` the table doesn't have; a replayed batch finds its own rows there."""
+    """Appends records whose ``source_id, source_record_id, content_hash`` the table doesn't have; a replayed batch finds its own rows there.
+
+    ``on_batch`` gets the whole batch, each key once, also on a replay: what it does must bear being done twice."""
     spark = records.sparkSession
     keys = ["source_id", "source_record_id", "content_hash"]
 
@@ -93,21 +95,41 @@ def stream_missing_jobs(snapshots: DataFrame, threshold: int = 2) -> DataFrame:
     return snapshots.groupBy("board").transformWithStateInPandas(MissingJobs(threshold), MISSING, "Append", "None")
 
 
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the complete versions of a table, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and files.exists(done(f"{table}/{n}/_SUCCESS")))
+
+
+def latest_scores(spark: SparkSession, table: str) -> DataFrame | None:
+    """The newest complete version of a table of :func:`stream_latest_score`; None before the first."""
+    found = _versions(spark, table)
+    return spark.read.parquet(f"{table}/batch={found[-1]}") if found else None
+
+
 def stream_latest_score(scores: DataFrame, table: str, checkpoint: str):
-    """Keeps the latest score per company in ``table``: each batch is merged with what is stored and written beside it, then swapped by a pointer
-    file of the batch's number, so that a replay gives the same."""
+    """Keeps the latest score per company in ``table``.
+
+    Each batch is merged with the newest complete version and written as the next; readers take the newest that is complete
+    (:func:`latest_scores`), and all but the last two are removed. Merging a batch again changes nothing, so a replay, and a new checkpoint
+    over an old table, give the same.
+    """
     spark = scores.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         from tallyhound.operators.latest import latest
 
-        try:
-            stored = spark.read.parquet(f"{table}/batch={number - 1}")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        merged = latest(stored.unionByName(batch), ["company_id"], F.col("calculated_at").desc(), F.col("id").desc())
-        merged.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        stored, found = latest_scores(spark, table), _versions(spark, table)
+        both = batch if stored is None else stored.unionByName(batch)
+        merged = latest(both, ["company_id"], F.col("calculated_at").desc(), F.col("id").desc())
+        merged.write.mode("overwrite").parquet(f"{table}/batch={found[-1] + 1 if found else 0}")
+        for old in found[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return scores.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -36,6 +36,19 @@ def test_latest_score(spark, tmp_path):
     assert sorted((r.company_id, r.total_score) for r in got) == [("c", 7), ("d", 1)]
 
 
+def test_latest_score_over_batches_and_restarts(spark, tmp_path):
+    kind = "id long, company_id string, total_score int, calculated_at timestamp"
+    rows = [[(1, "c", 5, datetime(2024, 1, 1)), (3, "d", 1, datetime(2024, 1, 1))], [(2, "c", 7, datetime(2024, 1, 2))], [(4, "d", 9, datetime(2023, 1, 1)), (5, "e", 2, datetime(2024, 1, 1))]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        # the last run starts from a checkpoint of its own: all batches come again
+        stream = jobs.read_landed(spark, f"{tmp_path}/in", kind, files_per_batch=1)
+        jobs.stream_latest_score(stream, f"{tmp_path}/table", f"{tmp_path}/c{k // 2}").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.company_id, r.total_score) for r in jobs.latest_scores(spark, f"{tmp_path}/table").collect()}
+    assert got == {("c", 7), ("d", 1), ("e", 2)} and len(list((tmp_path / "table").glob("batch=*"))) == 2
+    assert jobs.latest_scores(spark, f"{tmp_path}/none") is None
+
+
 def test_missing_jobs(spark, tmp_path):
     days = [datetime(2024, 1, d) for d in (1, 2, 3)]
     seen = {0: ["a", "b"], 1: ["a"], 2: ["a"]}
