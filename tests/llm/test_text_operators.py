@@ -147,7 +147,16 @@ def test_repetition(docs):
     assert rows(got.select(*cols)) == sorted(((r.doc_id, *brute_repetition(r.text)) for r in docs.collect()), key=repr)
     for r in got.collect():
         assert not (r.kept and r.base_failed)
-    # characters inside n-grams seen before
+    # characters inside n-grams and lines seen before, and the verdict on both
+    for r, t in ((r, t) for r in got.collect() for t in [{d.doc_id: d.text or "" for d in docs.collect()}[r.doc_id]]):
+        seen, again = set(), 0
+        for line in t.split("\n"):
+            own = sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line)))
+            again += own if line in seen else 0
+            seen.add(line)
+        assert r.dup_line_chars == again
+        fine = again <= repetition.LINE_CHAR_LIMIT * r.word_chars and all(r[f"dup_{n}"] <= v * r.word_chars for n, v in repetition.NGRAM_LIMITS.items())
+        assert r.kept == (fine and not r.base_failed)
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in got.collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])
