@@ -71,8 +71,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     captures = captures.drop("rule", "action", "blocked")
     wanted = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
     log = write_shared(intervals(entries).select(F.col("pattern").alias("key"), F.col("valid_from").alias("time"), F.struct("action", "valid_to").alias("value")), "intervals")
-    deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 2), F.lit(0)).alias("_deepest"))  # host/a/b/ has four parts
-    keys = wanted.crossJoin(F.broadcast(deepest)).select("url", F.col("fetched_at").alias("time"), F.explode(patterns(F.col("url"), F.col("_deepest"))).alias("key"))
+    deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 2), F.lit(0))).first()[0]  # host/a/b/ has four parts
+    keys = wanted.select("url", F.col("fetched_at").alias("time"), F.explode(patterns(F.col("url"), F.lit(deepest))).alias("key"))
     keys = keys.join(log.select("key").distinct(), "key", "left_semi")  # patterns that are never listed need no order
     # the latest interval that had begun, if it hadn't ended
     active = as_of(keys, log, RANGE_US).filter("value IS NOT NULL AND (value.valid_to IS NULL OR time < value.valid_to)")
