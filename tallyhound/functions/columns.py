@@ -412,3 +412,20 @@ def trim_sentence(text: Column, longest: int) -> Column:
     x = F.trim(F.regexp_replace(text, r"\s+", " "))
     short = F.when(F.length(x) <= longest, x).otherwise(F.regexp_replace(F.substring(x, 1, longest), r"\s+\S*$", ""))
     return F.regexp_replace(short, r"[.\s]+$", "")
+
+
+def trim_to_words(text: Column, most: int) -> Column:
+    """The first sentence if it has 5 to ``most`` words, else the first ``most`` words without a dangling small word; no final full stop."""
+    whole = F.trim(text)
+    first = F.regexp_extract(whole, r"^(.+?[.!?])(?:\s|$)", 1)
+    words = F.split(whole, r"\s+")
+    dangling = rf"(?i)((^|\s+)({'|'.join(t.NO_LAST_WORDS)})[.,;:]*)+$"
+    cut = F.regexp_replace(F.regexp_replace(F.array_join(F.slice(words, 1, most), " "), dangling, ""), r"[.,;:]+$", "")
+    return F.when(word_count(first).between(5, most) | (F.size(words) <= most), F.regexp_replace(F.when(word_count(first).between(5, most), first).otherwise(whole), r"\.+$", "")).otherwise(cut)
+
+
+def board_token(url: Column) -> Column:
+    """The first path segment of a board's URL, decoded, in lower case; null where it can't be a board's name."""
+    raw = F.regexp_extract(url, r"^https?://[^/?#]+/+([^/?#]+)", 1)
+    token = F.lower(F.coalesce(F.try_url_decode(raw), raw))
+    return F.when(token.rlike(r"^[a-z0-9][a-z0-9._-]+$") & ~token.rlike(t.ASSET_FILE) & ~token.isin(*t.NO_BOARDS), token)

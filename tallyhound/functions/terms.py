@@ -154,3 +154,24 @@ SOURCE_ACTIONS = {
     "keep_testing": "Keep bounded experiments and compare against other sources.",
     "legacy_archived_source": "Archived legacy adapter; exclude from active MVP source decisions.",
 }
+
+# Areas of message drafts; an area is taken if one of its (field, word, whole word only) is found. Then words that no cut ends with.
+PROJECT_AREAS = (
+    ("decision and performance systems", (("positioning", "decision", False), ("positioning", "performance", False))),
+    ("plant workflow and systems integration", (
+        ("positioning", "manufacturing", False), ("service_fit_evidence", "erp", True), ("service_fit_evidence", "qms", True),
+        ("service_fit_evidence", "plant floor", False), ("service_fit_evidence", "machines", False),
+    )),
+    ("agent workflow integrations", (("positioning", "agent", False), ("technology_mentions", "workflow", False), ("technology_mentions", "automation", False))),
+    ("operations workflow automation", (("customer_terms", "operations", False), ("service_fit_evidence", "operations", False))),
+)
+OTHER_AREA = "the open engineering work"
+NO_LAST_WORDS = ("and", "as", "for", "not", "of", "on", "or", "the", "to", "with")
+
+# Hosts of job boards and the provider that each means; path segments and file endings that are no board.
+BOARD_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.ashbyhq.com": "ashby", "apply.workable.com": "workable"}
+NO_BOARDS = (
+    "js", "css", "json", "api", "embed", "embeds", "widget", "widgets", "static", "assets", "cdn", "img", "images", "fonts", "script", "scripts",
+    "style", "styles", "dist", "build", "public", "favicon", "robots",
+)
+ASSET_FILE = r"(?i)\.(js|mjs|css|json|map|png|jpe?g|svg|gif|ico|woff2?|txt|xml)$"

@@ -161,6 +161,44 @@ def page_facts(parsed: DataFrame, words: tuple[str, ...], most: int = 5) -> Data
     return parsed.select("page_id", "url", "title", F.coalesce(c.blank_to_null(F.col("meta")), c.blank_to_null(F.col("h1"))).alias("positioning"), hit.alias("snippets"), c.stack_terms(F.col("text")).alias("technologies"), F.size("links").alias("n_links"))
 
 
+def research_summary(parsed: DataFrame, reason: str = "reason_to_write") -> DataFrame:
+    """One line on each page: positioning, what its text and address show, and the trigger in ``reason``, where it has one."""
+    text = F.lower("text")
+    said = F.coalesce(c.blank_to_null(F.col("meta")), c.blank_to_null(F.col("h1")))
+    bits = F.concat_ws(
+        " ",
+        said,
+        F.when(c.has_any(text, ("api", "developer")), "Developer or API surface found."),
+        F.when(c.has_any(text, ("automation", "workflow")), "Automation or workflow language found."),
+        F.when(F.col("url").rlike("(?i)career|job"), "Careers content is visible."),
+        F.concat(F.lit("Trigger: "), c.blank_to_null(F.col(reason))),
+    )
+    return parsed.select("page_id", "url", bits.alias("summary"))
+
+
+def contact_routes(parsed: DataFrame) -> DataFrame:
+    """``page_id, index, route_type, value, source_url``: contact and careers pages themselves, addresses of mailto links, and those in lines,
+    in this order; repeats stay."""
+    route = lambda kind, value: F.struct(F.lit(kind).alias("route_type"), value.alias("value"))
+    page = F.when(F.col("url").rlike("(?i)contact|career|job"), F.array(route("page", F.col("url"))))
+    mail = F.transform(F.filter("links", lambda x: F.lower(x["href"]).startswith("mailto:")), lambda x: F.substring(x["href"], F.lit(8), F.length(x["href"])))
+    mail = F.transform(mail, lambda x: F.lower(F.trim(F.get(F.split(F.coalesce(F.try_url_decode(x), x), "[?;]"), 0))))
+    mail = F.filter(mail, lambda x: F.size(c.extract_emails(x)) > 0)
+    told = F.flatten(F.transform("lines", lambda x: c.extract_emails(x)))
+    none = F.array().cast("array<struct<route_type:string,value:string>>")
+    every = F.concat(F.coalesce(page, none), F.transform(mail, lambda x: route("mailto", x)), F.transform(told, lambda x: route("email_text", x)))
+    return parsed.select("page_id", "url", F.posexplode(every).alias("index", "r")).select("page_id", "index", "r.route_type", "r.value", F.col("url").alias("source_url"))
+
+
+def decision_maker_names(parsed: DataFrame) -> DataFrame:
+    """``page_id, name``: each likely name in a line that names a role, with the line's first role, once per page."""
+    lines = parsed.select("page_id", F.explode("lines").alias("line")).filter(F.col("line").rlike(t.ROLE_PATTERN))
+    role = c.normalize_role(F.regexp_extract("line", t.ROLE_PATTERN, 1))
+    rows = lines.select("page_id", role.alias("role"), F.explode(F.regexp_extract_all("line", F.lit(t.PERSON_PATTERN), F.lit(1))).alias("found"))
+    rows = rows.withColumn("person", c.person_name(F.col("found"))).filter("person IS NOT NULL")
+    return rows.select("page_id", F.concat("person", F.lit(" - "), "role").alias("name")).distinct()
+
+
 def extract_jobs_from_html(parsed: DataFrame, most: int = 50) -> DataFrame:
     """Links whose text looks like a job title; where a page has none, such lines, at most ``most`` (the feature's limit)."""
     links = F.filter("links", lambda x: c.looks_like_job_title(x["text"]))

@@ -117,6 +117,9 @@ def star(base: DataFrame, *summaries: DataFrame, key: str = "company_id") -> Dat
 
 
 def profiles_with_companies(profiles: DataFrame, founders: DataFrame, links: DataFrame) -> DataFrame:
-    """Profiles with an address and a page, with the founder's name and role."""
-    rows = profiles.filter(c.blank_to_null(F.col("email")).isNotNull() & c.blank_to_null(F.col("profile_url")).isNotNull())
+    """Profiles with an address, a company and a page (``source_url`` where there is one, else ``profile_url``), with the founder's name and
+    role in that company; a founder without a link to it has no role."""
+    page = c.blank_to_null(F.col("profile_url"))
+    page = F.coalesce(c.blank_to_null(F.col("source_url")), page) if "source_url" in profiles.columns else page
+    rows = profiles.withColumn("source_url", page).filter("company_id IS NOT NULL AND source_url IS NOT NULL").filter(c.blank_to_null(F.col("email")).isNotNull())
     return rows.join(founders.select(F.col("id").alias("founder_id"), "full_name"), "founder_id").join(links.select("company_id", "founder_id", "role"), ["company_id", "founder_id"], "left")

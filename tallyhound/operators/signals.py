@@ -116,28 +116,27 @@ def org_signals(orgs: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     return rows.withColumn("signal_type", kind).withColumn("confidence", c.lookup(F.col("signal_type"), dict(zip(t.ORG_TYPES, (0.9, 0.7, 0.6), strict=True))))
 
 
-#: Hosts of job boards and the provider that each means.
-BOARD_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.ashbyhq.com": "ashby", "apply.workable.com": "workable"}
-
-
 def board_detections(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boards among page links (``company_id, domain, page_url, href``), and the pages without any.
+    """Boards among page links (``company_id, domain, page_url, href``) and pages, and the companies without any.
 
-    The provider comes from the host and the token from the path. A careers page of no provider is generic with confidence 0.55; a direct
-    board is 0.98 if the page itself is one, else 0.92. Of several of a company, provider and token the surest stays.
+    The provider comes from the host, without ``www.``, and the token from the path (:func:`~tallyhound.functions.columns.board_token`).
+    A page that is a board itself gives confidence 0.98, a link 0.92; of several of a company, provider and token the surest stays. Where a
+    company has no such board, its first careers page by URL is a generic one with confidence 0.55, named by host and path.
     """
-    host = F.lower(F.regexp_extract("href", r"^https?://([^/?#:]+)", 1))
-    provider = c.lookup(host, BOARD_HOSTS)
-    token = F.nullif(F.lower(F.regexp_extract("href", r"^https?://[^/?#]+/([^/?#]+)", 1)), F.lit(""))
-    rows = links.withColumns({"_p": provider, "_t": token})
-    careers = F.col("href").rlike(r"(?i)/(careers|jobs)(/|$|\?)")
-    rows = rows.withColumns({
-        "ats_provider": F.when(F.col("_p").isNotNull() & F.col("_t").isNotNull(), F.col("_p")).when(careers, "generic"),
-        "board_token": F.when(F.col("_p").isNotNull(), F.col("_t")),
-        "confidence": F.when(F.col("_p").isNotNull(), F.when(F.col("page_url") == F.col("href"), 0.98).otherwise(0.92)).otherwise(0.55),
-    })
-    hit = rows.filter("ats_provider IS NOT NULL").withColumn("board_key", c.board_key(F.col("board_token"), F.col("href"), F.col("href")))
-    order = Window.partitionBy("company_id", "ats_provider", "board_key").orderBy(F.col("confidence").desc(), "href", "page_url")
-    boards = hit.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("company_id", "domain", "ats_provider", "board_token", "board_key", F.col("href").alias("board_url"), F.col("page_url").alias("evidence_url"), "confidence")
-    misses = links.select("company_id", "domain").distinct().join(boards.select("company_id").distinct(), "company_id", "left_anti")
-    return boards, misses
+    own = links.select("company_id", "domain", "page_url", F.col("page_url").alias("href"))
+    rows = links.select(*own.columns).unionByName(own).distinct()
+    site = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https?://([^/?#:]+)", 1)), r"^www\.", "")
+    segment = F.regexp_extract("href", r"(?i)^https?://[^/?#]+/+([^/?#]+)", 1)
+    board_url = F.concat(F.lower(F.regexp_extract("href", r"(?i)^(https?)://", 1)), F.lit("://"), site("href"), F.lit("/"), segment)
+    boards = rows.withColumns({"ats_provider": c.lookup(site("href"), t.BOARD_HOSTS), "board_token": c.board_token(F.col("href")), "board_url": board_url}).filter("ats_provider IS NOT NULL AND board_token IS NOT NULL")
+    boards = boards.withColumn("confidence", F.when(F.col("page_url") == F.col("board_url"), 0.98).otherwise(0.92))
+    order = Window.partitionBy("company_id", "domain", "ats_provider", "board_token").orderBy(F.col("confidence").desc(), "href", "page_url")
+    boards = boards.withColumn("_n", F.row_number().over(order)).filter("_n = 1").withColumn("evidence_url", F.col("page_url"))
+    columns = ["company_id", "domain", "ats_provider", "board_token", "board_url", "evidence_url", "confidence"]
+    boards = boards.select(*columns)
+    same = lambda a, b: a.alias("a").join(b.select("company_id", "domain").distinct().alias("b"), F.col("a.company_id").eqNullSafe(F.col("b.company_id")) & F.col("a.domain").eqNullSafe(F.col("b.domain")), "left_anti")
+    pages = same(own.filter(F.lower("page_url").rlike("/career|/jobs")), boards).groupBy("company_id", "domain").agg(F.min("page_url").alias("board_url"))
+    token = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("board_url", r"^[A-Za-z]+://([^?#]+)", 1), r"^www\.", ""), "/$", ""))
+    generic = pages.select("company_id", "domain", F.lit("generic").alias("ats_provider"), token.alias("board_token"), "board_url", F.col("board_url").alias("evidence_url"), F.lit(0.55).alias("confidence"))
+    found = boards.unionByName(generic)
+    return found, same(links.select("company_id", "domain").distinct(), found)

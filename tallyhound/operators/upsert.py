@@ -118,19 +118,35 @@ def founders(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def resolve_identities(records: DataFrame, companies: DataFrame, allow_name_only: bool = False) -> DataFrame:
     """``records`` (``id, created_at, company_id, name, domain``) with ``action`` and ``resolved_id``.
 
-    In order: linked records backfill; no name goes to review; no domain goes to review, or matches an exact name if that is allowed; a known
-    domain fills; else the first record by time and id creates the company and later ones of its domain fill.
+    In order: linked records backfill; no name goes to review; a known domain fills; else the first record by time and id creates the company
+    and later ones of its domain fill. No domain goes to review. If names alone are allowed, it instead matches a stored company of that name,
+    else one that an earlier record with a domain creates under it, else the first such record creates it.
     """
     name, domain = c.display_name(F.col("name")), c.blank_to_null(F.lower("domain"))
     known = companies.filter("canonical_domain IS NOT NULL").groupBy(F.lower("canonical_domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
     named = companies.groupBy(F.lower("canonical_name").alias("_name")).agg(F.min("id").alias("_by_name"))
     rows = records.withColumns({"_n": F.lower(name), "_d": domain}).join(known, F.col("_d") == F.col("_domain"), "left").join(named, F.col("_n") == F.col("_name"), "left")
-    open_ = F.col("company_id").isNull() & F.col("_n").isNotNull() & F.col("_d").isNotNull() & F.col("_by_domain").isNull()
-    rows = rows.withColumn("_nth", F.when(open_, F.row_number().over(Window.partitionBy("_d", open_).orderBy("created_at", "id"))))
+    new = F.col("company_id").isNull() & F.col("_n").isNotNull()
+    open_ = new & F.col("_d").isNotNull() & F.col("_by_domain").isNull()
+    # rows that take no turn are groups of their own, so that nulls make no hot key
+    alone = F.concat(F.lit("#"), F.col("id").cast("string"))
+    rows = rows.withColumn("_group", F.when(open_, F.concat(F.lit("="), "_d")).otherwise(alone))
+    rows = rows.withColumn("_nth", F.when(open_, F.row_number().over(Window.partitionBy("_group").orderBy("created_at", "id"))))
+    own = F.when(F.col("_nth") == 1, c.surrogate_id(F.col("_d")))
+    bare = new & F.col("_d").isNull()
+    if allow_name_only:
+        rows = rows.withColumn("_group", F.when(bare | (F.col("_nth") == 1), F.concat(F.lit("="), "_n")).otherwise(alone))
+        before = Window.partitionBy("_group").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+        made = F.coalesce(own, F.when(bare, c.surrogate_id(F.lit("name"), F.col("_n"))))
+        rows = rows.withColumn("_made", F.first(made, ignorenulls=True).over(before))
+        by_name = F.coalesce(F.col("_by_name").cast("string"), F.col("_made"))
+        without_domain = F.when(by_name.isNotNull(), "match_name").otherwise("create")
+    else:
+        by_name, without_domain = F.lit(None).cast("string"), F.lit("review_missing_domain")
     action = (
         F.when(F.col("company_id").isNotNull(), "backfill")
         .when(F.col("_n").isNull(), "review_missing_name")
-        .when(F.col("_d").isNull(), F.when(F.lit(allow_name_only) & F.col("_by_name").isNotNull(), "match_name").otherwise("review_missing_domain"))
+        .when(F.col("_d").isNull(), without_domain)
         .when(F.col("_by_domain").isNotNull(), "match_domain")
         .when(F.col("_nth") == 1, "create")
         .otherwise("match_domain")
@@ -138,10 +154,10 @@ def resolve_identities(records: DataFrame, companies: DataFrame, allow_name_only
     rows = rows.withColumn("action", action)
     found = (
         F.when(F.col("action") == "backfill", F.col("company_id").cast("string"))
-        .when(F.col("action") == "match_name", F.col("_by_name").cast("string"))
-        .when(F.col("action").isin("match_domain", "create"), F.coalesce(F.col("_by_domain").cast("string"), c.surrogate_id(F.col("_d"))))
+        .when(F.col("action").isin("match_domain", "create") & F.col("_d").isNotNull(), F.coalesce(F.col("_by_domain").cast("string"), c.surrogate_id(F.col("_d"))))
+        .when(F.col("action").isin("match_name", "create"), F.coalesce(by_name, c.surrogate_id(F.lit("name"), F.col("_n"))))
     )
-    return rows.withColumn("resolved_id", found).drop("_n", "_d", "_domain", "_by_domain", "_name", "_by_name", "_nth")
+    return rows.withColumn("resolved_id", found).drop("_n", "_d", "_domain", "_by_domain", "_name", "_by_name", "_nth", "_group", "_made")
 
 
 def explode_observations(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

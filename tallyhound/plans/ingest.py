@@ -9,8 +9,9 @@ from tallyhound.functions import columns as c
 from tallyhound.operators import signals as g
 from tallyhound.operators import upsert as u
 from tallyhound.operators.reports import ingest_summary
-from tallyhound.operators.resolve import resolve_company
+from tallyhound.operators.resolve import profiles_with_companies, resolve_company
 from tallyhound.operators.validate import reject_without_domain_or_name
+from tallyhound.store import write_shared
 
 JOB_KEYS = ["company_id", "ats_provider", "external_job_id"]
 
@@ -51,3 +52,39 @@ def ingest_research(rows: DataFrame, companies: DataFrame, pages: DataFrame, fie
     facts = u.explode_observations(named, "resolved_id", fields)
     hashed = pages.filter("coalesce(url, '') <> '' AND coalesce(body, '') <> ''").withColumn("content_hash", F.coalesce("content_hash", F.sha2("body", 256)))
     return {"observations": facts, "pages": hashed.dropDuplicates(["company_id", "url", "content_hash"]), "rejects": rejects}
+
+
+def backfill_contacts_from_profiles(profiles: DataFrame, founders: DataFrame, links: DataFrame, contacts: DataFrame, index: str = "index") -> DataFrame:
+    """Contacts after those of founder profiles (``index, company_id, founder_id, email, profile_url, confidence``) are merged in; a profile
+    without a confidence counts 0.8."""
+    rows = profiles_with_companies(profiles, founders, links)
+    rows = rows.select("company_id", "email", "full_name", "role", F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.lit("trusted_source_payload").alias("contact_source"), F.lit("source_published").alias("verification_status"), index)
+    return u.merge_contacts(rows, contacts, index)
+
+
+def process_source_records(records: DataFrame, companies: DataFrame, aliases: DataFrame, identities: DataFrame, allow_name_only: bool = False) -> dict[str, DataFrame]:
+    """All that a batch of source records writes.
+
+    ``records``: ``id, source_id, external_id, source_url, created_at, company_id, name, domain, former_names, founders``; ``aliases`` and
+    ``identities`` are the stored ones. Gives the resolved ``records`` with their status, new ``companies``, new ``aliases`` and
+    ``identities``, ``founders`` with ``links`` and ``profiles``, ``reviews`` with their reason, and a ``summary`` of
+    ten counters.
+    """
+    rows = write_shared(u.resolve_identities(records, companies, allow_name_only), "identities")  # all that follows are projections of it
+    rows = rows.withColumn("status", F.when(F.col("resolved_id").isNull(), "review_required").otherwise("linked"))
+    linked = rows.filter("resolved_id IS NOT NULL")
+    created = rows.filter("action = 'create'").select(F.col("resolved_id").alias("id"), c.display_name(F.col("name")).alias("canonical_name"), c.blank_to_null(F.lower("domain")).alias("canonical_domain"), "created_at")
+    named = u.aliases(linked.filter("action <> 'backfill'").select(F.col("resolved_id").alias("id"), F.col("name").alias("canonical_name"), "former_names"))
+    fresh = named.join(aliases.select(F.col("company_id").cast("string").alias("company_id"), "alias", "alias_type").distinct(), ["company_id", "alias", "alias_type"], "left_anti")
+    seen = u.insert_once(linked.select("id", F.col("resolved_id").alias("company_id"), "source_id", "external_id", "source_url", "created_at"), identities, [F.col("source_id"), F.col("external_id")], "id").drop("id")
+    people, links, profiles = u.founders(linked.select(F.col("resolved_id").alias("company_id"), "founders"))
+    reasons = F.when(F.col("action") == "review_missing_name", "missing_company_name").otherwise("missing_domain")
+    reviews = rows.filter("resolved_id IS NULL").select("id", reasons.alias("reason"), c.display_name(F.col("name")).alias("normalized_name"), c.blank_to_null(F.lower("domain")).alias("normalized_domain"))
+    n = lambda *actions: F.count_if(F.col("action").isin(*actions))
+    counts = rows.agg(F.count("*").alias("scanned"), n("create").alias("companies_created"), n("match_domain", "match_name").alias("companies_matched"), n("review_missing_name", "review_missing_domain").alias("review_items_created"), n("backfill").alias("skipped_already_linked"))
+    written = [(fresh, "aliases_created"), (seen, "source_identities_created"), (people, "founders_created"), (links, "founder_links_created"), (profiles, "founder_profiles_created")]
+    long = [counts.unpivot([], counts.columns, "counter", "n"), *(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n") for df, name in written)]
+    summary = long[0]
+    for part in long[1:]:
+        summary = summary.unionByName(part)
+    return {"records": rows, "companies": created, "aliases": fresh, "identities": seen, "founders": people, "links": links, "profiles": profiles, "reviews": reviews, "summary": summary}

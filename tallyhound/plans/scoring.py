@@ -56,6 +56,19 @@ def ranked_datasheet(companies: DataFrame, scores: DataFrame, classification: Da
     return base, leads
 
 
+def datasheet_frames(companies: DataFrame, leads: DataFrame, contacts: DataFrame, sources: DataFrame, presence: DataFrame, min_score: int, generated_at: str) -> dict[str, DataFrame]:
+    """The tables of a datasheet, for :func:`~tallyhound.sources.files.write_datasheet`: ``companies`` of :func:`ranked_datasheet` are dealt to
+    ``Companies`` and, in tier X, to ``Excluded``; ``Sources`` has those and the counts of each kind of web presence; ``Notes`` has the figures."""
+    out = F.col("tier") == "X"
+    kept, excluded = companies.filter(~out), companies.filter(out).orderBy(F.coalesce("total_score", F.lit(0)).desc(), "company")
+    kinds = presence.groupBy("presence_kind").agg(F.count("*").alias("records")).select(F.lit("web_presence").alias("part"), F.col("presence_kind").alias("source_key"), "records", F.lit(None).cast("long").alias("companies"))
+    every = sources.select(F.lit("source").alias("part"), "source_key", "records", "companies").unionByName(kinds).orderBy("part", F.col("records").desc(), "source_key")
+    n = lambda df, item: df.agg(F.count("*").cast("string").alias("note")).select(F.lit(item).alias("item"), "note")
+    told = companies.sparkSession.createDataFrame([("Score threshold", str(min_score)), ("Generated at", generated_at)], "item string, note string")
+    notes = told.unionByName(n(companies, "Companies exported")).unionByName(n(kept, "Companies sheet rows")).unionByName(n(excluded, "Excluded companies")).unionByName(n(leads, "Lead/contact rows")).unionByName(n(contacts, "Contact rows"))
+    return {"Leads": leads, "Companies": kept.orderBy("tier_sort", F.coalesce("total_score", F.lit(0)).desc(), "company"), "Contacts": contacts, "Excluded": excluded, "Sources": every, "Notes": notes}
+
+
 def provider_targets(companies: DataFrame, scores: DataFrame, suppression: DataFrame, signals: DataFrame, min_score: int, limit: int) -> DataFrame:
     """Companies above a score with a clean, unsuppressed domain, and the roles to look for."""
     score = w.latest(scores, ["company_id"], F.col("calculated_at").desc(), F.col("id").desc()).filter(F.col("total_score") >= min_score)

@@ -664,4 +664,4 @@ def contacts_capped(spark, sf):
 for _name in ("attested_quotes", "identity_resolution", "message_facts", "probe_targets"):
     QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
-from tallyhound import queries_intake  # noqa: E402,F401  registers its queries
+from tallyhound import queries_intake, queries_targets  # noqa: E402,F401  register their queries

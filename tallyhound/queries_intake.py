@@ -193,38 +193,38 @@ def pending_batch(spark, sf):
 
 
 @query(sql("boards", """,
-n AS (SELECT *, CASE WHEN id % 3 = 0 THEN board_token || '-new' ELSE board_token END AS now FROM boards WHERE id % 5 <> 0)
+n AS (SELECT *, CASE WHEN id % 3 = 0 THEN board_token || '-new' ELSE board_token END AS now FROM boards WHERE id % 5 <> 0 OR id % 2 = 1)
 SELECT b.id, coalesce(n.now, b.board_token) AS board_token, CASE WHEN n.id IS NULL THEN NULL WHEN b.id % 2 = 1 THEN 'inserted' WHEN b.id % 3 = 0 THEN 'updated' ELSE 'duplicate' END AS status
-FROM (SELECT * FROM boards WHERE id % 2 = 0 OR id % 5 <> 0) b LEFT JOIN n USING (id)"""))
+FROM boards b LEFT JOIN n USING (id)"""))
 def upserted_boards(spark, sf):
-    """Even boards are stored; a batch of all but every fifth brings new tokens for every third. Table and status of each."""
+    """Even boards are stored; a batch of the odd ones and most even ones brings new tokens for every third. Table and status of each."""
     boards = load(spark, sf, "boards")[0]
     stored = boards.filter("id % 2 = 0")
-    batch = boards.filter("id % 5 <> 0").withColumns({"board_token": F.when(F.col("id") % 3 == 0, F.concat("board_token", F.lit("-new"))).otherwise(F.col("board_token")), "index": F.col("id")})
+    batch = boards.filter("id % 5 <> 0 OR id % 2 = 1").withColumns({"board_token": F.when(F.col("id") % 3 == 0, F.concat("board_token", F.lit("-new"))).otherwise(F.col("board_token")), "index": F.col("id")})
     table, changes = u.upsert_boards(batch, stored, ["id"], ["company_id", "ats_provider", "board_token"])
     return table.select("id", "board_token").join(changes.select("id", "status"), "id", "left")
 
 
 @query(sql("boards", """
-SELECT id AS "index", 'ATS_BOARD_DETECTED' AS signal_type, 'Detected ' || ats_provider || ' board for x.com.' AS description FROM boards WHERE id % 5 <> 0 AND (id % 2 = 1 OR id % 3 = 0)"""))
+SELECT id AS "index", 'ATS_BOARD_DETECTED' AS signal_type, 'Detected ' || ats_provider || ' board for x.com.' AS description FROM boards WHERE id % 2 = 1 OR id % 5 <> 0 AND id % 3 = 0"""))
 def board_detected_signals(spark, sf):
     boards = load(spark, sf, "boards")[0]
-    batch = boards.filter("id % 5 <> 0").withColumns({"board_token": F.when(F.col("id") % 3 == 0, F.concat("board_token", F.lit("-new"))).otherwise(F.col("board_token")), "index": F.col("id"), "domain": F.lit("x.com"), "board_url": F.lit("https://b.example"), "confidence": F.lit(0.9)})
+    batch = boards.filter("id % 5 <> 0 OR id % 2 = 1").withColumns({"board_token": F.when(F.col("id") % 3 == 0, F.concat("board_token", F.lit("-new"))).otherwise(F.col("board_token")), "index": F.col("id"), "domain": F.lit("x.com"), "board_url": F.lit("https://b.example"), "confidence": F.lit(0.9)})
     stored = boards.filter("id % 2 = 0").withColumns({"domain": F.lit("x.com"), "board_url": F.lit("https://b.example"), "confidence": F.lit(0.9)})
     _, changes = u.upsert_boards(batch, stored, ["id"], ["company_id", "ats_provider", "board_token"])
     return g.board_signals(changes).select("index", "signal_type", "description")
 
 
 @query(sql("contacts", """,
-n AS (SELECT * FROM contacts WHERE id % 3 <> 0)
-SELECT k.company_id, k.email, CASE WHEN k.id % 2 = 0 OR k.id % 3 <> 0 THEN coalesce(CASE WHEN k.id % 2 = 0 THEN k.full_name END, CASE WHEN k.id % 3 <> 0 THEN 'Later Name' END) END AS full_name,
-  CASE WHEN k.id % 3 <> 0 THEN 'provider' ELSE 'page' END AS contact_source, CASE WHEN k.id % 3 <> 0 THEN 0.95 ELSE k.confidence::DOUBLE END::DOUBLE AS confidence, k.verification_status
-FROM contacts k WHERE k.id % 2 = 0 OR k.id % 3 <> 0"""))
+k AS (SELECT *, id % 3 <> 0 OR id % 2 = 1 AS now FROM contacts)
+SELECT k.company_id, k.email, coalesce(CASE WHEN k.id % 2 = 0 THEN k.full_name END, CASE WHEN now THEN 'Later Name' END) AS full_name,
+  CASE WHEN now THEN 'provider' ELSE 'page' END AS contact_source, CASE WHEN now THEN 0.95 ELSE k.confidence::DOUBLE END::DOUBLE AS confidence, k.verification_status
+FROM k"""))
 def merged_contacts(spark, sf):
-    """Even contacts are stored; a batch of two in three names all and is surer. The first known name stays, the greatest confidence counts."""
+    """Even contacts are stored; a batch of the odd ones and most even ones names all and is surer. The first known name stays, the greatest confidence counts."""
     contacts = load(spark, sf, "contacts")[0]
     stored = contacts.filter("id % 2 = 0").select("company_id", "email", "full_name", "role", F.col("confidence").cast("double").alias("confidence"), F.lit("page").alias("contact_source"), "verification_status")
-    batch = contacts.filter("id % 3 <> 0").select("company_id", F.upper("email").alias("email"), F.lit("Later Name").alias("full_name"), "role", F.lit(0.95).alias("confidence"), F.lit("provider").alias("contact_source"), "verification_status", F.col("id").alias("index"))
+    batch = contacts.filter("id % 3 <> 0 OR id % 2 = 1").select("company_id", F.upper("email").alias("email"), F.lit("Later Name").alias("full_name"), "role", F.lit(0.95).alias("confidence"), F.lit("provider").alias("contact_source"), "verification_status", F.col("id").alias("index"))
     return u.merge_contacts(batch, stored).select("company_id", "email", "full_name", "contact_source", "confidence", "verification_status")
 
 
@@ -256,12 +256,12 @@ def decision_makers_once(spark, sf):
 
 
 @query(sql("contacts", """
-SELECT id, CASE WHEN id % 3 <> 0 THEN 2 ELSE 1 END AS last_seen, CASE WHEN id % 2 = 0 THEN 'stored' ELSE 'batch' END AS noted, CASE WHEN id % 3 <> 0 THEN 'ok' ELSE 'unknown' END AS deliverability FROM contacts WHERE id % 2 = 0 OR id % 3 <> 0"""))
+SELECT id, CASE WHEN now THEN 2 ELSE 1 END AS last_seen, CASE WHEN id % 2 = 0 THEN 'stored' ELSE 'batch' END AS noted, CASE WHEN now THEN 'ok' ELSE 'unknown' END AS deliverability FROM (SELECT *, id % 3 <> 0 OR id % 2 = 1 AS now FROM contacts)"""))
 def touched_contacts(spark, sf):
     """Known contacts are seen again, with their deliverability; other columns stay, unknown ones are added."""
     ids = load(spark, sf, "contacts")[0].select("id")
     stored = ids.filter("id % 2 = 0").withColumns({"last_seen": F.lit(1), "noted": F.lit("stored"), "deliverability": F.lit("unknown")})
-    batch = ids.filter("id % 3 <> 0").withColumns({"last_seen": F.lit(2), "noted": F.lit("batch"), "deliverability": F.lit("ok"), "index": F.col("id")})
+    batch = ids.filter("id % 3 <> 0 OR id % 2 = 1").withColumns({"last_seen": F.lit(2), "noted": F.lit("batch"), "deliverability": F.lit("ok"), "index": F.col("id")})
     return u.touch(batch, stored, ["id"], ["last_seen", "deliverability"])
 
 
@@ -326,7 +326,7 @@ def job_snapshot(spark, sf):
     one = one.withColumns({"missing_observation_count": F.lit(0), "missing_since_at": F.lit(None).cast("timestamp"), "stack_terms": F.array().cast("array<string>")})
     stored = one.filter("old").drop("old")
     batch = one.filter("NOT old").drop("old").withColumns({"index": F.struct(*keys), "domain": F.lit(None).cast("string")})
-    out = ingest.ingest_job_snapshot(batch, stored, companies, load(spark, sf, "signals")[0].limit(0), F.lit("2001-12-01").cast("timestamp"), threshold=1)
+    out = ingest.ingest_job_snapshot(batch, stored, companies, load(spark, sf, "signals")[0], F.lit("2001-12-01").cast("timestamp"), threshold=1)
     return out["jobs"].select("company_id", "external_job_id", "is_active", "missing_observation_count")
 
 
