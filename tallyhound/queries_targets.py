@@ -91,8 +91,11 @@ def detected_boards(spark, sf):
 
 @query()
 def contact_routes(spark, sf):
-    """Contact pages, linked and printed addresses of saved pages."""
-    return capture.contact_routes(capture.parse_html(load(spark, sf, "pages")[0]))
+    """Every saved page with its routes in order: itself, if it is a contact page, linked and printed addresses; null where it has none."""
+    pages = load(spark, sf, "pages")[0]
+    found = capture.contact_routes(capture.parse_html(pages)).withColumn("r", F.struct("index", F.concat_ws(":", "route_type", "value").alias("route")))
+    routes = found.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["route"]), ", ").alias("routes"))
+    return pages.select("page_id", "url").join(routes, "page_id", "left")
 
 
 @query()
