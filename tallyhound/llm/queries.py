@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhound.llm import chat, encoding, language, mixing, neardup, packing, repetition, secrets, urlfilter, vectors
+from tallyhound.llm import chat, encoding, language, mixing, neardup, packing, repetition, runs, search, secrets, urlfilter, vectors, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": encoding.op8_token_counts,
         "op9_language_id": language.op9_language_id,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_exact_top_k": search.op11_exact_top_k,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op6_url_filter": urlfilter.OP6_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op6_url_filter": urlfilter.OP6_SQL, "op11_exact_top_k": search.OP11_SQL}
