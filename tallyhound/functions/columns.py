@@ -100,6 +100,25 @@ def first_url(urls: Column, pages: Column | None = None) -> Column:
     return found if pages is None else F.coalesce(found, F.get(pages, 0))
 
 
+def absolute_url(base: Column, ref: Column) -> Column:
+    """``ref`` as an absolute URL, read from a page at ``base``; null without either, or where ``base`` is no URL and is needed."""
+    origin, scheme = F.nullif(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), F.lit("")), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
+    own = F.regexp_replace(ref, r"[?#].*$", "")
+    joined = F.when(own == "", F.when(path == "", "/").otherwise(path)).when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), F.when(path == "", "/").otherwise(""), own))
+    kept = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(s))))
+    end = F.when(joined.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).otherwise(F.concat(origin, F.array_join(kept, "/"), end, tail))
+
+
+def unescape_html(text: Column) -> Column:
+    """The five entities that every serialiser writes, as characters."""
+    for name, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
 def country_name(value: Column) -> Column:
     trimmed = F.trim(value)
     return lookup(F.lower(trimmed), t.COUNTRY_ALIASES, trimmed)

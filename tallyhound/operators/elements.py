@@ -158,12 +158,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def texts_in(nodes: DataFrame, wanted: DataFrame, joiner: str = " ") -> DataFrame:
-    """``page_id, outer, text`` of the ``wanted`` (``page_id, outer, outer_last``): their texts in order, each stripped, without empty ones. Null where there is none."""
-    said = nodes.filter("tag = '#text'").select("page_id", "node", stripped(F.col("content")).alias("said")).filter("said <> ''")
+def texts_in(nodes: DataFrame, wanted: DataFrame, raw: bool = False) -> DataFrame:
+    """``page_id, outer, text`` of the ``wanted`` (``page_id, outer, outer_last``): their texts in order, stripped and joined by a blank; with ``raw`` joined as they
+    are, white space collapsed. What holds no text has no row."""
+    said = stripped(F.col("content"))
+    said = nodes.filter("tag = '#text'").select("page_id", "node", (F.col("content") if raw else said).alias("said"), said.alias("_s")).filter("_s <> ''" if not raw else "said <> ''").drop("_s")
     wanted = wanted.select("page_id", "outer", "outer_last").distinct()
     parts = inside(said, wanted, ["page_id"]).groupBy("page_id", "outer").agg(F.array_sort(F.collect_list(F.struct("node", "said"))).alias("_p"))
-    return parts.select("page_id", "outer", F.array_join(F.transform("_p", lambda p: p["said"]), joiner).alias("text"))
+    text = F.array_join(F.transform("_p", lambda p: p["said"]), "" if raw else " ")
+    return parts.select("page_id", "outer", (stripped(F.regexp_replace(text, r"(?U)\s+", " ")) if raw else text).alias("text"))
 
 
 # --- stored rules -----------------------------------------------------------------------------------------------------------------
