@@ -131,6 +131,21 @@ ROLE_PATTERN = (
     r"vice\s+president\s+of\s+(?:business|business development|growth|partnerships|sales|revenue|product|marketing|operations)|"
     r"director\s+of\s+(?:business development|growth|partnerships|sales|revenue|product|marketing|operations))\b"
 )
+# Roles of contact candidates, tried in this order; names that are roles; inboxes that are nobody's, parts of such, and those worth a look.
+CANDIDATE_ROLES = (
+    r"(?i)\b(co[-\s]?founder|founder)\b", r"(?i)\b(chief executive officer|ceo)\b", r"(?i)\b(chief technology officer|cto)\b", r"(?i)\b(chief operating officer|coo)\b",
+    r"(?i)\b(vp engineering|vice president engineering|vice president of engineering)\b", r"(?i)\b(head of engineering|engineering director|director of engineering)\b",
+    r"(?i)\b(head of product|vp product|vice president product|chief product officer)\b", r"(?i)\b(head of operations|vp operations|vice president operations|operations director)\b",
+    r"(?i)\b(head of talent|vp talent|talent director)\b",
+)
+CANDIDATE_ROLE_NAMES = {"ceo": "CEO", "cto": "CTO", "coo": "COO", "founder": "Founder", "co-founder": "Co-Founder", "co founder": "Co-Founder"}
+ROLE_NAMES = ("Chief Technology", "Chief Executive", "Vice President", "Head Of")
+GENERIC_INBOXES = (
+    "admin", "billing", "careers", "contact", "employment", "hello", "help", "hi", "hiring", "hr", "info", "jobs", "legal", "media", "membership", "office", "press", "privacy",
+    "recruiting", "sales", "security", "support", "team", "talent",
+)
+GENERIC_INBOX_PARTS = ("career", "employ", "hiring", "recruit", "sales", "support", "talent")
+APPROVABLE_INBOXES = ("careers", "contact", "employment", "hello", "hi", "hiring", "hr", "jobs", "recruiting", "talent", "team")
 PERSON_PATTERN = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
 
 # Legal suffixes of company names, and country aliases.

@@ -14,6 +14,7 @@ from tallyhound.functions import columns as c
 from tallyhound.functions import terms as t
 from tallyhound.operators.latest import first_per_key, latest
 from tallyhound.operators.resolve import with_deliverability
+from tallyhound.operators.scoring import candidate_confidence, review_hint
 
 PARSED = "page_id long, url string, title string, meta string, h1 string, links array<struct<href:string,text:string,tag:string,css:string>>, lines array<string>, text string"
 _BLOCKS = frozenset(("p", "div", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "article", "section", "nav", "header", "footer", "ul", "ol", "table"))
@@ -120,11 +121,25 @@ def capture_web_presence(parsed: DataFrame, base: DataFrame | None = None) -> Da
     return rows.unionByName(home)
 
 
-def procurement_contacts(records: DataFrame) -> DataFrame:
-    """Published contacts in tender records (``company_id, source_url, raw_payload``)."""
-    at = lambda p: c.blank_to_null(F.get_json_object("raw_payload", p))
-    rows = records.select("company_id", "source_url", F.lower(at("$.contact.email")).alias("email"), at("$.contact.name").alias("full_name"), c.normalize_phone(at("$.contact.telephone")).alias("phone"))
-    return latest(rows.filter("email IS NOT NULL OR phone IS NOT NULL"), ["company_id", "email", "phone"], F.col("source_url"))
+def procurement_contacts(records: DataFrame, mx_records: DataFrame, order: str = "id") -> DataFrame:
+    """Published contacts of tender records (``id, company_id, domain, source_key, source_type, source_url, raw_payload``): address, name or phone in the payload.
+
+    A company's contact of an address, phone and source URL is taken once, from the last record by ``order``. Records of other source types, and those
+    without any of the three, have none; payload values that aren't text count as absent.
+    """
+    v = F.try_parse_json("raw_payload")
+    told = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", c.blank_to_null(F.trim(F.try_variant_get(v, f"$.{n}", "string"))))
+    rows = records.filter("source_type = 'procurement_discovery'").withColumns({"email": F.lower(told("contact_email")), "full_name": told("contact_name"), "phone": told("contact_phone"), "_source": told("source_url"), "_record": told("source_record_id"), "_portal": F.try_variant_get(v, "$.contact_is_portal", "boolean")})
+    rows = rows.withColumn("email", F.when(F.col("email").contains("@"), F.col("email"))).withColumn("source_url", F.coalesce("source_url", "_source", F.lit("")))
+    rows = rows.filter("email IS NOT NULL OR phone IS NOT NULL OR full_name IS NOT NULL")
+    rows = latest(rows, ["company_id", "email", "phone", "source_url"], F.col(order).desc())
+    rows = with_deliverability(rows, mx_records)
+    kind = F.when(F.col("full_name").isNotNull(), "person").when(F.col("email").isNotNull(), "role_inbox").otherwise("unknown")
+    evidence = F.to_json(F.struct(F.lit("procurement_notice_contact").alias("collector"), F.col("source_key").alias("source"), F.col("_record").alias("source_record_id"), F.col("_portal").alias("contact_is_portal")))
+    return rows.select(
+        "company_id", "email", "full_name", "phone", kind.alias("contact_kind"), F.coalesce(c.email_domain(F.col("email")) == F.lower("domain"), F.lit(False)).alias("on_company_domain"),
+        F.when(F.col("email").isNull(), "no_email").otherwise(F.col("deliverability")).alias("deliverability"), F.lit("procurement_notice").alias("source_type"), "source_url", evidence.alias("raw_evidence"),
+    )
 
 
 def decision_makers(lines: DataFrame) -> DataFrame:
@@ -145,14 +160,43 @@ def page_email_evidence(parsed: DataFrame, domain: str = "domain") -> DataFrame:
     return rows.filter(c.keep_email(F.col("email"), F.col(domain))).select("page_id", F.col("url").alias("source_url"), "email")
 
 
-def contact_candidates(parsed: DataFrame, context: int = 200) -> DataFrame:
-    """Addresses with the line they stand in and the text around, and lines with a role."""
-    lines = parsed.select("page_id", "url", "text", F.posexplode("lines").alias("number", "line"))
-    mails = lines.select("*", F.explode(c.extract_emails(F.col("line"))).alias("email"))
+def contact_candidates(parsed: DataFrame, include_generic: bool = False, include_external: bool = False, approvable: tuple[str, ...] = t.APPROVABLE_INBOXES) -> DataFrame:
+    """Candidates for review from parsed pages of a company (``domain``): addresses of mailto links, those in text, and lines with a role, a name and an address.
+
+    Each has the first line that holds its address, or else the text around it, as excerpt; the role and name told there; the kind of address, a review hint
+    and a confidence. An address is taken once per domain: links first, then text, then lines, by page and place.
+    """
+    clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    linked = F.transform(F.filter("links", lambda x: F.lower(x["href"]).startswith("mailto:")), lambda x: F.substring(x["href"], F.lit(8), F.length(x["href"])))
+    linked = F.array_distinct(F.transform(linked, lambda x: F.lower(F.trim(F.get(F.split(F.coalesce(F.try_url_decode(x), x), "[?;]"), 0)))))
+    linked = F.filter(linked, lambda e: F.size(c.extract_emails(e)) > 0)
+    role_lines = F.filter("lines", lambda x: x.rlike("|".join(t.CANDIDATE_ROLES)) & x.contains("@"))
+    item = lambda how, place, email, line: F.struct(F.lit(how).alias("place"), place.alias("index"), email.alias("email"), line.alias("line"))
+    none = F.lit(None).cast("string")
+    found = F.concat(F.transform(linked, lambda e, i: item(0, i, e, none)), F.transform(c.extract_emails(F.col("text")), lambda e, i: item(1, i, e, none)), F.transform(role_lines, lambda x, i: item(2, i, F.get(c.extract_emails(x), 0), x)))
+    rows = parsed.select("page_id", "url", "domain", "lines", "text", F.explode(found).alias("f")).select("page_id", "url", "domain", "lines", "text", "f.*").filter("email IS NOT NULL")
+    rows = rows.filter(c.keep_email(F.col("email"), F.col("domain"), t.GENERIC_INBOXES, include_generic=include_generic, include_external=include_external))
+    line = F.coalesce("line", F.get(F.filter("lines", lambda x: F.contains(F.lower(x), F.col("email"))), 0))
     where = F.expr("locate(email, lower(text))")
-    mails = mails.select("page_id", "url", "number", "line", "email", F.lit("regex_email").alias("extraction"), F.substring("text", F.greatest(F.lit(1), where - context), F.lit(2 * context) + F.length("email")).alias("source_excerpt"))
-    roles = lines.filter((F.length("line") <= 240) & F.col("line").rlike(t.ROLE_PATTERN)).select("page_id", "url", "number", "line", F.lit(None).cast("string").alias("email"), F.lit("role_line").alias("extraction"), F.col("line").alias("source_excerpt"))
-    return mails.unionByName(roles)
+    near = F.when(where > 0, clean(F.substring("text", F.greatest(F.lit(1), where - 180), F.least(where - 1, F.lit(180)) + 220)))
+    rows = rows.withColumns({"_line": line, "_near": near})
+    role = lambda x: F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), p, 1), F.lit("")) for p in t.CANDIDATE_ROLES))
+    titled = lambda r: F.coalesce(c.lookup(F.lower(clean(r)), t.CANDIDATE_ROLE_NAMES), F.initcap(clean(r)))
+    names = F.regexp_extract_all(F.replace(F.coalesce("_line", F.lit("")), F.col("email"), F.lit(" ")), F.lit(t.PERSON_PATTERN), F.lit(1))
+    name = F.get(F.filter(names, lambda n: ~n.isin(*t.ROLE_NAMES)), 0)
+    rows = rows.withColumns({"role": titled(F.coalesce(role(F.col("_line")), role(F.col("_near")))), "full_name": name})
+    rows = rows.filter("place < 2 OR (full_name IS NOT NULL AND role IS NOT NULL)")
+    generic = c.generic_local_part(F.substring_index("email", "@", 1), t.GENERIC_INBOXES, t.GENERIC_INBOX_PARTS)
+    own = F.coalesce(c.email_domain(F.col("email")) == F.lower("domain"), F.lit(False))
+    how = F.when(F.col("place") == 0, "mailto_link").when(F.col("place") == 1, "email_regex").otherwise("role_line_with_email")
+    rows = rows.withColumns({"_generic": generic, "is_company_domain_email": own, "extraction": how, "has_name_evidence": F.col("full_name").isNotNull(), "has_role_evidence": F.col("role").isNotNull()})
+    kind = F.when(~F.col("is_company_domain_email"), "external_email").when(F.col("_generic") == "", "direct_person").when(F.col("_generic").isin(*approvable), "generic_inbox").otherwise("low_value_generic_inbox")
+    rows = first_per_key(rows.withColumns({"candidate_type": kind, "_order": F.struct("page_id", "place", "index")}), ["domain", "email"], "_order")
+    hint = review_hint(F.col("candidate_type"), F.col("has_name_evidence"), F.col("has_role_evidence"), F.col("extraction"))
+    return rows.withColumn("_h", hint).select(
+        "page_id", F.col("url").alias("source_url"), "domain", "email", "full_name", "role", "extraction", F.substring(clean(F.coalesce("_line", "_near")), 1, 500).alias("source_excerpt"), "candidate_type", (F.col("_generic") != "").alias("is_generic_email"),
+        "is_company_domain_email", "has_name_evidence", "has_role_evidence", F.col("_h.recommended_status").alias("recommended_status"), F.col("_h.hint").alias("review_hint"), candidate_confidence(F.col("full_name"), F.col("role"), F.col("email")).alias("confidence"),
+    )
 
 
 def page_facts(parsed: DataFrame, words: tuple[str, ...], most: int = 5) -> DataFrame:
@@ -208,19 +252,6 @@ def extract_jobs_from_html(parsed: DataFrame, most: int = 50) -> DataFrame:
     return first_per_key(rows, ["page_id", "title", "job_url"], "index")
 
 
-def apply_selectors(parsed: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stored rules (``source_key, css, page_host``) replayed on page links: jobs found per page and whether the page succeeded."""
-    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1))
-    pages = parsed.withColumn("_host", host).join(rules.withColumnRenamed("css", "_css"), F.col("_host") == F.col("page_host"))
-    n = F.size(F.filter("links", lambda x: F.array_contains(F.split(x["css"], r"\s+"), F.col("_css"))))
-    return pages.select("source_key", "page_id", n.alias("jobs")).withColumn("ok", F.col("jobs") > 0)
-
-
-def condense_html(parsed: DataFrame, budget: int) -> DataFrame:
-    """Text of pages for a model, up to its budget."""
-    return parsed.select("page_id", "url", F.substring(F.array_join("lines", "\n"), 1, budget).alias("condensed"))
-
-
 def verified_provider_rows(df: DataFrame, most: int) -> DataFrame:
     """Provider rows with a valid, verified address: once per address, at most so many per company."""
     from tallyhound.operators.latest import top_per_key

@@ -660,8 +660,4 @@ def contacts_capped(spark, sf):
     return w.top_per_key(load(spark, sf, "contacts")[0], ["company_id"], 2, F.col("confidence").desc(), F.col("id")).select("company_id", "id", "email")
 
 
-# earlier names of the same queries
-for _name in ("attested_quotes", "identity_resolution", "message_facts", "probe_targets"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
-
-from tallyhound import queries_intake, queries_targets  # noqa: E402,F401  register their queries
+from tallyhound import queries_intake, queries_pages, queries_targets  # noqa: E402,F401  register their queries

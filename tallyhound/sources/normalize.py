@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions import columns as c
 from tallyhound.functions import terms as t
 from tallyhound.operators.latest import first_per_key
+from tallyhound.store import drop_shared, write_shared
 
 
 def alias(*names: str) -> Column:
@@ -44,20 +45,32 @@ def normalize_funding_items(df: DataFrame, feed: str, blocked: tuple[str, ...] =
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("index", "reason")
 
 
-def flatten_comment_tree(df: DataFrame, id: str = "id", parent: str = "parent", root: str = "root") -> DataFrame:
-    """``root, id, depth, path`` of all comments below the roots (rows without parent), in depth-first order of ``path``.
+def flatten_comment_tree(df: DataFrame, id: str = "id", parent: str = "parent", position: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``root, id, depth, path, place`` of all comments, roots (rows without parent) included; and ``id, reason`` of the rejects.
 
-    Levels are joined one after another; the loop ends with the deepest level.
+    ``path`` has the ids from the root; ordered by ``place`` (the positions of those among their siblings), comments of a root stand depth first. Siblings are ordered
+    by ``position``, or their ids. Paths are doubled: every step joins what is known up to an ancestor with what that ancestor knows, so a thread of
+    depth d takes log(d) stored steps. Rejected by name: ``missing_id``; ``repeated_id`` (the first by position stays); ``missing_parent``, for all below it too; and
+    ``cycle``, for what leads into one.
     """
-    edges = df.select(F.col(id).alias("id"), F.col(parent).alias("parent"))
-    level = edges.filter("parent IS NULL").select(F.col("id").alias(root), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out, n = level, 0
-    while not level.isEmpty():
-        n += 1
-        above = level.select(root, F.col("id").alias("_p"), "path")
-        level = edges.join(above, F.col("parent") == F.col("_p")).select(root, "id", F.lit(n).alias("depth"), F.concat("path", F.array("id")).alias("path"))
-        out = out.unionByName(level)
-    return out
+    rows = df.select(F.col(id).alias("id"), F.col(parent).alias("up"), F.col(position or id).alias("_at"))
+    bad = rows.filter("id IS NULL").select("id", F.lit("missing_id").alias("reason"))
+    rows = rows.filter("id IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("_at", "up")))
+    bad = bad.unionByName(rows.filter("_n > 1").select("id", F.lit("repeated_id").alias("reason")))
+    rows = rows.filter("_n = 1").withColumn("_n", F.row_number().over(Window.partitionBy("up").orderBy("_at", "id")))
+    known = rows.select(F.col("id").alias("_id"))
+    rows = rows.join(known, F.col("up") == F.col("_id"), "left").select("id", "up", F.when(F.col("up").isNotNull() & F.col("_id").isNull(), "missing_parent").alias("reason"), F.array("id").alias("path"), F.array("_n").alias("place"))
+    now = write_shared(rows.withColumn("up", F.when(F.col("reason").isNull(), F.col("up"))), "comment-paths")
+    open_, before = now.filter("up IS NOT NULL").count(), None
+    while open_ and open_ != before:
+        above = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("reason").alias("_r"), F.col("path").alias("_p"), F.col("place").alias("_q"))
+        step = now.filter("up IS NOT NULL").join(above, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), F.col("_r").alias("reason"), F.concat("_p", "path").alias("path"), F.concat("_q", "place").alias("place"))
+        after = write_shared(now.filter("up IS NULL").unionByName(step), "comment-paths")
+        drop_shared(now)
+        now, before = after, open_
+        open_ = now.filter("up IS NOT NULL").count()  # falls with every step until only what leads into a cycle is left
+    bad = bad.unionByName(now.filter("up IS NOT NULL OR reason IS NOT NULL").select("id", F.coalesce("reason", F.lit("cycle")).alias("reason")))
+    return now.filter("up IS NULL AND reason IS NULL").select(F.get("path", 0).alias("root"), "id", (F.size("path") - 1).alias("depth"), "path", "place"), bad
 
 
 def normalize_hiring_posts(df: DataFrame, tlds: tuple[str, ...], blocked: tuple[str, ...] = t.NON_COMPANY_HOSTS, least: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -177,30 +190,3 @@ def normalize_directory_companies(df: DataFrame, regions: tuple[str, ...] = (),
     rows = df.select("index", c.display_name(F.col("name")).alias("company_name"), c.normalize_domain(F.col("website")).alias("domain"), "regions", F.col("team_size").cast("int").alias("employee_count"), "batch", F.col("one_liner").alias("description"))
     rows = rows.filter("company_name IS NOT NULL AND domain IS NOT NULL").filter(F.coalesce("employee_count", F.lit(0)) >= min_employees)
     return rows.filter(F.exists("regions", lambda r: c.has_any(F.lower(r), [x.lower() for x in regions]))) if regions else rows
-
-
-FOUNDER = "array<struct<name:string,full_name:string,title:string,linkedin_url:string,twitter_url:string,founder_bio:string>>"
-
-
-def extract_founders(pages: DataFrame, json_paths: tuple[str, ...] = ("$.props.company.founders", "$.company.founders", "$.founders")) -> DataFrame:
-    """Founders in pages' embedded JSON (``page_id, json``) at declared paths, once per lower-case name."""
-    found = F.coalesce(*(F.from_json(F.get_json_object("json", p), FOUNDER) for p in json_paths))
-    rows = pages.select("page_id", F.posexplode(found).alias("index", "f")).select("page_id", "index", c.display_name(F.coalesce("f.full_name", "f.name")).alias("name"), F.col("f.title").alias("role"), F.col("f.linkedin_url").alias("linkedin_url"), F.col("f.twitter_url").alias("x_url"), F.col("f.founder_bio").alias("bio")).filter("name IS NOT NULL").withColumn("_k", F.lower("name"))
-    return first_per_key(rows, ["page_id", "_k"], "index").drop("_k", "index")
-
-
-#: Layouts of portfolio pages: a pattern per company with groups for link and name.
-LAYOUTS = {
-    "cards": r"(?is)<a[^>]+href=\"(https?://[^\"]+)\"[^>]*class=\"[^\"]*card[^\"]*\"[^>]*>\s*<h\d[^>]*>([^<]+)</h\d>",
-    "list": r"(?is)<li[^>]*>\s*<a[^>]+href=\"(https?://[^\"]+)\"[^>]*>([^<]+)</a>",
-    "table": r"(?is)<td[^>]*>\s*<a[^>]+href=\"(https?://[^\"]+)\"[^>]*>([^<]+)</a>",
-    "headings": r"(?is)<h\d[^>]*>\s*<a[^>]+href=\"(https?://[^\"]+)\"[^>]*>([^<]+)</a>",
-}
-
-
-def parse_portfolio_pages(pages: DataFrame, layout: str) -> DataFrame:
-    """Companies of portfolio pages (``page_id, html``) in one of four layouts, once per page and lower-case name."""
-    pattern = F.lit(LAYOUTS[layout])
-    both = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("url"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("name"))
-    rows = pages.select("page_id", F.posexplode(both).alias("index", "x")).select("page_id", "index", F.col("x.url").alias("website"), c.normalize_domain(F.col("x.url")).alias("domain"), c.display_name(F.col("x.name")).alias("company_name")).withColumn("_k", F.lower("company_name"))
-    return first_per_key(rows.filter("company_name IS NOT NULL"), ["page_id", "_k"], "index").drop("_k")

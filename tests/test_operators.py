@@ -208,7 +208,7 @@ def test_sources(spark, tmp_path):
     good, _ = normalize.normalize_funding_items(items, "feed", blocked=("news.com",))
     assert rows(good.select("company_name", "domain")) == [("Acme", "acme.com")]
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "id int, parent int")
-    assert rows(normalize.flatten_comment_tree(tree).select("id", "depth"), "path") == [(1, 0), (2, 1), (3, 2), (4, 1)]
+    assert rows(normalize.flatten_comment_tree(tree)[0].select("id", "depth"), "path") == [(1, 0), (2, 1), (3, 2), (4, 1)]
     raw = '{"ocid":"o","parties":[{"name":"Council","roles":["buyer"],"details":{"url":"https://portal.gov"},"contactPoint":{"email":"x@council.org"}}],"tender":{"title":"T","classification":{"id":"72000000"}}}'
     got = normalize.normalize_tenders_ocds(spark.createDataFrame([(raw,)], "raw string"), ("72",), ("portal.gov",)).first()
     assert (got.company_name, got.domain, got.contact_email, got.event_summary) == ("Council", "council.org", "x@council.org", "T | 72000000")
@@ -238,7 +238,7 @@ def test_queries_over_whole_tables(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     companies, jobs, records, lines = load(spark, sf, "companies", "jobs", "records", "conversations")
     busy = {r.company_id for r in jobs.select("company_id").distinct().collect()}
-    assert not busy & {r.id for r in queries.QUERIES["probe_targets_whole"](spark, sf).collect()}
+    assert not busy & {r.id for r in queries.QUERIES["probe_targets"](spark, sf).collect()}
     assert queries.QUERIES["identity_resolution_whole"](spark, sf).count() == records.count()
     known = {r.id for r in companies.select("id").collect()}
     turns = {(r.conv_id, r.turn) for r in lines.collect() if r.conv_id in known and r.text is not None}
