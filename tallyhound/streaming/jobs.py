@@ -1,62 +1,171 @@
-"""Structured Streaming jobs over landed files. Every job writes through an idempotent step, so a replayed batch changes nothing."""
+"""Structured Streaming jobs over landed files. Every job writes through an idempotent step, so a replayed batch changes nothing.
+
+Event time is kept per key: a key's clock is the latest event time of its earlier batches, and rows more than the delay behind it are late. They go to a
+side table; nothing is dropped silently, which a watermark of the whole query would do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tallyhound.functions import columns as c
+from tallyhound.operators.latest import latest
+from tallyhound.store import BucketedTable
+
+RECORD_KEYS = ["source_id", "source_record_id", "content_hash"]
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_landed(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_ingest(records: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """Appends records whose ``source_id, source_record_id, content_hash`` the table doesn't have; a replayed batch finds its own rows there.
+def stream_ingest(records: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, buckets: int = 256):
+    """Keeps records whose ``source_id, source_record_id, content_hash`` the table (:class:`~tallyhound.store.BucketedTable`) doesn't have, the first of each; null keys are
+    equal. A batch reads and writes the buckets of its own keys; a replayed one finds its rows there.
 
     ``on_batch`` gets the whole batch, each key once, also on a replay: what it does must bear being done twice."""
     spark = records.sparkSession
-    keys = ["source_id", "source_record_id", "content_hash"]
+
+    def once(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        if stored is None:
+            return batch
+        same = [batch[k].eqNullSafe(stored[k]) for k in RECORD_KEYS]
+        return stored.unionByName(batch.join(stored, same, "left_anti"))
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(keys)
-        try:
-            stored = spark.read.parquet(table).select(*keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.select(*keys).limit(0)
-        fresh = batch.join(stored, keys, "left_anti")
-        fresh.write.mode("append").parquet(table)
+        batch = batch.dropDuplicates(RECORD_KEYS)
+        BucketedTable(spark, table, RECORD_KEYS, buckets).merge(batch, once)
         if on_batch:
             on_batch(batch, number)
 
     return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+class _Clocked(StatefulProcessor):
+    """A key's clock in microseconds. Subclasses get a batch's rows in time order, late ones apart."""
+
+    def __init__(self, time: str, delay: str) -> None:
+        self.time, self.delay = time, int(pd.Timedelta(delay).total_seconds() * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows), ignore_index=True)
+        at = pd.to_datetime(seen[self.time])
+        micros = at.astype("datetime64[us]").astype("int64").where(at.notna(), other=-1)
+        before = self.clock.get()[0] if self.clock.exists() else None
+        late = (at.notna() & (micros < before - self.delay)) if before is not None else pd.Series(False, index=seen.index)
+        now = max([before if before is not None else -1, *micros[~late].tolist()])
+        seen = seen.assign(_at=micros.where(at.notna(), other=now), late=late).sort_values("_at", kind="stable")
+        if now >= 0:
+            self.clock.update((now,))
+        out = [x for x in (self.work(key, seen[~seen["late"]], now), self.gone(seen[seen["late"]])) if x is not None and len(x)]
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
+class _Once(_Clocked):
+    """Remembers what a company's signals were within the delay, and passes each once."""
+
+    columns = ("signal_type", "source", "source_url")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getMapState("known", "signal_type string, source string, source_url string", "at long")
+
+    def work(self, key, rows: pd.DataFrame, now: int) -> pd.DataFrame:
+        fresh = []
+        for name, at in zip(zip(*(rows[x].where(rows[x].notna(), "") for x in self.columns), strict=True), rows["_at"], strict=True):
+            first = not self.known.containsKey(name)
+            fresh.append(first)
+            if first:
+                self.known.updateValue(name, (int(at),))
+        for name, (at,) in list(self.known.iterator()):
+            if at < now - self.delay:
+                self.known.removeKey(name)
+        return self.gone(rows[pd.Series(fresh, index=rows.index, dtype=bool)])
+
+    def gone(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop(columns="_at")
+
+
 def stream_dedupe_signals(signals: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Signals once per company, type, source and URL within the watermark's delay."""
-    named = signals.withColumn("source_url", F.coalesce("source_url", F.lit("")))
-    return named.withWatermark("detected_at", delay).dropDuplicatesWithinWatermark(["company_id", "signal_type", "source", "source_url"])
+    """Signals once per company, type, source and URL (null as empty) within the delay, and late ones with ``late`` set; needs the RocksDB state store.
+
+    The columns are those of ``signals``. State is what a company had within the delay. A null time counts as the company's latest."""
+    schema = StructType([*signals.schema.fields, StructField("late", BooleanType())])
+    return signals.groupBy("company_id").transformWithStateInPandas(_Once("detected_at", delay), schema, "Append", "None")
+
+
+class _Spikes(_Clocked):
+    """Counts of a board's relevant roles by time. A time is settled once the clock has passed it by the delay; then its window is counted."""
+
+    def __init__(self, least: int, window: str, delay: str) -> None:
+        super().__init__("first_seen_at", delay)
+        self.least, self.window = least, int(pd.Timedelta(window).total_seconds() * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.counts = handle.getMapState("counts", "at long", "n int")
+        self.settled = handle.getValueState("settled", "at long")
+
+    def work(self, key, rows: pd.DataFrame, now: int) -> pd.DataFrame | None:
+        for at, n in rows.loc[rows["first_seen_at"].notna(), "_at"].value_counts().items():
+            have = self.counts.getValue((int(at),)) if self.counts.containsKey((int(at),)) else (0,)
+            self.counts.updateValue((int(at),), (have[0] + int(n),))
+        upto, done = now - self.delay, self.settled.get()[0] if self.settled.exists() else -(1 << 62)
+        times = pd.Series({k[0]: v[0] for k, v in self.counts.iterator()}).sort_index()
+        out = []
+        for at in times.index[(times.index >= done) & (times.index < upto)]:
+            n = int(times[(times.index > at - self.window) & (times.index <= at)].sum())
+            if n >= self.least:
+                out.append((*key, pd.Timestamp(at - self.window, unit="us"), pd.Timestamp(at, unit="us"), n, False))
+        if upto > done:
+            self.settled.update((upto,))
+            for at in times.index[times.index <= upto - self.window]:
+                self.counts.removeKey((int(at),))
+        return pd.DataFrame(out, columns=SPIKE_COLUMNS) if out else None
+
+    def gone(self, rows: pd.DataFrame) -> pd.DataFrame:
+        at = pd.to_datetime(rows["first_seen_at"])
+        return pd.DataFrame({"company_id": rows["company_id"], "ats_provider": rows["ats_provider"], "ats_board_id": rows["ats_board_id"], "window_start": at, "window_end": at, "job_count": 1, "late": True})[SPIKE_COLUMNS]
+
 
+SPIKE_COLUMNS = ["company_id", "ats_provider", "ats_board_id", "window_start", "window_end", "job_count", "late"]
 
-def split_late(rows: DataFrame, time: str, watermark: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and late ones for the side table; nothing is dropped silently."""
-    late = F.col(time) < watermark
-    return rows.filter(~late | F.col(time).isNull()), rows.filter(late)
 
+def stream_spikes(jobs: DataFrame, least: int = 3, delay: str = "2 days", window: str = "30 days") -> DataFrame:
+    """``window_start, window_end, job_count`` for every time at which a board has at least ``least`` relevant roles first seen in the ``window`` up to it; needs the
+    RocksDB state store.
 
-def stream_spikes(jobs: DataFrame, least: int = 3, delay: str = "2 days") -> DataFrame:
-    """Boards with at least ``least`` relevant roles first seen in a sliding window of 30 days."""
-    rows = jobs.filter(c.is_relevant_role(F.col("title"), F.col("department"))).withWatermark("first_seen_at", delay)
-    counted = rows.groupBy(F.window("first_seen_at", "30 days", "1 day").alias("w"), "company_id", "ats_provider", "ats_board_id").agg(F.count("*").alias("job_count"))
-    return counted.filter(F.col("job_count") >= least).select("company_id", "ats_provider", "ats_board_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "job_count")
+    A time is counted once, when the board's clock has passed it by ``delay``, so the last times of a board wait for the next. Late roles come as rows with
+    ``late`` set. State is a board's counts by time within window and delay: a role makes one entry, not one for each window that holds it. Roles without time are ignored."""
+    rows = jobs.filter(c.is_relevant_role(F.col("title"), F.col("department"))).select("company_id", "ats_provider", "ats_board_id", "first_seen_at")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in SPIKE_COLUMNS[:3]) + f", window_start {kinds['first_seen_at']}, window_end {kinds['first_seen_at']}, job_count int, late boolean"
+    return rows.groupBy("company_id", "ats_provider", "ats_board_id").transformWithStateInPandas(_Spikes(least, window, delay), schema, "Append", "None")
+
+
+def write_with_late(rows: DataFrame, table: str, late_table: str, checkpoint: str):
+    """Writes a stream with a ``late`` column to two tables, each batch in its own folder, so that a replayed batch replaces itself."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for late, path in ((False, table), (True, late_table)):
+            batch.filter(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 MISSING = "board string, external_job_id string, missing_since timestamp, missing_count int, is_active boolean"
@@ -95,41 +204,20 @@ def stream_missing_jobs(snapshots: DataFrame, threshold: int = 2) -> DataFrame:
     return snapshots.groupBy("board").transformWithStateInPandas(MissingJobs(threshold), MISSING, "Append", "None")
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    """Numbers of the complete versions of a table, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(path)]
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and files.exists(done(f"{table}/{n}/_SUCCESS")))
-
-
 def latest_scores(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest complete version of a table of :func:`stream_latest_score`; None before the first."""
-    found = _versions(spark, table)
-    return spark.read.parquet(f"{table}/batch={found[-1]}") if found else None
+    """The table of :func:`stream_latest_score` as it is; None before the first batch."""
+    return BucketedTable(spark, table, ["company_id"]).read()
 
 
-def stream_latest_score(scores: DataFrame, table: str, checkpoint: str):
-    """Keeps the latest score per company in ``table``.
-
-    Each batch is merged with the newest complete version and written as the next; readers take the newest that is complete
-    (:func:`latest_scores`), and all but the last two are removed. Merging a batch again changes nothing, so a replay, and a new checkpoint
-    over an old table, give the same.
-    """
+def stream_latest_score(scores: DataFrame, table: str, checkpoint: str, buckets: int = 256):
+    """Keeps the latest score per company in ``table`` (:class:`~tallyhound.store.BucketedTable`): a batch rewrites the buckets of its own companies. Merging a
+    batch again changes nothing, so a replay, and a new checkpoint over an old table, give the same."""
     spark = scores.sparkSession
 
+    def newest(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return latest(batch if stored is None else stored.unionByName(batch), ["company_id"], F.col("calculated_at").desc(), F.col("id").desc())
+
     def step(batch: DataFrame, number: int) -> None:
-        from tallyhound.operators.latest import latest
-
-        stored, found = latest_scores(spark, table), _versions(spark, table)
-        both = batch if stored is None else stored.unionByName(batch)
-        merged = latest(both, ["company_id"], F.col("calculated_at").desc(), F.col("id").desc())
-        merged.write.mode("overwrite").parquet(f"{table}/batch={found[-1] + 1 if found else 0}")
-        for old in found[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        BucketedTable(spark, table, ["company_id"], buckets).merge(batch, newest)
 
     return scores.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -239,10 +239,10 @@ def test_queries_over_whole_tables(spark, monkeypatch):
     companies, jobs, records, lines = load(spark, sf, "companies", "jobs", "records", "conversations")
     busy = {r.company_id for r in jobs.select("company_id").distinct().collect()}
     assert not busy & {r.id for r in queries.QUERIES["probe_targets"](spark, sf).collect()}
-    assert queries.QUERIES["identity_resolution_whole"](spark, sf).count() == records.count()
+    assert queries.QUERIES["identity_resolution"](spark, sf).count() == records.count()
     known = {r.id for r in companies.select("id").collect()}
     turns = {(r.conv_id, r.turn) for r in lines.collect() if r.conv_id in known and r.text is not None}
-    told = queries.QUERIES["message_facts_whole"](spark, sf).collect()
+    told = queries.QUERIES["message_facts"](spark, sf).collect()
     assert {(r.company_id, 3 * r.part + k) for r in told for k in range(3) if r[f"turn_{k}"] is not None} == turns
     stored, merge, insert = [], queries.u.merge_fill_nulls, queries.g.insert_signal_once
     monkeypatch.setattr(queries.u, "merge_fill_nulls", lambda new, old, *x: stored.append(old.count()) or merge(new, old, *x))

@@ -1,64 +1,125 @@
 """Streaming jobs over files, run to their end."""
 
-from datetime import datetime
+import os
+from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhound.store import BucketedTable
 from tallyhound.streaming import jobs
 
+SIGNALS = "company_id string, signal_type string, source string, source_url string, detected_at timestamp_ntz"
+JOBS = "company_id string, ats_provider string, ats_board_id string, title string, department string, first_seen_at timestamp_ntz"
+DAY = datetime(2024, 1, 1)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set(*jobs.ROCKSDB)
+    yield
+    spark.conf.unset(jobs.ROCKSDB[0])
+
+
+def play(spark, path, parts, schema, start):
+    """Lands one file after another; the job is restarted for each."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        start(jobs.read_landed(spark, f"{path}/in", schema, files_per_batch=1)).trigger(availableNow=True).start().awaitTermination(200)
+
 
 def test_ingest_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([("s", "1", "h1"), ("s", "1", "h1"), ("s", "2", "h2")], "source_id string, source_record_id string, content_hash string")
-    df.write.parquet(f"{tmp_path}/in")
-    for run in range(2):
-        stream = jobs.read_landed(spark, f"{tmp_path}/in", df.schema)
-        jobs.stream_ingest(stream, f"{tmp_path}/table", f"{tmp_path}/check{run}").trigger(availableNow=True).start().awaitTermination(60)
-    assert spark.read.parquet(f"{tmp_path}/table").count() == 2
-
-
-def test_dedupe_and_spikes(spark, tmp_path):
-    at = datetime(2024, 1, 5)
-    sig = spark.createDataFrame([("c", "T", "s", None, at), ("c", "T", "s", "", at), ("c", "U", "s", None, at)], "company_id string, signal_type string, source string, source_url string, detected_at timestamp")
-    sig.write.parquet(f"{tmp_path}/sig")
-    out = jobs.stream_dedupe_signals(jobs.read_landed(spark, f"{tmp_path}/sig", sig.schema))
-    out.writeStream.format("memory").queryName("sig").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c1").start().awaitTermination(60)
-    assert spark.table("sig").count() == 2
-    rows = spark.createDataFrame([("c", "p", "b", "Engineer", None, at)] * 3, "company_id string, ats_provider string, ats_board_id string, title string, department string, first_seen_at timestamp")
-    rows.write.parquet(f"{tmp_path}/jobs")
-    out = jobs.stream_spikes(jobs.read_landed(spark, f"{tmp_path}/jobs", rows.schema))
-    out.writeStream.format("memory").queryName("spikes").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start().awaitTermination(60)
-    assert spark.table("spikes").count() == 30
-
-
-def test_latest_score(spark, tmp_path):
-    df = spark.createDataFrame([(1, "c", 5, datetime(2024, 1, 1)), (2, "c", 7, datetime(2024, 1, 2)), (3, "d", 1, datetime(2024, 1, 1))], "id long, company_id string, total_score int, calculated_at timestamp")
-    df.write.parquet(f"{tmp_path}/in")
-    jobs.stream_latest_score(jobs.read_landed(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/table", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
-    got = spark.read.parquet(f"{tmp_path}/table/batch=0").collect()
-    assert sorted((r.company_id, r.total_score) for r in got) == [("c", 7), ("d", 1)]
+    kind = "source_id string, source_record_id string, content_hash string, n int"
+    parts = [[("s", "1", "h1", 0), ("s", "1", "h1", 0), ("s", "2", "h2", 0), (None, "3", "h", 0)], [("s", "2", "h2", 1), (None, "3", "h", 1), ("s", "2", "h3", 1)]]
+    heard = []
+    for run in range(2):  # the second run replays all with a checkpoint of its own
+        play(spark, tmp_path, parts if run == 0 else [], kind, lambda s: jobs.stream_ingest(s, f"{tmp_path}/table", f"{tmp_path}/check{run}", lambda df, k: heard.append(df.count())))  # noqa: B023
+        if run:
+            jobs.stream_ingest(jobs.read_landed(spark, f"{tmp_path}/in", kind), f"{tmp_path}/table", f"{tmp_path}/check1").trigger(availableNow=True).start().awaitTermination(200)
+        got = BucketedTable(spark, f"{tmp_path}/table", jobs.RECORD_KEYS).read().collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([("s", "1", "h1", 0), ("s", "2", "h2", 0), (None, "3", "h", 0), ("s", "2", "h3", 1)], key=repr)
+    assert heard == [3, 3]
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    """What a batch of one key reads and writes is one bucket, however many there are."""
+    table = BucketedTable(spark, f"{tmp_path}/t", ["k"], 32)
+    every = spark.range(5000).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    read = []
+
+    def newest(stored, batch):
+        if stored is not None:
+            read.append((len(stored.inputFiles()), stored.count()))
+        return batch if stored is None else batch.unionByName(stored.join(batch, "k", "left_anti"))
+
+    assert len(table.merge(every, newest)) == 32
+    before = {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    touched = table.merge(spark.createDataFrame([(77, 1)], "k long, v int"), newest)
+    assert len(touched) == 1 and read[0][0] == 1 and read[0][1] < 300
+    fresh = [p for p in tmp_path.rglob("*.parquet") if str(p) not in before]
+    assert len(fresh) == 1 and all(p in {str(x) for x in tmp_path.rglob("*.parquet")} for p in before)
+    assert table.merge(spark.createDataFrame([(77, 1)], "k long, v int"), newest) == touched
+    again = BucketedTable(spark, f"{tmp_path}/t", ["k"], 8)  # the table's own number of buckets counts
+    assert again.buckets == 32 and again.read().count() == 5000 and [r.v for r in again.read().filter("k = 77").collect()] == [1]
+    for i in range(3):
+        again.merge(spark.createDataFrame([(77, i)], "k long, v int"), newest)
+    assert len([d for d in os.listdir(f"{tmp_path}/t/_manifest") if d.endswith(".json")]) == 2 and len(list(tmp_path.rglob(f"_bucket={touched[0]}"))) == 2
+    assert again.read([touched[0]]).count() == read[0][1] and again.merge(every.limit(0), newest) == []
+
+
+def test_a_half_written_version_doesnt_count(spark, tmp_path):
+    table = BucketedTable(spark, f"{tmp_path}/t", ["k"], 4)
+    put = lambda stored, batch: batch
+    table.merge(spark.createDataFrame([(1, 1)], "k long, v int"), put)
+    spark.createDataFrame([(1, 9, 0)], "k long, v int, _bucket int").write.partitionBy("_bucket").parquet(f"{tmp_path}/t/v=1")  # a writer that died
+    assert [tuple(r) for r in table.read().collect()] == [(1, 1)]
+    table.merge(spark.createDataFrame([(1, 2)], "k long, v int"), put)
+    assert [tuple(r) for r in table.read().collect()] == [(1, 2)]
+
+
+def test_signals_once_and_late_ones_aside(spark, tmp_path, rocksdb):
+    at = lambda d: DAY + timedelta(days=d)
+    parts = [
+        [("c", "T", "s", None, at(0)), ("c", "T", "s", "", at(1)), ("c", "U", "s", None, at(0)), ("d", "T", "s", None, at(0))],
+        [("c", "T", "s", None, at(20)), ("c", "V", "s", None, at(40)), ("c", "W", "s", None, None), ("d", "T", "s", "u", at(-50))],
+        [("c", "X", "s", None, at(5)), ("c", "T", "s", None, at(41)), ("d", "T", "s", None, at(1))],  # X is late for c; T of c is forgotten by now
+    ]
+    start = lambda s: jobs.write_with_late(jobs.stream_dedupe_signals(s), f"{tmp_path}/main", f"{tmp_path}/late", f"{tmp_path}/c")
+    play(spark, tmp_path, parts, SIGNALS, start)
+    got = sorted((r.company_id, r.signal_type, r.source_url, r.detected_at) for r in spark.read.parquet(f"{tmp_path}/main").filter("detected_at IS NOT NULL").collect())
+    assert [(x[0], x[1], x[3]) for x in got] == [("c", "T", at(0)), ("c", "T", at(41)), ("c", "U", at(0)), ("c", "V", at(40)), ("d", "T", at(0))]
+    assert [r.signal_type for r in spark.read.parquet(f"{tmp_path}/main").filter("detected_at IS NULL").collect()] == ["W"]
+    assert sorted((r.company_id, r.signal_type) for r in spark.read.parquet(f"{tmp_path}/late").collect()) == [("c", "X"), ("d", "T")]
+
+
+def test_spikes_and_late_roles(spark, tmp_path, rocksdb):
+    at = lambda d: DAY + timedelta(days=d)
+    job = lambda d, title="Engineer", board="b": ("c", "p", board, title, None, at(d))
+    parts = [[job(0), job(1), job(2), job(2, "Cook"), job(0, board="e")], [job(1.5), job(40), job(31.9)], [job(10), job(50), job(39.5), job(60, board="e")]]
+    start = lambda s: jobs.write_with_late(jobs.stream_spikes(s), f"{tmp_path}/main", f"{tmp_path}/late", f"{tmp_path}/c")
+    play(spark, tmp_path, parts, JOBS, start)
+    got = sorted((r.ats_board_id, r.window_end, r.job_count) for r in spark.read.parquet(f"{tmp_path}/main").collect())
+    # settled by the end: days below 48 of b; each role counts in every window that it is in, once
+    assert got == [("b", at(1.5), 3), ("b", at(2), 4), ("b", at(40), 3)]
+    assert [(r.ats_board_id, r.window_end) for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [("b", at(10))]
 
 
 def test_latest_score_over_batches_and_restarts(spark, tmp_path):
     kind = "id long, company_id string, total_score int, calculated_at timestamp"
     rows = [[(1, "c", 5, datetime(2024, 1, 1)), (3, "d", 1, datetime(2024, 1, 1))], [(2, "c", 7, datetime(2024, 1, 2))], [(4, "d", 9, datetime(2023, 1, 1)), (5, "e", 2, datetime(2024, 1, 1))]]
-    for k, part in enumerate(rows):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        # the last run starts from a checkpoint of its own: all batches come again
-        stream = jobs.read_landed(spark, f"{tmp_path}/in", kind, files_per_batch=1)
-        jobs.stream_latest_score(stream, f"{tmp_path}/table", f"{tmp_path}/c{k // 2}").trigger(availableNow=True).start().awaitTermination(120)
-    got = {(r.company_id, r.total_score) for r in jobs.latest_scores(spark, f"{tmp_path}/table").collect()}
-    assert got == {("c", 7), ("d", 1), ("e", 2)} and len(list((tmp_path / "table").glob("batch=*"))) == 2
     assert jobs.latest_scores(spark, f"{tmp_path}/none") is None
+    turn = iter(range(9))
+    play(spark, tmp_path, rows, kind, lambda s: jobs.stream_latest_score(s, f"{tmp_path}/table", f"{tmp_path}/c{next(turn) // 2}"))  # the last starts anew: all batches come again
+    got = {(r.company_id, r.total_score) for r in jobs.latest_scores(spark, f"{tmp_path}/table").collect()}
+    assert got == {("c", 7), ("d", 1), ("e", 2)}
 
 
-def test_missing_jobs(spark, tmp_path):
+def test_missing_jobs(spark, tmp_path, rocksdb):
     days = [datetime(2024, 1, d) for d in (1, 2, 3)]
     seen = {0: ["a", "b"], 1: ["a"], 2: ["a"]}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for i, at in enumerate(days):
-            spark.createDataFrame([("board", j, at) for j in seen[i]], "board string, external_job_id string, observed_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = jobs.read_landed(spark, f"{tmp_path}/in", "board string, external_job_id string, observed_at timestamp")
-        jobs.stream_missing_jobs(stream).writeStream.format("memory").queryName("missing").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    for i, at in enumerate(days):
+        spark.createDataFrame([("board", j, at) for j in seen[i]], "board string, external_job_id string, observed_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.read_landed(spark, f"{tmp_path}/in", "board string, external_job_id string, observed_at timestamp")
+    jobs.stream_missing_jobs(stream).writeStream.format("memory").queryName("missing").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
     got = sorted((r.external_job_id, r.missing_count, r.is_active) for r in spark.table("missing").collect())
     assert got == [("b", 1, True), ("b", 2, False)]
