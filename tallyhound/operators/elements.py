@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.store import write_shared
 
-NODES = "page_id long, node int, last int, parent int, depth int, tag string, id string, classes array<string>, attributes map<string,string>, link string, content string"
+NODES = "page_id long, host string, node int, last int, parent int, depth int, tag string, id string, classes array<string>, attributes map<string,string>, link string, content string"
 #: Elements without an end tag; elements whose text isn't prose.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 CODE = frozenset(("script", "style", "template"))
@@ -94,33 +94,33 @@ class _Tree(HTMLParser):
 
 
 def element_table(pages: DataFrame) -> DataFrame:
-    """One row for each node of ``page_id, url, html``: its interval, tag (``#text``, ``#code`` for text of scripts and styles, ``#comment`` and
+    """One row for each node of ``page_id, url, html``: its page's host, interval, tag (``#text``, ``#code`` for text of scripts and styles, ``#comment`` and
     ``#doctype`` besides elements), classes, attributes, absolute link and own text.
 
     ``page_id`` is unique and not null; pages without it, and null and empty pages, have no nodes. Other columns are ignored.
     """
     schema = pa.schema([
-        ("page_id", pa.int64()), ("node", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
+        ("page_id", pa.int64()), ("host", pa.string()), ("node", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
         ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("link", pa.string()), ("content", pa.string()),
     ])
 
-    def table(trees: list[tuple[int, _Tree]]) -> pa.RecordBatch:
+    def table(trees: list[tuple[int, str, _Tree]]) -> pa.RecordBatch:
         out = {n: [] for n in schema.names}
-        for page, t in trees:
+        for page, host, t in trees:
             n = len(t.tag)
             own = [a or {} for a in t.attributes]
-            for name, values in (("page_id", [page] * n), ("node", range(n)), ("last", t.last), ("parent", t.parent), ("depth", t.depth), ("tag", t.tag), ("id", [a.get("id") for a in own]), ("classes", [a.get("class", "").split() for a in own]), ("attributes", [list(a.items()) for a in own]), ("link", t.links()), ("content", t.content)):
+            for name, values in (("page_id", [page] * n), ("host", [host] * n), ("node", range(n)), ("last", t.last), ("parent", t.parent), ("depth", t.depth), ("tag", t.tag), ("id", [a.get("id") for a in own]), ("classes", [a.get("class", "").split() for a in own]), ("attributes", [list(a.items()) for a in own]), ("link", t.links()), ("content", t.content)):
                 out[name] += values
         return pa.RecordBatch.from_pydict(out, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for page, url, source in zip(*(b.column(c) for c in ("page_id", "url", "html")), strict=True):
+            for page, host, url, source in zip(*(b.column(c) for c in ("page_id", "host", "url", "html")), strict=True):
                 tree = _Tree(url.as_py())
                 tree.feed(text := source.as_py())
                 tree.close()
-                held.append((page.as_py(), tree))
+                held.append((page.as_py(), host.as_py(), tree))
                 size += len(text)
                 if size > SLICE_CHARS:
                     yield table(held)
@@ -128,7 +128,8 @@ def element_table(pages: DataFrame) -> DataFrame:
         if held:
             yield table(held)
 
-    rows = pages.filter("page_id IS NOT NULL AND html <> ''").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    url = F.col("url").cast("string")
+    rows = pages.filter("page_id IS NOT NULL AND html <> ''").select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), url.alias("url"), "html")
     return rows.mapInArrow(run, NODES)
 
 
@@ -206,12 +207,12 @@ def _fits(s: str) -> Column:
     return (c("tag").isNull() | (c("tag") == F.col("tag"))) & (c("id").isNull() | F.coalesce(c("id") == F.col("id"), F.lit(False))) & (F.size(F.array_except(c("classes"), F.col("classes"))) == 0) & F.forall(c("tests"), test)
 
 
-def find(nodes: DataFrame, page_rules: DataFrame) -> DataFrame:
-    """``page_id, source_key, field, node, last``: the nodes that the stored selectors of ``page_rules`` (``page_id, source_key, field, steps``) find, each once."""
-    paths = page_rules.select("page_id", "source_key", "field", F.posexplode("steps").alias("way", "path")).select("page_id", "source_key", "field", "way", F.size("path").alias("length"), F.posexplode("path").alias("k", "s"))
+def find(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """``page_id, source_key, field, node, last``: the nodes that the stored selectors of ``rules`` (``host, source_key, field, steps``) find on their host's pages, each once."""
+    paths = rules.select("host", "source_key", "field", F.posexplode("steps").alias("way", "path")).select("host", "source_key", "field", "way", F.size("path").alias("length"), F.posexplode("path").alias("k", "s"))
     longest = paths.agg(F.max("length")).first()[0] or 0
     keys = ["page_id", "source_key", "field", "way"]
-    hits = nodes.filter("tag NOT LIKE '#%'").join(paths, "page_id").filter(_fits("s")).select(*keys, "k", "length", F.col("s.direct").alias("direct"), "node", "last", "parent")
+    hits = nodes.filter("tag NOT LIKE '#%'").join(paths, "host").filter(_fits("s")).select(*keys, "k", "length", F.col("s.direct").alias("direct"), "node", "last", "parent")
     if longest > 1:
         hits = write_shared(hits, "selector-hits")
     now = hits.filter("k = 0")
@@ -230,18 +231,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#:]+)", 1))
 
 
-def apply_selectors(nodes: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_selectors(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Jobs that stored rules find on the pages of their host: ``source_key, page_id, container, title, url, location, department``.
 
     ``rules`` (``source_key, page_host``, then one selector each for :data:`FIELDS`, the last two optional) are known to be well-formed
-    (:func:`checked_rules`); ``nodes`` is the stored element table of ``pages``. Each container gives the first element inside that a field's selector finds,
+    (:func:`checked_rules`); ``nodes`` is the stored element table. Each container gives the first element inside that a field's selector finds,
     in document order (a pass over what the selectors found, without pairs); its text, or for ``url`` its link made absolute. Containers without a title or a link are no jobs. Containers may lie in
     each other.
     """
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("page_host"))
     every = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), steps_of(F.nullif(F.trim(F.col(f)), F.lit(""))).alias("steps")) for f in FIELDS)))
-    asked = rules.select("source_key", F.lower("page_host").alias("page_host"), every.alias("r")).select("source_key", "page_host", "r.*").filter("steps IS NOT NULL")
-    found = write_shared(find(nodes, keyed.join(asked, "page_host").drop("page_host")), "selector-finds")
+    asked = rules.select("source_key", F.lower("page_host").alias("host"), every.alias("r")).select("source_key", "host", "r.*").filter("steps IS NOT NULL")
+    found = write_shared(find(nodes, asked), "selector-finds")
     back = Window.partitionBy("page_id", "source_key").orderBy(F.desc("node"), "_field").rowsBetween(Window.unboundedPreceding, -1)
     follows = [F.last(F.when(F.col("field") == f, F.struct("node", "last")), ignorenulls=True).over(back).alias(f) for f in FIELDS[1:]]  # the first one after the container's begin
     cards = found.withColumn("_field", F.col("field") != "job_container").select("*", *follows).filter("NOT _field")

@@ -14,7 +14,7 @@ SPIKE_DAYS, SPIKE_JOBS = 30, 3
 
 def insert_signal_once(new: DataFrame, old: DataFrame, index: str = "index") -> DataFrame:
     """Signals whose company, type, source and URL (missing: empty) aren't stored yet; of several the first."""
-    return insert_once(new, old, [F.col("company_id"), F.col("signal_type"), F.col("source"), F.col("source_url")], index)
+    return insert_once(new, old, [F.col("company_id"), F.col("signal_type"), F.coalesce("source", F.lit("")), F.coalesce("source_url", F.lit(""))], index)
 
 
 def discovery_signals(records: DataFrame, as_of: Column) -> DataFrame:

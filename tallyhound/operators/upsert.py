@@ -26,27 +26,34 @@ def classify_changes(new: DataFrame, old: DataFrame, keys: list[str], hash_colum
     return seen.withColumn("status", status).drop("_earlier", "_nth", "_stored")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, nulls in them equal; the keys stand once."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    return left.join(right, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how).drop(*names.values())
+
+
 def overwrite(new: DataFrame, old: DataFrame, keys: list[str], index: str = "index") -> DataFrame:
-    """The stored table after the batch: the last row of each key of the batch replaces the stored one."""
+    """The stored table after the batch: the last row of each key of the batch replaces the stored one. Null keys equal each other."""
     last = latest(new, keys, F.col(index).desc()).select(*old.columns)
-    return old.join(last.select(*keys), keys, "left_anti").select(*old.columns).unionByName(last)
+    return meet(old, last.select(*keys), keys, "left_anti").select(*old.columns).unionByName(last)
 
 
 def merge_fill_nulls(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str], index: str = "index") -> DataFrame:
-    """One row per key: stored values stay, nulls are filled by the first value that the batch has for them."""
-    filled = new.groupBy(*keys).agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col(index))).alias(f"_{f}") for f in fields))
-    both = old.join(filled, keys, "full_outer")
-    return both.select(*keys, *(F.coalesce(F.col(f), F.col(f"_{f}")).alias(f) for f in fields))
+    """One row per key (null keys equal each other): stored values stay, nulls are filled by the first value that the batch has for them."""
+    order = F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"))
+    both = old.select(*keys, *fields, order.alias("_at")).unionByName(new.select(*keys, *fields, F.struct(F.lit(1).alias("a"), F.col(index).cast("long").alias("b")).alias("_at")))
+    return both.groupBy(*keys).agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_at"))).alias(f) for f in fields))
 
 
 def merge_jobs(new: DataFrame, old: DataFrame, keys: list[str], index: str = "index") -> DataFrame:
     """Job postings after a snapshot: every observed job is active again, seen now, and no longer missing; ``first_seen_at`` stays the stored
-    one; other fields are those of the last observation. Jobs that the snapshot doesn't have stay as they are."""
+    one; other fields are those of the last observation. Jobs that the snapshot doesn't have stay as they are. Null keys equal each other."""
     last = latest(new, keys, F.col(index).desc())
-    first = old.select(*keys, F.col("first_seen_at").alias("_first"))
-    seen = last.join(first, keys, "left").withColumn("first_seen_at", F.coalesce("_first", "first_seen_at"))
+    first = old.groupBy(*keys).agg(F.min("first_seen_at").alias("_first"))
+    seen = meet(last, first, keys, "left").withColumn("first_seen_at", F.coalesce("_first", "first_seen_at"))
     seen = seen.withColumns({"is_active": F.lit(True), "missing_since_at": F.lit(None).cast("timestamp"), "missing_observation_count": F.lit(0)})
-    return old.join(seen.select(*keys), keys, "left_anti").select(*old.columns).unionByName(seen.select(*old.columns))
+    return meet(old, seen.select(*keys), keys, "left_anti").select(*old.columns).unionByName(seen.select(*old.columns))
 
 
 def upsert_boards(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str], index: str = "index") -> tuple[DataFrame, DataFrame]:
@@ -74,19 +81,19 @@ def merge_contacts(new: DataFrame, old: DataFrame, index: str = "index") -> Data
 
 
 def insert_once(new: DataFrame, old: DataFrame, key: list[Column], index: str = "index") -> DataFrame:
-    """Rows of the batch whose key is stored nowhere; of several the first. Nulls in a key equal each other (key parts are coalesced)."""
+    """Rows of the batch whose key is stored nowhere; of several the first. Nulls in a key equal each other, and nothing else."""
     names = [f"_k{i}" for i in range(len(key))]
-    part = lambda df: df.withColumns({n: F.coalesce(k.cast("string"), F.lit("")) for n, k in zip(names, key, strict=True)})
-    fresh = part(new).join(part(old).select(*names).distinct(), names, "left_anti")
+    part = lambda df: df.withColumns({n: k.cast("string") for n, k in zip(names, key, strict=True)})
+    fresh = meet(part(new), part(old).select(*names).distinct(), names, "left_anti")
     return first_per_key(fresh, names, index).drop(*names)
 
 
 def touch(new: DataFrame, old: DataFrame, keys: list[str], refresh: list[str], index: str = "index") -> DataFrame:
-    """Keep-everything tables: a known key refreshes the named columns only, an unknown one is added."""
+    """Keep-everything tables: a known key refreshes the named columns only, an unknown one is added. Null keys equal each other."""
     last = latest(new, keys, F.col(index).desc())
     renamed = last.select(*keys, *(F.col(f).alias(f"_{f}") for f in refresh), F.lit(True).alias("_hit"))
-    kept = old.join(renamed, keys, "left").withColumns({f: F.when(F.col("_hit"), F.col(f"_{f}")).otherwise(F.col(f)) for f in refresh}).select(*old.columns)
-    return kept.unionByName(last.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    kept = meet(old, renamed, keys, "left").withColumns({f: F.when(F.col("_hit"), F.col(f"_{f}")).otherwise(F.col(f)) for f in refresh}).select(*old.columns)
+    return kept.unionByName(meet(last, old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
 
 
 def aliases(companies: DataFrame) -> DataFrame:
@@ -199,9 +206,3 @@ def apply_verdicts(rows: DataFrame, verdicts: DataFrame, as_of: Column, allowed:
     fine = fine.groupBy("id").agg((F.max_by("verdict", "index") if "index" in verdicts.columns else F.max("verdict")).alias("_v"))
     out = rows.join(fine, "id", "left")
     return out.withColumns({"review_verdict": F.coalesce("_v", "review_verdict"), "reviewed_at": F.when(F.col("_v").isNotNull(), as_of).otherwise(F.col("reviewed_at"))}).drop("_v")
-
-
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append-only history: outcomes, scores, model usage."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tallyhound.operators import upsert as u
 from tallyhound.plans import ingest
 from tallyhound.plans import scoring as plans
 from tallyhound.queries import QUERIES, SQL, query
+from tallyhound.sources import tables
+from tallyhound.store import shared_dir
 
 
 def _in(values) -> str:
@@ -475,3 +479,38 @@ def json_objects(spark, sf):
     i = F.col("event_id")
     raw = F.when(i % 5 == 0, None).when(i % 7 == 0, "{not json").otherwise(F.col("props"))
     return load(spark, sf, "events")[0].select("event_id", F.to_json(c.load_json(raw)).alias("loaded"), c.build_object(id=i, kind=F.nullif("event_type", F.lit("view"))).alias("built"))
+
+
+# --- canonical tables -------------------------------------------------------------------------------------------------------------
+
+
+@query(sql("companies", """
+SELECT CAST(id AS VARCHAR) AS id, canonical_name, CASE WHEN id % 3 = 0 THEN coalesce(canonical_domain, industry) ELSE canonical_domain END AS canonical_domain, CASE WHEN id % 5 = 0 THEN NULL ELSE industry END AS industry, CASE WHEN id % 2 = 0 THEN 'new' END AS status
+FROM companies WHERE canonical_name NOT LIKE '%7'"""))
+def stored_companies(spark, sf):
+    """Companies in the canonical store: all but a tenth without a name are stored, then every second one comes again under another name, with a status, and every third with a domain."""
+    rows = load(spark, sf, "companies")[0].select(F.col("id").cast("string").alias("id"), F.when(~F.col("canonical_name").endswith("7"), F.col("canonical_name")).alias("canonical_name"), "canonical_domain", F.when(F.col("id") % 5 != 0, F.col("industry")).alias("industry"), F.col("industry").alias("_i"), F.col("id").alias("index"))
+    table = tables.CanonicalTable(spark, f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}", "companies", buckets=16)
+    table.upsert(rows.drop("_i"))
+    again = rows.filter("index % 2 = 0 OR index % 3 = 0").filter("canonical_name IS NOT NULL")
+    table.upsert(again.select("id", F.lit("Other").alias("canonical_name"), F.when(F.col("index") % 3 == 0, F.col("_i")).alias("canonical_domain"), F.when(F.col("index") % 2 == 0, "new").alias("status"), "index"))
+    return table.read().select("id", "canonical_name", "canonical_domain", "industry", "status")
+
+
+@query(sql("scores", """
+SELECT CAST(id AS VARCHAR) AS id, CAST(company_id AS VARCHAR) AS company_id, total_score FROM scores WHERE total_score <= 100"""))
+def stored_scores(spark, sf):
+    """The history of scores: append-only, each id once though half of them come twice; scores over 100 are rejected."""
+    rows = load(spark, sf, "scores")[0].select(F.col("id").cast("string").alias("id"), F.col("company_id").cast("string").alias("company_id"), "total_score", F.col("calculated_at").cast("timestamp").alias("calculated_at"), F.col("id").alias("index"))
+    table = tables.CanonicalTable(spark, f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}", "scores", buckets=16)
+    table.upsert(rows.filter("index % 2 = 0"))
+    table.upsert(rows)
+    return table.read().select("id", "company_id", "total_score")
+
+
+@query(sql("scores", """
+SELECT id, CASE WHEN id % 9 = 0 THEN 'id is missing' WHEN id % 7 = 0 THEN 'total_score can''t be read' WHEN total_score > 100 THEN 'total_score is out of bounds' END AS reason FROM scores WHERE id % 9 = 0 OR id % 7 = 0 OR total_score > 100"""))
+def stored_scores_rejects(spark, sf):
+    rows = load(spark, sf, "scores")[0]
+    rows = rows.select(F.when(F.col("id") % 9 != 0, F.col("id").cast("string")).alias("id"), F.col("company_id").cast("string").alias("company_id"), F.when(F.col("id") % 7 == 0, "seven").otherwise(F.col("total_score").cast("string")).alias("total_score"), F.col("calculated_at").cast("timestamp").alias("calculated_at"), F.col("id").alias("index"))
+    return tables.checked(rows, "scores")[1].select(F.col("index").alias("id"), "reason")

@@ -61,7 +61,7 @@ def selector_jobs(spark, sf):
     pages, rules = _rules(spark, sf)
     nodes = write_shared(elements.element_table(pages), "elements")
     fine, _ = elements.checked_rules(rules)
-    return elements.apply_selectors(nodes, pages, fine).drop("container")
+    return elements.apply_selectors(nodes, fine).drop("container")
 
 
 @query(_MENU + """, n AS (SELECT source_key, page_id, count(*) AS jobs FROM found WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY ALL),
@@ -74,7 +74,7 @@ def judged_parsers(spark, sf):
     pages, rules = _rules(spark, sf)
     nodes = write_shared(elements.element_table(pages), "elements")
     fine, _ = elements.checked_rules(rules)
-    jobs = elements.apply_selectors(nodes, pages, fine)
+    jobs = elements.apply_selectors(nodes, fine)
     return elements.judge_parsers(elements.validate_selectors(pages, rules, jobs, 2))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def read_json_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -49,16 +48,6 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     return rss.unionByName(atom)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-
-
 #: The columns of a send-ready export, in this order.
 SEND_READY = ["company", "domain", "contact_name", "role", "email", "verified_at", "source", "score", "fit_score", "intent_score", "reason_to_write", "evidence_urls", "score_id", "company_id", "contact_id"]
 

@@ -135,14 +135,14 @@ def test_rules_against_a_tree_walk(spark, monkeypatch):
     pages = [(i, re.sub(r"^https?://[^/]+", "https://site.example", u), h) for i, u, h in given] + [(1000, "https://site.example/careers", CAREERS), (1001, "https://site.example/c", None), (1002, "https://site.example/c", ""), (1003, "https://other.example/c", CAREERS)]
     rules = [(f"r{i}", "site.example", rule) for i, rule in enumerate(RULES)]
     p, r, nodes = frames(spark, pages, rules)
-    got = elements.apply_selectors(nodes, p, r).select("source_key", "page_id", "title", "url", "location", "department").collect()
+    got = elements.apply_selectors(nodes, r).select("source_key", "page_id", "title", "url", "location", "department").collect()
     want = [(k, i, *job) for k, h, rule in rules for i, u, s in pages if s and h in u for job in plain_jobs(u, s, rule)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and {w[0] for w in want} >= {"r0", "r1", "r2", "r3", "r4"}
 
 
 def test_a_title_a_link_and_a_place(spark):
     p, r, nodes = frames(spark, [(1, "https://example.com/careers", CAREERS)], [("s", "example.com", BASE)])
-    got = [tuple(x)[3:] for x in elements.apply_selectors(nodes, p, r).orderBy("container").collect()]
+    got = [tuple(x)[3:] for x in elements.apply_selectors(nodes, r).orderBy("container").collect()]
     assert got == [("Senior Backend Engineer", "https://example.com/jobs/1", "Berlin", "Engineering"), ("Product Manager", "https://example.com/jobs/2", "Remote", None)]
 
 
@@ -152,7 +152,7 @@ def test_rules_are_judged(spark):
     p, r, nodes = frames(spark, pages, rules)
     fine, bad = elements.checked_rules(r)
     assert {(x.source_key, x.reason) for x in bad.collect()} == {("broken", "not a selector: job_container"), ("missing", "missing url")}
-    results = elements.validate_selectors(p, r, elements.apply_selectors(nodes, p, fine))
+    results = elements.validate_selectors(p, r, elements.apply_selectors(nodes, fine))
     assert results.count() == 23 and {x.error for x in results.filter("source_key = 'broken'").collect()} == {"not a selector: job_container"}
     got = {x.source_key: (x.sample_size, x.success_rate, x.status) for x in elements.judge_parsers(results).collect()}
     assert got == {"good": (6, 1.0, "active"), "nothing": (6, 0.0, "failed"), "broken": (5, 0.0, "failed"), "missing": (5, 0.0, "failed"), "few": (1, 1.0, "failed")}
@@ -192,7 +192,7 @@ def test_markup_survives_the_budget(spark):
 def test_intervals_in_plan(spark):
     """Rows meet by page and cell, never by the interval alone."""
     p, r, nodes = frames(spark, [(1, "https://example.com/careers", CAREERS)], [("s", "example.com", BASE)])
-    plan = elements.apply_selectors(nodes, p, r)._jdf.queryExecution().optimizedPlan().toString()
+    plan = elements.apply_selectors(nodes, r)._jdf.queryExecution().optimizedPlan().toString()
     assert "_cell" in plan and "Cartesian" not in plan
 
 
@@ -200,4 +200,4 @@ def test_a_long_page_of_open_elements(spark):
     """Ten thousand elements that are never closed, and a long list: no pairs by the square."""
     source = "<div class=jobs>" * 10_000 + "<ul class=jobs>" + "".join(f"<li class=job><a href=/j/{i}><h3>Job {i}</h3></a>" for i in range(3000))
     p, r, nodes = frames(spark, [(1, "https://example.com/", source)], [("s", "example.com", {**BASE, "job_container": "div.jobs ul.jobs li.job"})])
-    assert elements.apply_selectors(nodes, p, r).count() == 3000 and nodes.count() == 10_001 + 4 * 3000
+    assert elements.apply_selectors(nodes, r).count() == 3000 and nodes.count() == 10_001 + 4 * 3000
