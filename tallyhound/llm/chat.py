@@ -3,7 +3,7 @@
 Lines that begin with ``>`` quote; the number of signs is the level. Quoted lines and passages are normalised (lower case, white space and
 line breaks collapsed) and hashed, passages in windows of words, and each is joined to the latest earlier message of the conversation that says
 it in its own words. Messages without their quotes
-are then put in reply order: a message that answers another than the one before it opens a thread.
+are then put in reply order: each is followed by its replies, and those by theirs.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhound.llm.asof import as_of
-from tallyhound.llm.common import read, write_shared
+from tallyhound.llm.common import drop_shared, read, write_shared
 
 #: Turns of a conversation that one window holds, and words of a passage that are hashed together.
 TURNS, ANCHOR = 1024, 5
@@ -90,32 +90,80 @@ def running(rows: DataFrame, amount: Column, alias: str, keys: list[str], order:
     return out.withColumn(alias, F.col("_ahead") + F.col("_upto")).drop("_amount", "_cell", "_upto", "_ahead")
 
 
+def _upwards(segments: DataFrame, value: str, descend: bool) -> DataFrame:
+    """``conv, seg, total``: the sum of ``value`` over a segment's own subtree (``descend``), or over it and all above it. Known distances double with every stored
+    step, so a tree of depth d takes log(d) of them; a segment's row has one number at all times."""
+    now = write_shared(segments.select("conv", "seg", F.col("parent").alias("up"), F.col(value).cast("long").alias("total")), "reply-sums")
+    while not now.filter("up IS NOT NULL").isEmpty():
+        above = now.select(F.col("conv").alias("_c"), F.col("seg").alias("_s"), F.col("up").alias("_up"), F.col("total").alias("_total"))
+        after = now.join(above, (F.col("conv") == F.col("_c")) & (F.col("up") == F.col("_s")), "left")
+        if descend:
+            given = now.filter("up IS NOT NULL").groupBy(F.col("conv").alias("_gc"), F.col("up").alias("_gs")).agg(F.sum("total").alias("_given"))
+            after = after.join(given, (F.col("conv") == F.col("_gc")) & (F.col("seg") == F.col("_gs")), "left").withColumn("_total", F.col("_given"))
+        after = write_shared(after.select("conv", "seg", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total")), "reply-sums")
+        drop_shared(now)
+        now = after
+    return now.drop("up")
+
+
+def reply_order(turns: DataFrame) -> DataFrame:
+    """``conv, turn, thread, ahead`` from ``conv, turn, reply_to, before, n`` (messages of the turn): the turn at the root of what each replies to, and the messages of
+    its thread that stand before it where every message is followed by its replies, each with all of theirs, in the order of turns.
+
+    Turns that reply to the one before them make up segments, which stand in one piece: only segments, one for each reply that breaks a chain, form a
+    tree. Behind a segment come those that reply into it, to the last of its turns first. Sizes below a segment, and what stands before it, are sums over paths.
+    """
+    real = turns.filter("turn IS NOT NULL")
+    head = F.col("reply_to").isNull() | (F.col("reply_to") != F.col("before"))
+    ahead = running(real, F.col("n"), "upto", ["conv"], ["turn"]).withColumn("_ahead", F.col("upto") - F.col("n"))
+    ahead = write_shared(ahead.withColumn("head", head), "reply-turns")
+    heads = ahead.filter("head").select(F.col("conv").alias("key"), F.col("turn").alias("time"), F.col("turn").alias("value"))
+    of = as_of(ahead.select(F.col("conv").alias("key"), F.col("turn").alias("time"), "n", "_ahead"), heads, TURNS)
+    of = write_shared(of.select(F.col("key").alias("conv"), F.col("time").alias("turn"), F.col("value").alias("seg"), "n", "_ahead"), "reply-segments")
+    sizes = of.groupBy("conv", "seg").agg(F.sum("n").alias("size"), F.min("_ahead").alias("_first"))
+    up = ahead.filter("head").select("conv", F.col("turn").alias("seg"), F.col("reply_to").alias("hang"))
+    up = up.join(of.select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), F.col("seg").alias("parent")), (F.col("conv") == F.col("_c")) & (F.col("hang") == F.col("_t")), "left").drop("_c", "_t")
+    segments = write_shared(up.join(sizes, ["conv", "seg"]), "reply-tree")
+    whole = _upwards(segments, "size", descend=True)
+    siblings = Window.partitionBy("conv", "parent").orderBy(F.desc("hang"), "seg").rowsBetween(Window.unboundedPreceding, -1)
+    branch = segments.filter("parent IS NOT NULL").join(whole, ["conv", "seg"]).withColumn("_earlier", F.coalesce(F.sum("total").over(siblings), F.lit(0)))
+    branch = branch.join(segments.select("conv", F.col("seg").alias("parent"), F.col("size").alias("_above")), ["conv", "parent"]).select("conv", "seg", "parent", (F.col("_earlier") + F.col("_above")).alias("step"))
+    roots = segments.filter("parent IS NULL").select("conv", "seg", "parent", F.lit(0).cast("long").alias("step"))
+    begins = _upwards(roots.unionByName(branch), "step", descend=False).select(F.col("conv").alias("_c"), F.col("seg").alias("_s"), "total")
+    first = segments.select(F.col("conv").alias("_fc"), F.col("seg").alias("_fs"), "_first")
+    root = segments.filter("parent IS NULL").select(F.col("conv").alias("_rc"), F.col("seg").alias("thread"))  # a conversation's first turn is its only one without a reply
+    placed = of.join(begins, (F.col("conv") == F.col("_c")) & (F.col("seg") == F.col("_s"))).join(first, (F.col("conv") == F.col("_fc")) & (F.col("seg") == F.col("_fs"))).join(root, F.col("conv") == F.col("_rc"))
+    placed = placed.select("conv", "turn", "thread", (F.col("total") + F.col("_ahead") - F.col("_first")).alias("ahead"))
+    none = F.lit(None).cast("long")
+    return placed.unionByName(turns.filter("turn IS NULL").select("conv", "turn", none.alias("thread"), F.lit(0).cast("long").alias("ahead")))
+
+
 def format_chat(conversations: DataFrame) -> DataFrame:
     """One row per message: ``conv_id, turn, role, text, n_quoted, max_level, reply_to, thread, position, formatted``.
 
     ``text`` has no quotes and ``formatted`` is ``<|role|>`` and the text. ``reply_to`` is the turn quoted at the lowest linked level, else the turn
-    before (null for the first). A message that replies to another turn than the one before opens a thread; ``thread`` and ``position`` count
-    from 0 and 1. Equal rows count once; several messages of one turn stand in the order of role and text. Null conversations form
-    one, null turns come first and are never quoted, null texts are empty and null roles are ``user``. Messages that consist of quotes
-    alone stay, with empty text. Other columns are dropped.
+    before (null for the first). ``thread`` is the turn at the root of these, and ``position``, from 1, the place in the thread when each message is followed by its
+    replies, and those by theirs, in the order of turns. Equal rows count once; several messages of one turn stand in the order of role and text. Null conversations form
+    one; null turns are a thread of their own (null) and never quoted, null texts are empty and null roles are ``user``. Messages that consist of quotes
+    alone stay, with empty text. Other columns are dropped. An empty table gives no rows.
     """
     rows = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
     messages = rows.select("*", conv.alias("conv"), without_quotes(F.col("text")).alias("own"), F.coalesce(F.col("text").rlike(r"(?m)" + QUOTE), F.lit(False)).alias("_quoting"))
     messages = write_shared(messages, "messages")
     linked = links(messages).groupBy("conv", "turn").agg(F.min(F.struct("level", "quoted_turn")).alias("_l")).select("conv", "turn", F.col("_l.quoted_turn").alias("_quoted"))
-    turns = messages.select("conv", "turn").distinct()
+    turns = messages.groupBy("conv", "turn").agg(F.count("*").alias("n"))
     # the turn before: rows hold from the next number on
-    before = as_of(turns.select(F.col("conv").alias("key"), F.col("turn").alias("time")), turns.filter("turn IS NOT NULL").select(F.col("conv").alias("key"), (F.col("turn") + 1).alias("time"), F.col("turn").alias("value")), TURNS)
-    before = before.select(F.col("key").alias("conv"), F.col("time").alias("turn"), F.col("value").alias("_before"))
-    known = before.join(linked, ["conv", "turn"], "left").withColumn("reply_to", F.coalesce("_quoted", "_before"))
-    opens = F.when(F.col("reply_to") != F.col("_before"), 1).otherwise(0)
-    known = running(known, opens, "thread", ["conv"], ["turn"]).select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), "reply_to", "thread")
-    out = messages.join(known, (F.col("conv") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")))
+    before = as_of(turns.select(F.col("conv").alias("key"), F.col("turn").alias("time"), "n"), turns.filter("turn IS NOT NULL").select(F.col("conv").alias("key"), (F.col("turn") + 1).alias("time"), F.col("turn").alias("value")), TURNS)
+    before = before.select(F.col("key").alias("conv"), F.col("time").alias("turn"), "n", F.col("value").alias("before"))
+    known = write_shared(before.join(linked, ["conv", "turn"], "left").withColumn("reply_to", F.coalesce("_quoted", "before")).drop("_quoted"), "replies")
+    placed = reply_order(known).select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), "thread", "ahead")
+    placed = placed.join(known.select(F.col("conv").alias("_kc"), F.col("turn").alias("_kt"), "reply_to"), (F.col("_c") == F.col("_kc")) & F.col("_t").eqNullSafe(F.col("_kt")))
+    out = messages.join(placed, (F.col("conv") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")))
     levels = F.transform(F.split("text", "\n"), level)
-    out = out.select("conv", "conv_id", "turn", "role", F.col("own").alias("text"), F.col("text").alias("_whole"), F.size(F.filter(levels, lambda n: n > 0)).cast("long").alias("n_quoted"), F.array_max(levels).cast("long").alias("max_level"), "reply_to", "thread")
-    out = running(out, F.lit(1), "position", ["conv", "thread"], ["turn", "role", "text", "_whole"])
-    return out.select("conv_id", "turn", "role", "text", "n_quoted", "max_level", "reply_to", "thread", "position", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("formatted"))
+    nth = F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "own", "text"))
+    out = out.select("conv_id", "turn", "role", F.col("own").alias("_own"), F.size(F.filter(levels, lambda n: n > 0)).cast("long").alias("n_quoted"), F.array_max(levels).cast("long").alias("max_level"), "reply_to", "thread", (F.col("ahead") + nth).alias("position"))
+    return out.select("conv_id", "turn", "role", F.col("_own").alias("text"), "n_quoted", "max_level", "reply_to", "thread", "position", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "_own", F.lit("\n")).alias("formatted"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +171,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
 n AS (
   SELECT *, row_number() OVER () AS id, string_split(text, chr(10)) AS lines,
@@ -159,12 +207,13 @@ v AS (
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY chars DESC, quoted_turn DESC) = 1),
 u AS (SELECT conv_id, turn, quoted_turn FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level) = 1),
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS prior FROM (SELECT DISTINCT conv_id, turn FROM m)),
-r AS (
-  SELECT t.conv_id, t.turn, coalesce(u.quoted_turn, t.prior) AS reply_to,
-         sum(CASE WHEN coalesce(u.quoted_turn, t.prior) <> t.prior THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id ORDER BY t.turn NULLS FIRST) AS thread
-  FROM t LEFT JOIN u ON t.conv_id IS NOT DISTINCT FROM u.conv_id AND t.turn = u.turn)
-SELECT o.conv_id, o.turn, o.role, o.own AS text, len(list_filter(levels, lambda x: x > 0))::BIGINT AS n_quoted, list_max(levels)::BIGINT AS max_level, r.reply_to, r.thread::BIGINT AS thread,
-       row_number() OVER (PARTITION BY o.conv_id, r.thread ORDER BY o.turn NULLS FIRST, o.role, o.own, o.text) AS position,
+r AS (SELECT t.conv_id, t.turn, coalesce(u.quoted_turn, t.prior) AS reply_to FROM t LEFT JOIN u ON t.conv_id IS NOT DISTINCT FROM u.conv_id AND t.turn = u.turn),
+tree AS (
+  SELECT conv_id, turn, reply_to, turn AS thread, [turn] AS path FROM r WHERE reply_to IS NULL
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.reply_to, tree.thread, list_append(tree.path, r.turn) FROM tree JOIN r ON r.conv_id IS NOT DISTINCT FROM tree.conv_id AND r.reply_to = tree.turn)
+SELECT o.conv_id, o.turn, o.role, o.own AS text, len(list_filter(levels, lambda x: x > 0))::BIGINT AS n_quoted, list_max(levels)::BIGINT AS max_level, tree.reply_to, tree.thread,
+       row_number() OVER (PARTITION BY o.conv_id, tree.thread ORDER BY tree.path, o.role, o.own, o.text) AS position,
        '<|' || o.role || '|>' || chr(10) || o.own || chr(10) AS formatted
-FROM o JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND o.turn IS NOT DISTINCT FROM r.turn
+FROM o JOIN tree ON o.conv_id IS NOT DISTINCT FROM tree.conv_id AND o.turn IS NOT DISTINCT FROM tree.turn
 """

@@ -56,7 +56,7 @@ def test_chat(spark, tmp_path):
     third = by[1, 2, "user"]
     assert (third.text, third.n_quoted, third.max_level, third.reply_to) == ("Good, thanks", 2, 2, 1)
     late = by[1, 3, "user"]
-    assert (late.reply_to, late.thread, late.position) == (0, 1, 1)
+    assert (late.reply_to, late.thread) == (0, 0)
     assert by[1, 5, "user"].reply_to == 0 and by[1, 6, "user"].reply_to == 2
     assert by[6, 2, "user"].reply_to == 0 and by[6, 3, "user"].reply_to == 0 and by[6, 4, "user"].reply_to == 2 and by[6, 5, "user"].reply_to == 0
     assert by[2, None, "user"].position == 1 and by[2, 0, "user"].text == ""
@@ -66,6 +66,40 @@ def test_chat(spark, tmp_path):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_reply_trees(spark):
+    """Branches, nested quotes over two levels, a text id `null` beside a null id: order by replies, read off by hand."""
+    said = ["one alpha", "two beta", "three gamma", "four delta", "five epsilon", "six zeta", "seven eta", "eight theta"]
+    quotes = {3: [1], 4: [2], 5: [3], 6: [1], 8: [4]}  # the others reply to the one before
+    rows = [("null", t, "user", "\n".join([f"> {said[q - 1]}" for q in quotes.get(t, [])] + [said[t - 1]])) for t in range(1, 9)]
+    rows += [(None, 2, "user", "> two beta\nof another"), (None, 1, "user", "first")]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): r for r in got}
+    # 1 -> 2, 3, 6; 2 -> 4; 3 -> 5; 6 -> 7; 4 -> 8
+    assert [t for _, t in sorted((by["null", t].position, t) for t in range(1, 9))] == [1, 2, 4, 8, 3, 5, 6, 7]
+    assert {by["null", t].thread for t in range(1, 9)} == {1} and by["null", 5].reply_to == 3 and by["null", 7].reply_to == 6
+    assert by[None, 2].reply_to == 1 and by[None, 2].position == 2 and by[None, 1].thread == 1
+
+
+def test_reply_order_of_random_trees(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for conv in range(12):
+        n = int(rng.integers(1, 120))
+        turns = np.sort(rng.choice(5000, n, replace=False)).tolist()
+        sizes = rng.integers(1, 4, n).tolist()
+        wild = conv % 3
+        up = [None] + [turns[i - 1] if rng.random() < (0.7, 0.0, 0.95)[wild] else turns[int(rng.integers(0, i))] if wild != 1 or rng.random() < 0.5 else turns[max(0, i - 2)] for i in range(1, n)]
+        rows += [(str(conv), t, u, turns[i - 1] if i else None, s) for i, (t, u, s) in enumerate(zip(turns, up, sizes, strict=True))]
+        size, at, todo = dict(zip(turns, sizes, strict=True)), 0, [turns[0]]
+        while todo:
+            t = todo.pop()
+            want[str(conv), t] = (turns[0], at)
+            at += size[t]
+            todo += [c for c, u in reversed(list(zip(turns, up, strict=True))) if u == t]
+    got = chat.reply_order(spark.createDataFrame(rows, "conv string, turn long, reply_to long, before long, n long")).collect()
+    assert {(r.conv, r.turn): (r.thread, r.ahead) for r in got} == want and len(got) == len(want)
+
+
 def test_as_of(spark):
     rng = np.random.default_rng(0)
     left = [(f"k{rng.integers(4)}", int(t), i) for i, t in enumerate(rng.integers(-50, 500, 400))] + [("k0", None, 1000), ("none", 3, 1001)]
