@@ -40,9 +40,9 @@ def test_stages(spark, tmp_path):
     before, after = kept["mix_sources"]
     words = lambda rows: Counter({s: sum(len(r.text.split()) for r in rows if r.source == s) for s in {r.source for r in rows}})
     have, taken = words(before), words(after)
-    assert abs(sum(taken.values()) - 1.5 * sum(have.values())) <= len(have) and all(taken[s] <= 2 * n for s, n in have.items())
+    assert abs(sum(taken.values()) - 1.5 * sum(have.values())) <= max(len(r.text.split()) for r in before) and all(taken[s] <= 2 * n for s, n in have.items())
     texts = {r.doc_id: r.text for r in before}
-    assert all(texts[r.doc_id].startswith(r.text) for r in after) and sum(r.text != texts[r.doc_id] for r in after) <= len(have)
+    assert all(texts[r.doc_id] == r.text for r in after)  # whole copies
     before, after = kept["best_fit_packing"]
     tok = Tokenizer.from_file(token_file("byte_bpe_50k.json"))
     want = Counter()
