@@ -124,7 +124,8 @@ def _portfolio(spark, sf):
         pages = whole.select(F.xxhash64("country").alias("page_id"), "country", F.lit("https://portfolio.example/").alias("url"), "html")
         nodes = write_shared(elements.element_table(pages), "elements")
         found = portfolio.parse_portfolio_pages(nodes, pages, layout)
-        frames.append(found.join(pages.select("page_id", F.col("country").alias("page_country")), "page_id").withColumn("layout", F.lit(layout)))
+        found = found.join(pages.select("page_id", F.col("country").alias("page_country")), "page_id").withColumn("layout", F.lit(layout))
+        frames.append(write_shared(found, "portfolio"))
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
