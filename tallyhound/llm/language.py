@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -181,9 +182,13 @@ class Automata:
 
 
 def excerpt(text: str, most: int) -> str:
-    """The first words of a text, of about ``most`` characters."""
-    end = text.find(" ", most)
-    return text if end < 0 else text[:end]
+    """Whole words of a text, at most ``most`` characters of them, from a place that the text's hash gives."""
+    if len(text) <= most:
+        return text
+    at = zlib.crc32(text.encode()) % (len(text) - most + 1)
+    start = text.find(" ", at) + 1 if at else 0
+    window = text[start : start + most]
+    return window[: window.rfind(" ")] if " " in window and start + most < len(text) else window
 
 
 def train(samples: tuple) -> tuple[tuple[str, ...], tuple[str, ...], tuple[float, ...]]:
@@ -205,8 +210,8 @@ def train(samples: tuple) -> tuple[tuple[str, ...], tuple[str, ...], tuple[float
         own, apart = [t for k, t in enumerate(plain) if k % 3 != 1], [t for k, t in enumerate(plain) if k % 3 == 1]
         if not own:
             continue
-        most = AUTOMATON_CHARS // len(own)
-        body = BREAK.join(excerpt(t, most) for t in own)[:AUTOMATON_CHARS]
+        most = max(1, AUTOMATON_CHARS // len(own) - len(BREAK))
+        body = BREAK.join(excerpt(t, most) for t in own)
         flat, first, letters = symbols(apart)
         rate = Automata([body]).phrases(flat, first).sum() / max(1, letters.sum())
         names.append(lang)
@@ -223,14 +228,15 @@ def fold(doc_id: str = "doc_id") -> F.Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple:
     """The bounded labelled sample ``((lang, texts), …)`` of the documents outside the held-out fold.
 
-    A language gives at most ``sample_docs`` documents, one for each hash range of ids, and ``sample_chars`` characters of each. Ids are
+    A language gives at most ``sample_docs`` documents, one for each hash range of ids, and a window of ``sample_chars`` characters of each, at a hashed place. Ids are
     found by an aggregation on integers; texts are read for these ids only. Rows without lang, id or text teach nothing.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     h = F.xxhash64("doc_id")
     ids = rows.groupBy("lang", F.pmod(h, F.lit(sample_docs)).alias("_part")).agg(F.min_by(F.col("doc_id").cast("long"), h).alias("_id"))
     ids = F.broadcast(ids.select("_id").distinct())  # at most sample_docs for each language
-    chosen = rows.join(ids, rows.doc_id == ids._id, "left_semi").select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, sample_chars).alias("text")).distinct()
+    at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1).cast("int")
+    chosen = rows.join(ids, rows.doc_id == ids._id, "left_semi").select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", at, F.lit(sample_chars)).alias("text")).distinct()
     by: dict[str, list[tuple[int, str]]] = {}
     for lang, doc_id, text in chosen.collect():
         by.setdefault(lang, []).append((doc_id, text))

@@ -27,12 +27,14 @@ HEX_RUNS, RUN = (re.compile(r"[0-9a-f]+"), re.compile(r"[0-9A-F]+")), re.compile
 #: base-64 characters about 4.1; digits alone are no key.
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "base64": 3.8}
-#: Harmless forms: UUIDs, dates and times, paths and slugs of words, digests that a word such as "sha256-" names.
+#: A word: of one case, or in humps of three letters or more; and up to four digits.
+_WORD = r"(?:[A-Z]{0,12}|[A-Z]?[a-z]{0,20}|[A-Z]?[a-z]{2,20}(?:[A-Z][a-z]{2,20})+)\d{0,4}"
+#: Harmless forms: UUIDs, dates and times, paths and slugs of words, digests of the length that the word before them says, in hex or base 64.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
     r"\d{4}-\d\d-\d\d(?:[T_-][\d-]*)?",
-    r"(?:[A-Za-z]*\d{0,4}[/_=-])*[A-Za-z]*\d{0,4}",
-    r"(?:sha(?:1|256|384|512)|md5)[-=].*",
+    rf"(?:{_WORD}[/_=-])*{_WORD}",
+    *(rf"{name}[-=](?:[0-9a-f]{{{n // 4}}}|[0-9A-F]{{{n // 4}}}|[A-Za-z0-9+/_-]{{{-(-n // 6)}}}=*)" for name, n in (("md5", 128), ("sha1", 160), ("sha256", 256), ("sha384", 384), ("sha512", 512))),
 )
 _C_LOG = [0.0] + [n * math.log2(n) for n in range(1, 4096)]
 

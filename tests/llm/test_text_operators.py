@@ -301,6 +301,23 @@ def test_language_keeps_clashing_columns(spark):
     assert (row.score, row.excess, row.lang_pred, row._verdict.lang_pred, row._verdict.score) == (0.5, "x", "y", "en", 1.0)
 
 
+@pytest.mark.parametrize(("text", "spans"), [
+    ("sha256=Zq8tR4nW9xB2mK7vL1pD5sH3jF6g", 1), ("ghp_QwErTyUiOpAsDfGhJkLzXcVbNmQwErTyUiOp12", 1), ("sha256-" + "Zq8tR4nW9xB2mK7vL1pD5sH3jF6gZq8tR4nW9xB2mK7" + "=", 0), ("see /docs/getUserNameFromTable2/Index_of_Pages12", 0),
+    ("md5=" + "0123456789ABCDEF" * 2, 0), ("md5=" + "0123456789ABCDEF" * 3, 1), ("2024-01-01T00-00-00-123456", 0),
+])
+def test_allowed_forms(text, spans):
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    assert len(secrets.entropy_spans(text, allowed=allowed)) == spans
+
+
+def test_training_windows_lie_anywhere():
+    """Excerpts are whole words of at most so many characters, and not the first of each text."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(40)]
+    cut = [language.excerpt(t, 280) for t in texts]
+    assert all(len(c) <= 280 and set(c.split()) <= set(t.split()) and len(c) > 200 for c, t in zip(cut, texts, strict=True)) and sum(t.startswith(c) for c, t in zip(cut, texts, strict=True)) < 5
+    assert language.excerpt("short one", 280) == "short one" and language.excerpt("x" * 500, 280) == "x" * 280
+
+
 def test_mixing(docs):
     got = mixing.queue(docs.drop("size"))
     per, longest = {}, {}
