@@ -212,20 +212,33 @@ def attested_quotes(quotes: DataFrame, docs: DataFrame, words: int = 4) -> DataF
     """``item_id, doc_id`` of every document (``doc_id, text``) that holds the whole text of a quote (``item_id, text``), white space and
     case aside.
 
-    A run of ``words`` words inside the quote, which stand whole in any text that holds it, is looked up among the hashed runs of all
-    documents; what meets is confirmed on whole texts. Quotes too short for a run are held against every document. Blank quotes and null
-    texts have no rows.
+    A run of at most ``words`` words inside the quote, which stand whole in any text that holds it, is looked up among the hashed runs of that length of all
+    documents; quotes of one or two words have no such run and are looked up by their first characters among those of documents. What meets is
+    confirmed on whole texts. Blank quotes and null texts have no rows.
     """
     plain = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     told = quotes.select("item_id", plain.alias("_q")).filter("_q <> ''").withColumn("_w", F.split("_q", " "))
     held = docs.select("doc_id", plain.alias("_t")).filter("_t IS NOT NULL")
-    long = F.size("_w") >= words + 2
-    probes = told.filter(long).select("item_id", "_q", F.xxhash64(F.slice("_w", 2, words)).alias("_run"))
-    split = held.select("doc_id", F.split("_t", " ").alias("_w")).filter(F.size("_w") >= words)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.slice("_w", i, words)))
-    met = split.select("doc_id", F.explode(F.array_distinct(runs)).alias("_run")).join(probes.select("item_id", "_run"), "_run").select("doc_id", "item_id").distinct()
-    pairs = met.join(probes.select("item_id", "_q").distinct(), "item_id")
-    pairs = pairs.select(F.col("doc_id").alias("_d"), "item_id", "_q")
-    whole = held.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")))
-    short = held.crossJoin(told.filter(~long).select("item_id", "_q"))
-    return whole.select("item_id", "doc_id", "_t", "_q").unionByName(short.select("item_id", "doc_id", "_t", "_q")).filter(F.contains("_t", "_q")).select("item_id", "doc_id")
+    inner = F.least(F.size("_w") - 2, F.lit(words))
+    by_run = told.filter(F.size("_w") > 2).select("item_id", "_q", inner.alias("_n"), F.xxhash64(inner, F.slice("_w", F.lit(2), inner)).alias("_run"))
+    start = F.least(F.length("_q"), F.lit(4))
+    by_start = told.filter(F.size("_w") <= 2).select("item_id", "_q", start.alias("_n"), F.xxhash64(start, F.substring("_q", F.lit(1), start)).alias("_run"))
+    lengths = lambda probes: [r[0] for r in probes.select("_n").distinct().collect()]  # noqa: E731 at most ``words``, or four
+    split = held.select("doc_id", F.split("_t", " ").alias("_w"), "_t")
+    runs = [_grams("_w", n) for n in lengths(by_run)] + [_starts("_t", n) for n in lengths(by_start)]
+    if not runs:
+        return held.join(told.select("item_id"), F.lit(False)).select("item_id", "doc_id")
+    probes = by_run.unionByName(by_start).select("item_id", "_q", "_run")
+    met = split.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_run")).join(probes.select("item_id", "_run"), "_run").select("doc_id", "item_id").distinct()
+    pairs = met.join(probes.select("item_id", "_q").distinct(), "item_id").select(F.col("doc_id").alias("_d"), "item_id", "_q")
+    return held.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d"))).filter(F.contains("_t", "_q")).select("item_id", "doc_id").distinct()
+
+
+def _grams(words: str, n: int) -> Column:
+    """Hashes of all runs of ``n`` words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _starts(text: str, n: int) -> Column:
+    """Hashes of all runs of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.xxhash64(F.lit(n), F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))

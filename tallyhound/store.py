@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops, at its end, all tables that :func:`write_shared` writes within. Results that are read from them have to be stored before that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop_shared(*_SCOPES.pop())
+
+
 def write_shared(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage ends there, and a lost executor costs no recomputation."""
+    """``df`` as a table in the shared folder, read back: lineage ends there, and a lost executor costs no recomputation. It stays until it is dropped
+    (:func:`drop_shared`, :func:`scope`)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.shared_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(back)
     return back
 
 

@@ -231,6 +231,19 @@ def test_attested_quotes_whole(spark):
     assert sorted(map(tuple, got)) == [(0, 7), (0, 41), (3, 13), (250, 12)]
 
 
+def test_short_quotes_meet_without_a_cross_join(spark):
+    from tallyhound.operators import validate
+
+    texts = ["one two three four five six", "wo th", "hree four five", "a", "ee", "two", "two three four five", "x  y", "x y z", "four"]
+    quotes = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(0, "One two three four five six"), (1, "xtwo threefold four fives"), (2, "a"), (3, "x\ny zz"), (4, None), (5, "bees")]
+    df = validate.attested_quotes(quotes, spark.createDataFrame(docs, "doc_id long, text string"))
+    flat = lambda t: " ".join(t.split()).lower()
+    assert sorted(map(tuple, df.collect())) == [(i, d) for i, q in enumerate(texts) for d, t in docs if t and flat(q) in flat(t)]
+    assert "Cartesian" not in df._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert validate.attested_quotes(quotes.limit(0), spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
 def test_queries_over_whole_tables(spark, monkeypatch):
     from tallyhound import queries
     from tallyhound.adapters import load
