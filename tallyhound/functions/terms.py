@@ -190,3 +190,28 @@ NO_BOARDS = (
     "style", "styles", "dist", "build", "public", "favicon", "robots",
 )
 ASSET_FILE = r"(?i)\.(js|mjs|css|json|map|png|jpe?g|svg|gif|ico|woff2?|txt|xml)$"
+
+# Words of sectors that buy software, and of companies that build it.
+NON_TECHNICAL_SECTORS = (
+    "logistics", "transport", "freight", "haulage", "warehousing", "shipping", "manufacturing", "distribution", "wholesale", "retail", "construction", "healthcare", "hospital", "clinic",
+    "dental", "veterinary", "pharmacy", "education", "university", "college", "school", "training", "housing", "property", "real estate", "facilities", "hospitality", "hotel", "restaurant",
+    "agriculture", "farming", "energy", "utilities", "water", "waste", "recycling", "insurance", "accounting", "legal", "law firm", "professional services", "consulting engineers",
+    "government", "council", "public sector", "charity", "non-profit", "nonprofit",
+)
+TECHNICAL_COMPANIES = (
+    "software development", "software company", "saas platform", "developer tools", "open source", "engineering team", "we build software", "technology company", "it consultancy",
+    "software agency", "web agency", "app development", "digital agency",
+)
+
+# Confidence and verification status of contact evidence that says neither, by source type.
+EVIDENCE_CONFIDENCE = {"company_website": 0.75, "founder_personal_website": 0.9, "public_profile": 0.8, "trusted_source_payload": 0.8, "verified_provider": 0.95, "manual_review": 0.9}
+EVIDENCE_STATUS = {
+    "company_website": "public_source", "founder_personal_website": "public_source", "public_profile": "public_source", "trusted_source_payload": "public_source",
+    "verified_provider": "provider_verified", "manual_review": "manual_verified",
+}
+
+# Hosts that are never a vendor item's own domain.
+VENDOR_HOSTS = (
+    "linkedin.com", "lnkd.in", "twitter.com", "x.com", "t.co", "bit.ly", "facebook.com", "instagram.com", "youtube.com", "youtu.be", "medium.com", "github.com", "crunchbase.com",
+    "google.com", "docs.google.com",
+)

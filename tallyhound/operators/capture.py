@@ -260,6 +260,12 @@ def verified_provider_rows(df: DataFrame, most: int) -> DataFrame:
     return top_per_key(first_per_key(rows, ["email"], "index"), ["company_id"], most, F.col("index"))
 
 
-def evidence_rows(df: DataFrame, source_type: str, default_confidence: float, default_status: str) -> DataFrame:
-    """Reviewed or provider rows in the shape of contact evidence, with defaults where they say nothing."""
-    return df.select("company_id", F.lower("email").alias("email"), c.blank_to_null(F.col("full_name")).alias("full_name"), c.blank_to_null(F.col("role")).alias("role"), c.first_url(F.col("evidence_urls")).alias("source_url"), F.lit(source_type).alias("source_type"), F.coalesce(F.col("confidence").try_cast("double"), F.lit(default_confidence)).alias("confidence"), F.coalesce(c.blank_to_null(F.col("verification_status")), F.lit(default_status)).alias("verification_status"))
+def evidence_rows(df: DataFrame, source_type: Column | None = None) -> DataFrame:
+    """Reviewed or provider rows (``company_id, email, full_name, role, evidence_urls, confidence, verification_status``, and ``source_type`` unless given) in the shape of
+    contact evidence. A row that says no confidence, one that isn't a number from 0 to 1, or no status, gets those of its source type."""
+    kind = F.col("source_type") if source_type is None else source_type
+    said = F.col("confidence").try_cast("double")
+    return df.select(
+        "company_id", F.lower(F.trim("email")).alias("email"), c.blank_to_null(F.col("full_name")).alias("full_name"), c.blank_to_null(F.col("role")).alias("role"), c.first_url(F.col("evidence_urls")).alias("source_url"), kind.alias("source_type"),
+        F.coalesce(F.when(said.between(0, 1), said), c.lookup(kind, t.EVIDENCE_CONFIDENCE)).alias("confidence"), F.coalesce(c.blank_to_null(F.col("verification_status")), c.lookup(kind, t.EVIDENCE_STATUS)).alias("verification_status"),
+    )

@@ -182,12 +182,6 @@ def source_decision(legacy: Column, replies: Column, meetings: Column, records:
     )
 
 
-def coverage_quality(df: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """One row: weighted share of rows in which each named field is present, out of the weights' sum, half-even."""
-    present = [F.avg(c.blank_to_null(F.col(f).cast("string")).isNotNull().cast("double")) * w for f, w in weights.items()]
-    return df.agg(c.half_even(F.coalesce(sum(present[1:], present[0]), F.lit(0.0))).alias("quality_score"))
-
-
 #: What to do with a contact candidate, and why.
 REVIEW_HINTS = {
     "external_email": ("reject", "External-domain email. Approve only if the source proves this person represents the target company."),

@@ -174,7 +174,7 @@ def contactable(df: DataFrame) -> DataFrame:
     return df.filter(~blank("company") & ~blank("domain") & ~blank("contact") & ~blank("email"))
 
 
-def looks_non_technical(text: Column, veto: tuple[str, ...], sectors: tuple[str, ...]) -> Column:
+def looks_non_technical(text: Column, veto: tuple[str, ...] = t.TECHNICAL_COMPANIES, sectors: tuple[str, ...] = t.NON_TECHNICAL_SECTORS) -> Column:
     low = F.lower(text)
     return ~c.has_any(low, veto) & c.has_any(low, sectors)
 
@@ -198,14 +198,48 @@ def validate_classification(df: DataFrame) -> DataFrame:
     }).drop("_e", "_b", "_down")
 
 
-def validate_profile(df: DataFrame) -> DataFrame:
-    """Model profiles (``domain, page_text, emails, people, services``): addresses of other domains and people whom the page doesn't name are
-    dropped, lists are cut to 25, 10 and 10 (the feature's limits), ``notes`` counts what was dropped."""
-    page = F.lower(F.regexp_replace("page_text", r"\s+", " "))
-    emails = F.filter("emails", lambda e: F.coalesce(c.email_domain(e) == F.lower(F.col("domain")), F.lit(False)))
-    people = F.filter("people", lambda p: F.contains(page, F.lower(p)))
-    notes = F.size("emails") - F.size(emails) + F.size("people") - F.size(people)
-    return df.withColumns({"notes": notes, "emails": F.slice(emails, 1, 25), "people": F.slice(people, 1, 10), "services": F.slice("services", 1, 10)})
+PROFILE_TEXTS = ("positioning", "business_model", "customer_type", "service_fit_evidence")
+#: Longest texts, and lists cut to so many.
+TEXT_CHARS, TECHNOLOGIES, ROUTES, PEOPLE = 600, 25, 10, 10
+
+
+def validate_profile(df: DataFrame, index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """Model profiles (``index, domain, page_text, payload`` JSON) as records with ``notes`` and ``confidence``; and ``index, reason`` of those whose payload has
+    another shape: not an object, a text field that isn't text or is too long, a person without a name of two letters.
+
+    Lists are trimmed, each value once, and cut. Malformed addresses, those of other domains, and people whom the page doesn't name (where its text is known) are dropped with a
+    note; confidence grows with what is told and falls with every note.
+    """
+    from tallyhound.operators.scoring import validated_confidence
+
+    v = F.col("_v")
+    raw = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
+    is_text = lambda n: F.coalesce(F.schema_of_variant(raw(n)).isin("STRING", "VOID"), F.lit(True))
+    text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
+    listed = lambda n, most: F.slice(F.array_distinct(F.filter(F.transform(F.filter(F.coalesce(F.try_variant_get(v, f"$.{n}", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.substring(F.trim(F.try_variant_get(x, "$", "string")), 1, 120)), lambda x: x != "")), 1, most)
+    items = F.slice(F.coalesce(F.try_variant_get(v, "$.decision_makers", "array<variant>"), F.array().cast("array<variant>")), 1, PEOPLE)
+    people = F.transform(F.filter(items, lambda p: F.schema_of_variant(p).startswith("OBJECT")), lambda p: F.struct(F.try_variant_get(p, "$.name", "string").alias("name"), F.try_variant_get(p, "$.role", "string").alias("role")))
+    rows = df.withColumn("_v", F.try_parse_json("payload"))
+    rows = rows.withColumns({"_people": people, "_routes": listed("contact_routes", ROUTES), "technology_mentions": listed("technology_mentions", TECHNOLOGIES)})
+    reason = F.when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not_an_object")
+    for n in PROFILE_TEXTS:
+        reason = reason.when(~is_text(n) | (F.length(text(n)) > TEXT_CHARS), f"{n} isn't a text of at most {TEXT_CHARS} characters")
+    reason = reason.when(F.exists("_people", lambda p: ~F.coalesce(F.length(p["name"]).between(2, 120), F.lit(False)) | (F.length(p["role"]) > 160)), "a decision maker has no proper name or role")
+    rows = rows.withColumn("_reason", reason)
+    page = F.lower(F.coalesce("page_text", F.lit("")))
+    low = F.transform("_routes", lambda e: F.lower(e))
+    fine = lambda e: e.rlike(r"^[a-z0-9][a-z0-9._%+-]*@[a-z0-9.-]+\.[a-z]{2,}$")
+    own = lambda e: F.coalesce(F.substring_index(e, "@", -1) == F.lower(F.col("domain")), F.lit(False))
+    seen = lambda p: (page == "") | F.contains(page, F.lower(p["name"]))
+    notes = F.concat(
+        F.transform(F.filter(low, lambda e: ~fine(e)), lambda e: F.concat(F.lit("dropped malformed contact route: "), e)),
+        F.transform(F.filter(low, lambda e: fine(e) & ~own(e)), lambda e: F.concat(F.lit("dropped off-domain contact route: "), e)),
+        F.transform(F.filter("_people", lambda p: ~seen(p)), lambda p: F.concat(F.lit("dropped unattested decision maker: "), p["name"])),
+    )
+    good = rows.filter("_reason IS NULL").withColumns({"contact_routes": F.filter(low, lambda e: fine(e) & own(e)), "decision_makers": F.filter("_people", seen), "notes": notes, **{n: c.blank_to_null(text(n)) for n in PROFILE_TEXTS}})
+    told = sum((F.col(n).isNotNull().cast("int") for n in PROFILE_TEXTS[1:]), F.col(PROFILE_TEXTS[0]).isNotNull().cast("int"))
+    good = good.withColumn("confidence", validated_confidence(told, F.size("contact_routes"), F.size("notes")))
+    return good.select(index, "domain", *PROFILE_TEXTS, "technology_mentions", "contact_routes", "decision_makers", "notes", "confidence"), rows.filter("_reason IS NOT NULL").select(index, F.col("_reason").alias("reason"))
 
 
 def attested_quotes(quotes: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:

@@ -660,4 +660,4 @@ def contacts_capped(spark, sf):
     return w.top_per_key(load(spark, sf, "contacts")[0], ["company_id"], 2, F.col("confidence").desc(), F.col("id")).select("company_id", "id", "email")
 
 
-from tallyhound import queries_intake, queries_pages, queries_streams, queries_targets  # noqa: E402,F401  register their queries
+from tallyhound import queries_intake, queries_pages, queries_records, queries_streams, queries_targets  # noqa: E402,F401  register their queries

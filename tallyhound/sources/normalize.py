@@ -155,34 +155,54 @@ def normalize_job_payloads(df: DataFrame, provider: str) -> DataFrame:
     })
 
 
-def _first_wins(rows: DataFrame, domain: str = "domain") -> tuple[DataFrame, DataFrame]:
-    good = first_per_key(rows.filter("reason IS NULL"), [domain], "index")
-    again = rows.filter("reason IS NULL").join(good.select(F.col("index").alias("_i")), F.col("index") == F.col("_i"), "left_anti").select("index", F.lit("duplicate_domain").alias("reason"))
-    return good.drop("reason"), rows.filter("reason IS NOT NULL").select("index", "reason").unionByName(again)
+def told(item: str, *names: str) -> Column:
+    """The first of several fields of a VARIANT that is text and isn't blank, trimmed."""
+    text = lambda n: F.when(F.schema_of_variant(F.try_variant_get(item, f"$.{n}", "variant")) == "STRING", c.blank_to_null(F.trim(F.try_variant_get(item, f"$.{n}", "string"))))
+    return F.coalesce(*(text(n) for n in names))
 
 
-def normalize_vendor_companies(df: DataFrame, require_non_technical: tuple[tuple[str, ...], tuple[str, ...]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vendor rows with alternative field names to discovery records, the first of each domain; and the rejects with reasons.
+def _own_host(host: Column) -> Column:
+    return ~host.isin(*t.VENDOR_HOSTS) & ~F.coalesce(c.root_domain(host).isin(*t.VENDOR_HOSTS), F.lit(False))
 
-    ``require_non_technical`` has the words that veto and the words of sectors.
-    """
-    from tallyhound.operators.validate import looks_non_technical
 
-    have = lambda *names: alias(*[n for n in names if n in df.columns]) if any(n in df.columns for n in names) else F.lit(None).cast("string")
-    domain = c.normalize_domain(have("website", "companyWebsite", "url", "domain", "websiteUrl"))
-    domain = F.when(~domain.isin(*t.NON_COMPANY_HOSTS) & ~c.root_domain(domain).isin(*t.NON_COMPANY_HOSTS), domain)
-    rows = df.select("index", have("name", "companyName", "company_name", "title").alias("company_name"), domain.alias("domain"), have("description", "about", "tagline").alias("description"), have("industry", "category").alias("industry"), c.employee_count(have("employeeCount", "companySize", "size")).alias("employee_count"))
-    reason = F.when(F.col("domain").isNull(), "missing_domain").when(F.col("company_name").isNull(), "missing_company_name")
-    if require_non_technical:
-        reason = reason.when(~looks_non_technical(F.concat_ws(" ", "industry", "description"), *require_non_technical), "technical_company")
-    return _first_wins(rows.withColumn("reason", reason))
+def _first_of_domain(rows: DataFrame) -> DataFrame:
+    """``reason`` of rows after the first of their domain that has none: ``duplicate_domain``, whatever they had."""
+    first = F.min(F.when(F.col("reason").isNull(), F.col("index"))).over(Window.partitionBy("domain"))
+    late = F.col("domain").isNotNull() & (F.col("index") > first)
+    # rows without domain are groups of their own
+    rows = rows.withColumn("_later", F.lit(False)).filter("domain IS NULL").unionByName(rows.filter("domain IS NOT NULL").withColumn("_later", F.coalesce(late, F.lit(False))))
+    return rows.withColumn("reason", F.when(F.col("_later"), "duplicate_domain").otherwise(F.col("reason"))).drop("_later")
 
 
-def normalize_vendor_posts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Posts (``index, text, author``) that link a host which is no platform; and the rejects."""
-    hosts = F.filter(F.transform(links_in(F.col("text")), lambda u: c.normalize_domain(u)), lambda h: h.isNotNull() & ~h.isin(*t.NON_COMPANY_HOSTS) & ~c.root_domain(h).isin(*t.NON_COMPANY_HOSTS))
-    rows = df.select("index", c.display_name(F.col("author")).alias("company_name"), F.get(hosts, 0).alias("domain"), "text")
-    return _first_wins(rows.withColumn("reason", F.when(F.col("domain").isNull(), "missing_domain").when(F.col("company_name").isNull(), "missing_company_name")))
+def normalize_vendor_companies(df: DataFrame, require_non_technical: bool = True, tlds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vendors' company items (``index, raw`` JSON) with fields under any of several names, as discovery records, the first of each domain; and ``index, reason`` of the
+    rejects: ``not_an_object``, ``no_company_name``, ``no_resolvable_domain`` (none, or a platform's), ``duplicate_domain`` of an accepted one, ``not_non_technical``."""
+    from tallyhound.operators.validate import looks_non_technical
+
+    rows = df.select("index", F.try_parse_json("raw").alias("v"))
+    domain = c.normalize_domain(told("v", "website", "companyWebsite", "url", "domain", "websiteUrl"), tlds)
+    rows = rows.withColumns({"company_name": told("v", "name", "companyName", "title", "fullName"), "domain": F.when(_own_host(domain), domain), "industry": told("v", "industry", "industryName", "sector"), "description": told("v", "description", "about", "tagline", "summary")})
+    count = F.coalesce(*(F.coalesce(F.try_variant_get("v", f"$.{n}", "int"), F.regexp_replace(F.split_part(F.try_variant_get("v", f"$.{n}", "string"), F.lit("-"), F.lit(1)), "[^0-9]", "").try_cast("int")) for n in ("employeeCount", "employees", "staffCount")))
+    fine = looks_non_technical(F.concat_ws(" ", "industry", "description")) if require_non_technical else F.lit(True)
+    reason = F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object").when(F.col("company_name").isNull(), "no_company_name").when(F.col("domain").isNull(), "no_resolvable_domain").when(~fine, "not_non_technical")
+    rows = rows.withColumns({"reason": reason, "employee_count": F.when((count > 0) & (count < 5_000_000), count), "location": told("v", "location", "headquarters", "city"), "profile": told("v", "linkedinUrl", "profileUrl", "url", "link")})
+    named = F.col("company_name").isNotNull() & F.col("domain").isNotNull()
+    rows = _first_of_domain(rows.withColumn("domain", F.when(named, F.col("domain"))))
+    site = F.concat(F.lit("https://"), "domain")
+    good = rows.filter("reason IS NULL").select("index", F.lit("vendor_companies").alias("source"), F.concat(F.lit("vendor:"), "domain").alias("source_record_id"), F.coalesce("profile", site).alias("source_url"), "company_name", site.alias("website"), "domain", "location", "industry", F.substring("description", 1, 2000).alias("description"), "employee_count", F.lit("discovery").alias("event_type"))
+    return good, rows.filter("reason IS NOT NULL").select("index", "reason")
+
+
+def normalize_vendor_posts(df: DataFrame, tlds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Posts (``index, raw`` JSON) that link a company's site, in the post or at its author, the first of each domain; and ``index, reason`` of the rejects:
+    ``not_an_object``, ``no_resolvable_domain``, ``non_company_host``, ``duplicate_domain``. A post without author is named by its domain."""
+    rows = df.select("index", F.try_parse_json("raw").alias("v"))
+    linked = F.coalesce(told("v", "expandedUrl", "outboundUrl"), told("v", "author.url", "author.website", "author.expandedUrl"))
+    rows = rows.withColumn("domain", c.normalize_domain(linked, tlds))
+    name = F.coalesce(told("v", "author.name", "author.displayName", "author.userName"), F.initcap(F.substring_index("domain", ".", 1)))
+    reason = F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object").when(F.col("domain").isNull(), "no_resolvable_domain").when(~_own_host(F.col("domain")), "non_company_host")
+    rows = _first_of_domain(rows.withColumns({"company_name": name, "text": told("v", "text", "full_text", "content"), "reason": reason}))
+    return rows.filter("reason IS NULL").select("index", "company_name", "domain", "text"), rows.filter("reason IS NOT NULL").select("index", "reason")
 
 
 def normalize_directory_companies(df: DataFrame, regions: tuple[str, ...] = (), min_employees: int = 0) -> DataFrame:
