@@ -447,4 +447,4 @@ def board_token(url: Column) -> Column:
     """The first path segment of a board's URL, decoded, in lower case; null where it can't be a board's name."""
     raw = F.regexp_extract(url, r"^https?://[^/?#]+/+([^/?#]+)", 1)
     token = F.lower(F.coalesce(F.try_url_decode(raw), raw))
-    return F.when(token.rlike(r"^[a-z0-9][a-z0-9._-]+$") & ~token.rlike(t.ASSET_FILE) & ~token.isin(*t.NO_BOARDS), token)
+    return F.when(token.rlike(r"^[a-z0-9][a-z0-9._-]+$") & ~token.rlike(t.ASSET_PATTERN) & ~token.isin(*t.RESERVED_BOARD_TOKENS), token)

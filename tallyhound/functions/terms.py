@@ -185,11 +185,6 @@ NO_LAST_WORDS = ("and", "as", "for", "not", "of", "on", "or", "the", "to", "with
 
 # Hosts of job boards and the provider that each means; path segments and file endings that are no board.
 BOARD_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.ashbyhq.com": "ashby", "apply.workable.com": "workable"}
-NO_BOARDS = (
-    "js", "css", "json", "api", "embed", "embeds", "widget", "widgets", "static", "assets", "cdn", "img", "images", "fonts", "script", "scripts",
-    "style", "styles", "dist", "build", "public", "favicon", "robots",
-)
-ASSET_FILE = r"(?i)\.(js|mjs|css|json|map|png|jpe?g|svg|gif|ico|woff2?|txt|xml)$"
 
 # Words of sectors that buy software, and of companies that build it.
 NON_TECHNICAL_SECTORS = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions import columns as c
@@ -154,9 +154,12 @@ def parser_health(runs: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def research_rollup(pages: DataFrame) -> DataFrame:
     """Page facts (``company_id, page_number, positioning, technologies, routes``) per company: the first positioning that isn't blank and
-    distinct unions, cut to 20 and 10 (the feature's limits)."""
+    distinct unions, cut to 20 and 10 (the feature's limits). Values are ranked by first sight and cut before they are collected."""
     said = c.blank_to_null(F.col("positioning"))
-    each = F.array_sort(F.collect_list(F.struct("page_number", "technologies", "routes")))
-    union = lambda f, n: F.slice(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.coalesce(p[f], F.array().cast("array<string>"))))), 1, n)
-    out = pages.groupBy("company_id").agg(F.min_by("positioning", F.when(said.isNotNull(), F.col("page_number"))).alias("positioning"), F.count("*").alias("pages"), each.alias("_p"))
-    return out.withColumns({"technologies": union("technologies", 20), "routes": union("routes", 10)}).drop("_p")
+    out = pages.groupBy("company_id").agg(F.min_by("positioning", F.when(said.isNotNull(), F.col("page_number"))).alias("positioning"), F.count("*").alias("pages"))
+    for field, most in (("technologies", 20), ("routes", 10)):
+        each = pages.select("company_id", "page_number", F.posexplode(field).alias("_at", "_v")).groupBy("company_id", "_v").agg(F.min(F.struct("page_number", "_at")).alias("_first"))
+        top = each.withColumn("_n", F.row_number().over(Window.partitionBy("company_id").orderBy("_first"))).filter(F.col("_n") <= most)
+        lists = top.groupBy(F.col("company_id").alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias(field))
+        out = out.join(lists, F.col("company_id").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.functions import columns as c
 from tallyhound.operators.latest import latest
+from tallyhound.operators.upsert import meet
 
 
 def resolve_company(df: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,8 +20,9 @@ def resolve_company(df: DataFrame, companies: DataFrame) -> tuple[DataFrame, Dat
 
 
 def resolve_board(df: DataFrame, boards: DataFrame) -> DataFrame:
+    """Rows with ``ats_board_id``: of several boards of a company, provider and key the least id. Null keys equal each other."""
     keys = ["company_id", "ats_provider", "board_key"]
-    return df.join(boards.select(*keys, F.col("id").alias("ats_board_id")), keys, "left")
+    return meet(df, boards.groupBy(*keys).agg(F.min("id").alias("ats_board_id")), keys, "left")
 
 
 def resolve_founder(df: DataFrame, founders: DataFrame, links: DataFrame) -> DataFrame:
