@@ -57,9 +57,12 @@ def flatten_comment_tree(df: DataFrame, id: str = "id", parent: str = "parent",
     bad = rows.filter("id IS NULL").select("id", F.lit("missing_id").alias("reason"))
     rows = rows.filter("id IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("_at", "up")))
     bad = bad.unionByName(rows.filter("_n > 1").select("id", F.lit("repeated_id").alias("reason")))
-    rows = rows.filter("_n = 1").withColumn("_n", F.row_number().over(Window.partitionBy("up").orderBy("_at", "id")))
+    rows = write_shared(rows.filter("_n = 1").select("id", "up", "_at"), "comments")
+    roots = rows.filter("up IS NULL").select("id", "up", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("_n"))  # they have no siblings, and would be one hot key
+    below = rows.filter("up IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("up").orderBy("_at", "id")))
     known = rows.select(F.col("id").alias("_id"))
-    rows = rows.join(known, F.col("up") == F.col("_id"), "left").select("id", "up", F.when(F.col("up").isNotNull() & F.col("_id").isNull(), "missing_parent").alias("reason"), F.array("id").alias("path"), F.array("_n").alias("place"))
+    below = below.join(known, F.col("up") == F.col("_id"), "left").select("id", "up", F.when(F.col("_id").isNull(), "missing_parent").alias("reason"), "_n")
+    rows = roots.unionByName(below).select("id", "up", "reason", F.array("id").alias("path"), F.array("_n").alias("place"))
     now = write_shared(rows.withColumn("up", F.when(F.col("reason").isNull(), F.col("up"))), "comment-paths")
     open_, before = now.filter("up IS NOT NULL").count(), None
     while open_ and open_ != before:
