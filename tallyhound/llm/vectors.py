@@ -28,6 +28,8 @@ from tallyhound.llm.graph import components
 GROUP, MAX_CENTRES = 3000, 4096
 #: Classes whose true links the audit counts, at random and among those with links; turns of the search, each twice as wide.
 AUDIT, TURNS = 200, 3
+#: Shards that hold a vector, and rows that a search keeps in view, in the first turn.
+OVERLAP, BEAM = 2, 8
 #: Classes and components (of all its vectors) that a block should hold at most, and rows of a tile.
 SHARD, VALUES, TILE = 4096, 1 << 19, 1024
 
@@ -257,9 +259,9 @@ def find_links(classes: DataFrame, cosine: float, shard: int, group: int, recall
     """``id, n, root`` rows and the measured recall: the graph's if that reaches ``recall``, else those of all pairs."""
     log, count = logging.getLogger(__name__), classes.count()
     for turn in range(0 if exact else TURNS):
-        found = graph_links(classes, cosine, 4 << turn, group, 24, 40 << turn, count)
+        found = graph_links(classes, cosine, OVERLAP << turn, group, 24, BEAM << turn, count)
         measured = audit_recall(classes, found.groupBy("id").agg(F.sum("n").alias("n")), cosine)
-        log.info("recall %.4f with overlap %d and beam %d", measured, 4 << turn, 40 << turn)
+        log.info("recall %.4f with overlap %d and beam %d", measured, OVERLAP << turn, BEAM << turn)
         if measured >= recall:
             return found, measured
         drop_shared(found)
