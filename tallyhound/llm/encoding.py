@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     """``doc_id, n_bytes, n_tokens, over_limit`` for every whole text, by the whole-token shortcut.
 
     Pre-tokens that are proved whole tokens count one; only the rest go through the merges. Null texts count as empty: no bytes, no tokens.
-    Special strings count as one token. Repeated rows are counted again; other columns don't matter.
+    Special strings count as one token. Repeated rows are counted again; other columns don't matter. An empty table gives no rows.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

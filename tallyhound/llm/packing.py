@@ -149,7 +149,9 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """All documents as pieces with their place in sequences of at most ``capacity`` tokens. An empty table gives no rows."""
+    """All documents as pieces with their place in sequences of at most ``capacity`` tokens. An empty table gives no rows.
+
+    Null and empty texts are the end token alone, repeated rows are packed again, and columns besides doc_id and text are ignored."""
     return assign(write_shared(pieces(docs, capacity, end_id, vocabulary, with_ids), "pieces"), capacity)
 
 

@@ -93,7 +93,8 @@ def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, li
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word that equal an earlier line),
     ``n_repeat_words`` (words in 5-word windows found twice or more), ``base_failed`` (under 10 words, or over 20 % of them repeated);
     then ``n_lines``, ``dup_line_chars``, ``dup_<n>`` (characters of words inside n-grams seen earlier in the text) and ``kept``: not
-    failed and no share above its limit. Null and empty texts have no words and fail. Rows are judged one by one.
+    failed and no share above its limit. Null and empty texts have no words and fail. Rows are judged one by one, repeated ones
+    too; other columns are ignored; an empty table gives no rows.
     """
     limits = dict(ngram_limits or NGRAM_LIMITS)
     ngrams = tuple(sorted(limits))

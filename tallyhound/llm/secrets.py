@@ -126,7 +126,9 @@ def scan(docs: DataFrame, window: int = WINDOW, least_bits: dict[str, float] | N
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every span of :func:`scan` replaced by ``mark`` in ``text``, and ``n_chars`` (where present) set anew for those rows."""
+    """``docs`` with every span of :func:`scan` replaced by ``mark`` in ``text``, and ``n_chars`` (where present) set anew for those rows.
+
+    Null and empty texts stay as they are, repeated rows are handled one by one, other columns are kept whatever their names, and an empty table gives no rows."""
     bits, allowed = dict(options.get("least_bits") or LEAST_BITS), options.get("allowed", ALLOWED)
     window = options.get("window", WINDOW)
 

@@ -66,7 +66,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     is active) and ``blocked``.
 
     The longest matching pattern with an active entry decides. Captures without a URL, host or time match nothing and aren't blocked. Each
-    distinct capture is evaluated once and given to all its rows; added columns replace others of their names.
+    distinct capture is evaluated once and given to all its rows; added columns replace others of their names. An empty table gives no rows; without entries, or with
+    entries that have no pattern or time, nothing is blocked.
     """
     captures = captures.drop("rule", "action", "blocked")
     wanted = captures.select("url", "fetched_at").filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
