@@ -19,22 +19,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more. Texts without words (null and empty ones) stay, and so do rows
+    without doc_id."""
     return neardup.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in them are replaced by a mark."""
+    """All documents; secrets in them are replaced by a mark. Null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents up to their sources' targets, in queue order."""
+    """Whole copies of documents up to their sources' targets, in queue order. Documents without words (null and empty texts) are never taken."""
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; a null or empty text is one piece of the end token."""
     return packing.pack(docs)
 
 
