@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,20 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyhound.store import drop_shared, shared_dir, write_shared
 
-__all__ = ["cores", "drop_shared", "free", "held", "map_texts", "read", "shared_dir", "text_slices", "token_file", "write_shared"]
+__all__ = ["cores", "drop_shared", "free", "held", "map_texts", "read", "settle", "settled", "shared_dir", "text_slices", "token_file", "write_shared"]
 
 #: Characters of text that a Python worker holds as one slice, and bytes of an Arrow batch, about.
 SLICE_CHARS, BATCH_BYTES = 400_000, 4 << 20
 
 
+def settle() -> None:
+    """Gives what a worker has freed back to the system. Workers stay for later tasks, of other stages too, and their executor answers for their memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def settled(run: Callable) -> Callable:
+    """``run`` over the batches of a partition, and then :func:`settle`."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        settle()
+
+    return whole
+
+
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with Arrow batches that are bounded by bytes too, so that long texts don't add up in a worker.
+    """``df.mapInArrow`` with Arrow batches that are bounded by bytes too, so that long texts don't add up in a worker; the worker is settled after each partition.
 
     Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session, unless the user has."""
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     if name not in spark.conf.getAll:
         spark.conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(settled(run), schema)
 
 
 def free(name: str, columns: Iterable[str]) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import cores, drop_shared, free, map_texts, read, text_slices, write_shared
+from tallyhound.llm.common import cores, drop_shared, free, map_texts, read, settled, text_slices, write_shared
 from tallyhound.llm.graph import components
 from tallyhound.llm.words import mix64, ngram_hashes, words_of
 
@@ -110,7 +110,7 @@ def key_rows(reps: DataFrame) -> DataFrame:
             keys = chunk_keys(matrix(b.column("sig")))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))], names=["id", "n", "keys"])
 
-    return reps.select("id", F.col("n_shingles").alias("n"), "sig").mapInArrow(run, "id long, n long, keys array<long>").select("id", "n", F.posexplode("keys").alias("nth", "key"))
+    return reps.select("id", F.col("n_shingles").alias("n"), "sig").mapInArrow(settled(run), "id long, n long, keys array<long>").select("id", "n", F.posexplode("keys").alias("nth", "key"))
 
 
 def matrix(column: Iterable) -> np.ndarray:
