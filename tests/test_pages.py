@@ -5,10 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhound.functions import terms as t
 from tallyhound.operators import capture
 from tallyhound.queries import QUERIES
 from tallyhound.sources import normalize
-from tests.test_elements import plain_condensed
+from tests.test_elements import Tree, plain_condensed
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,79 @@ def test_a_deep_chain_takes_few_steps(spark, monkeypatch, depth):
     monkeypatch.setattr(normalize, "write_shared", lambda df, what: written.append(what) or write(df, what))
     good, bad = threads(spark, [(i, i - 1 if i else None, 0) for i in range(depth)])
     assert [r.id for r in good] == list(range(depth)) and [r.depth for r in good] == list(range(depth)) and bad == [] and len(written) <= 2 + depth.bit_length()
+
+
+# --- queries on given pages against a walk over a plain tree ----------------------------------------------------------------------
+
+BLOCKS = {"p", "div", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "article", "section", "nav", "header", "footer", "ul", "ol", "table"}
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+
+
+def read_off(source):
+    """Lines, title, first heading and links of a page."""
+    parts, title, heads, links = [], [], [], []
+
+    def visit(node):
+        for kid in node["kids"]:
+            if isinstance(kid, str):
+                if node["tag"] not in ("script", "style", "title"):
+                    parts.append(kid)
+                if node["tag"] == "title":
+                    title.append(kid)
+                continue
+            if kid["tag"] == "a" and kid["attrs"].get("href"):
+                links.append(kid["attrs"]["href"])
+            if kid["tag"] in BLOCKS:
+                parts.append("\n")
+            begin = len(parts)
+            visit(kid)
+            if kid["tag"] == "h1":
+                heads.append("".join(parts[begin:]))
+            if kid["tag"] in BLOCKS:
+                parts.append("\n")
+
+    visit(Tree(source).root)
+    lines = [x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x]
+    return lines, " ".join("".join(title).split()), " ".join((heads or [""])[0].split()), links
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    return {r.page_id: (r.url, *read_off(r.html)) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+def test_page_facts(spark, given):
+    got = {r.page_id: (r.title, r.positioning, r.n_links, r.technologies) for r in QUERIES["page_facts"](spark, SF).collect()}
+    terms = lambda lines: ",".join(sorted(w for w in t.TECH_STACK_TERMS if w in " ".join(lines).lower()))
+    assert got == {i: (title, h1 or None, len(links), terms(lines)) for i, (_, lines, title, h1, links) in given.items()}
+
+
+def test_page_contacts(spark, given):
+    got = sorted((r.page_id, r.value) for r in QUERIES["page_contacts"](spark, SF).filter("kind = 'email'").collect())
+    mails = {(i, re.sub(r"[.,;:)]+$", "", m.lower())) for i, (_, lines, *_) in given.items() for m in re.findall(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " ".join(lines))}
+    assert got == sorted(m for m in mails if m[1].split("@")[0].split("+")[0] not in t.JUNK_LOCAL_PARTS and not re.search(r"\.(png|jpg|gif|svg|webp)$", m[1]))
+    phones = {(r.page_id, r.value) for r in QUERIES["page_contacts"](spark, SF).filter("kind = 'phone'").collect()}
+    digits = lambda p: len(re.sub(r"\D", "", p))
+    found = {(i, p) for i, (_, lines, *_) in given.items() for p in re.findall(r"(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)", " ".join(lines)) if 8 <= digits(p) <= 16}
+    assert {(i, re.sub(r"\s+", " ", p).strip(" .,:;()")) for i, p in found} == phones
+
+
+def test_contact_routes(spark, given):
+    got = {r.page_id: r.routes for r in QUERIES["contact_routes"](spark, SF).collect()}
+    want = {}
+    for i, (url, lines, *_) in given.items():
+        routes = [f"page:{url}"] if re.search("(?i)contact|career|job", url) else []
+        routes += [f"email_text:{m}" for line in lines for m in sorted({re.sub(r"[.,;:)]+$", "", m.lower()) for m in MAIL.findall(line)}) if ".." not in m]
+        want[i] = ", ".join(routes) or None
+    assert got == want
+
+
+def test_page_summaries(spark, given):
+    got = {r.page_id: r.summary for r in QUERIES["page_summaries"](spark, SF).collect()}
+    for i, (url, lines, _, h1, _) in given.items():
+        text = " ".join(lines).lower()
+        bits = [h1] if h1 else []
+        bits += ["Developer or API surface found."] if "api" in text or "developer" in text else []
+        bits += ["Automation or workflow language found."] if "automation" in text or "workflow" in text else []
+        bits += ["Careers content is visible."] if re.search("(?i)career|job", url) else []
+        assert got[i] == " ".join(bits)
