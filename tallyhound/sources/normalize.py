@@ -164,6 +164,11 @@ def told(item: str, *names: str) -> Column:
     return F.coalesce(*(text(n) for n in names))
 
 
+def once(rows: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
+    """``keep`` and the ``fields``, each evaluated once a row: expressions don't move through the generator, and so aren't copied to where they are used."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*(v.alias(k) for k, v in fields.items())))))
+
+
 def _own_host(host: Column) -> Column:
     return ~host.isin(*t.VENDOR_HOSTS) & ~F.coalesce(c.root_domain(host).isin(*t.VENDOR_HOSTS), F.lit(False))
 
@@ -182,13 +187,19 @@ def normalize_vendor_companies(df: DataFrame, require_non_technical: bool = True
     rejects: ``not_an_object``, ``no_company_name``, ``no_resolvable_domain`` (none, or a platform's), ``duplicate_domain`` of an accepted one, ``not_non_technical``."""
     from tallyhound.operators.validate import looks_non_technical
 
-    rows = df.select("index", F.try_parse_json("raw").alias("v"))
-    domain = c.normalize_domain(told("v", "website", "companyWebsite", "url", "domain", "websiteUrl"), tlds)
-    rows = rows.withColumns({"company_name": told("v", "name", "companyName", "title", "fullName"), "domain": F.when(_own_host(domain), domain), "industry": told("v", "industry", "industryName", "sector"), "description": told("v", "description", "about", "tagline", "summary")})
     count = F.coalesce(*(F.coalesce(F.try_variant_get("v", f"$.{n}", "int"), F.regexp_replace(F.split_part(F.try_variant_get("v", f"$.{n}", "string"), F.lit("-"), F.lit(1)), "[^0-9]", "").try_cast("int")) for n in ("employeeCount", "employees", "staffCount")))
-    fine = looks_non_technical(F.concat_ws(" ", "industry", "description")) if require_non_technical else F.lit(True)
-    reason = F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object").when(F.col("company_name").isNull(), "no_company_name").when(F.col("domain").isNull(), "no_resolvable_domain").when(~fine, "not_non_technical")
-    rows = rows.withColumns({"reason": reason, "employee_count": F.when((count > 0) & (count < 5_000_000), count), "location": told("v", "location", "headquarters", "city"), "profile": told("v", "linkedinUrl", "profileUrl", "url", "link")})
+    fields = {
+        "is_object": F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "company_name": told("v", "name", "companyName", "title", "fullName"), "site": told("v", "website", "companyWebsite", "url", "domain", "websiteUrl"),
+        "industry": told("v", "industry", "industryName", "sector"), "description": told("v", "description", "about", "tagline", "summary"), "location": told("v", "location", "headquarters", "city"),
+        "profile": told("v", "linkedinUrl", "profileUrl", "url", "link"), "count": count,
+    }
+    rows = once(df.select("index", F.try_parse_json("raw").alias("v")), ["index"], fields)
+    host = c.normalize_domain(F.col("site"), tlds)
+    rows = once(rows, ["index", "is_object", "company_name", "industry", "description", "location", "profile", "count"], {"host": host, "said": F.concat_ws(" ", "industry", "description")})
+    rows = rows.withColumns({"domain": F.when(_own_host(F.col("host")), F.col("host")), "employee_count": F.when((F.col("count") > 0) & (F.col("count") < 5_000_000), F.col("count"))})
+    fine = looks_non_technical(F.col("said")) if require_non_technical else F.lit(True)
+    reason = F.when(~F.col("is_object"), "not_an_object").when(F.col("company_name").isNull(), "no_company_name").when(F.col("domain").isNull(), "no_resolvable_domain").when(~fine, "not_non_technical")
+    rows = rows.withColumn("reason", reason)
     named = F.col("company_name").isNotNull() & F.col("domain").isNotNull()
     rows = _first_of_domain(rows.withColumn("domain", F.when(named, F.col("domain"))))
     site = F.concat(F.lit("https://"), "domain")
@@ -201,7 +212,7 @@ def normalize_vendor_posts(df: DataFrame, tlds: tuple[str, ...] | None = None) -
     ``not_an_object``, ``no_resolvable_domain``, ``non_company_host``, ``duplicate_domain``. A post without author is named by its domain."""
     rows = df.select("index", F.try_parse_json("raw").alias("v"))
     linked = F.coalesce(told("v", "expandedUrl", "outboundUrl"), told("v", "author.url", "author.website", "author.expandedUrl"))
-    rows = rows.withColumn("domain", c.normalize_domain(linked, tlds))
+    rows = rows.withColumn("domain", c.let(linked, lambda x: c.normalize_domain(x, tlds)))
     name = F.coalesce(told("v", "author.name", "author.displayName", "author.userName"), F.initcap(F.substring_index("domain", ".", 1)))
     reason = F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object").when(F.col("domain").isNull(), "no_resolvable_domain").when(~_own_host(F.col("domain")), "non_company_host")
     rows = _first_of_domain(rows.withColumns({"company_name": name, "text": told("v", "text", "full_text", "content"), "reason": reason}))
