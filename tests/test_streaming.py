@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,42 @@ def test_missing_jobs(spark, tmp_path, rocksdb):
     jobs.stream_missing_jobs(stream).writeStream.format("memory").queryName("missing").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
     got = sorted((r.external_job_id, r.missing_count, r.is_active) for r in spark.table("missing").collect())
     assert got == [("b", 1, True), ("b", 2, False)]
+
+
+class _Counted:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):  # as a handle, too
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def batches(processor, *parts):
+    """What a processor gives for each part, all of one shard, and the calls of its state."""
+    state, out = _Counted(), []
+    processor.init(state)
+    for part in parts:
+        found = list(processor.handleInputRows((0,), iter([part]), None))
+        out.append(pd.concat(found) if found else pd.DataFrame())
+    return out, state.calls
+
+
+def test_signals_of_many_companies_take_few_state_calls():
+    n = 3000
+    frame = lambda *days: pd.concat([pd.DataFrame({"company_id": range(n), "signal_type": "T", "source": None, "source_url": "u", "detected_at": DAY + timedelta(days=d), "row_key": [f"k{i}" for i in range(n)], "row_shard": 0}) for d in days])
+    out, calls = batches(jobs._Once("detected_at", "30 days"), frame(0, 1), frame(20, 40), frame(5, 41))
+    assert [len(x) for x in out] == [n, 0, 2 * n] and calls < 12
+    assert out[2].groupby("late").size().to_dict() == {False: n, True: n} and list(out[2].columns) == ["company_id", "signal_type", "source", "source_url", "detected_at", "late"]
