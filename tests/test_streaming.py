@@ -163,3 +163,13 @@ def test_signals_of_many_companies_take_few_state_calls():
     out, calls = batches(jobs._Once("detected_at", "30 days"), frame(0, 1), frame(20, 40), frame(5, 41))
     assert [len(x) for x in out] == [n, 0, 2 * n] and calls < 12
     assert out[2].groupby("late").size().to_dict() == {False: n, True: n} and list(out[2].columns) == ["company_id", "signal_type", "source", "source_url", "detected_at", "late"]
+
+
+def test_spikes_of_many_boards_take_few_state_calls():
+    n = 2000
+    frame = lambda *days: pd.concat([pd.DataFrame({"first_seen_at": DAY + timedelta(days=d), "row_key": [f"k{i}" for i in range(n)], "row_shard": 0}) for d in days])
+    out, calls = batches(jobs._Spikes(3, "30 days", "2 days"), frame(0, 1, 2), frame(1.5, 31.5, 40), frame(10, 50))
+    assert calls < 12 and len(out[0]) == 0
+    tell = lambda df: sorted(set(zip((df["window_end"] - DAY) / timedelta(days=1), df["job_count"], df["late"], strict=True)))
+    assert tell(out[1]) == [(1.5, 3, False), (2, 4, False)] and len(out[1]) == 2 * n
+    assert tell(out[2]) == [(10, 1, True)] and len(out[2]) == n
