@@ -173,3 +173,12 @@ def test_spikes_of_many_boards_take_few_state_calls():
     tell = lambda df: sorted(set(zip((df["window_end"] - DAY) / timedelta(days=1), df["job_count"], df["late"], strict=True)))
     assert tell(out[1]) == [(1.5, 3, False), (2, 4, False)] and len(out[1]) == 2 * n
     assert tell(out[2]) == [(10, 1, True)] and len(out[2]) == n
+
+
+def test_missing_jobs_of_many_boards_take_few_state_calls():
+    n = 2000
+    frame = lambda *told: pd.concat([pd.DataFrame({"external_job_id": j, "at": at, "row_key": [f"k{i}" for i in range(n)], "row_shard": 0}) for j, at in told])
+    out, calls = batches(jobs.MissingJobs(2), frame(("a", 1), ("b", 1), ("a", 2)), frame(("a", 3)), frame(("b", 4), ("b", 4)))
+    assert calls < 12
+    tell = lambda df: sorted(set(zip(df["external_job_id"], df["missing_since"], df["missing_count"], df["is_active"], strict=True)))
+    assert [tell(x) for x in out] == [[("b", 2, 1, True)], [("b", 2, 2, False)], [("a", 4, 1, True)]] and [len(x) for x in out] == [n] * 3
