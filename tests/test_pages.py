@@ -2,12 +2,13 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyhound.functions import terms as t
 from tallyhound.operators import capture
-from tallyhound.queries import QUERIES
+from tallyhound.queries import QUERIES, SQL
 from tallyhound.sources import normalize
 from tests.test_elements import Tree, plain_condensed
 
@@ -160,3 +161,13 @@ def test_page_summaries(spark, given):
         bits += ["Automation or workflow language found."] if "automation" in text or "workflow" in text else []
         bits += ["Careers content is visible."] if re.search("(?i)career|job", url) else []
         assert got[i] == " ".join(bits)
+
+
+def test_entities_without_semicolon(spark, tmp_path):
+    """A text that is cut within an entity is read as HTML reads it, by the query and by its SQL."""
+    html = '<body><nav><ul><li><a href="/a">A &amp;amp; B &lt</a></li></ul></nav><article><h1>One&amp;&amp;&amp</h1></article><footer>&copy x</footer></body>'
+    spark.createDataFrame([(1, "https://a.example/p", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["selector_jobs"](spark, str(tmp_path)).select("source_key", "title", "location").collect()
+    assert sorted(map(tuple, got)) == [("menu:a.example", "A &amp; B <", None), ("page:a.example", "One&&&", "© x")]
+    want = duckdb.sql(f"WITH pages AS (SELECT * FROM '{tmp_path}/pages.parquet/*.parquet') SELECT source_key, title, location FROM ({SQL['selector_jobs']})").fetchall()
+    assert sorted(want) == sorted(map(tuple, got))
