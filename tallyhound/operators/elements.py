@@ -16,53 +16,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhound.store import write_shared
+from tallyhound.store import map_slices, write_shared
 
 NODES = "page_id long, host string, node int, last int, parent int, depth int, tag string, id string, classes array<string>, attributes map<string,string>, link string, content string"
 #: Elements without an end tag; elements whose text isn't prose.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 CODE = frozenset(("script", "style", "template"))
 #: Nodes of a page that share a cell of the interval join; characters of markup that a worker turns into nodes at a time.
-CELL, SLICE_CHARS = 64, 2_000_000
+CELL, SLICE_CHARS = 64, 500_000
 
 
 class _Tree(HTMLParser):
-    """Nodes of one page. An end tag closes the innermost open element of its name with all that is open inside; others are ignored."""
+    """Nodes of one page. An end tag closes the innermost open element of its name with all that is open inside; others are ignored.
 
-    def __init__(self, url: str | None) -> None:
+    A node goes to ``done`` as soon as its last descendant is known, so of a page that is fed in parts only the open elements are held."""
+
+    def __init__(self, url: str | None, done: list[tuple]) -> None:
         super().__init__(convert_charrefs=True)
-        self.url, self.open, self.names, self.said = url or "", [], Counter(), []
-        self.tag, self.attributes, self.content, self.parent, self.depth, self.last = [], [], [], [], [], []
+        self.url, self.done, self.count, self.open, self.names, self.said = url or "", done, 0, [], Counter(), []
+
+    def start(self, tag, attributes=None, content=None) -> tuple:
+        node, self.count = self.count, self.count + 1
+        return node, self.open[-1][0] if self.open else None, len(self.open), tag, attributes or {}, content
 
-    def add(self, tag, attributes=None, content=None) -> int:
-        node = len(self.tag)
-        for column, value in ((self.tag, tag), (self.attributes, attributes), (self.content, content), (self.parent, self.open[-1] if self.open else None), (self.depth, len(self.open)), (self.last, node)):
-            column.append(value)
-        return node
+    def end(self, node: tuple) -> None:
+        self.done.append((*node, self.count - 1, self.link(node[4].get("href"))))
 
     def flush(self) -> None:
         if self.said:
             text, self.said = "".join(self.said), []
-            self.add("#code" if self.open and self.tag[self.open[-1]] in CODE else "#text", content=text)
+            self.end(self.start("#code" if self.open and self.open[-1][3] in CODE else "#text", content=text))
 
     def handle_starttag(self, tag, attrs):
         self.flush()
-        node = self.add(tag, {k: v or "" for k, v in attrs})
-        if tag not in VOID:
+        node = self.start(tag, {k: v or "" for k, v in attrs})
+        if tag in VOID:
+            self.end(node)
+        else:
             self.open.append(node)
             self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.flush()
-        self.add(tag, {k: v or "" for k, v in attrs})
+        self.end(self.start(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
         self.flush()
         while self.names[tag]:
             node = self.open.pop()
-            self.names[self.tag[node]] -= 1
-            self.last[node] = len(self.tag) - 1
-            if self.tag[node] == tag:
+            self.names[node[3]] -= 1
+            self.end(node)
+            if node[3] == tag:
                 break
 
     def handle_data(self, data):
@@ -70,27 +74,23 @@ class _Tree(HTMLParser):
 
     def handle_comment(self, data):
         self.flush()
-        self.add("#comment", content=data)
+        self.end(self.start("#comment", content=data))
 
     def handle_decl(self, decl):
         self.flush()
-        self.add("#doctype", content=decl)
+        self.end(self.start("#doctype", content=decl))
 
     def close(self):
         super().close()
         self.flush()
-        for node in self.open:
-            self.last[node] = len(self.tag) - 1
+        while self.open:
+            self.end(self.open.pop())
 
-    def links(self) -> list[str | None]:
-        out = []
-        for a in self.attributes:
-            href = (a or {}).get("href")
-            try:
-                out.append(urljoin(self.url, href.strip()) if href else None)
-            except ValueError:
-                out.append(None)
-        return out
+    def link(self, href: str | None) -> str | None:
+        try:
+            return urljoin(self.url, href.strip()) if href else None
+        except ValueError:
+            return None
 
 
 def element_table(pages: DataFrame) -> DataFrame:
@@ -104,33 +104,35 @@ def element_table(pages: DataFrame) -> DataFrame:
         ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("link", pa.string()), ("content", pa.string()),
     ])
 
-    def table(trees: list[tuple[int, str, _Tree]]) -> pa.RecordBatch:
-        out = {n: [] for n in schema.names}
-        for page, host, t in trees:
-            n = len(t.tag)
-            own = [a or {} for a in t.attributes]
-            for name, values in (("page_id", [page] * n), ("host", [host] * n), ("node", range(n)), ("last", t.last), ("parent", t.parent), ("depth", t.depth), ("tag", t.tag), ("id", [a.get("id") for a in own]), ("classes", [a.get("class", "").split() for a in own]), ("attributes", [list(a.items()) for a in own]), ("link", t.links()), ("content", t.content)):
-                out[name] += values
-        return pa.RecordBatch.from_pydict(out, schema)
+    def table(page: list, host: list, done: list[tuple]) -> pa.RecordBatch:
+        node, parent, depth, tag, own, content, last, link = zip(*done, strict=True)
+        classes, items = [a.get("class", "").split() for a in own], [list(a.items()) for a in own]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((page, host, node, last, parent, depth, tag, [a.get("id") for a in own], classes, items, link, content), schema, strict=True)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        pages_of, hosts, done, size = [], [], [], 0
         for b in batches:
-            for page, host, url, source in zip(*(b.column(c) for c in ("page_id", "host", "url", "html")), strict=True):
-                tree = _Tree(url.as_py())
-                tree.feed(text := source.as_py())
-                tree.close()
-                held.append((page.as_py(), host.as_py(), tree))
-                size += len(text)
-                if size > SLICE_CHARS:
-                    yield table(held)
-                    held, size = [], 0
-        if held:
-            yield table(held)
+            for row in range(b.num_rows):  # one page at a time as Python text
+                page, host, url, text = (b.column(c)[row].as_py() for c in ("page_id", "host", "url", "html"))
+                tree = _Tree(url, done)
+                for at in range(0, len(text), SLICE_CHARS):
+                    tree.feed(part := text[at : at + SLICE_CHARS])
+                    size += len(part)
+                    if at + SLICE_CHARS >= len(text):
+                        tree.close()
+                    pages_of += [page] * (len(done) - len(pages_of))
+                    hosts += [host] * (len(done) - len(hosts))
+                    if size > SLICE_CHARS and done:
+                        yield table(pages_of, hosts, done)
+                        size = 0
+                        for held in (pages_of, hosts, done):
+                            held.clear()
+        if done:
+            yield table(pages_of, hosts, done)
 
     url = F.col("url").cast("string")
     rows = pages.filter("page_id IS NOT NULL AND html <> ''").select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), url.alias("url"), "html")
-    return rows.mapInArrow(run, NODES)
+    return map_slices(rows, run, NODES)
 
 
 def inside(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:

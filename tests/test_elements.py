@@ -201,3 +201,20 @@ def test_a_long_page_of_open_elements(spark):
     source = "<div class=jobs>" * 10_000 + "<ul class=jobs>" + "".join(f"<li class=job><a href=/j/{i}><h3>Job {i}</h3></a>" for i in range(3000))
     p, r, nodes = frames(spark, [(1, "https://example.com/", source)], [("s", "example.com", {**BASE, "job_container": "div.jobs ul.jobs li.job"})])
     assert elements.apply_selectors(nodes, r).count() == 3000 and nodes.count() == 10_001 + 4 * 3000
+
+
+def test_a_page_fed_in_parts_is_held_by_its_open_elements_only():
+    html = '<!DOCTYPE html><body><div class="a b"><p>x &amp; y<br>z</p><a href="/q?a=1&amp;b">l</a><!-- c --><script>if (a < b) "</p>"</script><p>open</div></body> end'
+    html = html + "<ul>" + "".join(f'<li id="{i}"><a href="/{i}">t&lt;{i}</a></li>' for i in range(2000))
+    whole = []
+    tree = elements._Tree("https://a.example/x", whole)
+    tree.feed(html)
+    tree.close()
+    done = []
+    tree = elements._Tree("https://a.example/x", done)
+    for at in range(0, len(html), 7):
+        tree.feed(html[at : at + 7])
+        assert tree.count - len(done) <= 4
+    assert len(tree.open) == 1
+    tree.close()
+    assert done == whole and len(done) > 6000

@@ -97,3 +97,14 @@ def test_absolute_urls(spark):
     want = [urljoin(b, r) for b, r in pairs]
     want[4] = "https://a.example/b/c#g"
     assert got == want
+
+
+def test_pages_of_a_portfolio_dont_grow_with_the_companies(spark):
+    """A block of company numbers makes a page, so three times the companies make three times the pages."""
+    from tallyhound.queries_pages import PAGED, _portfolio_pages
+
+    customers = spark.read.parquet("/root/testdata/sf0.1/customer.parquet").count()
+    assert customers > 2 * PAGED
+    for _, pages in _portfolio_pages(spark, "/root/testdata/sf0.1"):
+        rows = pages.selectExpr("page_id", "length(html) AS n").collect()
+        assert len({r.page_id for r in rows}) == len(rows) > 60 and max(r.n for r in rows) < 100_000
