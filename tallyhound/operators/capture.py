@@ -6,15 +6,17 @@ from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.functions import columns as c
 from tallyhound.functions import terms as t
+from tallyhound.operators.elements import SLICE_CHARS
 from tallyhound.operators.latest import first_per_key, latest
 from tallyhound.operators.resolve import with_deliverability
 from tallyhound.operators.scoring import candidate_confidence, review_hint
+from tallyhound.store import map_slices
 
 PARSED = "page_id long, url string, title string, meta string, h1 string, links array<struct<href:string,text:string,tag:string,css:string>>, lines array<string>, text string"
 _BLOCKS = frozenset(("p", "div", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "article", "section", "nav", "header", "footer", "ul", "ol", "table"))
@@ -67,10 +69,17 @@ class _Page(HTMLParser):
 def parse_html(pages: DataFrame) -> DataFrame:
     """``page_id, url, html`` to title, description, first heading, links (absolute where they can be), lines and text. Null pages are empty."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    link = pa.struct([(n, pa.string()) for n in ("href", "text", "tag", "css")])
+    schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("url", "title", "meta", "h1")), ("links", pa.list_(link)), ("lines", pa.list_(pa.string())), ("text", pa.string())])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            out = []
-            for page_id, url, source in zip(b["page_id"], b["url"], b["html"], strict=True):
+            for row in range(b.num_rows):  # one page at a time as Python text
+                page_id, url, source = (b.column(n)[row].as_py() for n in ("page_id", "url", "html"))
                 p = _Page()
                 p.feed(source or "")
                 p.close()
@@ -83,9 +92,14 @@ def parse_html(pages: DataFrame) -> DataFrame:
                         except ValueError:
                             pass
                 out.append((page_id, url, " ".join(p.title.split()), p.meta, " ".join(p.h1.split()), p.links, lines, " ".join(lines)))
-            yield pd.DataFrame(out, columns=["page_id", "url", "title", "meta", "h1", "links", "lines", "text"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, PARSED)
+                size += len(source or "")
+                if size > SLICE_CHARS:
+                    yield table(out)
+                    out, size = [], 0
+        if out:
+            yield table(out)
+
+    return map_slices(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), run, PARSED)
 
 
 def capture_emails(parsed: DataFrame, mx_records: DataFrame, domain: str = "domain") -> DataFrame:

@@ -1,8 +1,10 @@
 """Page queries without SQL, published contacts and comment trees on cases read off by hand."""
 
 import re
+from types import SimpleNamespace
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,17 @@ def test_entities_without_semicolon(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("menu:a.example", "A &amp; B <", None), ("page:a.example", "One&&&", "© x")]
     want = duckdb.sql(f"WITH pages AS (SELECT * FROM '{tmp_path}/pages.parquet/*.parquet') SELECT source_key, title, location FROM ({SQL['selector_jobs']})").fetchall()
     assert sorted(want) == sorted(map(tuple, got))
+
+
+def test_pages_are_parsed_in_slices(monkeypatch):
+    """A worker holds about ``SLICE_CHARS`` of markup as rows, whatever the number of pages in an Arrow batch."""
+    asked = []
+    monkeypatch.setattr(capture, "map_slices", lambda df, run, schema: asked.append(run))
+    capture.parse_html(SimpleNamespace(select=lambda *c: None))
+    html = ["<h1>A</h1><a href='/b'>b</a>" + "<p>word</p>" * 5_000, None] * 50
+    batch = pa.RecordBatch.from_pydict({"page_id": [*range(99), None], "url": ["https://a.example/"] * 99 + [None], "html": html})
+    out = list(asked[0](iter([batch, batch.slice(0, 1)])))
+    assert len(out) > 4 and max(b.num_rows for b in out) < 30 and sum(b.num_rows for b in out) == 101
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[0]["links"] == [{"href": "https://a.example/b", "text": "b", "tag": "a", "css": ""}] and rows[0]["h1"] == "A" and len(rows[0]["lines"]) == 5_002
+    assert (rows[99]["page_id"], rows[99]["url"], rows[99]["lines"], rows[99]["text"]) == (None, None, [], "")
