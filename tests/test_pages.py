@@ -175,7 +175,7 @@ def test_entities_without_semicolon(spark, tmp_path):
     assert sorted(want) == sorted(map(tuple, got))
 
 
-def test_pages_are_parsed_in_slices(monkeypatch):
+def test_pages_are_parsed_in_slices(spark, monkeypatch):
     """A worker holds about ``SLICE_CHARS`` of markup as rows, whatever the number of pages in an Arrow batch."""
     asked = []
     monkeypatch.setattr(capture, "map_slices", lambda df, run, schema: asked.append(run))
