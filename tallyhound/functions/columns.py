@@ -273,7 +273,7 @@ def board_key(token: Column, board_url: Column, careers_url: Column) -> Column:
 
 def joined_lower(*parts: Column) -> Column:
     """Non-empty parts with blanks between, in lower case."""
-    return F.lower(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " "))
+    return F.lower(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))  # all in generated code
 
 
 def is_relevant_role(title: Column, department: Column) -> Column:

@@ -182,3 +182,16 @@ def test_missing_jobs_of_many_boards_take_few_state_calls():
     assert calls < 12
     tell = lambda df: sorted(set(zip(df["external_job_id"], df["missing_since"], df["missing_count"], df["is_active"], strict=True)))
     assert [tell(x) for x in out] == [[("b", 2, 1, True)], [("b", 2, 2, False)], [("a", 4, 1, True)]] and [len(x) for x in out] == [n] * 3
+
+
+def test_rows_of_a_shard_reach_the_processor_together(spark):
+    """Spark gives a processor its rows one by one in Python; so a shard's rows are few values, and hold what the rows hold."""
+    rows = spark.range(5000, numPartitions=3).select((F.col("id") % 70).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") + 2**60).alias("n"), F.timestamp_seconds(F.col("id") * 3600).alias("at"), F.when(F.col("id") % 3 > 0, F.lit("ü")).alias("s"))
+    handed = jobs._by_shard(rows, ["k"], 4)._df.toPandas()
+    assert len(handed) == 12 and set(handed["row_shard"]) == set(range(4))
+    parts = [jobs._unpacked([p, p.iloc[:0]]) for _, p in handed.groupby("row_shard")]
+    assert all(len(p) for p in parts) and not set(parts[0]["row_key"]) & set(parts[1]["row_key"])
+    got = pd.concat(parts).sort_values("at", ignore_index=True)
+    want = rows.orderBy("at").toPandas()
+    assert (got["at"] == want["at"]).all() and got["n"].dropna().tolist() == [i + 2**60 for i in range(5000) if i % 5] and got["s"].isna().sum() == 1667
+    assert set(got["row_key"]) == {f'{{"k":{i}}}' for i in range(70)}
