@@ -32,7 +32,7 @@ def has_any(text: Column, words: Iterable[str]) -> Column:
 def matched_terms(text: Column, words: Iterable[str]) -> Column:
     """The words that occur in the text, in list order."""
     found = F.concat_ws("\n", *(F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words))  # all in generated code
-    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(found, "\n"))
+    return F.array_remove(F.split(found, "\n"), "")
 
 
 def reasons(*pairs: tuple[Column, Column | str]) -> Column:
@@ -326,7 +326,7 @@ def infer_seniority(text: Column) -> Column:
 
 
 def stack_terms(text: Column, words: Iterable[str] = t.TECH_STACK_TERMS) -> Column:
-    return F.array_sort(matched_terms(F.lower(text), words))
+    return matched_terms(F.lower(text), sorted(words))  # sorting an array would take it, and all below it, out of generated code
 
 
 # --- people -----------------------------------------------------------------------------------------------------------------------

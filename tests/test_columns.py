@@ -70,3 +70,11 @@ def test_evidence(spark):
     assert one(spark, c.content_hash(F.lit('{"b":1,"a":2}')), v="") == one(spark, c.content_hash(F.lit('{ "a": 2, "b": 1 }')), v="")
     assert one(spark, c.as_list(F.col("v")), v='["a","b"]') == ["a", "b"] and one(spark, c.as_list(F.col("v")), v="plain") == ["plain"]
     assert one(spark, c.trim_sentence(F.col("v"), 12), v="One two three. four") == "One two"
+
+
+def test_terms_stay_in_generated_code(spark):
+    rows = spark.createDataFrame([("Python, AWS and Kubernetes",), ("nothing",), (None,)], "t string").repartition(1)
+    out = rows.select("t", c.stack_terms(F.col("t"), ["python", "kubernetes", "aws"]).alias("s"), c.matched_terms(F.lower("t"), ["python", "aws"]).alias("m"))
+    assert {r.t: (r.s, r.m) for r in out.collect()} == {"Python, AWS and Kubernetes": (["aws", "kubernetes", "python"], ["python", "aws"]), "nothing": ([], []), None: ([], [])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "*(" in plan.split("Project")[0], plan
