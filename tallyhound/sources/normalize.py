@@ -174,12 +174,12 @@ def _own_host(host: Column) -> Column:
 
 
 def _first_of_domain(rows: DataFrame) -> DataFrame:
-    """``reason`` of rows after the first of their domain that has none: ``duplicate_domain``, whatever they had."""
-    first = F.min(F.when(F.col("reason").isNull(), F.col("index"))).over(Window.partitionBy("domain"))
-    late = F.col("domain").isNotNull() & (F.col("index") > first)
-    # rows without domain are groups of their own
-    rows = rows.withColumn("_later", F.lit(False)).filter("domain IS NULL").unionByName(rows.filter("domain IS NOT NULL").withColumn("_later", F.coalesce(late, F.lit(False))))
-    return rows.withColumn("reason", F.when(F.col("_later"), "duplicate_domain").otherwise(F.col("reason"))).drop("_later")
+    """The rows, stored, so that they are worked out once; ``reason`` of those after the first of their domain that has none: ``duplicate_domain``, whatever they had."""
+    rows = write_shared(rows, "items")
+    first = rows.filter("reason IS NULL AND domain IS NOT NULL").groupBy(F.col("domain").alias("_domain")).agg(F.min("index").alias("_first"))
+    named = rows.filter("domain IS NOT NULL").join(first, F.col("domain") == F.col("_domain"), "left")
+    named = named.withColumn("reason", F.when(F.col("index") > F.col("_first"), "duplicate_domain").otherwise(F.col("reason"))).drop("_domain", "_first")
+    return rows.filter("domain IS NULL").unionByName(named)  # rows without domain don't meet in one task
 
 
 def normalize_vendor_companies(df: DataFrame, require_non_technical: bool = True, tlds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:

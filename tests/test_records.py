@@ -64,3 +64,12 @@ def test_profiles(spark):
 def test_missing_columns(spark, columns, told):
     df = spark.createDataFrame([], columns)
     assert [r.message for r in validate.missing_columns(df, ("a", "b") if not told else ("a", "b", "c")).collect()] == told
+
+
+def test_items_are_worked_out_once(spark):
+    """What is taken and what is rejected are read from stored rows."""
+    rows = [(1, '{"name": "A", "url": "https://a.com", "industry": "Freight"}'), (2, '{"name": "B", "url": "https://www.a.com/x", "industry": "Retail"}'), (3, "[1]"), (4, '{"name": "C", "url": "https://c.com", "industry": "Gaming"}'), (5, '{"name": "D", "url": "https://c.com", "industry": "Retail"}')]
+    good, bad = normalize.normalize_vendor_companies(spark.createDataFrame(rows, "index long, raw string"))
+    assert sorted(r["index"] for r in good.collect()) == [1, 5]
+    assert sorted(map(tuple, bad.collect())) == [(2, "duplicate_domain"), (3, "not_an_object"), (4, "not_non_technical")]
+    assert not any("parse_json" in df._jdf.queryExecution().executedPlan().toString() for df in (good, bad))
