@@ -10,12 +10,20 @@ from tallyhound.operators.latest import latest
 from tallyhound.operators.upsert import meet
 
 
-def resolve_company(df: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (``index, company_id, domain``) with ``resolved_id``, by id, else by domain; and the rejects ``index, reason``."""
+def with_company(df: DataFrame, companies: DataFrame) -> DataFrame:
+    """All rows (``index, company_id, domain``) with ``resolved_id``, by id, else by domain, else null. A domain is worked out once a row, and rows without an id don't
+    meet in one task."""
     ids = companies.select(F.col("id").alias("_id"))
     domains = companies.filter("canonical_domain IS NOT NULL").groupBy(F.lower("canonical_domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
-    rows = df.join(ids, F.col("company_id") == F.col("_id"), "left").join(domains, c.normalize_domain(F.col("domain")) == F.col("_domain"), "left")
-    rows = rows.withColumn("resolved_id", F.coalesce("_id", "_by_domain")).drop("_id", "_domain", "_by_domain")
+    apart = F.struct(F.when(F.col("company_id").isNull(), F.xxhash64("index")).otherwise(0).alias("n"), F.col("company_id").alias("id"))
+    rows = df.withColumn("_named", c.normalize_domain(F.col("domain"))).join(ids, apart == F.struct(F.lit(0).cast("long").alias("n"), F.col("_id").alias("id")), "left")
+    rows = rows.join(domains, F.col("_named") == F.col("_domain"), "left")
+    return rows.withColumn("resolved_id", F.coalesce("_id", "_by_domain")).drop("_id", "_named", "_domain", "_by_domain")
+
+
+def resolve_company(df: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`with_company` that have a company; and the rejects ``index, reason``."""
+    rows = with_company(df, companies)
     return rows.filter("resolved_id IS NOT NULL"), rows.filter("resolved_id IS NULL").select("index", F.lit("company_not_found").alias("reason"))
 
 

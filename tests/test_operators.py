@@ -263,3 +263,24 @@ def test_queries_over_whole_tables(spark, monkeypatch):
     for name in ("merged_records", "signals_once"):
         queries.QUERIES[name](spark, sf)
         assert stored.pop() > 0
+
+
+def test_companies_are_looked_up_once(spark):
+    """Found and unknown rows come from one pass; rows without an id are dealt to all tasks."""
+    rows = spark.range(400).select(F.col("id").alias("index"), F.when(F.col("id") < 3, F.col("id")).alias("company_id"), F.when(F.col("id") % 2 == 0, "https://www.X.com/").alias("domain"))
+    companies = spark.createDataFrame([(1, "a.com"), (7, "x.com"), (9, "X.com")], "id long, canonical_domain string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        out = resolve.with_company(rows, companies)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 2 and "lambdafunction" not in plan.split("SortMergeJoin")[0]
+        assert {r["index"]: r.resolved_id for r in out.collect()} == {i: 1 if i == 1 else 7 if i % 2 == 0 else None for i in range(400)}
+        of = rows.withColumn("domain", F.lit(None).cast("string"))
+        sizes = [r["count"] for r in resolve.with_company(of, companies).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) < 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    good, rejects = resolve.resolve_company(rows, companies)
+    assert good.count() == 201 and {r.reason for r in rejects.collect()} == {"company_not_found"}
