@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhound.adapters import spread
 from tallyhound.functions import columns as c
 from tallyhound.operators.elements import inside, stripped, texts_in
 from tallyhound.operators.latest import first_per_key
@@ -29,7 +30,7 @@ def arrays_under(docs: DataFrame, word: str, key: str = "page_id", value: str =
     spark = docs.sparkSession
     is_array = F.try_variant_get("v", "$", "array<variant>").isNotNull()
     rows = docs.select(F.col(key), F.array().cast("array<int>").alias("place"), F.lit(False).alias("told"), F.col(value).alias("v"))
-    found, level = None, write_shared(rows.filter("v IS NOT NULL"), "variant-level")
+    found, level = None, spread(write_shared(rows.filter("v IS NOT NULL"), "variant-level"))
     while not level.isEmpty():
         each = level.withColumnRenamed("v", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
         each = each.select(key, F.concat("place", F.array("pos")).alias("place"), (F.col("told") | F.coalesce(F.lower("key").contains(word), F.lit(False))).alias("told"), F.col("value").alias("v"))
@@ -50,7 +51,7 @@ def founders_in_json(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     told = nodes.filter(F.col("attributes")["data-page"].isNotNull()).groupBy("page_id").agg(F.min_by(F.col("attributes")["data-page"], "node").alias("json"))
     arrays = arrays_under(told.select("page_id", F.try_parse_json("json").alias("v")), "founder")
     items = arrays.select("page_id", "place", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "f")).join(pages.select("page_id", "url"), "page_id")
-    link = lambda *names: c.absolute_url(F.col("url"), _first("f", *names))
+    link = lambda *names: c.let(_first("f", *names), lambda ref: c.absolute_url(F.col("url"), ref))
     rows = items.select(
         "page_id", F.concat("place", F.array("pos")).alias("place"), _first("f", "name", "full_name", "fullName", "title", "username").alias("name"), _first("f", "role", "title", "title_text", "position").alias("role"),
         link("url", "profile_url", "profileUrl", "path").alias("profile_url"), link("linkedin_url", "linkedinUrl", "linkedin", "linkedin_link").alias("linkedin_url"), link("twitter_url", "twitterUrl", "twitter", "x_url").alias("x_url"),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhound.functions import terms as t
+from tallyhound import queries_pages
 from tallyhound.operators import capture
 from tallyhound.queries import QUERIES, SQL
 from tallyhound.sources import normalize
@@ -187,3 +188,11 @@ def test_pages_are_parsed_in_slices(spark, monkeypatch):
     rows = [r for b in out for r in b.to_pylist()]
     assert rows[0]["links"] == [{"href": "https://a.example/b", "text": "b", "tag": "a", "css": ""}] and rows[0]["h1"] == "A" and len(rows[0]["lines"]) == 5_002
     assert (rows[99]["page_id"], rows[99]["url"], rows[99]["lines"], rows[99]["text"]) == (None, None, [], "")
+
+
+def test_founders_pages_are_dealt_to_all_cores(spark, monkeypatch):
+    """Pages that Spark writes from a table of few files aren't parsed by a task for each file."""
+    dealt, whole = [], queries_pages.elements.element_table
+    monkeypatch.setattr(queries_pages.elements, "element_table", lambda pages: dealt.append(pages.rdd.getNumPartitions()) or whole(pages))
+    rows = queries_pages.page_founders(spark, "/root/testdata/sf0.001")
+    assert dealt == [spark.sparkContext.defaultParallelism] and rows.count() == 150
