@@ -196,3 +196,9 @@ def test_founders_pages_are_dealt_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(queries_pages.elements, "element_table", lambda pages: dealt.append(pages.rdd.getNumPartitions()) or whole(pages))
     rows = queries_pages.page_founders(spark, "/root/testdata/sf0.001")
     assert dealt == [spark.sparkContext.defaultParallelism] and rows.count() == 150
+
+
+def test_portfolio_pages_are_put_together_by_more_tasks_as_they_grow(spark, monkeypatch):
+    """Tasks follow the number of companies, not the packed bytes of their cards."""
+    monkeypatch.setattr(queries_pages, "GATHERED", 10)
+    assert [p.rdd.getNumPartitions() for _, p in queries_pages._portfolio_pages(spark, "/root/testdata/sf0.001")] == [15] * 3
