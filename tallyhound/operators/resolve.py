@@ -11,13 +11,17 @@ from tallyhound.operators.upsert import meet
 
 
 def with_company(df: DataFrame, companies: DataFrame) -> DataFrame:
-    """All rows (``index, company_id, domain``) with ``resolved_id``, by id, else by domain, else null. A domain is worked out once a row, and rows without an id don't
-    meet in one task."""
+    """All rows (``index, company_id, domain``) with ``resolved_id``, by id, else by domain, else null. A domain is worked out once a row; neither rows without an id
+    meet in one task, nor those that have no domain or need none, as their id is known."""
     ids = companies.select(F.col("id").alias("_id"))
     domains = companies.filter("canonical_domain IS NOT NULL").groupBy(F.lower("canonical_domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
-    apart = F.struct(F.when(F.col("company_id").isNull(), F.xxhash64("index")).otherwise(0).alias("n"), F.col("company_id").alias("id"))
-    rows = df.withColumn("_named", c.normalize_domain(F.col("domain"))).join(ids, apart == F.struct(F.lit(0).cast("long").alias("n"), F.col("_id").alias("id")), "left")
-    rows = rows.join(domains, F.col("_named") == F.col("_domain"), "left")
+    salt = F.xxhash64("index")
+    apart = lambda key: F.struct(F.when(key.isNull(), salt).otherwise(0).alias("n"), key.alias("k"))
+    whole = lambda key: F.struct(F.lit(0).cast("long").alias("n"), key.alias("k"))
+    rows = df.withColumn("_named", F.when(F.col("domain").isNotNull(), c.normalize_domain(F.col("domain")))).join(ids, apart(F.col("company_id")) == whole(F.col("_id")), "left")
+    rows = rows.withColumn("_named", F.when(F.col("_id").isNull(), F.col("_named")))
+    # the second condition says no more, but lets Spark leave the join out for a batch without domains
+    rows = rows.join(domains, (apart(F.col("_named")) == whole(F.col("_domain"))) & (F.col("_named") == F.col("_domain")), "left")
     return rows.withColumn("resolved_id", F.coalesce("_id", "_by_domain")).drop("_id", "_named", "_domain", "_by_domain")
 
 

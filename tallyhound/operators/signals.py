@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyhound.functions import columns as c
 from tallyhound.functions import terms as t
-from tallyhound.operators.upsert import insert_once
+from tallyhound.operators.upsert import count_missing, insert_once
 
 SPIKE_DAYS, SPIKE_JOBS = 30, 3
+BOARD = ["company_id", "ats_provider", "ats_board_id"]
 
 
 def insert_signal_once(new: DataFrame, old: DataFrame, index: str = "index") -> DataFrame:
@@ -81,19 +82,12 @@ def hiring_spikes(jobs: DataFrame, observed: DataFrame, as_of: Column, days: int
 
 def missing_observations(jobs: DataFrame, snapshot: DataFrame, as_of: Column, threshold: int = 2) -> DataFrame:
     """``jobs`` after a snapshot: active jobs of an observed board that it doesn't have are missing once more, and inactive from the
-    threshold on. Other rows are unchanged."""
-    scope = ["company_id", "ats_provider", "ats_board_id"]
-    boards = snapshot.select(*(F.col(k).alias(f"_{k}") for k in scope), F.lit(True).alias("_observed")).distinct()
-    ids = snapshot.select(*(F.col(k).alias(f"_i_{k}") for k in [*scope, "external_job_id"]), F.lit(True).alias("_present")).distinct()
-    rows = jobs.join(boards, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in scope], "left")
-    rows = rows.join(ids, [F.col(k).eqNullSafe(F.col(f"_i_{k}")) for k in [*scope, "external_job_id"]], "left")
-    missing = F.coalesce(F.col("is_active") & F.col("_observed") & F.col("_present").isNull(), F.lit(False))
-    n = F.coalesce("missing_observation_count", F.lit(0)) + 1
-    return rows.withColumns({
-        "missing_since_at": F.when(missing, F.coalesce(F.col("missing_since_at"), as_of)).otherwise(F.col("missing_since_at")),
-        "is_active": F.when(missing, n < threshold).otherwise(F.col("is_active")),
-        "missing_observation_count": F.when(missing, n).otherwise(F.col("missing_observation_count")),
-    }).select(*jobs.columns)
+    threshold on. Other rows are unchanged. Both tables are shuffled once, by board; null keys equal each other."""
+    each = [*BOARD, "external_job_id"]
+    both = jobs.withColumn("_seen", F.lit(False)).unionByName(snapshot.select(*each, F.lit(True).alias("_seen")), allowMissingColumns=True)
+    rows = both.withColumns({"_observed": F.max("_seen").over(Window.partitionBy(*BOARD)), "_present": F.max("_seen").over(Window.partitionBy(*each))}).filter(~F.col("_seen"))
+    missing = F.coalesce(F.col("is_active") & F.col("_observed") & ~F.col("_present"), F.lit(False))
+    return count_missing(rows, missing, as_of, threshold).select(*jobs.columns)
 
 
 def board_signals(changes: DataFrame) -> DataFrame:

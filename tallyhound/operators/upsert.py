@@ -46,14 +46,46 @@ def merge_fill_nulls(new: DataFrame, old: DataFrame, keys: list[str], fields: li
     return both.groupBy(*keys).agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_at"))).alias(f) for f in fields))
 
 
+def _with_batch(new: DataFrame, old: DataFrame, index: str) -> DataFrame:
+    """Stored jobs and observed ones in one table, the latter active and no longer missing; ``_new`` and ``_at`` tell them apart and keep the batch's order."""
+    seen = new.withColumns({"is_active": F.lit(True), "missing_since_at": F.lit(None).cast("timestamp"), "missing_observation_count": F.lit(0), "_new": F.lit(True), "_at": F.col(index)})
+    stored = old.withColumns({"_new": F.lit(False), "_at": F.lit(None).cast(new.schema[index].dataType)})
+    return stored.unionByName(seen.select(*stored.columns))
+
+
+def _last_or_stored(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key of :func:`_with_batch` the last row of the batch with the least stored ``first_seen_at``, or where the batch has none, all stored ones."""
+    order = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col("_at").desc())
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = both.withColumns({"_nth": F.row_number().over(order), "_hit": F.max("_new").over(whole), "_first": F.min(F.when(~F.col("_new"), F.col("first_seen_at"))).over(whole)})
+    rows = rows.filter("_nth = 1 OR NOT _hit")
+    return rows.withColumn("first_seen_at", F.when(F.col("_new"), F.coalesce("_first", "first_seen_at")).otherwise(F.col("first_seen_at")))
+
+
 def merge_jobs(new: DataFrame, old: DataFrame, keys: list[str], index: str = "index") -> DataFrame:
     """Job postings after a snapshot: every observed job is active again, seen now, and no longer missing; ``first_seen_at`` stays the stored
-    one; other fields are those of the last observation. Jobs that the snapshot doesn't have stay as they are. Null keys equal each other."""
-    last = latest(new, keys, F.col(index).desc())
-    first = old.groupBy(*keys).agg(F.min("first_seen_at").alias("_first"))
-    seen = meet(last, first, keys, "left").withColumn("first_seen_at", F.coalesce("_first", "first_seen_at"))
-    seen = seen.withColumns({"is_active": F.lit(True), "missing_since_at": F.lit(None).cast("timestamp"), "missing_observation_count": F.lit(0)})
-    return meet(old, seen.select(*keys), keys, "left_anti").select(*old.columns).unionByName(seen.select(*old.columns))
+    one; other fields are those of the last observation. Jobs that the snapshot doesn't have stay as they are. Null keys equal each other.
+    Both tables are read and shuffled once."""
+    return _last_or_stored(_with_batch(new, old, index), keys).select(*old.columns)
+
+
+def observe_jobs(new: DataFrame, old: DataFrame, keys: list[str], scope: list[str], as_of: Column, threshold: int = 2, index: str = "index") -> DataFrame:
+    """:func:`merge_jobs`, then :func:`tallyhound.operators.signals.missing_observations` of the same batch, with one shuffle for both: by the columns that
+    ``keys`` and ``scope`` (a board) share. ``keys`` are of ``scope`` but for the posting's id, so a stored row that no observed one replaces isn't in the snapshot."""
+    both = _with_batch(new, old, index).repartition(*(k for k in keys if k in scope))
+    rows = _last_or_stored(both.withColumn("_observed", F.max("_new").over(Window.partitionBy(*scope))), keys)
+    missing = F.coalesce(~F.col("_new") & F.col("is_active") & F.col("_observed"), F.lit(False))
+    return count_missing(rows, missing, as_of, threshold).select(*old.columns)
+
+
+def count_missing(jobs: DataFrame, missing: Column, as_of: Column, threshold: int) -> DataFrame:
+    """``jobs`` of which the ``missing`` ones are missing once more, and inactive from the threshold on."""
+    n = F.coalesce("missing_observation_count", F.lit(0)) + 1
+    return jobs.withColumns({
+        "missing_since_at": F.when(missing, F.coalesce(F.col("missing_since_at"), as_of)).otherwise(F.col("missing_since_at")),
+        "is_active": F.when(missing, n < threshold).otherwise(F.col("is_active")),
+        "missing_observation_count": F.when(missing, n).otherwise(F.col("missing_observation_count")),
+    })
 
 
 def upsert_boards(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str], index: str = "index") -> tuple[DataFrame, DataFrame]:

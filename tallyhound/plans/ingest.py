@@ -39,8 +39,7 @@ def ingest_job_snapshot(batch: DataFrame, jobs: DataFrame, companies: DataFrame,
     named, rejects = resolve_company(batch, companies)
     named = named.withColumn("company_id", F.col("resolved_id")).drop("resolved_id").withColumn("fingerprint", job_fingerprint())
     changes = u.classify_changes(named, jobs.withColumn("fingerprint", job_fingerprint()), JOB_KEYS, "fingerprint")
-    stored = u.merge_jobs(changes, jobs, JOB_KEYS)
-    stored = g.missing_observations(stored, named, as_of, threshold)
+    stored = u.observe_jobs(named, jobs, JOB_KEYS, g.BOARD, as_of, threshold)
     fresh = g.job_signals(changes.filter("status <> 'duplicate'"), as_of)
     fresh = fresh.select("index", "company_id", "signal_type", F.lit("signal_enrichment").alias("source"), F.col("url").alias("source_url"), "description", "confidence")
     return {"jobs": stored, "changes": changes, "signals": g.insert_signal_once(fresh, signals), "spikes": g.hiring_spikes(stored, named, as_of), "rejects": rejects, "summary": ingest_summary(changes, rejects)}

@@ -8,6 +8,7 @@ from tallyhound.functions import terms as t
 from tallyhound.operators import capture, latest, resolve, scoring, signals, upsert, validate
 from tallyhound.plans import ingest
 from tallyhound.plans import scoring as plans
+from tallyhound.queries import QUERIES
 from tallyhound.sources import files, normalize
 
 
@@ -82,6 +83,47 @@ def test_snapshot(spark):
     assert (s.received, s.accepted, s.duplicates, s.rejected) == (2, 1, 1, 1)
 
 
+def test_snapshot_is_merged_in_one_pass(spark):
+    """Several rows of a key in the batch and in store, null keys and boards: as the merge and the search for missing jobs one after the other, and as worked out by hand."""
+    day = datetime(2024, 5, 1)
+    one = lambda i, board="b1", company="c1", provider="lever", active=True, seen=day, n=0, title="T": (company, provider, board, i, title, None, None, None, None, seen, active, None, n)
+    old = spark.createDataFrame([one("a", seen=datetime(2024, 1, 1), active=False, n=3), one("a", seen=datetime(2024, 2, 1)), one("gone"), one("gone", n=1), one("off", active=False), one("else", board="b9"), one("early", board="b2"), one("n", provider=None, seen=datetime(2024, 1, 5)), one("m", provider=None), one("x", board=None), one("y", company=None)], JOBS)
+    new = spark.createDataFrame([(2, *one("a", title="Last")), (1, *one("a", board="b2", title="First")), (3, *one("n", provider=None)), (4, *one("new", board=None))], "index int, " + JOBS)
+    keys, scope = ingest.JOB_KEYS, signals.BOARD
+    merged = upsert.merge_jobs(new, old, keys)
+    want = signals.missing_observations(merged, new, now())
+    got = upsert.observe_jobs(new, old, keys, scope, now())
+    assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(want))) and got.columns == old.columns
+    short = sorted((r.external_job_id, r.title, r.is_active, r.missing_observation_count, r.missing_since_at is not None, r.first_seen_at.month) for r in got.collect())
+    assert short == [
+        ("a", "Last", True, 0, False, 1), ("early", "T", True, 1, True, 5), ("else", "T", True, 0, False, 5), ("gone", "T", False, 2, True, 5), ("gone", "T", True, 1, True, 5),
+        ("m", "T", True, 1, True, 5), ("n", "T", True, 0, False, 1), ("new", "T", True, 0, False, 5), ("off", "T", False, 0, False, 5), ("x", "T", True, 1, True, 5), ("y", "T", True, 0, False, 5),
+    ]
+
+
+def test_snapshot_reads_its_tables_once(spark):
+    plan = QUERIES["job_snapshot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2  # stored ones and those of the batch
+
+
+def test_rows_without_domain_do_not_meet(spark):
+    """Neither in one task nor, where a batch has no domains at all, in a join."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        companies = spark.range(4000).select("id", F.concat(F.lit("d"), "id", F.lit(".com")).alias("canonical_domain"))
+        batch = spark.range(5000).select(F.col("id").alias("index"), F.when(F.col("id") < 4500, F.col("id")).alias("company_id"), F.when(F.col("id") % 100 == 7, F.concat(F.lit("d"), F.col("id") % 1000, F.lit(".com"))).alias("domain"))
+        got = resolve.with_company(batch, companies)
+        assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("resolved_id")).collect()) < 2500
+        assert {(r["index"], r.resolved_id) for r in got.collect()} == {(i, i if i < 4000 else i % 1000 if i % 100 == 7 else None) for i in range(5000)}
+        bare = resolve.with_company(batch.withColumn("domain", F.lit(None).cast("string")), companies)
+        assert bare._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_discovery(spark):
     batch = spark.createDataFrame([(0, "s", "r1", "u1", "Acme", "https://acme.com", None, "funding", None, None, None), (1, "s", "r2", "u2", "Acme", None, "acme.com", "tender", "sum", None, None), (2, "s", "r3", "u3", None, None, "q.com", "x", None, None, None), (3, "s", "r4", "u4", "N", None, None, "x", None, None, None)], "index int, source string, source_record_id string, source_url string, company_name string, website string, domain string, event_type string, event_summary string, description string, event_date date")
     records = spark.createDataFrame([], "source string, source_record_id string, content_hash string")
